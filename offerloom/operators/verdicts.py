@@ -94,7 +94,8 @@ def ask(batches: DataFrame, judge: Judge) -> DataFrame:
     replies = durable(batches.select(*BATCH, "payload").mapInPandas(answer, schema))
     read = (
         batches.drop("payload").join(replies, BATCH)
-        .withColumn("verdicts", envelopes.verdict_list(envelopes.envelope_text(c("reply")), c("n")))
+        .withColumn("envelope", envelopes.envelope_text(c("reply")))
+        .withColumn("verdicts", envelopes.verdict_list(c("envelope"), c("n"))).drop("envelope")
         .withColumn("provider", F.lit(judge.provider)).withColumn("model", F.lit(judge.model))
     )
     unread = F.concat(F.lit("ai_filter parse failure: "), F.coalesce(F.substring("reply", 1, 200), F.lit("")))
@@ -189,5 +190,6 @@ def usage(answered: DataFrame) -> DataFrame:
 def parse_replies(replies: DataFrame) -> DataFrame:
     """(keys..., reply, n) -> verdict rows with `seq`; replies of no accepted shape give none."""
     keys = [n for n in replies.columns if n not in ("reply", "n")]
-    parsed = replies.withColumn("v", envelopes.verdict_list(envelopes.envelope_text(c("reply")), c("n")))
+    found = replies.withColumn("envelope", envelopes.envelope_text(c("reply")))
+    parsed = found.withColumn("v", envelopes.verdict_list(c("envelope"), c("n")))
     return parsed.select(*keys, "n", F.posexplode("v").alias("seq", "e")).select(*keys, "n", "seq", "e.*")

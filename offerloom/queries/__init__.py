@@ -1,0 +1,13 @@
+"""Registered queries over the driver tables."""
+
+from importlib import import_module
+
+MODULES = ["offer_queries", "alert_queries"]
+
+
+def load():
+    for name in MODULES:
+        import_module(f"offerloom.queries.{name}")
+    from offerloom.queries.base import REGISTRY
+
+    return REGISTRY
