@@ -77,7 +77,7 @@ def fabricated_numbers(reports: DataFrame, payloads: DataFrame) -> DataFrame:
     as_percent = text.plain_number(F.format_string("%.6f", c("number").try_cast("double") * 100))
     allowed = known.unionByName(known.select("report_id", as_percent.alias("number")))
     open_numbers = (
-        numbers(reports).join(allowed, ["report_id", "number"], "left_anti").join(limits, "report_id")
+        numbers(reports).join(allowed, ["report_id", "number"], "left_anti").join(limits, "report_id", "left").fillna(20, ["rank_max"])
         .where(~c("number").isin("5", "100", "200"))
         .where(~(c("number").rlike("^(0|[1-9][0-9]*)$") & F.coalesce(c("number").try_cast("bigint") <= c("rank_max"), F.lit(False))))
         .select("report_id", "number")

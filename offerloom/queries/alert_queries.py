@@ -124,10 +124,10 @@ def alert_audit_panel(spark, sf):
     return panel.select("slug", run_day, big(F.size(F.filter(F.split("panel", "\n"), lambda s: s.startswith("- **new_vendor_carries**: New vendor")))).alias("lines"))
 
 
-@query("host_sets", with_events("SELECT slug, run_day, count(DISTINCT host) AS hosts, string_agg(DISTINCT host, ',' ORDER BY host) AS names FROM ev GROUP BY slug, run_day"))
+@query("host_sets", with_events("SELECT slug, run_day, count(DISTINCT host) AS hosts, min(host) AS first_host, max(host) AS last_host FROM ev GROUP BY slug, run_day"))
 def host_sets(spark, sf):
-    h = alerts.run_hosts(event_offers(spark, sf)).groupBy(*RUN).agg(F.count(F.lit(1)).alias("hosts"), F.array_join(F.array_sort(F.collect_set("host")), ",").alias("names"))
-    return h.select("slug", run_day, "hosts", "names")
+    h = alerts.run_hosts(event_offers(spark, sf)).groupBy(*RUN).agg(F.count(F.lit(1)).alias("hosts"), F.min("host").alias("first_host"), F.max("host").alias("last_host"))
+    return h.select("slug", run_day, "hosts", "first_host", "last_host")
 
 
 # --- verdicts ---------------------------------------------------------------------------------
@@ -378,7 +378,7 @@ def odd_sources(spark, sf):
     body = F.when(k == 9, 60000).when(k == 10, 14999).when(k == 11, 20000)
     diag = F.map_filter(F.create_map(F.lit("body_len"), body.cast("string"), F.lit("alterlab_pool_exhausted"), F.when(k == 6, "true"), F.lit("alterlab_degraded"), F.when(k == 7, "true")), lambda _, v: v.isNotNull())
     return e.select(
-        c("user_id").cast("string").alias("slug"), F.lit("2024-01-01").cast("timestamp").alias("run_ts"), k.alias("k"), F.lit(K.UNIVERSAL).alias("source"), c("event_type").alias("display_source"),
+        F.floor(c("event_id") / 14).cast("string").alias("slug"), F.lit("2024-01-01").cast("timestamp").alias("run_ts"), k.alias("k"), F.lit(K.UNIVERSAL).alias("source"), c("event_type").alias("display_source"),
         F.when(k.isin(0, 1, 12, 13), 3).otherwise(0).alias("fetched"), F.when(k == 0, 1).otherwise(0).alias("passed"),
         F.when(k == 4, "HTTP 429 Quota").when(k == 8, "Timeout\n  after 30s").otherwise(none).alias("error"), F.when(k == 2, "watch-gate: absent").when(k == 5, "budget spent").otherwise(none).alias("skip_reason"),
         diag.alias("diagnostics"), F.when(k == 3, "walled  off").otherwise(none).alias("known_blocker"),
@@ -397,7 +397,7 @@ def source_outcome(spark, sf):
 
 
 @query("zero_reason_callout", """
-SELECT CAST(user_id AS VARCHAR) AS slug, count(*) AS sources, CASE WHEN bool_or(event_id % 14 IN (3, 4)) THEN 'warning' ELSE 'note' END AS severity FROM events WHERE event_id % 14 <> 0 GROUP BY user_id""")
+SELECT CAST(event_id // 14 AS VARCHAR) AS slug, count(*) AS sources, CASE WHEN bool_or(event_id % 14 IN (3, 4)) THEN 'warning' ELSE 'note' END AS severity FROM events WHERE event_id % 14 <> 0 GROUP BY event_id // 14""")
 def zero_reason_callout(spark, sf):
     called = diagnostics.zero_reason_callout(odd_sources(spark, sf).withColumn("outcome", diagnostics.source_outcome()))
     return called.select("slug", "sources", "severity")
@@ -535,8 +535,9 @@ def bench_passes(spark, sf):
 
 
 def report_tables(spark, sf):
-    """One report text per event day: a table of that day's products, with flags, context and one odd number per third day."""
-    e = table(spark, sf, "events").withColumn("report_id", day(c("ts").cast("timestamp")))
+    """One report text per day and block of 20 products: a table with flags, context and an odd number every third day."""
+    block = F.floor(c("user_id") / 20).cast("string")
+    e = table(spark, sf, "events").withColumn("report_id", F.concat(day(c("ts").cast("timestamp")), F.lit("/"), block))
     rows = e.groupBy("report_id", "user_id").agg(F.min("value").alias("low"), F.count(F.lit(1)).alias("n"))
     url = F.concat(F.lit("https://shop.example.com/u"), c("user_id").cast("string"), F.lit("-end"))
     listings = rows.select(
@@ -544,9 +545,8 @@ def report_tables(spark, sf):
         F.when(c("user_id") % 2 == 0, F.array(F.lit("china_shipping"))).otherwise(F.array(F.lit("low_fb"))).alias("flags"),
     )
     line = F.concat(F.lit("| "), c("user_id").cast("string"), F.lit(" | [x]("), url, F.lit(") | "), F.format_string("%.2f", c("low")), F.lit(" |"))
-    # At most one line per product and report: the report is a document, its size is the product count.
     body = rows.select("report_id", "user_id", line.alias("line")).groupBy("report_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("user_id", "line"))), lambda x: x["line"]), "\n").alias("b"))
-    third = F.dayofmonth(c("report_id").cast("date")) % 3
+    third = F.dayofmonth(F.substring("report_id", 1, 10).cast("date")) % 3
     text = F.concat(
         F.lit("# Report\n\n| # | Item | Low |\n|---|---|---|\n"), c("b"), F.lit("\n\nShips from China shipping partners; low_fb seen.\n\n## Context\nAll rows are fresh. Odd "),
         F.when(third == 0, "987654.25").otherwise("7"), F.lit(" ok.\n\n## Next\nmore"),
@@ -559,12 +559,12 @@ def report_tables(spark, sf):
 
 
 @query("report_criteria", """
-WITH d AS (SELECT DISTINCT strftime(ts, '%Y-%m-%d') AS report_id, day(ts) % 3 = 0 AS odd, bool_or(user_id % 11 = 0) OVER (PARTITION BY strftime(ts, '%Y-%m-%d')) AS gaps FROM events)
+WITH d AS (SELECT DISTINCT strftime(ts, '%Y-%m-%d') || '/' || (user_id // 20) AS report_id, day(ts) % 3 = 0 AS odd FROM events)
 SELECT report_id, 'no_fabrication' AS criterion, NOT odd AS passed FROM d UNION ALL SELECT report_id, 'all_rows_present', true FROM d
 UNION ALL SELECT report_id, 'flags_surfaced', true FROM d UNION ALL SELECT report_id, 'context_length', true FROM d
 UNION ALL SELECT report_id, 'sort_order', bool_and(ok) FROM (
   SELECT report_id, coalesce(lag(v) OVER (PARTITION BY report_id ORDER BY user_id) <= v, true) AS ok FROM (
-    SELECT DISTINCT strftime(ts, '%Y-%m-%d') AS report_id, user_id, CASE WHEN user_id % 11 = 0 THEN 'inf'::DOUBLE ELSE user_id * 2.5 END AS v FROM events)) GROUP BY report_id""")
+    SELECT DISTINCT strftime(ts, '%Y-%m-%d') || '/' || (user_id // 20) AS report_id, user_id, CASE WHEN user_id % 11 = 0 THEN 'inf'::DOUBLE ELSE user_id * 2.5 END AS v FROM events)) GROUP BY report_id""")
 def report_criteria(spark, sf):
     return evaluation.check_reports(*report_tables(spark, sf)).select("report_id", "criterion", "passed")
 
@@ -575,18 +575,19 @@ nums AS (
   SELECT DISTINCT doc_id, source, CASE WHEN NOT contains(n, '.') THEN n WHEN regexp_replace(regexp_replace(n, '0+$', ''), '\\.$', '') = '' THEN '0'
     ELSE regexp_replace(regexp_replace(n, '0+$', ''), '\\.$', '') END AS number FROM (SELECT doc_id, source, unnest(raw) AS n FROM texts)
 ),
-half AS (SELECT DISTINCT source, number FROM nums WHERE doc_id % 2 = 0),
+half AS (SELECT DISTINCT source, number FROM nums WHERE (doc_id // 20) % 2 = 0),
 pct AS (SELECT DISTINCT source, CASE WHEN regexp_replace(printf('%.6f', CAST(number AS DOUBLE) * 100), '\\.?0+$', '') = '' THEN '0' ELSE
     regexp_replace(regexp_replace(printf('%.6f', CAST(number AS DOUBLE) * 100), '0+$', ''), '\\.$', '') END AS number FROM half),
 open AS (
-  SELECT DISTINCT source, number FROM nums WHERE doc_id % 2 = 1 AND number NOT IN ('5', '100', '200')
+  SELECT DISTINCT source, number FROM nums WHERE (doc_id // 20) % 2 = 1 AND number NOT IN ('5', '100', '200')
     AND NOT (regexp_full_match(number, '0|[1-9][0-9]*') AND coalesce(TRY_CAST(number AS BIGINT) <= 20, false))
 )
 SELECT source, number FROM open o WHERE NOT EXISTS (SELECT 1 FROM half h WHERE h.source = o.source AND contains(h.number, o.number))
   AND NOT EXISTS (SELECT 1 FROM pct p WHERE p.source = o.source AND p.number = o.number)""")
 def number_containment(spark, sf):
-    """Numbers in odd documents of a source that its even documents do not explain. Texts stay single rows per document."""
+    """Numbers in one half of a source's documents that the other half does not explain. Texts stay single rows per document."""
     d = table(spark, sf, "documents").select("doc_id", c("source").alias("report_id"), "text")
-    payloads = d.where(c("doc_id") % 2 == 0).select("report_id", "text", F.lit(0).alias("n_listings"))
-    found = evaluation.fabricated_numbers(d.where(c("doc_id") % 2 == 1).select("report_id", "text"), payloads)
+    half = F.floor(c("doc_id") / 20) % 2
+    payloads = d.where(half == 0).select("report_id", "text", F.lit(0).alias("n_listings"))
+    found = evaluation.fabricated_numbers(d.where(half == 1).select("report_id", "text"), payloads)
     return found.select(c("report_id").alias("source"), "number").distinct()

@@ -13,7 +13,7 @@ from offerloom.functions import text
 from offerloom.schema import conform
 
 c = F.col
-ITEM_DDL = "page_id bigint, item_no int, title string, link string, price_text string, condition_text string"
+ITEM_DDL = "page_id bigint, slug string, run_ts timestamp, item_no int, title string, link string, price_text string, condition_text string"
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
 
@@ -74,26 +74,25 @@ class ItemScanner(HTMLParser):
 def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         rows = []
-        for page_id, html in zip(frame["page_id"], frame["html"]):
+        for page_id, slug, run_ts, html in zip(frame["page_id"], frame["slug"], frame["run_ts"], frame["html"]):
             scanner = ItemScanner()
             scanner.feed(html or "")
             scanner.close()
             for n, item in enumerate(scanner.items):
                 if "title" in item:
-                    rows.append((page_id, n, item["title"].strip(), item.get("href", ""), item.get("price", "0"), item.get("condition", "Used").strip()))
-        yield pd.DataFrame(rows, columns=["page_id", "item_no", "title", "link", "price_text", "condition_text"])
+                    rows.append((page_id, slug, run_ts, n, item["title"].strip(), item.get("href", ""), item.get("price", "0"), item.get("condition", "Used").strip()))
+        yield pd.DataFrame(rows, columns=["page_id", "slug", "run_ts", "item_no", "title", "link", "price_text", "condition_text"])
 
 
 def page_items(pages: DataFrame) -> DataFrame:
-    """Raw item fields per page. Only the key and the HTML cross to Python; pages without an item never do."""
-    return pages.where(c("html").contains("s-item__wrapper")).select("page_id", "html").mapInPandas(scan, ITEM_DDL)
+    """Raw item fields per page. Only the keys and the HTML cross to Python; pages without an item never do."""
+    return pages.where(c("html").contains("s-item__wrapper")).select("page_id", "slug", "run_ts", "html").mapInPandas(scan, ITEM_DDL)
 
 
 def page_offers(pages: DataFrame, source: str) -> DataFrame:
     """pages: page_id, html, slug, run_ts. Items whose price is no number are skipped."""
-    runs = pages.select("page_id", "slug", "run_ts")
     price = text.price_from_page(c("price_text"))
-    rows = page_items(pages).withColumn("unit_price_usd", price).where(c("unit_price_usd").isNotNull()).join(runs, "page_id")
+    rows = page_items(pages).withColumn("unit_price_usd", price).where(c("unit_price_usd").isNotNull())
     attrs = F.map_filter(
         F.create_map(F.lit("capacity_gb"), text.capacity_gb(c("title")).cast("string"), F.lit("speed_mts"), text.speed_page(c("title")).cast("string")),
         lambda _, v: v.isNotNull(),

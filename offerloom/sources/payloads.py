@@ -55,10 +55,11 @@ def parse_json(docs: DataFrame, column: str, ddl: str) -> DataFrame:
 
 
 def _position(*parts: str) -> Column:
-    """Order of an item: up to a million items per list."""
+    """Order of an item in its run: a document has room for a million items (a thousand lists of a thousand)."""
+    width = 1_000_000 if len(parts) == 2 else 1_000
     out = F.lit(0).cast("bigint")
     for p in parts:
-        out = out * 1_000_000 + F.coalesce(c(p), F.lit(0)).cast("bigint")
+        out = out * width + F.coalesce(c(p), F.lit(0)).cast("bigint")
     return out
 
 
