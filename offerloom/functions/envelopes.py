@@ -6,6 +6,7 @@ import json
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import StringType
 
 from offerloom.functions.text import hit
 
@@ -46,7 +47,7 @@ def find_envelope(text: str | None) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def envelope_text(texts: pd.Series) -> pd.Series:
     """The one step SQL cannot express: decoding JSON that is followed by other text."""
     return texts.map(find_envelope)

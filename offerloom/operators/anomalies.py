@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from offerloom import constants as K
 from offerloom.operators.rules import add_flag
 from offerloom.operators.skew import counted_median
+from offerloom.session import durable
 
 c = F.col
 RUN = ["slug", "run_ts"]
@@ -16,13 +17,14 @@ def price_stats(offers: DataFrame, keys: list[str] = RUN) -> DataFrame:
     """Exact median, MAD and number of priced offers per run.
 
     Both medians work on (price, count) rows, so the offers themselves are shuffled once, pre-aggregated.
+    The counts and the medians are written once, because each is read several times.
     """
-    counted = (
+    counted = durable(
         offers.where(c("unit_price_usd") > 0)
         .groupBy(*keys, c("unit_price_usd").alias("_price"))
         .agg(F.count(F.lit(1)).alias("_count"))
     )
-    medians = counted_median(counted, keys, "_price", "_count", "median")
+    medians = durable(counted_median(counted, keys, "_price", "_count", "median"))
     deviations = counted.join(medians, keys).withColumn("_dev", F.abs(c("_price") - c("median")))
     return medians.join(counted_median(deviations, keys, "_dev", "_count", "mad").drop("mad_n"), keys).withColumnRenamed(
         "median_n", "priced"

@@ -61,5 +61,7 @@ def first_tick_after(once: DataFrame, spans: DataFrame) -> DataFrame:
 
 def next_runs(schedules: DataFrame, after) -> DataFrame:
     """Next instant of every schedule strictly after *after* (a column); null when it has none."""
-    cron_next = S.next_fire(S.cron_plan(c("cron")), after)
-    return schedules.withColumn("next_run", F.when(c("run_at").isNotNull(), F.when(c("run_at") > after, c("run_at"))).otherwise(cron_next))
+    # The plan is its own column: inside the day filter it must not be parsed again per day.
+    planned = schedules.withColumn("_plan", S.cron_plan(c("cron")))
+    once = F.when(c("run_at") > after, c("run_at"))
+    return planned.withColumn("next_run", F.when(c("run_at").isNotNull(), once).otherwise(S.next_fire(c("_plan"), after))).drop("_plan")

@@ -15,6 +15,7 @@ from offerloom.operators import (
     alerts, anomalies, catalog, dedup, diagnostics, dimensions, display, evaluation, history, ranking, rules, schedules, verdicts,
 )
 from offerloom.operators.skew import column_bound
+from offerloom.session import durable
 
 c = F.col
 RUN = ["slug", "run_ts"]
@@ -44,6 +45,11 @@ def candidates(offers: DataFrame, profiles: DataFrame) -> DataFrame:
     return rules.alias_gate(passed, c("aliases"), c("variant_strict"))
 
 
+def recalled(offers: DataFrame) -> DataFrame:
+    """Offers of a run counted as recalled: distinct URLs and every offer without URL."""
+    return dedup.distinct_offers(offers.select(*RUN, "url", "pos", *[n for n in ("source_order",) if n in offers.columns]))
+
+
 def run_offers(
     offers: DataFrame, profiles: DataFrame, judges: Sequence[verdicts.Judge] | None = verdicts.DEFAULT_CHAIN,
     errors: DataFrame | None = None,
@@ -53,24 +59,25 @@ def run_offers(
     Returns survivors, displayed, overflow, columns, funnel (with outcome), log, calls. With
     ``judges=None`` every candidate survives and nothing leaves the JVM.
     """
-    pool = candidates(offers, profiles)
+    # Written once to the shared checkpoint folder: outlier statistics, ranking, counts and the history sink all read it.
+    pool = durable(candidates(offers, profiles))
     knobs = ["rules", "target", "allowed_countries", "allow", "block", "variant_strict", "degraded_attrs"]
     if judges is None:
         kept, log, calls, failed = pool, None, None, None
     else:
         answered, failed_runs = verdicts.run_chain(pool.drop(*knobs), judges)
         judged = verdicts.verdict_rows(answered).join(failed_runs.select(*RUN), RUN, "left_anti")
-        kept = judged.where("pass").drop("index", "pass", "reason")
+        kept = durable(judged.where("pass").drop("index", "pass", "reason"))
         log = verdicts.log_rows(judged).unionByName(verdicts.failure_log(failed_runs))
         calls, failed = verdicts.usage(answered), failed_runs.select(*RUN).withColumn("filter_error", F.lit(True))
     survivors = anomalies.flag_price_anomalies(kept)
     most, cap = column_bound(profiles, "display.max_listings", 20), column_bound(profiles, "display.per_vendor_cap", 3)
-    displayed = ranking.select_for_display(survivors, most, cap)
+    displayed = durable(ranking.select_for_display(survivors, most, cap))
     overflow = ranking.vendor_overflow(survivors, displayed, cap)
     count = lambda df, name: df.groupBy(*RUN).agg(F.count(F.lit(1)).alias(name))
     runs = offers.select(*RUN).distinct() if errors is None else offers.select(*RUN).union(errors.select(*RUN)).distinct()
     funnel = runs
-    for frame, name in ((dedup.distinct_offers(offers), "recall_count"), (survivors, "survivor_count"), (displayed, "displayed_count")):
+    for frame, name in ((recalled(offers), "recall_count"), (kept, "survivor_count"), (displayed, "displayed_count")):
         funnel = funnel.join(count(frame, name), RUN, "left")
     funnel = funnel.fillna(0, ["recall_count", "survivor_count", "displayed_count"])
     funnel = funnel.join(errors.select(*RUN, *ERRORS), RUN, "left") if errors is not None else funnel.select("*", *[F.lit(False).alias(e) for e in ERRORS])

@@ -15,7 +15,10 @@ from offerloom.schema import conform
 
 c = F.col
 RUN = ["slug", "run_ts"]
-run_day = day(c("run_ts")).alias("run_day")
+
+def run_day():
+    return day(c("run_ts")).alias("run_day")
+
 
 
 def with_events(body: str, *extra: str) -> str:
@@ -66,20 +69,20 @@ b AS (
     "SELECT slug, run_day, price, 'Cheapest unit price dropped to $' || printf('%.2f', price) || ' — alert threshold $20.00' AS headline FROM b WHERE below AND NOT coalesce(was, false)",
     price_sql("unit_price", "true", 20)))
 def alert_drops_below(spark, sf):
-    return fired(spark, sf, 0).select("slug", run_day, "price", "headline")
+    return fired(spark, sf, 0).select("slug", run_day(), "price", "headline")
 
 
 @query("alert_is_below", with_events(
     "SELECT slug, run_day, price, 'Cheapest (used) total price is $' || printf('%.2f', price) || ' — at or below your $25.00 alert' AS headline FROM b WHERE below AND NOT coalesce(was, CAST(slug AS INT) % 3 = 0)",
     price_sql("sold_price", "condition = 'used'", 25)))
 def alert_is_below(spark, sf):
-    return fired(spark, sf, 1).select("slug", run_day, "price", "headline")
+    return fired(spark, sf, 1).select("slug", run_day(), "price", "headline")
 
 
 @query("alert_while_below", with_events(
     "SELECT slug, run_day, price, 'Cheapest (new) unit price is $' || printf('%.2f', price) || ' — at or below your $5.50 alert' AS headline FROM b WHERE below", price_sql("unit_price", "condition = 'new'", 5.5)))
 def alert_while_below(spark, sf):
-    return fired(spark, sf, 2).select("slug", run_day, "price", "headline")
+    return fired(spark, sf, 2).select("slug", run_day(), "price", "headline")
 
 
 HOSTS_SQL = """
@@ -90,12 +93,12 @@ arrivals AS (SELECT * FROM hosts h WHERE NOT EXISTS (SELECT 1 FROM hosts p WHERE
 
 @query("alert_vendor_seen", with_events("SELECT slug, run_day, host, host || ' now has at least one passing listing' AS headline FROM arrivals WHERE host = 'purchase.example.com'", HOSTS_SQL))
 def alert_vendor_seen(spark, sf):
-    return fired(spark, sf, 3).select("slug", run_day, "host", "headline")
+    return fired(spark, sf, 3).select("slug", run_day(), "host", "headline")
 
 
 @query("alert_new_vendor_carries", with_events("SELECT slug, run_day, host, 'New vendor now carries this product: ' || host AS headline FROM arrivals", HOSTS_SQL))
 def alert_new_vendor_carries(spark, sf):
-    return fired(spark, sf, 4).select("slug", run_day, "host", "headline")
+    return fired(spark, sf, 4).select("slug", run_day(), "host", "headline")
 
 
 @query("alert_state_after", with_events(
@@ -121,13 +124,13 @@ def alert_rule_text(spark, sf):
 def alert_audit_panel(spark, sf):
     rows = fired(spark, sf, 4).withColumn("outcome", F.when(c("host").startswith("view"), "failed").otherwise("ok"))
     panel = alerts.audit_text(rows)
-    return panel.select("slug", run_day, big(F.size(F.filter(F.split("panel", "\n"), lambda s: s.startswith("- **new_vendor_carries**: New vendor")))).alias("lines"))
+    return panel.select("slug", run_day(), big(F.size(F.filter(F.split("panel", "\n"), lambda s: s.startswith("- **new_vendor_carries**: New vendor")))).alias("lines"))
 
 
 @query("host_sets", with_events("SELECT slug, run_day, count(DISTINCT host) AS hosts, min(host) AS first_host, max(host) AS last_host FROM ev GROUP BY slug, run_day"))
 def host_sets(spark, sf):
     h = alerts.run_hosts(event_offers(spark, sf)).groupBy(*RUN).agg(F.count(F.lit(1)).alias("hosts"), F.min("host").alias("first_host"), F.max("host").alias("last_host"))
-    return h.select("slug", run_day, "hosts", "first_host", "last_host")
+    return h.select("slug", run_day(), "hosts", "first_host", "last_host")
 
 
 # --- verdicts ---------------------------------------------------------------------------------
@@ -146,7 +149,7 @@ def judge_payload(spark, sf):
     rows = verdicts.batch_rows(offers(spark, sf).withColumn("aliases", F.array(F.lit("Blue Gear"))))
     doc = F.from_json("payload", "array<struct<index:int,price:double,model_name_in_title:boolean>>")
     return rows.withColumn("d", doc).select(
-        "slug", run_day, "batch", big(F.size("d")).alias("entries"), F.array_min(F.transform("d", lambda e: e["price"])).alias("lowest"),
+        "slug", run_day(), "batch", big(F.size("d")).alias("entries"), F.array_min(F.transform("d", lambda e: e["price"])).alias("lowest"),
         big(F.size(F.filter("d", lambda e: e["model_name_in_title"]))).alias("named"),
     )
 
@@ -189,7 +192,7 @@ def judge_chain(spark, sf):
 @query("judge_chain_failures", with_offers("SELECT slug, run_day, -1 AS \"index\", '(filter call failed)' AS title FROM bad2", CHAIN_SQL))
 def judge_chain_failures(spark, sf):
     _, failed = verdicts.run_chain(offers(spark, sf), CHAIN)
-    return verdicts.failure_log(failed).select("slug", run_day, "index", "title")
+    return verdicts.failure_log(failed).select("slug", run_day(), "index", "title")
 
 
 def doc_offers(spark, sf):

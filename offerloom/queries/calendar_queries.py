@@ -18,7 +18,10 @@ from offerloom.streaming import runs as streams
 
 c = F.col
 RUN = ["slug", "run_ts"]
-run_day = day(c("run_ts")).alias("run_day")
+
+def run_day():
+    return day(c("run_ts")).alias("run_day")
+
 
 
 def cron_rows(spark, sf):
@@ -243,10 +246,10 @@ def stream_price_alerts(spark, sf):
     priced = alerts.rule_prices(alerts.run_prices(o), alert_rules(spark, sf).where(c("rule_pos") == 1), history.previous_runs(o))
     rows = priced.withColumn("fingerprint", alerts.fingerprint()).select("slug", "rule_pos", "fingerprint", "mode", "threshold_usd", "run_ts", "price")
     fired = drain(spark, streams.price_alert_stream(_stored(spark, rows))).where("fires")
-    return fired.select("slug", run_day, "price")
+    return fired.select("slug", run_day(), "price")
 
 
 @query("stream_host_arrivals", with_events("SELECT slug, run_day, host FROM arrivals", HOSTS_SQL))
 def stream_host_arrivals(spark, sf):
     hosts = alerts.run_hosts(event_offers(spark, sf)).groupBy(*RUN).agg(F.array_sort(F.collect_set("host")).alias("hosts"))
-    return drain(spark, streams.host_arrival_stream(_stored(spark, hosts))).select("slug", run_day, "host")
+    return drain(spark, streams.host_arrival_stream(_stored(spark, hosts))).select("slug", run_day(), "host")

@@ -14,7 +14,10 @@ from offerloom.queries.base import (
 
 c = F.col
 RUN = ["slug", "run_ts"]
-run_day = day(c("run_ts")).alias("run_day")
+
+def run_day():
+    return day(c("run_ts")).alias("run_day")
+
 
 V1_RULES = [
     {"rule": "no_such_rule"},
@@ -193,7 +196,7 @@ def alias_gate(spark, sf):
 def best_offers_display(spark, sf):
     shown = runs.run_offers(offers(spark, sf), profiles(spark, sf), judges=None)["displayed"]
     kind = F.when(F.array_contains("flags", K.FLAG_LOW), "low").when(F.array_contains("flags", K.FLAG_HIGH), "high").otherwise("")
-    return shown.select("slug", run_day, big(c("rank")).alias("rank"), "vendor", "url", "unit_price_usd", "pos", kind.alias("anomaly"))
+    return shown.select("slug", run_day(), big(c("rank")).alias("rank"), "vendor", "url", "unit_price_usd", "pos", kind.alias("anomaly"))
 
 
 @query(
@@ -211,7 +214,7 @@ LEFT JOIN (SELECT slug, run_day, count(*) AS n FROM displayed GROUP BY ALL) d US
 def run_funnel_outcome(spark, sf):
     f = runs.run_offers(offers(spark, sf), profiles(spark, sf), judges=None)["funnel"]
     notes = F.array_join(F.transform("outcome.notes", lambda n: n["class"]), ",")
-    return f.select("slug", run_day, "recall_count", "survivor_count", "displayed_count", c("outcome.class").alias("outcome"), notes.alias("notes"))
+    return f.select("slug", run_day(), "recall_count", "survivor_count", "displayed_count", c("outcome.class").alias("outcome"), notes.alias("notes"))
 
 
 @query(
@@ -226,7 +229,7 @@ GROUP BY slug, run_day, vendor HAVING count(*) > CASE WHEN slug = 'PROMO' THEN 1
 )
 def vendor_cap_overflow(spark, sf):
     o = runs.run_offers(offers(spark, sf), profiles(spark, sf), judges=None)["overflow"]
-    return o.select("slug", run_day, "vendor", big(c("held_back")).alias("held_back"))
+    return o.select("slug", run_day(), "vendor", big(c("held_back")).alias("held_back"))
 
 
 @query(
@@ -244,7 +247,7 @@ FROM displayed GROUP BY slug, run_day""",
 )
 def display_columns(spark, sf):
     cols = runs.run_offers(offers(spark, sf), profiles(spark, sf), judges=None)["columns"]
-    return cols.select("slug", run_day, F.array_join("columns", ",").alias("columns"))
+    return cols.select("slug", run_day(), F.array_join("columns", ",").alias("columns"))
 
 
 for _name, _k in (("price_anomaly_mad", 3.5), ("price_anomaly_mad_k1", 1.0)):
@@ -261,7 +264,7 @@ for _name, _k in (("price_anomaly_mad", 3.5), ("price_anomaly_mad_k1", 1.0)):
     with_offers("SELECT slug, run_day, median_value AS median, mad_value AS mad, median.n AS priced FROM median JOIN mad USING (slug, run_day)", stats_sql("offers")),
 )
 def price_stats(spark, sf):
-    return anomalies.price_stats(offers(spark, sf)).select("slug", run_day, "median", "mad", "priced")
+    return anomalies.price_stats(offers(spark, sf)).select("slug", run_day(), "median", "mad", "priced")
 
 
 LATEST_SQL = """
@@ -375,7 +378,7 @@ def previous_run_asof(spark, sf):
     from offerloom.queries.base import event_offers
 
     steps = history.previous_runs(event_offers(spark, sf))
-    return steps.select("slug", run_day, day(c("previous_run_ts")).alias("previous_day"), big(c("step_no")).alias("run_no"))
+    return steps.select("slug", run_day(), day(c("previous_run_ts")).alias("previous_day"), big(c("step_no")).alias("run_no"))
 
 
 @query(
@@ -391,7 +394,7 @@ SELECT slug, url, run_day, hour, pos, unit_price_usd FROM (
 def history_upsert(spark, sf):
     o = offers(spark, sf)
     merged = history.upsert(o.where(c("source") != "ebay_search"), o.where(c("condition") == "new").withColumn("unit_price_usd", c("unit_price_usd") * 2))
-    return merged.select("slug", "url", run_day, F.hour("fetched_at").alias("hour"), "pos", "unit_price_usd")
+    return merged.select("slug", "url", run_day(), F.hour("fetched_at").alias("hour"), "pos", "unit_price_usd")
 
 
 TOTAL_SQL = f"""
@@ -444,7 +447,7 @@ SELECT slug, run_day, row_number() OVER (PARTITION BY slug, run_day ORDER BY raw
 )
 def reserved_top_k(spark, sf):
     ranked = ranking.rank_for_report(raw_totals(offers(spark, sf)))
-    return ranked.select("slug", run_day, big(c("rank")).alias("rank"), "pos", "source")
+    return ranked.select("slug", run_day(), big(c("rank")).alias("rank"), "pos", "source")
 
 
 @query(
@@ -453,7 +456,7 @@ def reserved_top_k(spark, sf):
 )
 def shown_of_total(spark, sf):
     o = offers(spark, sf)
-    return ranking.shown_of_total(ranking.rank_for_report(o), o).select("slug", run_day, "total", "shown", "note")
+    return ranking.shown_of_total(ranking.rank_for_report(o), o).select("slug", run_day(), "total", "shown", "note")
 
 
 @query(
@@ -462,7 +465,7 @@ def shown_of_total(spark, sf):
 )
 def survivor_rank_all(spark, sf):
     ranked = ranking.rank_all(anomalies.flag_price_anomalies(offers(spark, sf), mad_k=1.0))
-    return ranked.select("slug", run_day, "pos", "rank")
+    return ranked.select("slug", run_day(), "pos", "rank")
 
 
 @query(
@@ -490,7 +493,7 @@ def cheapest_by_basis(spark, sf):
     unit = ranking.cheapest(o.where(c("condition") == "new"), RUN, c("unit_price_usd"), ["pos"]).withColumn("basis", F.lit("unit"))
     sold = money.basis_price(F.lit("total"), c("is_kit"), c("kit_price_usd"), c("unit_price_usd"))
     total = ranking.cheapest(o, RUN, sold, ["pos"]).withColumn("basis", F.lit("total"))
-    return unit.unionByName(total).select("slug", run_day, "basis", "pos", "price")
+    return unit.unionByName(total).select("slug", run_day(), "basis", "pos", "price")
 
 
 @query(
@@ -508,7 +511,7 @@ def bottom_line(spark, sf):
     names = profiles(spark, sf).select("slug", c("slug").alias("display_name"))
     made = display.bottom_line_text(tops, names)
     short = F.regexp_replace(F.regexp_replace("bottom_line", r": \$[0-9.]+( total for target)?", ""), r"\[([^\]]+)\]\([^)]*\)", "$1")
-    return made.select("slug", run_day, F.regexp_replace(short, r"\.$", "").alias("line"))
+    return made.select("slug", run_day(), F.regexp_replace(short, r"\.$", "").alias("line"))
 
 
 @query("dedup_union", with_offers("SELECT slug, run_day, pos FROM (SELECT *, row_number() OVER (PARTITION BY slug, run_day, url ORDER BY CASE WHEN source = 'ebay_search' THEN 0 ELSE 1 END, pos) AS no FROM offers WHERE seller_name <> '') WHERE no = 1\nUNION ALL SELECT slug, run_day, pos FROM offers WHERE seller_name = ''"))
@@ -516,7 +519,7 @@ def dedup_union(spark, sf):
     """Two recalls in source order; offers without URL (here: without seller) are all kept."""
     o = offers(spark, sf).withColumn("url", F.when(c("seller_name") == "", " ").otherwise(c("url")))
     both = dedup.union_recalls([o.where(c("source") == "ebay_search"), o.where(c("source") != "ebay_search")])
-    return dedup.distinct_offers(both).select("slug", run_day, "pos")
+    return dedup.distinct_offers(both).select("slug", run_day(), "pos")
 
 
 FLAGS_LIST = "list_filter([CASE WHEN condition = 'used' THEN 'suspicious_listing' END, CASE WHEN is_kit THEN 'low_fb' END, CASE WHEN quantity_available IS NULL THEN 'unknown_quantity' END, CASE WHEN capacity_gb > 40 THEN 'odd' END], lambda x: x IS NOT NULL)"
@@ -565,7 +568,7 @@ def flag_descriptions(spark, sf):
         F.struct(F.lit(2).alias("pos"), F.lit("odd").alias("flag"), F.lit("title_mentions").alias("rule"), F.lit("").alias("description")),
     )
     flag_rules = slugs.select("slug", F.explode(rows).alias("r")).select("slug", "r.*")
-    return dimensions.flag_descriptions(_labelled(offers(spark, sf)), flag_rules).select("slug", run_day, "flag", "description")
+    return dimensions.flag_descriptions(_labelled(offers(spark, sf)), flag_rules).select("slug", run_day(), "flag", "description")
 
 
 @query(
@@ -581,7 +584,7 @@ SELECT slug, run_day, pos AS row_no, CAST(pos AS VARCHAR) AS col_rank, '[' || CA
 def report_table_cells(spark, sf):
     rows = offers(spark, sf).withColumn("rank", c("pos"))
     names = ["rank", "source", "title", "pack_size", "qty", "condition", "brand", "mpn", "seller", "ship_from", "qvl_status", "flags", "flavor", "total_for_target"]
-    return display.report_table(rows, names).select(run_day, *[n for n in display.report_table(rows, names).columns if n != "run_ts"])
+    return display.report_table(rows, names).select(run_day(), *[n for n in display.report_table(rows, names).columns if n != "run_ts"])
 
 
 @query(
@@ -631,7 +634,7 @@ def field_completeness(spark, sf):
 @query("vendor_rollup", with_offers("SELECT slug, run_day, count(DISTINCT vendor) AS vendors, count(*) AS offers, count(DISTINCT vendor) >= 3 AS covered FROM offers GROUP BY slug, run_day"))
 def vendor_rollup(spark, sf):
     roll = evaluation.vendor_rollup(offers(spark, sf), RUN, urls.vendor_key(c("seller_name")))
-    return evaluation.coverage_gate(roll, RUN).select("slug", run_day, "vendors", "offers", "covered")
+    return evaluation.coverage_gate(roll, RUN).select("slug", run_day(), "vendors", "offers", "covered")
 
 
 @query(
@@ -664,7 +667,7 @@ def report_payload(spark, sf):
     p = profiles(spark, sf)
     run = runs.run_offers(offers(spark, sf), p, judges=None)
     docs = runs.build_reports(run, p).where(c("payload.displayed_count") > 0).select(
-        "slug", run_day, "payload.schema_version", "payload.display_name",
+        "slug", run_day(), "payload.schema_version", "payload.display_name",
         F.transform("payload.listings", lambda d: F.from_json(d, "rank int, price_usd double, seller_name string")).alias("l"),
     )
     order = F.array_join(F.transform("l", lambda x: F.concat(x["rank"].cast("string"), F.lit(":"), urls.vendor_key(x["seller_name"]))), ",")
@@ -681,7 +684,7 @@ def report_markdown(spark, sf):
     docs = runs.report_markdown(runs.build_reports(run, p), run["displayed"]).where(~c("markdown").contains("_No listings to show._"))
     lines = F.size(F.filter(F.split("markdown", "\n"), lambda s: s.startswith("|")))
     shown = text.hit(c("markdown"), r"\*\*(\d+) shown\*\*", 1).cast("bigint")
-    return docs.select("slug", run_day, shown.alias("shown"), big(lines).alias("table_lines"))
+    return docs.select("slug", run_day(), shown.alias("shown"), big(lines).alias("table_lines"))
 
 
 @query(
@@ -691,7 +694,7 @@ def report_markdown(spark, sf):
 def rendered_report_table(spark, sf):
     made = display.rendered_table(ranking.rank_for_report(offers(spark, sf)))
     rows = text.table_rows(c("table_md"))
-    return made.select("slug", run_day, big(F.size(rows)).alias("rows"), F.get(F.split("table_md", "\n"), F.lit(2)).alias("header"))
+    return made.select("slug", run_day(), big(F.size(rows)).alias("rows"), F.get(F.split("table_md", "\n"), F.lit(2)).alias("header"))
 
 
 @query("row_json_round_trip", with_offers("SELECT pos, title, unit_price_usd, capacity_gb, run_day || 'T' || lpad(CAST(hour AS VARCHAR), 2, '0') AS fetched FROM offers"))

@@ -10,7 +10,10 @@ from offerloom.queries.base import big, day, offers, profiles, query, table, wit
 from offerloom.sources import pages as page_source, payloads, tables
 
 c = F.col
-run_day = day(c("run_ts")).alias("run_day")
+
+def run_day():
+    return day(c("run_ts")).alias("run_day")
+
 
 
 def line_parts(spark, sf):
@@ -237,7 +240,7 @@ def snapshot_csv_round_trip(spark, sf):
     o = offers(spark, sf)
     encoded = tables.encode_snapshot(o.withColumn("mpn", c("pos").cast("string"))).withColumn("pos", c("mpn").cast("bigint"))
     back = tables.decode_snapshot(encoded).withColumn("run_ts", F.try_to_timestamp("run_stamp", F.lit(tables.STAMP)))
-    return back.select("pos", "slug", run_day, "title", "brand", "is_kit", "unit_price_usd", "kit_price_usd", "quantity_available", "seller_rating_pct", "seller_feedback_count",
+    return back.select("pos", "slug", run_day(), "title", "brand", "is_kit", "unit_price_usd", "kit_price_usd", "quantity_available", "seller_rating_pct", "seller_feedback_count",
                        rules.capacity().alias("capacity_gb"), F.date_format("fetched_at", "yyyy-MM-dd HH").alias("fetched"))
 
 

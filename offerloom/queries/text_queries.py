@@ -35,7 +35,7 @@ def named_parts(spark, sf):
 
 @query("name_tokens", """
 SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 AND length(CAST(p_partkey AS VARCHAR)) >= 3 THEN p_partkey || 'ab' END AS model,
-  CASE WHEN p_partkey % 2 = 0 THEN 'wx' || p_partkey || 'abq' || p_size ELSE replace(p_name, ' ', ',') || ',' || lower(p_type) END AS tokens,
+  CASE WHEN p_partkey % 2 = 0 THEN 'wx' || p_partkey || 'abq' || p_size ELSE regexp_replace(replace(p_name, ' ', ','), '^new,', '') || CASE WHEN starts_with(p_name, lower(p_type) || ' ') THEN '' ELSE ',' || lower(p_type) END END AS tokens,
   CASE WHEN p_partkey % 2 = 0 THEN false ELSE true END AS matches FROM part""")
 def name_tokens(spark, sf):
     p = named_parts(spark, sf)
@@ -324,7 +324,7 @@ def detail_preference(spark, sf):
 
 
 @query("condition_drift_violations", """
-SELECT 'p-' || p_partkey AS slug, 'no condition filter for: no used; ' || p_name || ' new only' AS message FROM part WHERE p_partkey % 2 = 0 AND p_partkey % 3 <> 0 AND p_partkey % 5 <> 0""")
+SELECT 'p-' || p_partkey AS slug, 'no condition filter for: ' || least('no used', p_name || ' new only') || '; ' || greatest('no used', p_name || ' new only') AS message FROM part WHERE p_partkey % 2 = 0 AND p_partkey % 3 <> 0 AND p_partkey % 5 <> 0""")
 def condition_drift_violations(spark, sf):
     p = table(spark, sf, "part").select("p_partkey", "p_name")
     slug = F.concat(F.lit("p-"), c("p_partkey").cast("string")).alias("slug")

@@ -24,9 +24,9 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def build_session(app: str = "offerloom", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
-    builder = SparkSession.builder.appName(app)
+    builder = SparkSession.builder.appName(app).config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     if master:
-        builder = builder.master(master).config("spark.ui.enabled", "false")
+        builder = builder.master(master).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "12g").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "12g")
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return prepare(builder.getOrCreate())

@@ -135,7 +135,7 @@ def report_cards(docs: DataFrame) -> DataFrame:
 
 
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
-    return report_docs(spark.read.option("wholetext", True).text(path))
+    return report_docs(spark.read.text(path, wholetext=True))
 
 
 # --- profiles ----------------------------------------------------------------------------------------------
@@ -159,7 +159,7 @@ def _yaml_to_json(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def read_profile_documents(spark: SparkSession, path: str) -> DataFrame:
     """(path, document, json, error) per profile file; YAML is the one format Spark cannot read itself."""
-    files = spark.read.option("wholetext", True).text(path).select(c("_metadata.file_path").alias("path"), c("value").alias("document"))
+    files = spark.read.text(path, wholetext=True).select(c("_metadata.file_path").alias("path"), c("value").alias("document"))
     return files.mapInPandas(_yaml_to_json, "path string, document string, json string, error string")
 
 
@@ -262,6 +262,6 @@ diff struct<changed:array<struct<url:string,title:string,old_price_usd:double,ne
 
 def read_bench_payloads(spark: SparkSession, path: str) -> DataFrame:
     """Fixture documents with their name and their own text (the number check reads the text)."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     name = F.regexp_extract(c("_metadata.file_path"), r"([^/]+)\.json$", 1)
     return raw.select(name.alias("report_id"), c("value").alias("text"), F.from_json("value", BENCH_DDL).alias("p")).select("report_id", "text", "p.*")

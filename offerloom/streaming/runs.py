@@ -55,7 +55,7 @@ def latest_writer(path: str):
 
 def tick_counts(fires: DataFrame, lateness: str = "1 hour") -> DataFrame:
     """Fire instants per product and tick. A tick covers (start, end]; Spark windows are [start, end), hence the shift."""
-    shifted = fires.withWatermark("fire_at", lateness).withColumn("_t", c("fire_at") - F.expr("interval 1 microsecond"))
+    shifted = fires.withColumn("_t", c("fire_at") - F.expr("interval 1 microsecond")).withWatermark("_t", lateness)
     window = F.window("_t", f"{K.TICK_MINUTES} minutes")
     return shifted.groupBy("slug", window.alias("w")).agg(F.count(F.lit(1)).alias("fires")).select("slug", c("w.end").alias("tick"), "fires")
 
