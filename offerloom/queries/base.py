@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from offerloom.schema import conform
-from offerloom.session import prepare
+from offerloom.session import prepare, spread
 
 c = F.col
 
@@ -50,7 +50,7 @@ def big(col):
 
 def offers(spark: SparkSession, sf: str) -> DataFrame:
     """Offer rows of every line item. The dimension sides carry no hint: their size decides at run time."""
-    line = table(spark, sf, "lineitem").select(
+    line = spread(table(spark, sf, "lineitem")).select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag", "l_shipdate"
     )
     supplier = table(spark, sf, "supplier").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal")
@@ -234,7 +234,7 @@ RUN_SQL = CANDIDATES_SQL.strip() + ",\n" + flagged_sql("candidates") + ",\n" + D
 
 def event_offers(spark: SparkSession, sf: str) -> DataFrame:
     """Events as offers: product = user, run = day, host = event type, price = value."""
-    e = table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    e = spread(table(spark, sf, "events")).select("event_id", "ts", "user_id", "event_type", "value")
     ts = c("ts").cast("timestamp")
     return conform(
         e.select(

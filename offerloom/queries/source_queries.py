@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from offerloom.functions import text
 from offerloom.operators import catalog, dedup, rules
 from offerloom.queries.base import big, day, offers, profiles, query, table, with_offers
+from offerloom.session import spread
 from offerloom.sources import pages as page_source, payloads, tables
 
 c = F.col
@@ -17,7 +18,7 @@ def run_day():
 
 
 def line_parts(spark, sf):
-    line = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag")
+    line = spread(table(spark, sf, "lineitem")).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag")
     part = table(spark, sf, "part").select("p_partkey", "p_name", "p_type", "p_size", "p_brand")
     return line.join(part, c("l_partkey") == c("p_partkey"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,7 +53,22 @@ def _local_root() -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage of *df* with a reliable checkpoint, so recomputation cannot change it."""
+    """Cut the lineage of *df*: write it once as a Parquet table below the shared checkpoint folder and read it back.
+
+    Lost executors or retried tasks re-read the table and never recompute what led to it. Unlike a row
+    checkpoint it is columnar, so each reader loads only its columns, and its size is known to the planner.
+    """
     spark = df.sparkSession
-    spark.sparkContext.setCheckpointDir(checkpoint_root(spark))
-    return df.checkpoint(eager=True)
+    path = f"{checkpoint_root(spark)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan of fewer files than cores over all cores.
+
+    A table of a few files would keep every row-local step on a few tasks. Tables at scale have more
+    files than the cluster has cores and pass through unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
