@@ -14,10 +14,14 @@ c = F.col
 
 
 def first_seen(df: DataFrame, scope: Sequence[str], key: Column, order: Sequence[Column]) -> DataFrame:
-    """Keep the first row per (scope, key). Rows with a blank key are all kept, and never meet in one group."""
-    keyed = df.withColumn("_key", F.nullif(key, F.lit("")))
-    distinct = first_row(keyed.where(c("_key").isNotNull()), [*scope, "_key"], order)
-    return distinct.unionByName(keyed.where(c("_key").isNull())).drop("_key")
+    """Keep the first row per (scope, key). Rows with a blank key are all kept.
+
+    A blank key is replaced by the row's own position, so such rows never meet in one group and the
+    input is read once.
+    """
+    own = F.concat_ws("\u0001", F.lit(""), *[o.cast("string") for o in order])
+    keyed = df.withColumn("_key", F.coalesce(F.nullif(key, F.lit("")), own))
+    return first_row(keyed, [*scope, "_key"], order).drop("_key")
 
 
 def shopping_key(product_id: Column, link: Column) -> Column:

@@ -2,7 +2,7 @@
 
 * ``top_rows``       - k first rows per key; Spark limits every map task to k rows per key before the shuffle.
 * ``counted_median`` - exact median from (value, count) rows, through bucket counts instead of one sorted group.
-* ``ordered_rank``   - exact row number per key over a range-partitioned, checkpointed copy.
+* ``ordered_rank``   - exact row number per key over a range-partitioned copy that is written once.
 """
 
 from __future__ import annotations
@@ -75,9 +75,9 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, out: str) -> Da
 def ordered_rank(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "rank") -> DataFrame:
     """1-based row number per key in *order* for every row, however large a key is.
 
-    Range partitioning on (keys, order) cuts a hot key into even pieces. The sorted copy is
-    checkpointed, because sampled range bounds may differ if it were computed again. Each piece
-    then only needs the number of rows of its key in earlier pieces.
+    Range partitioning on (keys, order) cuts a hot key into even pieces. The sorted copy is written
+    with its piece and row numbers, because sampled range bounds may differ if it were computed again.
+    Each piece then only needs the number of rows of its key in earlier pieces.
     """
     keys = list(keys)
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -20,6 +20,7 @@ from offerloom.session import durable
 c = F.col
 RUN = ["slug", "run_ts"]
 ERRORS = ["serper_error", "ebay_error", "amazon_error"]
+GATE_COLUMNS = ["rules", "target", "allowed_countries", "allow", "block", "variant_strict", "degraded_attrs"]
 
 
 def profile_knobs(profiles: DataFrame) -> DataFrame:
@@ -42,7 +43,8 @@ def candidates(offers: DataFrame, profiles: DataFrame) -> DataFrame:
     gated = rules.ship_from_gate(joined, c("allowed_countries"))
     scoped = rules.vendor_filter(gated, c("allow"), c("block"))
     passed = scoped.withColumn("_reason", rules.first_reject_from(c("rules"), c("target"))).where(c("_reason").isNull()).drop("_reason")
-    return rules.alias_gate(passed, c("aliases"), c("variant_strict"))
+    # The rule lists have done their work: what follows carries only the display limits and the aliases.
+    return rules.alias_gate(passed, c("aliases"), c("variant_strict")).drop(*GATE_COLUMNS)
 
 
 def recalled(offers: DataFrame) -> DataFrame:
@@ -61,11 +63,10 @@ def run_offers(
     """
     # Written once to the shared checkpoint folder: outlier statistics, ranking, counts and the history sink all read it.
     pool = durable(candidates(offers, profiles))
-    knobs = ["rules", "target", "allowed_countries", "allow", "block", "variant_strict", "degraded_attrs"]
     if judges is None:
         kept, log, calls, failed = pool, None, None, None
     else:
-        answered, failed_runs = verdicts.run_chain(pool.drop(*knobs), judges)
+        answered, failed_runs = verdicts.run_chain(pool, judges)
         judged = verdicts.verdict_rows(answered).join(failed_runs.select(*RUN), RUN, "left_anti")
         kept = durable(judged.where("pass").drop("index", "pass", "reason"))
         log = verdicts.log_rows(judged).unionByName(verdicts.failure_log(failed_runs))
