@@ -54,7 +54,7 @@ def diff_steps(daily: DataFrame, column: str = "snapshot_date", threshold: float
     w = Window.partitionBy("slug", "url").orderBy("step_no")
     price = c("unit_price_usd")
     seen = rows.select(
-        "slug", "url", "title", column, "step_no", "steps", price,
+        "slug", "url", "title", "source", "attrs", column, "step_no", "steps", price,
         F.lag("step_no").over(w).alias("_prev_no"), F.lag("unit_price_usd").over(w).alias("_old"),
         F.lead("step_no").over(w).alias("_next_no"),
     )
@@ -91,7 +91,8 @@ def diff_steps(daily: DataFrame, column: str = "snapshot_date", threshold: float
             ),
         )
     )
-    out = seen.select("slug", "url", "title", F.explode(events).alias("e")).select("slug", "url", "title", "e.*")
+    kept = ["slug", "url", "title", "source", "attrs"]
+    out = seen.select(*kept, F.explode(events).alias("e")).select(*kept, "e.*")
     return out.join(numbered_steps(daily, column).drop("steps"), ["slug", "step_no"])
 
 

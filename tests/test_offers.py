@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from offerloom.operators import anomalies, dedup, dimensions, display, history, ranking, rules, skew
+from offerloom.plans import runs
 
 c = F.col
 RUN = ["slug", "run_ts"]
@@ -118,6 +119,18 @@ def test_diff_skips_nothing_between_distant_dates(offer_rows):
     assert got == [(2, "a", "dropped"), (2, "b", "new"), (3, "a", "new"), (3, "b", "dropped")]
 
 
+def test_report_input_and_text_lines(spark, offer_rows):
+    df = offer_rows({"url": "https://a.com/1", "run": 0, "unit_price_usd": 200.0}, {"url": "https://a.com/1", "run": 1, "unit_price_usd": 180.0}, {"url": "b", "run": 1, "unit_price_usd": 5.0})
+    diff = history.diff_steps(history.latest_per_day(df), "run_ts")
+    lines = sorted(r["line"] for r in display.diff_lines(diff).collect())
+    assert lines == ["  - [serper_shopping](b) - $5.00: item 2", "  - [serper_shopping](https://a.com/1) - $200.00 -> $180.00 (-10.0%): item 1"]
+    names = spark.createDataFrame([("p", "Thing")], "slug string, display_name string")
+    docs = {r["run_ts"].day: r for r in runs.synthesis_payload(ranking.rank_for_report(df), diff, names).collect()}
+    assert (docs[2]["new_count"], docs[2]["changed_count"], [x["rank"] for x in docs[2]["listings"]]) == (1, 1, [1, 2]) and docs[1]["new_count"] is None
+    calls = spark.createDataFrame([("ai_filter", "glm", "x", 1234, None, None)], "step string, provider string, model string, input_tokens bigint, output_tokens bigint, cost_usd double")
+    assert display.cost_lines(calls).first()["line"] == "| ai_filter | glm/x | 1,234 | 0 | (unpriced) |"
+
+
 def test_known_parts(spark, offer_rows):
     df = offer_rows({"mpn": " ABC "}, {"mpn": "x"}, {"mpn": None})
     known = spark.createDataFrame([("abc",), ("ABC",), ("",)], "mpn string")
