@@ -4,7 +4,7 @@ from importlib import import_module
 
 from offerloom.llm.common import REGISTRY, Query
 
-MODULES = ["embeddings"]
+MODULES = ["embeddings", "simhash", "packing"]
 
 
 def load() -> dict[str, Query]:
