@@ -4,7 +4,7 @@ from importlib import import_module
 
 from offerloom.llm.common import REGISTRY, Query
 
-MODULES = ["embeddings", "simhash", "packing"]
+MODULES = ["embeddings", "packing", "simhash", "tokenfiles"]
 
 
 def load() -> dict[str, Query]:
