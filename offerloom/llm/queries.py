@@ -4,7 +4,7 @@ from importlib import import_module
 
 from offerloom.llm.common import REGISTRY, Query
 
-MODULES = ["embeddings", "packing", "simhash", "tokenfiles"]
+MODULES = ["embeddings", "langid", "packing", "quality", "simhash", "tokenfiles"]
 
 
 def load() -> dict[str, Query]:
