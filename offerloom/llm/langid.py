@@ -23,7 +23,7 @@ LEAST_RATE = 2e-6  # share of a language's n-grams that an n-gram must have to b
 LEAST_DOCS = 3  # documents of the language that must have it
 MAX_LANGUAGES = 64
 UNKNOWN = "und"
-SLICE_CHARS = 4 << 20
+SLICE_CHARS = 1 << 20
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
