@@ -5,9 +5,10 @@ from __future__ import annotations
 import sys
 import types
 import uuid
-from collections.abc import Callable, Hashable
+from collections.abc import Callable, Hashable, Iterator, Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
@@ -56,12 +57,32 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def free_name(name: str, columns: list[str]) -> str:
-    """*name*, with underscores in front until no column (in any case) has it."""
-    taken = {c.lower() for c in columns}
-    while name.lower() in taken:
-        name = f"_{name}"
-    return name
+def add_columns(docs: DataFrame, compute: Callable[[list], dict[str, Sequence]], schema: str, source: str = "text") -> DataFrame:
+    """*docs* with the columns of *schema* that compute(values of *source*) gives per batch.
+
+    Batches stay in Arrow, so the other columns pass through as they are. Columns of *docs* with the new names
+    are replaced.
+    """
+    names = [part.strip().split(" ")[0] for part in schema.split(",")]
+    rest = docs.drop(*names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            new = compute(batch.column(batch.schema.get_field_index(source)).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(new[n]) for n in names]], names=[*batch.schema.names, *names])
+
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema)
+    return rest.mapInArrow(run, f"{kept}, {schema}")
+
+
+def keep_rows(docs: DataFrame, decide: Callable[[list], Sequence[bool]]) -> DataFrame:
+    """The rows of *docs* whose text decide() keeps; all columns pass through as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(decide(batch.column(batch.schema.get_field_index("text")).to_pylist()), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def worker_value(key: Hashable, make: Callable[[], object]):

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -78,13 +79,13 @@ def _window_filter(items: DataFrame) -> np.ndarray:
 
 
 def _doc_hits(shared, sizes: list[int]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
         log2 = len(bits).bit_length() + 4
         row = TaskContext.get().partitionId() << 40
-        for pdf in batches:
-            ids, hashes = pdf["doc_id"].astype("Int64").array, pdf["text_hash"].to_numpy(np.int64)
-            for begin, part in slices(pdf["text"].tolist()):
+        for batch in batches:
+            ids, texts, hashes = batch.columns
+            for begin, part in slices(texts.to_pylist()):
                 w = words(part)
                 for size in sizes:
                     h, at = _typed_windows(w, size)
@@ -94,8 +95,9 @@ def _doc_hits(shared, sizes: list[int]):
                     if len(h):
                         doc = w.doc[at] + begin
                         first = np.searchsorted(w.doc, w.doc[at])
-                        yield pd.DataFrame({"row": row + doc, "doc_id": ids[doc], "text_hash": hashes[doc], "place": (at - first).astype(np.int32), "size": np.int32(size), "h": h.view(np.int64), "slots": _slots(w, at, size)})
-            row += len(pdf)
+                        columns = [row + doc, ids.take(pa.array(doc)), hashes.take(pa.array(doc)), (at - first).astype(np.int32), np.full(len(at), size, np.int32), h.view(np.int64), pa.array(_slots(w, at, size), pa.list_(pa.int64()))]
+                        yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=["row", "doc_id", "text_hash", "place", "size", "h", "slots"])
+            row += batch.num_rows
 
     return run
 
@@ -113,7 +115,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     sizes = sorted(r.size for r in items.select("size").distinct().collect())  # at most WINDOW values
     shared = spark.sparkContext.broadcast(_window_filter(items))
     plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("text_hash"))
-    hits = plain.mapInPandas(_doc_hits(shared, sizes), _HITS)
+    hits = plain.mapInArrow(_doc_hits(shared, sizes), _HITS)
     own = items.select("item_id", "n_words", "size", F.col("place").alias("item_place"), "h", F.col("slots").alias("item_slots"))
     met = hits.join(own, ["h", "size"]).withColumn("diagonal", F.col("place") - F.col("item_place"))
     pairs = F.filter(F.arrays_zip("item_slots", "slots"), lambda p: p["item_slots"] != 0)

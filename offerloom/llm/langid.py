@@ -7,13 +7,14 @@ the counts are corrected for the false positives expected from each filter's fil
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from offerloom.llm.common import held_out, query, table, worker_value, written
+from offerloom.llm.common import add_columns, held_out, keep_rows, query, table, worker_value, written
 
 GRAM = 5  # characters of an n-gram, word edges included
 SLOT_BITS = 20  # the filters have 2**20 slots
@@ -23,6 +24,8 @@ LEAST_RATE = 2e-6  # share of a language's n-grams that an n-gram must have to b
 LEAST_DOCS = 3  # documents of the language that must have it
 MAX_LANGUAGES = 64
 UNKNOWN = "und"
+LEAST_COVERAGE = 0.2  # share of n-grams that a document of a learned language has at least
+SURE_LETTERS = 100  # letters from which on that share is reliable
 SLICE_CHARS = 1 << 20
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
@@ -89,13 +92,17 @@ class Filters:
 
     def scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(corrected counts per document and language, n-grams per document, letters per document)."""
+        if not texts:
+            return np.zeros((0, len(self.languages))), np.zeros(0), np.zeros(0, np.int64)
         counts, totals, letters = [], [], []
         false_rate = np.minimum(self.fill**HASHES, 0.999)
         for part in _slices(texts):
             codes, doc, n_letters = gram_codes(part)
             mask = np.bitwise_and.reduce([self.masks[s] for s in slots(codes, self.slot_bits)])
             total = np.bincount(doc, minlength=len(part)).astype(np.float64)
-            hits = np.stack([np.bincount(doc[(mask >> mask.dtype.type(i)) & mask.dtype.type(1) > 0], minlength=len(part)) for i in range(len(self.languages))], 1)
+            hits = np.zeros((len(part), len(self.languages)))
+            for i in range(len(self.languages)):
+                hits[:, i] = np.bincount(doc[(mask >> mask.dtype.type(i)) & mask.dtype.type(1) > 0], minlength=len(part))
             counts.append(np.maximum(0, (hits - total[:, None] * false_rate) / (1 - false_rate)))
             totals.append(total)
             letters.append(n_letters)
@@ -183,15 +190,28 @@ def predict(docs: DataFrame, filters: Filters) -> DataFrame:
     """
     model = docs.sparkSession.sparkContext.broadcast((filters.languages, filters.masks, filters.prior))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = Filters(*model.value)
-        for pdf in batches:
-            langs, score, coverage = own.predict(pdf["text"].tolist())
-            yield pdf.assign(lang_pred=langs, score=score, coverage=coverage)
+    def compute(texts: list) -> dict:
+        return dict(zip(("lang_pred", "score", "coverage"), worker_value(("filters", key), lambda: Filters(*model.value)).predict(texts)))
+
+    key = uuid.uuid4().hex
+    return add_columns(docs, compute, "lang_pred string, score double, coverage double")
+
+
+def drop_unknown(docs: DataFrame, filters: Filters, coverage: float = LEAST_COVERAGE, letters: int = SURE_LETTERS) -> DataFrame:
+    """The documents with a letter, but for those of *letters* or more whose language was not learned.
+
+    With no language learned, only documents without a letter go.
+    """
+    model = docs.sparkSession.sparkContext.broadcast((filters.languages, filters.masks, filters.prior))
+    key = uuid.uuid4().hex
+
+    def decide(texts: list) -> np.ndarray:
+        own = worker_value(("filters", key), lambda: Filters(*model.value))
+        counts, totals, n_letters = own.scores([t or "" for t in texts])
+        known = counts.max(1, initial=0) >= coverage * totals
+        return (n_letters > 0) & (known | (n_letters < letters) | (not own.languages))
 
-    rest = docs.drop("lang_pred", "score", "coverage")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema)
-    return rest.mapInPandas(run, f"{schema}, lang_pred string, score double, coverage double")
+    return keep_rows(docs, decide)
 
 
 @query("op1_language_id")

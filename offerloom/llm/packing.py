@@ -13,7 +13,7 @@ import heapq
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -73,20 +73,20 @@ def pack(lengths: list[int], length: int = SEQUENCE_TOKENS, linear: float = LINE
 
 
 def _pack_documents(path: str, end_id: int, length: int, load_tokens: int):
-    def packed(docs: list[tuple[int, np.ndarray]], first: int) -> tuple[pd.DataFrame, int]:
+    def packed(docs: list[tuple[int | None, np.ndarray]], first: int) -> tuple[pa.RecordBatch, int]:
         rows = [
             (docs[d][0], start, size, ids_crc32(docs[d][1][start : start + size]), len(docs[d][1]), first + s, offset)
             for d, start, size, s, offset in pack([len(ids) for _, ids in docs], length)
         ]
-        frame = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
-        return frame.astype({"doc_id": "Int64"}), first + int(frame["sequence_id"].max() - first + 1 if len(frame) else 0)
+        columns = [pa.array(c, pa.int64()) for c in zip(*rows)]
+        return pa.RecordBatch.from_arrays(columns, names=[c.split(" ")[0] for c in PIECE_SCHEMA.split(", ")]), max(r[5] for r in rows) + 1
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = encoder(path)
         first = TaskContext.get().partitionId() << 40
         load, held = [], 0
-        for pdf in batches:
-            names, texts = pdf["doc_id"].tolist(), [t or "" for t in pdf["text"]]
+        for batch in batches:
+            names, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             at = 0
             while at < len(texts):
                 begin, size = at, 0
@@ -94,11 +94,11 @@ def _pack_documents(path: str, end_id: int, length: int, load_tokens: int):
                     size += len(texts[at])
                     at += 1
                 for name, ids in zip(names[begin:at], tokens.encode(texts[begin:at])):
-                    load.append((None if pd.isna(name) else int(name), np.append(ids, np.uint32(end_id))))
+                    load.append((name, np.append(ids, np.uint32(end_id))))
                     held += len(ids) + 1
                     if held >= load_tokens:
-                        frame, first = packed(load, first)
-                        yield frame
+                        done, first = packed(load, first)
+                        yield done
                         load, held = [], 0
         if load:
             yield packed(load, first)[0]
@@ -115,7 +115,7 @@ def pack_documents(docs: DataFrame, path: str | None = None, end_id: int = END_I
     packed as documents of their own. An empty table gives an empty result. Other columns are not read.
     """
     path = path or default_path()
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(_pack_documents(path, end_id, length, load_tokens), PIECE_SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_pack_documents(path, end_id, length, load_tokens), PIECE_SCHEMA)
 
 
 @query("op4_packing")

@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from offerloom.llm.common import held_out, query, table
+from offerloom.llm.common import add_columns, held_out, keep_rows, query, table
 from offerloom.llm.features import NAMES, features
 
 SAMPLE_ROWS = 20_000  # labelled documents that the model is fitted on
@@ -173,16 +173,21 @@ def score(docs: DataFrame, model: Gam) -> DataFrame:
     Texts are scored whole; null texts count as empty ones, which have a score like any other. Columns of
     *docs* named score or predicted are replaced.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast((model.intercept, model.edges, model.tables, model.pair_edges, model.pairs))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            s = shared.value.score(features(pdf["text"].tolist()))
-            yield pdf.assign(score=s, predicted=(s >= THRESHOLD).astype(np.int32))
+    def compute(texts: list) -> dict:
+        s = Gam(*shared.value).score(features(texts))
+        return {"score": s, "predicted": (s >= THRESHOLD).astype(np.int32)}
 
-    rest = docs.drop("score", "predicted")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema)
-    return rest.mapInPandas(run, f"{schema}, score double, predicted int")
+    return add_columns(docs, compute, "score double, predicted int")
+
+
+def drop_poor(docs: DataFrame, model: Gam, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents with a score of *threshold* or more. A model that has learned nothing drops nothing."""
+    if not any(t.any() for t in model.tables):
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast((model.intercept, model.edges, model.tables, model.pair_edges, model.pairs))
+    return keep_rows(docs, lambda texts: Gam(*shared.value).score(features(texts)) >= threshold)
 
 
 @query("op9_quality_classifier")

@@ -17,7 +17,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from offerloom.llm.common import query, table, written
+from offerloom.llm.common import add_columns, query, table, written
 from offerloom.llm.components import connected_components, forest
 
 SHINGLE_WORDS = 4
@@ -48,18 +48,13 @@ def fingerprint(text: str | None, words_per_shingle: int = SHINGLE_WORDS) -> int
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
-def _fingerprints(words_per_shingle: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            prints = np.fromiter((fingerprint(t, words_per_shingle) for t in pdf["text"]), np.uint64, len(pdf))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": prints.view(np.int64)})
-
-    return run
-
-
 def fingerprints(docs: DataFrame, words_per_shingle: int = SHINGLE_WORDS) -> DataFrame:
     """(doc_id, fp) of every document; fp is the unsigned fingerprint's bits as a long."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(_fingerprints(words_per_shingle), "doc_id long, fp long")
+
+    def compute(texts: list) -> dict:
+        return {"fp": np.fromiter((fingerprint(t, words_per_shingle) for t in texts), np.uint64, len(texts)).view(np.int64)}
+
+    return add_columns(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), compute, "fp long").drop("text")
 
 
 def _flips(half: int) -> np.ndarray:
@@ -167,15 +162,16 @@ def drop_near_copies(docs: DataFrame, words_per_shingle: int = SHINGLE_WORDS, ra
     named as copies and stay.
     """
     groups = simhash_groups(docs, words_per_shingle, radius)
+    names = [f"`{x}`" for x in docs.columns]
     gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("doc_id")).distinct()
     repeated = groups.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id")
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.join(gone, "doc_id", "left_anti").select(*names)
     repeated = written(repeated)
     if repeated.isEmpty():
         return kept
-    whole = F.struct(*[F.col(f"`{x}`") for x in docs.columns])
+    whole = F.struct(*names)
     once = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(whole, F.xxhash64(whole)).alias("row")).select("row.*")
-    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+    return kept.join(repeated, "doc_id", "left_anti").select(*names).unionByName(once)
 
 
 @query("op5_simhash_near_dedup")
