@@ -4,7 +4,7 @@ from importlib import import_module
 
 from offerloom.llm.common import REGISTRY, Query
 
-MODULES = ["embeddings", "langid", "packing", "quality", "simhash", "tokenfiles", "chat", "htmltext", "decontam"]
+MODULES = ["langid", "licences", "embeddings", "packing", "simhash", "htmltext", "chat", "tokenfiles", "quality", "decontam"]
 
 
 def load() -> dict[str, Query]:
