@@ -90,7 +90,7 @@ def _pack_documents(path: str, end_id: int, length: int, load_tokens: int):
             at = 0
             while at < len(texts):
                 begin, size = at, 0
-                while at < len(texts) and (at == begin or size + len(texts[at]) < 4 << 20):
+                while at < len(texts) and (at == begin or size + len(texts[at]) < 1 << 20):
                     size += len(texts[at])
                     at += 1
                 for name, ids in zip(names[begin:at], tokens.encode(texts[begin:at])):
