@@ -121,7 +121,7 @@ def _to_slices(slices: int):
 
 
 def _slice_edges(slices: int, radius: int):
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = ball_edges(np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["prints"]]), int(key[0]), slices, radius)
         return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
