@@ -15,6 +15,10 @@ PAGE_SELLERS = {"memstore_ebay": "mem-store", "cloudstoragecorp_ebay": "cloudsto
 MARKETPLACE_LABELS = {"ebay_search": "ebay", "amazon_dataforseo": "amazon"}
 UNKNOWN_VENDOR = "(unknown vendor)"
 
+# --- fixed values: display limits of a profile that states none ------------------
+MAX_LISTINGS = 20
+PER_VENDOR_CAP = 3
+
 # --- fixed values: allow-lists ------------------------------------------------
 KNOWN_SOURCES = [
     "ebay_search", "nemixram_storefront", "cloudstoragecorp_ebay", "memstore_ebay",

@@ -24,7 +24,7 @@ def filters_text(filters: Column) -> Column:
     conditions = clean_list(filters["condition_in"])
     phrase = joined(F.transform(conditions, lambda c: F.lower(c)), "or")
     condition = F.when(F.size(conditions) == 1, F.concat(pretty_key(F.get(conditions, F.lit(0))), F.lit(" only"))).when(
-        F.size(conditions) > 1, F.concat(F.upper(F.substring(phrase, 1, 1)), F.substring(phrase, 2, 100_000))
+        F.size(conditions) > 1, F.concat(F.upper(F.substring(phrase, 1, 1)), F.substring(phrase, F.lit(2), F.length(phrase)))
     )
     return F.array_compact(
         F.array(

@@ -282,7 +282,7 @@ def slug_is_valid(slug: Column) -> Column:
 
 def pretty_key(key: Column) -> Column:
     s = F.trim(F.regexp_replace(key, "[_-]+", " "))
-    return F.when(s == "", key).otherwise(F.concat(F.upper(F.substring(s, 1, 1)), F.substring(s, 2, 1_000_000)))
+    return F.when(s == "", key).otherwise(F.concat(F.upper(F.substring(s, 1, 1)), F.substring(s, F.lit(2), F.length(s))))
 
 
 def escape_pipes(c: Column) -> Column:

@@ -8,6 +8,7 @@ from offerloom import constants as K
 from offerloom.functions import money, text
 
 c = F.col
+GRAM = 6  # characters of a search key
 
 
 def products(report_slugs: DataFrame, profile_slugs: DataFrame) -> DataFrame:
@@ -47,29 +48,46 @@ def match_runs(instants: DataFrame, log: DataFrame, seconds: int = K.SAME_RUN_SE
 def named_runs(slugs: DataFrame, log: DataFrame) -> DataFrame:
     """Run-log rows whose title or name contains a product slug.
 
-    Every substring with the length of some slug becomes a join key, so the substring search is an
-    equi-join on the slug itself. Slugs have at most 64 characters: the length list is one small row.
+    A slug is keyed by the gram of GRAM characters that the fewest slugs have, a log row by its distinct
+    grams; an equi-join on grams gives the candidates and a containment check decides. Shorter slugs are
+    their own key, for which log rows have their grams of those few lengths.
     """
-    lengths = slugs.agg(F.collect_set(F.length("slug")).alias("lengths"))
-
-    def cuts(column: str) -> Column:
+    def grams(column: str, size: int) -> Column:
         n = F.length(column)
-        of_length = lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(column, i, k))
-        return F.flatten(F.transform(F.filter("lengths", lambda k: (k > 0) & (k <= n)), of_length))
+        cut = F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.substring(column, i, F.lit(size)))
+        return F.when(n >= size, cut).otherwise(F.array().cast("array<string>"))
+
+    names = slugs.select("slug").where(c("slug") != "").distinct()
+    long = names.where(F.length("slug") >= GRAM).select("slug", F.explode(F.array_distinct(grams("slug", GRAM))).alias("gram"))
+    shared = long.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    rarest = long.join(shared, "gram").groupBy("slug").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    keyed = rarest.unionByName(names.where(F.length("slug") < GRAM).select("slug", c("slug").alias("gram")))
+    sizes = range(1, GRAM + 1)
+    none = F.array().cast("array<string>")
+    keys = F.array_distinct(F.concat(*[F.coalesce(grams(n, k), none) for n in ("display_title", "name") for k in sizes]))
+    found = log.withColumn("gram", F.explode(keys)).join(keyed, "gram").drop("gram")
+    inside = lambda n: F.coalesce(c(n).contains(c("slug")), F.lit(False))
+    return found.where(inside("display_title") | inside("name")).select("slug", *log.columns)
+
 
-    empty = F.array().cast("array<string>")
-    keys = F.array_distinct(F.concat(F.coalesce(cuts("display_title"), empty), F.coalesce(cuts("name"), empty)))
-    cut = log.join(F.broadcast(lengths)).withColumn("slug", F.explode(keys)).drop("lengths")
-    return cut.join(slugs.select("slug"), "slug")
+def newest_run() -> Column:
+    return F.max_by(F.struct("run_id", "status", "conclusion", "started_at", "updated_at"), F.struct("started_at", "run_id"))
 
 
 def run_state(status: Column) -> Column:
     return F.when(status.isin("completed", "queued", "in_progress"), status).otherwise("pending")
 
 
-def latest_named_run(named: DataFrame) -> DataFrame:
-    """Newest run per product with its state; `completed_at` only for completed runs."""
-    best = named.groupBy("slug").agg(F.max_by(F.struct("run_id", "status", "conclusion", "started_at", "updated_at"), F.struct("started_at", "run_id")).alias("r"))
+def latest_named_run(named: DataFrame, slugs: DataFrame | None = None, log: DataFrame | None = None) -> DataFrame:
+    """Newest run per product with its state; `completed_at` only for completed runs.
+
+    With *slugs* and *log*, a product that no run names gets the newest run of the whole log.
+    """
+    best = named.groupBy("slug").agg(newest_run().alias("r"))
+    if slugs is not None and log is not None:
+        newest = log.agg(newest_run().alias("newest"))  # one row
+        best = slugs.select("slug").distinct().join(best, "slug", "left").join(F.broadcast(newest)).select("slug", F.coalesce("r", "newest").alias("r"))
+        best = best.where(c("r").isNotNull())
     state = run_state(c("r.status"))
     return best.select(
         "slug", c("r.run_id").alias("run_id"), state.alias("state"), c("r.conclusion").alias("conclusion"), c("r.started_at").alias("started_at"),

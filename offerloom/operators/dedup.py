@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from offerloom.functions.text import nonblank
 from offerloom.operators.skew import first_row
+from offerloom.schema import PLACE
 
 c = F.col
 
@@ -44,5 +45,4 @@ def union_recalls(recalls: Sequence[DataFrame]) -> DataFrame:
 
 def distinct_offers(offers: DataFrame) -> DataFrame:
     """One row per trimmed URL within a run; the earlier source, then the earlier position, wins."""
-    order = [c("source_order"), c("pos")] if "source_order" in offers.columns else [c("pos")]
-    return first_seen(offers, ["slug", "run_ts"], F.trim(c("url")), order)
+    return first_seen(offers, ["slug", "run_ts"], F.trim(c("url")), [c(n) for n in PLACE])

@@ -83,11 +83,24 @@ def price_calls(calls: DataFrame, prices: DataFrame | None = None) -> DataFrame:
     return calls.join(table, ["provider", "model"], "left").withColumn("cost_usd", cost).drop("price_in", "price_out")
 
 
+TOKENS = ["input_tokens", "output_tokens", "cache_read_input_tokens", "cache_creation_input_tokens"]
+STEPS_TYPE = f"array<struct<step:string,provider:string,model:string,{','.join(t + ':bigint' for t in TOKENS)},cost_usd:double>>"
+
+
 def run_cost(priced: DataFrame, keys: list[str] = RUN) -> DataFrame:
-    return priced.groupBy(*keys).agg(
-        F.coalesce(F.sum("cost_usd"), F.lit(0.0)).alias("total_usd"),
-        F.bool_or(c("cost_usd").isNull()).alias("any_unpriced"),
-        F.count(F.lit(1)).alias("calls"),
+    """Total cost, whether a call has no price, calls, and the steps: one entry per step and model.
+
+    Calls are summed per step and model first, so the list stays short however many calls a run makes.
+    """
+    have = [n for n in ("step", "provider", "model") if n in priced.columns]
+    sums = priced.groupBy(*keys, *have).agg(
+        F.sum("cost_usd").alias("cost_usd"), F.bool_or(c("cost_usd").isNull()).alias("_unpriced"), F.count(F.lit(1)).alias("_calls"),
+        *[F.sum(t).cast("bigint").alias(t) for t in TOKENS if t in priced.columns],
+    )
+    entry = [c(n) if n in sums.columns else F.lit(None).cast("bigint" if n in TOKENS else "string").alias(n) for n in ("step", "provider", "model", *TOKENS)]
+    return sums.groupBy(*keys).agg(
+        F.coalesce(F.sum("cost_usd"), F.lit(0.0)).alias("total_usd"), F.bool_or("_unpriced").alias("any_unpriced"), F.sum("_calls").alias("calls"),
+        F.sort_array(F.collect_list(F.struct(*entry, F.when(~c("_unpriced"), c("cost_usd")).alias("cost_usd")))).cast(STEPS_TYPE).alias("steps"),
     )
 
 

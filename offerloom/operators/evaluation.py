@@ -69,7 +69,8 @@ def fabricated_numbers(reports: DataFrame, payloads: DataFrame) -> DataFrame:
 
     reports: report_id, text; payloads: report_id, text, n_listings. Allowed are payload numbers, ranks up
     to max(20, n + 5), 5 / 100 / 200, payload numbers as percentages, and parts of payload numbers.
-    Exact matches leave first by an anti join; only the rest meets the payload numbers of its own report.
+    Exact matches leave first by an anti join. Parts are found by an equi-join on the substrings of the
+    payload numbers, which are short texts.
     """
     numbers = lambda df: df.select("report_id", F.explode(text.numbers_in(c("text"))).alias("number"))
     limits = payloads.groupBy("report_id").agg(F.greatest(F.lit(20), F.max("n_listings") + 5).alias("rank_max"))
@@ -82,9 +83,10 @@ def fabricated_numbers(reports: DataFrame, payloads: DataFrame) -> DataFrame:
         .where(~(c("number").rlike("^(0|[1-9][0-9]*)$") & F.coalesce(c("number").try_cast("bigint") <= c("rank_max"), F.lit(False))))
         .select("report_id", "number")
     )
-    parts = known.select("report_id", c("number").alias("whole"))
-    explained = open_numbers.join(parts, "report_id").where(c("whole").contains(c("number"))).select("report_id", "number").distinct()
-    return open_numbers.join(explained, ["report_id", "number"], "left_anti")
+    n = F.length("number")
+    cuts = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.substring("number", i, k))))
+    parts = known.where(n > 0).select("report_id", F.explode(F.array_distinct(cuts)).alias("number"))
+    return open_numbers.join(parts, ["report_id", "number"], "left_anti")
 
 
 def no_fabrication(reports, payloads, listings):

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from offerloom import constants as K
 from offerloom.operators.skew import first_row
+from offerloom.schema import PLACE
 
 c = F.col
 
@@ -13,13 +14,13 @@ c = F.col
 def upsert(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     """Rows keyed (slug, url, fetched_at); an incoming row replaces a stored one, later positions win."""
     both = stored.withColumn("_gen", F.lit(0)).unionByName(incoming.withColumn("_gen", F.lit(1)), allowMissingColumns=True)
-    return first_row(both, ["slug", "url", "fetched_at"], [c("_gen").desc(), c("pos").desc()]).drop("_gen")
+    return first_row(both, ["slug", "url", "fetched_at"], [c("_gen").desc(), *[c(n).desc() for n in PLACE]]).drop("_gen")
 
 
 def latest_per_day(history: DataFrame) -> DataFrame:
     """What was seen last that day: one row per (slug, url, day)."""
     days = history.withColumn("snapshot_date", F.to_date("fetched_at"))
-    return first_row(days, ["slug", "url", "snapshot_date"], [c("fetched_at").desc(), c("pos").desc()])
+    return first_row(days, ["slug", "url", "snapshot_date"], [c("fetched_at").desc(), *[c(n).desc() for n in PLACE]])
 
 
 def snapshot_dates(history: DataFrame) -> DataFrame:
@@ -43,14 +44,25 @@ def previous_runs(offers: DataFrame) -> DataFrame:
     return numbered_steps(offers, "run_ts")
 
 
-def diff_steps(daily: DataFrame, column: str = "snapshot_date", threshold: float = K.PRICE_CHANGE) -> DataFrame:
+def newest_pair(steps: DataFrame, column: str) -> DataFrame:
+    """The last two steps of every product, numbered 1 and 2 (a single step: 1)."""
+    first = F.greatest(c("steps") - 1, F.lit(1))
+    number = c("step_no") - first + 1
+    return steps.where(c("step_no") >= first).select(
+        "slug", column, number.cast("int").alias("step_no"), F.when(number > 1, c(f"previous_{column}")).alias(f"previous_{column}"), F.least("steps", F.lit(2)).alias("steps")
+    )
+
+
+def diff_steps(daily: DataFrame, column: str = "snapshot_date", threshold: float = K.PRICE_CHANGE, steps: DataFrame | None = None) -> DataFrame:
     """Changes between each step of a product and the step before it.
 
     *daily* has one row per (slug, url, step). A single window per (slug, url) sees an offer's own
     steps; comparing step numbers tells new (missing one step earlier), dropped (missing one step
-    later) and changed, so no self-join and one shuffle of the rows.
+    later) and changed, so no self-join and one shuffle of the rows. *steps* are the numbered steps, where
+    the caller has them (one row per product and step).
     """
-    rows = daily.join(numbered_steps(daily, column), ["slug", column])
+    steps = numbered_steps(daily, column) if steps is None else steps
+    rows = daily.join(steps.select("slug", column, "step_no", "steps"), ["slug", column])
     w = Window.partitionBy("slug", "url").orderBy("step_no")
     price = c("unit_price_usd")
     seen = rows.select(
@@ -93,13 +105,13 @@ def diff_steps(daily: DataFrame, column: str = "snapshot_date", threshold: float
     )
     kept = ["slug", "url", "title", "source", "attrs"]
     out = seen.select(*kept, F.explode(events).alias("e")).select(*kept, "e.*")
-    return out.join(numbered_steps(daily, column).drop("steps"), ["slug", "step_no"])
+    return out.join(steps.drop("steps"), ["slug", "step_no"])
 
 
-def material_change(daily: DataFrame, diff: DataFrame, column: str = "snapshot_date") -> DataFrame:
+def material_change(daily: DataFrame, diff: DataFrame, column: str = "snapshot_date", steps: DataFrame | None = None) -> DataFrame:
     """Headline per product and step with a predecessor: new offers, else a drop of 5 % or more, else a lower minimum."""
     lowest = daily.groupBy("slug", column).agg(F.min("unit_price_usd").alias("lowest"))
-    steps = numbered_steps(daily, column).where(c(f"previous_{column}").isNotNull())
+    steps = (numbered_steps(daily, column) if steps is None else steps).where(c(f"previous_{column}").isNotNull())
     before = lowest.select("slug", c(column).alias(f"previous_{column}"), c("lowest").alias("previous_lowest"))
     counts = diff.groupBy("slug", column).agg(
         F.count_if(c("change_type") == "new").alias("new_count"),
@@ -129,7 +141,7 @@ def price_history(history: DataFrame) -> DataFrame:
 
     The window is one URL of one product over time: one row per run.
     """
-    w = Window.partitionBy("slug", "url").orderBy("fetched_at", "pos")
+    w = Window.partitionBy("slug", "url").orderBy("fetched_at", *PLACE)
     so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     price = c("unit_price_usd")
     return history.select(

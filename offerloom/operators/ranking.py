@@ -7,17 +7,23 @@ from pyspark.sql import Column, DataFrame, functions as F
 from offerloom import constants as K
 from offerloom.functions import money, urls
 from offerloom.operators.skew import ordered_rank, top_rows
+from offerloom.schema import PLACE
 
 c = F.col
 RUN = ["slug", "run_ts"]
 
 
+def place() -> list[Column]:
+    """Input order of a run: sources in turn, positions within them."""
+    return [c(n).asc() for n in PLACE]
+
+
 def price_order() -> list[Column]:
     """Low outliers last, then cheapest first, unpriced at the end, input order on ties."""
     return [
         F.array_contains(c("flags"), K.FLAG_LOW).asc(),
         money.priced(c("unit_price_usd")).asc_nulls_last(),
-        c("pos").asc(),
+        *place(),
     ]
 
 
@@ -26,7 +32,7 @@ def total_order() -> list[Column]:
     return [
         F.when(c("total_for_target_usd").isNotNull(), 0).when(c("unit_price_usd").isNotNull(), 1).otherwise(2).asc(),
         F.coalesce(c("total_for_target_usd"), c("unit_price_usd"), F.lit(0.0)).asc(),
-        c("pos").asc(),
+        *place(),
     ]
 
 
@@ -35,19 +41,19 @@ def select_for_display(offers: DataFrame, max_listings: int, per_vendor_cap: int
 
     Both limits are row limits on the map side, so neither a hot run nor a hot vendor is gathered.
     When the offers carry per-profile `max_listings` / `per_vendor_cap` columns, those apply and the
-    arguments are their upper bounds.
+    arguments are their upper bounds; a null limit of a profile takes the default.
     """
     vendors = offers.withColumn("vendor", urls.vendor_key(c("seller_name")))
     capped = top_rows(vendors, [*RUN, "vendor"], price_order(), per_vendor_cap, "vendor_rank")
     if "per_vendor_cap" in offers.columns:
-        capped = capped.where(c("vendor_rank") <= c("per_vendor_cap"))
+        capped = capped.where(c("vendor_rank") <= F.coalesce("per_vendor_cap", F.lit(K.PER_VENDOR_CAP)))
     shown = top_rows(capped, RUN, price_order(), max_listings, "rank")
-    return shown.where(c("rank") <= c("max_listings")) if "max_listings" in offers.columns else shown
+    return shown.where(c("rank") <= F.coalesce("max_listings", F.lit(K.MAX_LISTINGS))) if "max_listings" in offers.columns else shown
 
 
 def vendor_overflow(offers: DataFrame, displayed: DataFrame, per_vendor_cap: int) -> DataFrame:
     """How many offers the cap held back, for vendors that are shown."""
-    cap = c("per_vendor_cap") if "per_vendor_cap" in offers.columns else F.lit(per_vendor_cap)
+    cap = F.coalesce("per_vendor_cap", F.lit(K.PER_VENDOR_CAP)) if "per_vendor_cap" in offers.columns else F.lit(per_vendor_cap)
     counts = (
         offers.groupBy(*RUN, urls.vendor_key(c("seller_name")).alias("vendor"))
         .agg(F.count(F.lit(1)).alias("_n"), F.max(cap).alias("_cap"))
@@ -62,7 +68,7 @@ def rank_all(offers: DataFrame) -> DataFrame:
     priced = offers.withColumn("_low", F.array_contains(c("flags"), K.FLAG_LOW)).withColumn(
         "_p", F.coalesce(money.priced(c("unit_price_usd")), F.lit(float("inf")))
     )
-    return ordered_rank(priced, RUN, [c("_low"), c("_p"), c("pos")]).drop("_low", "_p")
+    return ordered_rank(priced, RUN, [c("_low"), c("_p"), *map(c, PLACE)]).drop("_low", "_p")
 
 
 def source_bucket() -> Column:
@@ -85,7 +91,7 @@ def rank_for_report(offers: DataFrame, limit: int = K.REPORT_CAP, reserve: int =
         top_rows(bucketed, [*RUN, "source", "_bucket"], total_order(), reserve, "_k"), RUN, total_order(), limit, "_r"
     ).select("*", F.lit(0).alias("_tier")).drop("_k", "_r")
     cheapest = top_rows(bucketed, RUN, total_order(), limit, "_r").select("*", F.lit(1).alias("_tier")).drop("_r")
-    pool = top_rows(reserved.unionByName(cheapest), [*RUN, "pos"], [c("_tier")], 1, "_one").drop("_one")
+    pool = top_rows(reserved.unionByName(cheapest), [*RUN, *PLACE], [c("_tier")], 1, "_one").drop("_one")
     chosen = top_rows(pool, RUN, [c("_tier"), *total_order()], limit, "_pick")
     return top_rows(chosen, RUN, total_order(), limit, "rank").drop("_bucket", "_tier", "_pick")
 
@@ -102,7 +108,7 @@ def shown_of_total(ranked: DataFrame, offers: DataFrame) -> DataFrame:
 def cheapest(offers: DataFrame, keys: list[str], price: Column, keep: list[str]) -> DataFrame:
     """The cheapest row per key, the first on ties: an aggregate, so it combines on the map side."""
     return offers.groupBy(*keys).agg(
-        F.min_by(F.struct(*[c(k) for k in keep], price.alias("price")), F.struct(price, c("pos"))).alias("_best")
+        F.min_by(F.struct(*[c(k) for k in keep], price.alias("price")), F.struct(price, *PLACE)).alias("_best")
     ).select(*keys, "_best.*")
 
 
@@ -113,6 +119,6 @@ def bottom_line(offers: DataFrame) -> DataFrame:
     return offers.groupBy(*RUN).agg(
         F.min_by(
             F.struct("source", "url", "title", "seller_name", "condition", "attrs", "total_for_target_usd", "unit_price_usd"),
-            F.struct(tier, price, c("pos")),
+            F.struct(tier.alias("tier"), price.alias("price"), *PLACE),
         ).alias("top")
     )

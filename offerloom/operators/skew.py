@@ -101,7 +101,7 @@ def ordered_rank(df: DataFrame, keys: Sequence[str], order: Sequence[Column], na
     )
 
 
-def column_bound(df: DataFrame, column: str, default: int) -> int:
-    """Largest value of a per-profile limit: one number, used as the literal of a pushed-down row limit."""
-    row = df.agg(F.max(F.col(column)).alias("m")).first()
-    return int(row["m"]) if row and row["m"] is not None else default
+def column_bounds(df: DataFrame, defaults: dict[str, int]) -> list[int]:
+    """Largest value of each per-profile limit, nulls being the default: literals of pushed-down row limits, in one job."""
+    row = df.agg(*[F.max(F.coalesce(F.col(n), F.lit(d))) for n, d in defaults.items()]).first()
+    return [d if m is None else int(m) for m, d in zip(row, defaults.values())]

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from offerloom import constants as K
 from offerloom.functions import envelopes, text
 from offerloom.operators.skew import first_row, ordered_rank
+from offerloom.schema import PLACE
 from offerloom.session import durable
 
 c = F.col
@@ -54,7 +55,7 @@ def payload_entry(index: Column, aliases: Column | None = None) -> Column:
 
 def batched(offers: DataFrame, size: int = K.JUDGE_BATCH) -> DataFrame:
     """Offers with `index` (0-based in the run), `batch` and `local_index`."""
-    zero = ordered_rank(offers, RUN, [c("pos")], "_rank").withColumn("index", c("_rank") - 1).drop("_rank")
+    zero = ordered_rank(offers, RUN, [c(n) for n in PLACE], "_rank").withColumn("index", c("_rank") - 1).drop("_rank")
     return zero.withColumn("batch", F.floor(c("index") / size)).withColumn("local_index", (c("index") % size).cast("int"))
 
 

@@ -14,7 +14,7 @@ from offerloom.functions import money, text
 from offerloom.operators import (
     alerts, anomalies, catalog, dedup, diagnostics, dimensions, display, evaluation, history, ranking, rules, schedules, verdicts,
 )
-from offerloom.operators.skew import column_bound
+from offerloom.operators.skew import column_bounds
 from offerloom.session import durable
 
 c = F.col
@@ -29,8 +29,8 @@ def profile_knobs(profiles: DataFrame) -> DataFrame:
     return rules.profile_rules(profiles).select(
         "slug", "rules", c("target"), F.when(gl.isNotNull(), F.array(F.upper(gl))).otherwise(F.array().cast("array<string>")).alias("allowed_countries"),
         c("vendor_allowlist").alias("allow"), c("vendor_blocklist").alias("block"), F.filter(c("match.aliases"), lambda a: F.trim(a) != "").alias("aliases"),
-        c("match.variant_strict").alias("variant_strict"), c("display.max_listings").alias("max_listings"),
-        c("display.per_vendor_cap").alias("per_vendor_cap"), c("filters.min_quantity").isNotNull().alias("degraded_attrs"),
+        c("match.variant_strict").alias("variant_strict"), F.coalesce("display.max_listings", F.lit(K.MAX_LISTINGS)).alias("max_listings"),
+        F.coalesce("display.per_vendor_cap", F.lit(K.PER_VENDOR_CAP)).alias("per_vendor_cap"), c("filters.min_quantity").isNotNull().alias("degraded_attrs"),
     )
 
 
@@ -47,9 +47,11 @@ def candidates(offers: DataFrame, profiles: DataFrame) -> DataFrame:
     return rules.alias_gate(passed, c("aliases"), c("variant_strict")).drop(*GATE_COLUMNS)
 
 
-def recalled(offers: DataFrame) -> DataFrame:
-    """Offers of a run counted as recalled: distinct URLs and every offer without URL."""
-    return dedup.distinct_offers(offers.select(*RUN, "url", "pos", *[n for n in ("source_order",) if n in offers.columns]))
+def recall_counts(offers: DataFrame) -> DataFrame:
+    """Offers of a run counted as recalled: distinct URLs and every offer without URL. Aggregates only."""
+    url = F.trim(c("url"))
+    per_url = offers.groupBy(*RUN, F.when(url != "", url).alias("_url")).agg(F.count(F.lit(1)).alias("_n"))
+    return per_url.groupBy(*RUN).agg(F.sum(F.when(c("_url").isNull(), c("_n")).otherwise(1)).alias("recall_count"))
 
 
 def run_offers(
@@ -72,13 +74,14 @@ def run_offers(
         log = verdicts.log_rows(judged).unionByName(verdicts.failure_log(failed_runs))
         calls, failed = verdicts.usage(answered), failed_runs.select(*RUN).withColumn("filter_error", F.lit(True))
     survivors = anomalies.flag_price_anomalies(kept)
-    most, cap = column_bound(profiles, "display.max_listings", 20), column_bound(profiles, "display.per_vendor_cap", 3)
+    most, cap = column_bounds(profiles, {"display.max_listings": K.MAX_LISTINGS, "display.per_vendor_cap": K.PER_VENDOR_CAP})
     displayed = durable(ranking.select_for_display(survivors, most, cap))
     overflow = ranking.vendor_overflow(survivors, displayed, cap)
     count = lambda df, name: df.groupBy(*RUN).agg(F.count(F.lit(1)).alias(name))
-    runs = offers.select(*RUN).distinct() if errors is None else offers.select(*RUN).union(errors.select(*RUN)).distinct()
-    funnel = runs
-    for frame, name in ((recalled(offers), "recall_count"), (kept, "survivor_count"), (displayed, "displayed_count")):
+    funnel = recall_counts(offers)  # one row per run that recalled anything
+    if errors is not None:
+        funnel = funnel.join(errors.select(*RUN), RUN, "full")
+    for frame, name in ((kept, "survivor_count"), (displayed, "displayed_count")):
         funnel = funnel.join(count(frame, name), RUN, "left")
     funnel = funnel.fillna(0, ["recall_count", "survivor_count", "displayed_count"])
     funnel = funnel.join(errors.select(*RUN, *ERRORS), RUN, "left") if errors is not None else funnel.select("*", *[F.lit(False).alias(e) for e in ERRORS])
@@ -123,13 +126,19 @@ def validate_offers(
 
 
 def diff_latest(stored: DataFrame, newest_only: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(change rows, headline rows) between each product's snapshot dates; by default the two newest only."""
-    daily = history.latest_per_day(stored)
+    """(change rows, headline rows) between each product's snapshot dates; by default the two newest only.
+
+    Dates come from a scan of two columns; rows of other dates are left out before duplicates are removed.
+    Both the dates and the daily rows are written once, as counts, minima and changes all read them.
+    """
+    dated = stored.withColumn("snapshot_date", F.to_date("fetched_at"))
+    steps = history.numbered_steps(history.snapshot_dates(stored), "snapshot_date")
+    steps = durable(history.newest_pair(steps, "snapshot_date") if newest_only else steps)
     if newest_only:
-        newest = history.numbered_steps(daily, "snapshot_date").where(c("step_no") >= c("steps") - 1)
-        daily = daily.join(newest.select("slug", "snapshot_date"), ["slug", "snapshot_date"], "left_semi")
-    diff = history.diff_steps(daily)
-    return diff, history.material_change(daily, diff)
+        dated = dated.join(steps.select("slug", "snapshot_date"), ["slug", "snapshot_date"], "left_semi")
+    daily = durable(history.latest_per_day(dated))
+    diff = durable(history.diff_steps(daily, steps=steps))
+    return diff, history.material_change(daily, diff, steps=steps)
 
 
 def evaluate_alerts(offers: DataFrame, alert_rules: DataFrame, state: DataFrame | None = None, **options) -> tuple[DataFrame, DataFrame]:
@@ -147,10 +156,10 @@ def build_reports(run: dict[str, DataFrame], profiles: DataFrame, calls: DataFra
     out = run["funnel"].join(profiles.select("slug", "display_name", "product_type"), "slug")
     for frame in (shown, overflow, run["columns"]):
         out = out.join(frame, RUN, "left")
-    cost_type = "struct<total_usd:double,any_unpriced:boolean,calls:bigint>"
+    cost_type = f"struct<total_usd:double,any_unpriced:boolean,calls:bigint,steps:{dimensions.STEPS_TYPE}>"
     if calls is not None:
         priced = dimensions.price_calls(calls)
-        out = out.join(dimensions.run_cost(priced).select(*RUN, F.struct("total_usd", "any_unpriced", "calls").alias("run_cost")), RUN, "left")
+        out = out.join(dimensions.run_cost(priced).select(*RUN, F.struct("total_usd", "any_unpriced", "calls", "steps").alias("run_cost")), RUN, "left")
     else:
         out = out.withColumn("run_cost", F.lit(None).cast(cost_type))
     payload = F.struct(

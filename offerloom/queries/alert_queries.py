@@ -490,11 +490,11 @@ def judge_jaccard(spark, sf):
 
 @query("judge_matrix", "WITH " + EVAL_SQL.strip() + """,
 f AS (SELECT slug, model, CASE WHEN 2 * tp + fp + fn = 0 THEN 0 ELSE CAST(round(2 * tp / (2 * tp + fp + fn) * 1000) AS BIGINT) END AS f1 FROM scores)
-SELECT model, max(f1) FILTER (slug = 'src0') AS src0, max(f1) FILTER (slug = 'src1') AS src1, max(f1) FILTER (slug = 'src2') AS src2 FROM f GROUP BY model""")
+SELECT model, slug, f1 FROM (SELECT DISTINCT model FROM f) CROSS JOIN (SELECT DISTINCT slug FROM f) LEFT JOIN f USING (model, slug)""")
 def judge_matrix(spark, sf):
     e = runs.evaluate_judges(trial_verdicts(spark, sf), gold(spark, sf), sizes(spark, sf))
-    m = evaluation.score_matrix(e, ["src0", "src1", "src2"])
-    return m.select("model", *[F.round(c(s) * 1000).cast("bigint").alias(s) for s in ("src0", "src1", "src2")])
+    cells = evaluation.score_matrix(e).unpivot("model", None, "slug", "score")
+    return cells.select("model", "slug", F.round(c("score") * 1000).cast("bigint").alias("f1"))
 
 
 BENCH_SQL = """

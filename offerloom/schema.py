@@ -1,9 +1,10 @@
-"""Row shapes. `slug` + `run_ts` identify one run of one product; `pos` is the input position in it."""
+"""Row shapes. `slug` + `run_ts` identify one run of one product; `source_order` and `pos` are its input position:
+which source came first, then the place within the source. Together they are an offer's identity in its run."""
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
 OFFER_FIELDS = [
-    ("slug", "string"), ("run_ts", "timestamp"), ("pos", "bigint"),
+    ("slug", "string"), ("run_ts", "timestamp"), ("source_order", "int"), ("pos", "bigint"),
     ("source", "string"), ("url", "string"), ("title", "string"), ("fetched_at", "timestamp"),
     ("brand", "string"), ("mpn", "string"), ("attrs", "map<string,string>"), ("condition", "string"),
     ("is_kit", "boolean"), ("kit_module_count", "int"), ("unit_price_usd", "double"), ("kit_price_usd", "double"),
@@ -14,6 +15,7 @@ OFFER_FIELDS = [
 ]
 OFFER_DDL = ", ".join(f"`{n}` {t}" for n, t in OFFER_FIELDS)
 OFFER_COLUMNS = [n for n, _ in OFFER_FIELDS]
+PLACE = ["source_order", "pos"]
 
 
 PROFILE_DDL = """
@@ -59,6 +61,8 @@ def conform(df: DataFrame) -> DataFrame:
             col = F.coalesce(col, F.array().cast(kind))
         elif name == "is_kit":
             col = F.coalesce(col, F.lit(False))
+        elif name == "source_order":
+            col = F.coalesce(col, F.lit(0))
         elif name == "kit_module_count":
             col = F.coalesce(col, F.lit(1))
         elif name in ("condition", "seller_name", "title", "url"):

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,32 +22,20 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def build_session(app: str = "offerloom", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
+def build_session(app: str = "offerloom", master: str | None = None, shuffle_partitions: int | None = None, checkpoint_dir: str | None = None) -> SparkSession:
     builder = SparkSession.builder.appName(app).config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     if master:
-        builder = builder.master(master).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "12g").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "12g")
+        builder = builder.master(master).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "12g")
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if checkpoint_dir:
+        builder = builder.config("spark.checkpoint.dir", checkpoint_dir)
     return prepare(builder.getOrCreate())
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """Shared folder for checkpoints, as named by the cluster.
-
-    Only a local master may fall back to a temporary folder: on a cluster that folder would
-    live on one machine and be lost with it.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    return _local_root()
-
-
-@lru_cache(maxsize=1)
-def _local_root() -> str:
-    return tempfile.mkdtemp(prefix="offerloom-checkpoint-")
+    """Folder that all executors share: spark.checkpoint.dir, else the session's warehouse. One rule for every master."""
+    return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/offerloom"
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -63,12 +49,3 @@ def durable(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a scan of fewer files than cores over all cores.
-
-    A table of a few files would keep every row-local step on a few tasks. Tables at scale have more
-    files than the cluster has cores and pass through unchanged.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from offerloom import constants as K
 from offerloom.functions import text
 from offerloom.schema import conform
+from offerloom.sources import payloads
 
 c = F.col
 ITEM_DDL = "page_id bigint, slug string, run_ts timestamp, item_no int, title string, link string, price_text string, condition_text string"
@@ -100,7 +101,7 @@ def page_offers(pages: DataFrame, source: str) -> DataFrame:
     generic = F.lit(source == "memstore_ebay") & c("title").contains("Generic Brand")
     return conform(
         rows.select(
-            "slug", "run_ts", (c("page_id") * 1_000_000 + c("item_no")).alias("pos"), F.lit(source).alias("source"), c("link").alias("url"), "title",
+            "slug", "run_ts", payloads.place_in_document(c("page_id"), c("item_no")).alias("pos"), F.lit(source).alias("source"), c("link").alias("url"), "title",
             c("run_ts").alias("fetched_at"), attrs.alias("attrs"), text.condition_page(c("condition_text")).alias("condition"), "unit_price_usd",
             F.lit(K.PAGE_SELLERS[source]).alias("seller_name"), F.lit("US").alias("ship_from_country"),
             F.when(generic, F.array(F.lit("generic_brand"))).otherwise(F.array().cast("array<string>")).alias("flags"),

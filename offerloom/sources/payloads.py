@@ -54,13 +54,19 @@ def parse_json(docs: DataFrame, column: str, ddl: str) -> DataFrame:
     return docs.withColumn("_d", F.from_json(column, ddl)).select(*keep, "_d.*")
 
 
-def _position(*parts: str) -> Column:
-    """Order of an item in its run: a document has room for a million items (a thousand lists of a thousand)."""
-    width = 1_000_000 if len(parts) == 2 else 1_000
-    out = F.lit(0).cast("bigint")
-    for p in parts:
-        out = out * width + F.coalesce(c(p), F.lit(0)).cast("bigint")
-    return out
+ITEM_BITS = 23  # a document's item list, one value of a row, is at most 2 GB: 8 million items of 256 bytes
+
+
+def place_in_document(doc_no: Column, item_no: Column) -> Column:
+    """One ascending number per (document, item). Numbers that would overlap fail instead of repeating."""
+    doc = F.coalesce(doc_no, F.lit(0)).cast("bigint")
+    fits = (item_no < 1 << ITEM_BITS) & (doc >= 0) & (doc < 1 << (63 - ITEM_BITS))
+    return F.when(fits, F.shiftleft(doc, ITEM_BITS) + item_no).otherwise(F.raise_error(F.lit("document or item number too large for a position")).cast("bigint"))
+
+
+def _position() -> Column:
+    """Order of an item in its run: the document, then the place in the document's flat item list."""
+    return place_in_document(c("doc_no"), c("item_no"))
 
 
 def _base(docs: DataFrame) -> DataFrame:
@@ -84,7 +90,7 @@ def shopping_offers(docs: DataFrame, distinct: bool = True) -> DataFrame:
     items = _base(docs).select(*RUN, F.posexplode("shopping").alias("item_no", "i")).select(*RUN, "item_no", "i.*")
     link = F.coalesce("link", F.lit(""))
     offers = items.select(
-        "slug", "run_ts", _position("doc_no", "item_no").alias("pos"), F.lit(K.SHOPPING).alias("source"), link.alias("url"),
+        "slug", "run_ts", _position().alias("pos"), F.lit(K.SHOPPING).alias("source"), link.alias("url"),
         F.coalesce("title", F.lit("")).alias("title"), "fetched_at", _attrs(serper_product_id=c("productId")).alias("attrs"),
         F.lit("").alias("condition"), F.coalesce(text.price_from_text(c("price")), F.lit(0.0)).alias("unit_price_usd"),
         F.coalesce("source", F.lit("")).alias("seller_name"), link.alias("buy_url"),
@@ -101,7 +107,7 @@ def shopping_preview(docs: DataFrame) -> DataFrame:
     items = _base(docs).select(*RUN, F.posexplode("shopping").alias("item_no", "i")).select(*RUN, "item_no", "i.*")
     price_text = text.nonblank(c("price"))
     rows = items.select(
-        "slug", "run_ts", _position("doc_no", "item_no").alias("pos"), F.trim("title").alias("title"), text.nonblank(c("source")).alias("merchant"),
+        "slug", "run_ts", _position().alias("pos"), F.trim("title").alias("title"), text.nonblank(c("source")).alias("merchant"),
         F.trim(F.coalesce("link", F.lit(""))).alias("link"), text.price_from_digits(price_text).alias("price"), price_text.alias("price_text"),
         "rating", c("ratingCount").alias("rating_count"), text.nonblank(c("productId")).alias("product_id"), text.nonblank(c("imageUrl")).alias("image_url"),
     ).where(text.nonblank(c("title")).isNotNull())
@@ -121,7 +127,7 @@ def market_offers(docs: DataFrame, read_specs: bool = False, distinct: bool = Tr
     kit = text.kit(title, price) if read_specs else plain
     attrs = _attrs(capacity_gb=text.capacity_gb(title, 8, 256), speed_mts=text.speed_marketplace(title)) if read_specs else F.create_map().cast("map<string,string>")
     offers = items.withColumn("_kit", kit).select(
-        "slug", "run_ts", _position("doc_no", "item_no").alias("pos"), F.lit(K.MARKETPLACE).alias("source"), link.alias("url"), title.alias("title"),
+        "slug", "run_ts", _position().alias("pos"), F.lit(K.MARKETPLACE).alias("source"), link.alias("url"), title.alias("title"),
         "fetched_at", F.nullif("brand", F.lit("")).alias("brand"), F.nullif("mpn", F.lit("")).alias("mpn"), attrs.alias("attrs"),
         text.condition_marketplace(F.coalesce("condition", F.lit("Used"))).alias("condition"), "_kit.*",
         F.when(first["estimatedAvailabilityStatus"] == "IN_STOCK", first["estimatedAvailableQuantity"]).alias("quantity_available"),
@@ -153,17 +159,20 @@ def task_cost(docs: DataFrame) -> DataFrame:
 
 def task_offers(docs: DataFrame, strict: bool = False, distinct: bool = True) -> DataFrame:
     """Product rows of task results. A run with a failed task yields nothing (or, strict, raises)."""
-    tasks = task_rows(docs)
-    failed = F.coalesce(c("t.status_code"), F.lit(-1)) != K.TASK_OK
+    failed = lambda t: F.coalesce(t["status_code"], F.lit(-1)) != K.TASK_OK
+    bad = F.filter("tasks", failed)
+    based = _base(docs)
     if strict:
-        tasks = tasks.where(F.when(failed, F.raise_error(F.concat(F.lit("task failed: "), F.coalesce("t.status_message", F.lit("unknown error")))).cast("boolean")).otherwise(True))
+        message = F.concat(F.lit("task failed: "), F.coalesce(F.get(bad, F.lit(0))["status_message"], F.lit("unknown error")))
+        based = based.where(F.when(F.size(bad) > 0, F.raise_error(message).cast("boolean")).otherwise(True))
     else:
-        tasks = tasks.join(tasks.where(failed).select("slug", "run_ts").distinct(), ["slug", "run_ts"], "left_anti")
-    items = tasks.select(*RUN, "task_no", F.posexplode(F.get("t.result", F.lit(0))["items"]).alias("item_no", "i"))
-    rows = items.select(*RUN, "task_no", "item_no", "i.*").where(c("type").isin(K.TASK_ITEM_TYPES))
+        based = based.join(based.where(F.size(bad) > 0).select("slug", "run_ts").distinct(), ["slug", "run_ts"], "left_anti")
+    none = F.array().cast(f"array<{TASK_ITEM}>")
+    flat = F.flatten(F.transform("tasks", lambda t: F.coalesce(F.get(t["result"], F.lit(0))["items"], none)))
+    rows = based.select(*RUN, F.posexplode(flat).alias("item_no", "i")).select(*RUN, "item_no", "i.*").where(c("type").isin(K.TASK_ITEM_TYPES))
     link = F.coalesce("url", F.lit(""))
     offers = rows.select(
-        "slug", "run_ts", _position("doc_no", "task_no", "item_no").alias("pos"), F.lit(K.TASKS).alias("source"), link.alias("url"),
+        "slug", "run_ts", _position().alias("pos"), F.lit(K.TASKS).alias("source"), link.alias("url"),
         F.coalesce("title", F.lit("")).alias("title"), "fetched_at", _attrs(asin=F.nullif("data_asin", F.lit(""))).alias("attrs"), F.lit("").alias("condition"),
         F.coalesce("price_from", F.lit(0.0)).alias("unit_price_usd"), F.coalesce(text.nonblank(c("seller")), F.lit("Amazon")).alias("seller_name"),
         F.nullif(link, F.lit("")).alias("buy_url"), F.when(~c("image_url").startswith("data:"), c("image_url")).alias("image_url"),
@@ -176,13 +185,14 @@ def task_offers(docs: DataFrame, strict: bool = False, distinct: bool = True) ->
 
 def storefront_offers(docs: DataFrame, base_url: str, seller: str = "NEMIX RAM") -> DataFrame:
     """One offer per available variant with a readable price."""
-    products = _base(docs).select(*RUN, F.posexplode("products").alias("product_no", "p"))
-    rows = products.select(*RUN, "product_no", "p.title", "p.handle", "p.vendor", F.posexplode("p.variants").alias("variant_no", "v"))
+    pairs = lambda p: F.transform(p["variants"], lambda v: F.struct(p["title"].alias("title"), p["handle"].alias("handle"), p["vendor"].alias("vendor"), v.alias("v")))
+    flat = F.flatten(F.filter(F.transform("products", pairs), lambda x: x.isNotNull()))
+    rows = _base(docs).select(*RUN, F.posexplode(flat).alias("item_no", "i")).select(*RUN, "item_no", "i.*")
     title, price = F.coalesce("title", F.lit("")), F.coalesce("v.price", F.lit("0")).try_cast("double")
     sku = F.nullif("v.sku", F.lit(""))
     return conform(
         rows.where(F.coalesce("v.available", F.lit(False)) & price.isNotNull()).select(
-            "slug", "run_ts", _position("doc_no", "product_no", "variant_no").alias("pos"), F.lit(K.STOREFRONT).alias("source"),
+            "slug", "run_ts", _position().alias("pos"), F.lit(K.STOREFRONT).alias("source"),
             F.concat(F.lit(base_url + "/products/" if base_url else ""), F.coalesce("handle", F.lit(""))).alias("url"),
             F.coalesce(F.concat(title, F.lit(" (Variant: "), sku, F.lit(")")), title).alias("title"), "fetched_at",
             F.coalesce("vendor", F.lit(seller)).alias("brand"), c("v.sku").alias("mpn"),

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -12,6 +12,7 @@ from offerloom import constants as K
 from offerloom.functions import text
 from offerloom.operators import history
 from offerloom.schema import PROFILE_DDL, SNAPSHOT_CSV_COLUMNS, VERDICT_LOG_DDL, conform
+from offerloom.session import durable
 
 c = F.col
 STAMP = "yyyy-MM-dd'T'HH-mm-ss'Z'"
@@ -55,8 +56,8 @@ def encode_snapshot(offers: DataFrame) -> DataFrame:
 
 
 def write_snapshot_csv(offers: DataFrame, path: str) -> None:
-    """One folder per product and run; big runs may hold several files."""
-    encode_snapshot(offers).write.mode("append").partitionBy("slug", "run_stamp").option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+    """One folder per product and run, so a replayed run replaces itself; big runs may hold several files."""
+    encode_snapshot(offers).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("slug", "run_stamp").option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
 
 
 def read_written_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -65,28 +66,41 @@ def read_written_csv(spark: SparkSession, path: str) -> DataFrame:
     return conform(decode_snapshot(raw).withColumn("run_ts", F.try_to_timestamp("run_stamp", F.lit(STAMP))))
 
 
-def write_history(offers: DataFrame, path: str) -> None:
-    """Append one run; partitions by day keep date filters on the scan."""
-    offers.withColumn("snapshot_date", F.to_date("fetched_at")).write.mode("append").partitionBy("snapshot_date").parquet(path)
-
-
 def upsert_history(spark: SparkSession, incoming: DataFrame, path: str) -> None:
     """Replace-or-insert by (slug, url, fetched_at): only the days present in *incoming* are rewritten."""
     fresh = incoming.withColumn("snapshot_date", F.to_date("fetched_at"))
-    try:
-        stored = spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - first write: there is no table yet
-        stored = None
-    if stored is not None:
-        touched = fresh.select("snapshot_date").distinct()
-        old = stored.join(touched, "snapshot_date", "left_semi").select(*fresh.columns)
-        # The old rows are read from the folder about to be overwritten, so they are cut loose first.
-        from offerloom.session import durable
-
-        fresh = durable(history.upsert(old, fresh))
+    replace_days(spark, fresh, path, history.upsert)
+
+
+def replace_days(spark: SparkSession, fresh: DataFrame, path: str, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
+    """Rewrite the days of *fresh* in the table at *path* as merge(stored rows of those days, fresh).
+
+    The days are a literal partition filter, so only their files are read. Any error of reading the stored
+    rows rises before a file is touched: only a table that is not there counts as empty. The merged rows are
+    written aside first, as they come from the folder that is overwritten. The days of a batch are few; they
+    are all that comes to the driver.
+    """
+    fresh = durable(fresh)
+    days = [r.snapshot_date for r in fresh.select("snapshot_date").distinct().collect()]
+    if not days:
+        return
+    if path_exists(spark, path):
+        known = [d for d in days if d is not None]
+        same_day = c("snapshot_date").isin(known) if known else F.lit(False)
+        if len(known) < len(days):
+            same_day = same_day | c("snapshot_date").isNull()
+        old = spark.read.schema(fresh.schema).parquet(path).where(same_day)
+        fresh = durable(merge(old, fresh))
     fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot_date").parquet(path)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether the folder is there and holds something, in any store that Spark reads."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.exists(at) and len(fs.listStatus(at)) > 0
+
+
 # --- verdict log ----------------------------------------------------------------------------------
 
 
@@ -95,9 +109,12 @@ def read_verdict_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_verdict_log(rows: DataFrame, daily_path: str, latest_path: str) -> None:
-    """rows: verdict-log columns. The daily log grows; the latest log keeps one run per product."""
-    dated = rows.withColumn("date", F.to_date("timestamp"))
-    dated.write.mode("append").partitionBy("date").json(daily_path)
+    """rows: verdict-log columns. The daily log keeps every run once; the latest log one run per product.
+
+    The daily log is partitioned by day, product and run, so a replayed run replaces itself.
+    """
+    dated = rows.withColumn("date", F.to_date("timestamp")).withColumn("slug", c("product")).withColumn("run_stamp", F.date_format("timestamp", STAMP))
+    dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date", "slug", "run_stamp").json(daily_path)
     rows.withColumn("slug", c("product")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("slug").json(latest_path)
 
 
@@ -201,7 +218,7 @@ def with_defaults(profiles: DataFrame) -> DataFrame:
             ),
         )
         .withColumn("vendor_allowlist", texts(c("vendor_allowlist"))).withColumn("vendor_blocklist", texts(c("vendor_blocklist")))
-        .withColumn("display", F.struct(F.coalesce("display.max_listings", F.lit(20)).alias("max_listings"), F.coalesce("display.per_vendor_cap", F.lit(3)).alias("per_vendor_cap"), texts(c("display.attrs")).alias("attrs")))
+        .withColumn("display", F.struct(F.coalesce("display.max_listings", F.lit(K.MAX_LISTINGS)).alias("max_listings"), F.coalesce("display.per_vendor_cap", F.lit(K.PER_VENDOR_CAP)).alias("per_vendor_cap"), texts(c("display.attrs")).alias("attrs")))
     )
 
 

@@ -35,20 +35,10 @@ def history_writer(path: str):
 def latest_writer(path: str):
     """foreachBatch function keeping one row per (slug, url, day): what was seen last that day."""
     from offerloom.operators import history
-    from offerloom.session import durable
 
     def write(batch: DataFrame, _: int) -> None:
         spark: SparkSession = batch.sparkSession
-        fresh = history.latest_per_day(batch)
-        try:
-            stored = spark.read.parquet(path)
-            days = fresh.select("snapshot_date").distinct()
-            kept = stored.join(days, "snapshot_date", "left_semi").select(*fresh.columns)
-            fresh = durable(history.latest_per_day(kept.unionByName(fresh)))
-        except Exception as exc:  # noqa: BLE001 - first batch: no table yet
-            if "PATH_NOT_FOUND" not in str(exc) and "UNABLE_TO_INFER_SCHEMA" not in str(exc):
-                raise
-        fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot_date").parquet(path)
+        tables.replace_days(spark, history.latest_per_day(batch), path, lambda old, new: history.latest_per_day(old.unionByName(new)))
 
     return write
 

@@ -11,8 +11,8 @@ from offerloom.session import build_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = build_session("tests", "local[4]", 4)
+def spark(tmp_path_factory):
+    session = build_session("tests", "local[4]", 4, str(tmp_path_factory.mktemp("checkpoints")))
     session.sparkContext.setLogLevel("ERROR")
     return session
 
@@ -26,11 +26,11 @@ def offer_rows(spark):
     kinds = dict(OFFER_FIELDS)
 
     def make(*rows):
-        names = sorted({k for r in rows for k in r} - {"run", "hour"} | {"slug", "run_ts", "fetched_at", "pos", "url", "source", "title"})
+        names = sorted({k for r in rows for k in r} - {"run", "hour"} | {"slug", "run_ts", "fetched_at", "source_order", "pos", "url", "source", "title"})
         data = []
         for i, r in enumerate(rows):
             run = T0 + timedelta(days=r.get("run", 0))
-            full = {"slug": "p", "run_ts": run, "fetched_at": run + timedelta(hours=r.get("hour", 0)), "pos": i, "url": f"https://v{i}.com/x", "source": "serper_shopping", "title": f"item {i}", **r}
+            full = {"slug": "p", "run_ts": run, "fetched_at": run + timedelta(hours=r.get("hour", 0)), "source_order": 0, "pos": i, "url": f"https://v{i}.com/x", "source": "serper_shopping", "title": f"item {i}", **r}
             data.append(tuple(full.get(n) for n in names))
         return conform(spark.createDataFrame(data, ", ".join(f"`{n}` {kinds[n]}" for n in names)))
 

@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
-from offerloom.operators import anomalies, dedup, dimensions, display, history, ranking, rules, skew
+from offerloom import schema
+from offerloom.operators import anomalies, dedup, dimensions, display, history, ranking, rules, skew, verdicts
 from offerloom.plans import runs
 
 c = F.col
@@ -11,6 +12,10 @@ def col(df, name, order="pos"):
     return [r[name] for r in df.orderBy(order).select(name).collect()]
 
 
+def cols(df, names, order):
+    return [tuple(r) for r in df.orderBy(*order).select(*names).collect()]
+
+
 def test_unknown_values_pass_every_reject(offer_rows):
     row = offer_rows({"url": "https://x.com/a", "source": "ebay_search"})
     every = [{"rule": n, "values": ["x"], "value": 1.0} for n in rules.REJECTS]
@@ -175,3 +180,32 @@ def test_row_limits_reach_the_map_side(offer_rows):
     df = offer_rows({"unit_price_usd": 1.0})
     plan = ranking.select_for_display(df, 20, 3)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") >= 3
+
+
+def three_sources(offer_rows):
+    """Three recalls whose positions repeat, with equal prices and blank URLs."""
+    recalls = [
+        offer_rows(*[{"source": s, "url": "" if p == 1 else f"https://{s}{p}.com/x", "title": f"{s} {p}", "unit_price_usd": 10.0, "seller_name": f"v{s}{p}", "pos": p} for p in range(3)])
+        for s in ("serper_shopping", "ebay_search", "amazon_dataforseo")
+    ]
+    return dedup.union_recalls(recalls)
+
+
+def test_positions_of_several_sources(offer_rows):
+    union = three_sources(offer_rows)
+    both = ["source_order", "pos"]
+    want = [(s, p) for s in range(3) for p in range(3)]
+    assert cols(dedup.distinct_offers(union), both, both) == want
+    assert cols(schema.conform(union), both, both) == want
+    assert cols(ranking.rank_for_report(union), [*both, "rank"], ["rank"]) == [(s, p, 3 * s + p + 1) for s, p in want]
+    assert cols(ranking.select_for_display(union, 9, 9), both, ["rank"]) == want
+    assert cols(ranking.rank_all(union), both, ["rank"]) == want
+    assert cols(verdicts.batched(union, 4), [*both, "batch"], ["index"]) == [(s, p, (3 * s + p) // 4) for s, p in want]
+    assert cols(ranking.shown_of_total(ranking.rank_for_report(union), union), ["shown", "total"], ["slug"]) == [(9, 9)]
+
+
+def test_null_limits_take_the_default(offer_rows):
+    df = offer_rows(*[{"seller_name": "one", "unit_price_usd": float(i + 1)} for i in range(5)])
+    limited = df.withColumn("max_listings", F.lit(None).cast("int")).withColumn("per_vendor_cap", F.lit(None).cast("int"))
+    assert col(ranking.select_for_display(limited, 20, 3), "pos") == [0, 1, 2]
+    assert col(ranking.vendor_overflow(limited, ranking.select_for_display(limited, 20, 3), 3), "held_back", order="slug") == [2]

@@ -2,6 +2,8 @@ import json
 import sys
 from datetime import datetime
 
+import pytest
+
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
@@ -209,8 +211,9 @@ def test_history_table_upsert(spark, offer_rows, tmp_path):
 
 def test_verdict_log_and_report_tables(spark, offer_rows, tmp_path):
     row = spark.createDataFrame([(datetime(2026, 1, 1), "p", 0, False, "r", "t", 1.0, "u", "s", None)], "timestamp timestamp, product string, index int, pass boolean, reason string, title string, price double, url string, source string, source_url string")
-    for _ in range(2):
-        tables.write_verdict_log(row, str(tmp_path / "d"), str(tmp_path / "l"))
+    for hours in (0, 1, 1):  # two runs, the second one replayed
+        later = row.withColumn("timestamp", c("timestamp") + F.make_dt_interval(hours=F.lit(hours)))
+        tables.write_verdict_log(later, str(tmp_path / "d"), str(tmp_path / "l"))
     assert tables.read_verdict_log(spark, str(tmp_path / "d")).count() == 2 and tables.read_verdict_log(spark, str(tmp_path / "l")).count() == 1
     p = profiles(spark)
     run = runs.run_offers(run_rows(offer_rows), p, judges=None)
@@ -286,3 +289,38 @@ def test_stream_history_and_alert_sinks(spark, offer_rows, tmp_path):
     assert [r["unit_price_usd"] for r in spark.read.parquet(str(tmp_path / "l")).collect()] in ([3.0], [2.0])
     drain(spark, stream().withColumn("fires", c("unit_price_usd") > 1), str(tmp_path / "q3"), each=streams.alert_writer(str(tmp_path / "f")))
     assert {r["outcome"] for r in spark.read.parquet(str(tmp_path / "f")).collect()} == {"ok"}
+
+
+def test_damaged_history_raises_and_keeps_its_files(spark, offer_rows, tmp_path):
+    path = str(tmp_path / "h")
+    tables.upsert_history(spark, offer_rows({"url": "a"}, {"url": "b"}, {"url": "c", "run": 1}), path)
+    tables.upsert_history(spark, offer_rows({"url": "b", "unit_price_usd": 2.0}), path)
+    assert sorted((r["url"], r["unit_price_usd"]) for r in spark.read.parquet(path).collect()) == [("a", 0.0), ("b", 2.0), ("c", 0.0)]
+    files = sorted(p for p in (tmp_path / "h").rglob("part-*.parquet") if "2026-01-01" in str(p))
+    files[0].write_bytes(b"damaged")
+    with pytest.raises(Exception):
+        tables.upsert_history(spark, offer_rows({"url": "z"}), path)
+    assert sorted(p for p in (tmp_path / "h").rglob("part-*.parquet") if "2026-01-01" in str(p)) == files
+    tables.upsert_history(spark, offer_rows({"url": "z", "run": 1}), path)  # the damaged day is not read
+
+
+def test_replays_do_not_repeat_rows(spark, offer_rows, tmp_path):
+    csv = str(tmp_path / "csv")
+    for _ in range(2):
+        tables.write_snapshot_csv(offer_rows({"url": "a"}, {"url": "b"}), csv)
+    assert tables.read_written_csv(spark, csv).count() == 2
+    log = spark.createDataFrame([(datetime(2026, 1, 1, 6), "p", 0, True, "r", "t", 1.0, "u", "s", None)], tables.VERDICT_LOG_DDL)
+    for _ in range(2):
+        tables.write_verdict_log(log, str(tmp_path / "daily"), str(tmp_path / "latest"))
+    assert tables.read_verdict_log(spark, str(tmp_path / "daily")).count() == 1
+
+
+def test_newest_pair_is_the_same_as_cutting_first(offer_rows):
+    rows = [{"url": f"u{i}", "run": d, "unit_price_usd": 10.0 + d * i} for d in range(4) for i in range(4) if (d + i) % 3]
+    rows += [{"slug": "single", "url": "x", "run": 2}]
+    diff, head = runs.diff_latest(offer_rows(*rows))
+    got = sorted((r["slug"], r["url"], r["change_type"]) for r in diff.collect())
+    whole, _ = runs.diff_latest(offer_rows(*rows), newest_only=False)
+    last = whole.where("snapshot_date = date'2026-01-04'")
+    assert got == sorted((r["slug"], r["url"], r["change_type"]) for r in last.collect()) and got
+    assert [(r["slug"], r["snapshot_date"].day) for r in head.collect()] == [("p", 4)]
