@@ -269,8 +269,11 @@ def synthesis_payload(ranked: DataFrame, diff: DataFrame, names: DataFrame) -> D
     return top.join(sections, key, "left").join(names.select("slug", "display_name"), "slug", "left")
 
 
-def changed_section(diff: DataFrame) -> DataFrame:
-    """Changed rows as the report input wants them, percentage rounded to 4 places."""
-    return diff.where(c("change_type") == "changed").select(
-        "slug", "snapshot_date", "url", "title", "old_price_usd", "new_price_usd", F.round("pct_change", 4).alias("pct_change")
+def change_rows(diff: DataFrame) -> DataFrame:
+    """The diff sections of the report input, one row per change: its price, for changed ones both prices and
+    the percentage rounded to 4 places. Dropped rows state the last price seen."""
+    kind = c("change_type")
+    return diff.select(
+        "slug", "snapshot_date", kind.alias("section"), "url", "title", F.when(kind != "new", c("old_price_usd")).alias("old_price_usd"),
+        F.when(kind != "dropped", c("new_price_usd")).alias("new_price_usd"), F.round(F.when(kind == "changed", c("pct_change")), 4).alias("pct_change"),
     )

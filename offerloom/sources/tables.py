@@ -57,7 +57,8 @@ def encode_snapshot(offers: DataFrame) -> DataFrame:
 
 def write_snapshot_csv(offers: DataFrame, path: str) -> None:
     """One folder per product and run, so a replayed run replaces itself; big runs may hold several files."""
-    encode_snapshot(offers).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("slug", "run_stamp").option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+    by_run = encode_snapshot(offers).hint("rebalance", "slug", "run_stamp")
+    by_run.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("slug", "run_stamp").option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
 
 
 def read_written_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -91,7 +92,8 @@ def replace_days(spark: SparkSession, fresh: DataFrame, path: str, merge: Callab
             same_day = same_day | c("snapshot_date").isNull()
         old = spark.read.schema(fresh.schema).parquet(path).where(same_day)
         fresh = durable(merge(old, fresh))
-    fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot_date").parquet(path)
+    by_day = fresh.hint("rebalance", "snapshot_date")  # few files per day; a hot day is split
+    by_day.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot_date").parquet(path)
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -114,8 +116,9 @@ def write_verdict_log(rows: DataFrame, daily_path: str, latest_path: str) -> Non
     The daily log is partitioned by day, product and run, so a replayed run replaces itself.
     """
     dated = rows.withColumn("date", F.to_date("timestamp")).withColumn("slug", c("product")).withColumn("run_stamp", F.date_format("timestamp", STAMP))
+    dated = dated.hint("rebalance", "slug", "run_stamp")
     dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date", "slug", "run_stamp").json(daily_path)
-    rows.withColumn("slug", c("product")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("slug").json(latest_path)
+    rows.withColumn("slug", c("product")).hint("rebalance", "slug").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("slug").json(latest_path)
 
 
 # --- reports ------------------------------------------------------------------------------------------
