@@ -45,6 +45,18 @@ def match_runs(instants: DataFrame, log: DataFrame, seconds: int = K.SAME_RUN_SE
     return here.join(near, ["slug", "_b"]).where(gap <= seconds * 1_000_000).drop("_b")
 
 
+def same_last_run(instants: DataFrame, completed: DataFrame, seconds: int = K.SAME_RUN_SECONDS) -> DataFrame:
+    """The latest run instant of every product with its last completed log run, if the two are the same run.
+
+    instants: slug, run_ts; completed: slug, completed_at. One row per product on either side; `same` tells
+    whether they lie within *seconds*.
+    """
+    latest = instants.groupBy("slug").agg(F.max("run_ts").alias("run_ts"))
+    last = completed.groupBy("slug").agg(F.max("completed_at").alias("completed_at"))
+    gap = F.abs(F.unix_micros(c("run_ts").cast("timestamp")) - F.unix_micros(c("completed_at").cast("timestamp")))
+    return latest.join(last, "slug", "left").withColumn("same", F.coalesce(gap <= seconds * 1_000_000, F.lit(False)))
+
+
 def named_runs(slugs: DataFrame, log: DataFrame) -> DataFrame:
     """Run-log rows whose title or name contains a product slug.
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from offerloom import constants as K
+from offerloom.operators.skew import counted_ranks
 from offerloom.functions import text
 
 c = F.col
@@ -195,25 +196,17 @@ def fixture_results(results: DataFrame) -> DataFrame:
 def model_rollup(fixtures: DataFrame) -> DataFrame:
     """Per model: pass rates, cost, median latency and nearest-rank p95, the bar, and the listing order.
 
-    Latencies are counted per value, so p95 comes from running counts and no list is collected.
+    Latencies are counted per value and ranked through bucket counts, so no list is collected and a model
+    with a third of all fixtures is no hot key.
     """
-    from pyspark.sql import Window
-
     key = ["provider", "model"]
     totals = fixtures.groupBy(*key).agg(
         F.count(F.lit(1)).alias("fixtures"), F.count_if("passed").alias("full_passes"), F.count_if("no_fabrication").alias("fab_passes"),
         F.sum("cost_usd").alias("total_cost_usd"), F.avg("cost_usd").alias("avg_cost_usd"),
     )
     timed = fixtures.where(~c("failed_call") & c("latency_s").isNotNull()).groupBy(*key, "latency_s").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(*key).orderBy("latency_s").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = timed.withColumn("_to", F.sum("_n").over(w)).withColumn("_total", F.sum("_n").over(Window.partitionBy(*key)))
-    covers = lambda rank: (c("_to") - c("_n") <= rank) & (rank < c("_to"))
-    at = lambda rank: F.max(F.when(covers(rank), c("latency_s")))
-    last = c("_total") - 1
-    latency = ranked.groupBy(*key).agg(
-        ((at(F.floor(last / 2)) + at(F.ceil(last / 2))) / 2).alias("latency_p50"),
-        at(F.bround(last * 0.95, 0).cast("bigint")).alias("latency_p95"),
-    )
+    ranks = {"_lo": lambda n: F.floor((n - 1) / 2), "_hi": lambda n: F.ceil((n - 1) / 2), "latency_p95": lambda n: F.bround((n - 1) * 0.95, 0).cast("bigint")}
+    latency = counted_ranks(timed, key, "latency_s", "_n", ranks).select(*key, ((c("_lo") + c("_hi")) / 2).alias("latency_p50"), "latency_p95")
     out = totals.join(latency, key, "left")
     return out.withColumn("overall_pass_rate", c("full_passes") / c("fixtures")).withColumn(
         "fabrication_pass_rate", c("fab_passes") / c("fixtures")

@@ -231,6 +231,8 @@ def raised_flags(rules: Sequence[dict]) -> Column:
 
 
 def raised_flags_from(rules: Column) -> Column:
+    """The flags of a rule list that is a column (structs as `flag_literal` makes them), so that one job serves many profiles."""
+
     def raised(r: Column) -> Column:
         out = F
         for name, test in FLAGS.items():

@@ -7,7 +7,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -35,22 +36,24 @@ def value_bucket(v: Column) -> Column:
     return F.coalesce(F.floor(F.log2(v) * 256).cast("int"), F.lit(LOWEST_BUCKET))
 
 
-def counted_median(counted: DataFrame, keys: Sequence[str], value: str, count: str, out: str) -> DataFrame:
-    """Exact (interpolated) median per key of values >= 0 given as (key, value, count) rows.
+def counted_ranks(counted: DataFrame, keys: Sequence[str], value: str, count: str, ranks: dict[str, Callable[[Column], Column]], total: str = "_total_n") -> DataFrame:
+    """Exact order statistics per key of values >= 0 given as (key, value, count) rows.
 
-    Bucket counts are summed first. Their running total per key (one row per bucket, so small)
-    tells which bucket holds the middle ranks; only the distinct values of that bucket are ordered.
+    ranks: name -> function from the number of values to a 0-based rank. Bucket counts are summed first.
+    Their running total per key (one row per bucket, so small) tells which buckets hold the ranks; only the
+    distinct values of those buckets are ordered.
     """
     keys = list(keys)
     rows = counted.select(*keys, F.col(value).alias("_v"), F.col(count).alias("_n")).withColumn("_b", value_bucket(F.col("_v")))
     buckets = rows.groupBy(*keys, "_b").agg(F.sum("_n").alias("_bn"))
     running = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = Window.partitionBy(*keys)
-    low, high = F.floor((F.col("_total") - 1) / 2), F.floor(F.col("_total") / 2)
+    wanted = {name: rank(F.col("_total")) for name, rank in ranks.items()}
+    holds = reduce(Column.__or__, [(F.col("_before") <= r) & (r < F.col("_before") + F.col("_bn")) for r in wanted.values()])
     middle = (
         buckets.withColumn("_before", F.sum("_bn").over(running) - F.col("_bn"))
         .withColumn("_total", F.sum("_bn").over(whole))
-        .where((F.col("_before") <= high) & (low < F.col("_before") + F.col("_bn")))
+        .where(holds)
         .drop("_bn")
     )
     inside = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -59,14 +62,19 @@ def counted_median(counted: DataFrame, keys: Sequence[str], value: str, count: s
     return (
         ranked.groupBy(*keys)
         .agg(
-            F.max(F.when(covers(low), F.col("_v"))).alias("_lo"),
-            F.max(F.when(covers(high), F.col("_v"))).alias("_hi"),
-            F.max("_total").alias(f"{out}_n"),
+            *[F.max(F.when(covers(r), F.col("_v"))).alias(name) for name, r in wanted.items()],
+            F.max("_total").alias(total),
         )
-        .select(*keys, ((F.col("_lo") + F.col("_hi")) / 2).alias(out), f"{out}_n")
     )
 
 
+def counted_median(counted: DataFrame, keys: Sequence[str], value: str, count: str, out: str) -> DataFrame:
+    """Exact (interpolated) median per key of values >= 0 given as (key, value, count) rows."""
+    middle = {"_lo": lambda n: F.floor((n - 1) / 2), "_hi": lambda n: F.floor(n / 2)}
+    ranked = counted_ranks(counted, keys, value, count, middle, f"{out}_n")
+    return ranked.select(*keys, ((F.col("_lo") + F.col("_hi")) / 2).alias(out), f"{out}_n")
+
+
 def exact_median(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_count"))
     return counted_median(counted, keys, value, "_count", out)

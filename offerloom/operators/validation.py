@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -38,22 +39,24 @@ def column_lists(profiles: DataFrame) -> DataFrame:
     )
 
 
-def bounds(profiles: DataFrame) -> DataFrame:
-    """Numeric bounds and enum domains of v2 profiles."""
-    amazon = c("sources.amazon.priority")
-    tests = {
-        "target_amount": (c("target.amount") <= 0, "target.amount must be positive"),
+def bound_tests(field: Callable[[str], Column] = c) -> dict[str, tuple[Column, str]]:
+    """Numeric bounds and enum domains of a v2 profile: name -> (is violated, message). Absent values pass."""
+    positive = {
+        "target_amount": "target.amount", "min_quantity": "filters.min_quantity", "serper_num": "sources.serper.num", "amazon_depth": "sources.amazon.depth",
+        "max_listings": "display.max_listings", "per_vendor_cap": "display.per_vendor_cap",
+    }
+    return {
+        **{name: (field(at) <= 0, f"{at} must be positive") for name, at in positive.items()},
         "configuration": (
-            F.exists(c("target.configurations"), lambda x: (x["module_count"] <= 0) | (x["module_capacity_gb"] <= 0)),
+            F.exists(field("target.configurations"), lambda x: (x["module_count"] <= 0) | (x["module_capacity_gb"] <= 0)),
             "configuration values must be positive",
         ),
-        "min_quantity": (c("filters.min_quantity") <= 0, "filters.min_quantity must be positive"),
-        "serper_num": (c("sources.serper.num") <= 0, "sources.serper.num must be positive"),
-        "amazon_depth": (c("sources.amazon.depth") <= 0, "sources.amazon.depth must be positive"),
-        "amazon_priority": (~amazon.isin(K.AMAZON_PRIORITIES), "sources.amazon.priority must be standard or live"),
-        "max_listings": (c("display.max_listings") <= 0, "display.max_listings must be positive"),
-        "per_vendor_cap": (c("display.per_vendor_cap") <= 0, "display.per_vendor_cap must be positive"),
+        "amazon_priority": (~field("sources.amazon.priority").isin(K.AMAZON_PRIORITIES), "sources.amazon.priority must be standard or live"),
     }
+
+
+def bounds(profiles: DataFrame) -> DataFrame:
+    tests = bound_tests()
     return reduce(DataFrame.unionByName, [violations(profiles, name, bad, msg) for name, (bad, msg) in tests.items()])
 
 

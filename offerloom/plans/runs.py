@@ -99,10 +99,13 @@ def recall_and_run(recall: Callable[[DataFrame], DataFrame], profiles: DataFrame
 
 
 def validate_offers(
-    offers: DataFrame, rule_list: Sequence[dict], flag_list: Sequence[dict], target: Column | None = None,
+    offers: DataFrame, rule_list: Sequence[dict], flag_list: Sequence[dict] | Column, target: Column | None = None,
     known_parts: DataFrame | None = None, brand_candidates: Sequence[str] = (), judges: Sequence[verdicts.Judge] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """v1 validation: (passed offers, verdict log). Rejects, judge, brand, known part, flags, total, unknown stock."""
+    """v1 validation: (passed offers, verdict log). Rejects, judge, brand, known part, flags, total, unknown stock.
+
+    *flag_list* may be a column of flag rules, joined to the offers by product, to flag many products in one job.
+    """
     target = rules.target_literal() if target is None else target
     reason = rules.first_reject(rule_list, target)
     rejected = rules.reject_log(offers, reason)
@@ -117,7 +120,8 @@ def validate_offers(
         kept = kept.withColumn("brand", text.brand_from_title(c("brand"), c("title"), F.array(*[F.lit(b) for b in brand_candidates])))
     if known_parts is not None:
         kept = dimensions.annotate_known_parts(kept, known_parts)
-    flagged = rules.with_flags(kept, rules.raised_flags(flag_list))
+    raised = rules.raised_flags_from(flag_list) if isinstance(flag_list, Column) else rules.raised_flags(flag_list)
+    flagged = rules.with_flags(kept, raised)
     total = money.total_for_target(
         target, rules.capacity(), c("is_kit"), c("kit_module_count"), c("kit_price_usd"), c("unit_price_usd"), c("quantity_available")
     )

@@ -125,6 +125,17 @@ def run_interval_match(spark, sf):
     return catalog.match_runs(instants, log).select("run_id", "log_id")
 
 
+@query("run_same_as_last", """
+WITH v AS (SELECT user_id, max(ts) AS a FROM events WHERE event_type = 'view' GROUP BY 1), k AS (SELECT user_id, max(ts) AS b FROM events WHERE event_type = 'click' GROUP BY 1)
+SELECT CAST(user_id AS VARCHAR) AS slug, coalesce(abs(epoch_us(a) - epoch_us(b)) <= 600000000, false) AS same FROM v LEFT JOIN k USING (user_id)""")
+def run_same_as_last(spark, sf):
+    """One latest instant against one last completed run per product."""
+    e = table(spark, sf, "events").select(c("user_id").cast("string").alias("slug"), c("ts").cast("timestamp").alias("ts"), "event_type")
+    instants = e.where(c("event_type") == "view").select("slug", c("ts").alias("run_ts"))
+    done = e.where(c("event_type") == "click").select("slug", c("ts").alias("completed_at"))
+    return catalog.same_last_run(instants, done).select("slug", "same")
+
+
 @query("run_durations", """
 WITH r AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS d, min(ts) FILTER (event_type = 'view') AS s, min(ts) FILTER (event_type = 'purchase') AS g FROM events GROUP BY ALL)
 SELECT CAST(user_id AS VARCHAR) AS slug, d AS run_day, epoch_us(g) - epoch_us(s) AS micros, strftime(greatest(s, g), '%Y-%m-%d %H:%M:%S') AS last_run FROM r WHERE epoch_us(g) - epoch_us(s) > 0 AND epoch_us(g) - epoch_us(s) < 1800000000""")
@@ -263,4 +274,4 @@ def stream_price_alerts(spark, sf):
 @query("stream_host_arrivals", with_events("SELECT slug, run_day, host FROM arrivals", HOSTS_SQL))
 def stream_host_arrivals(spark, sf):
     hosts = alerts.run_hosts(event_offers(spark, sf)).groupBy(*RUN).agg(F.array_sort(F.collect_set("host")).alias("hosts"))
-    return drain(spark, streams.host_arrival_stream(_stored(spark, hosts))).select("slug", run_day(), "host")
+    return drain(spark, streams.host_arrival_stream(_stored(spark, hosts))).where(~c("late")).select("slug", run_day(), "host")

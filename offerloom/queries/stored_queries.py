@@ -4,12 +4,12 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from offerloom.operators import alerts, history, ranking
+from offerloom.operators import alerts, history, ranking, rules
 from offerloom.plans import runs
 from offerloom.queries.alert_queries import alert_rules, price_sql, run_day, with_events
-from offerloom.queries.base import RUN_SQL, big, day, event_offers, offers, profiles, query, table, with_offers
+from offerloom.queries.base import REGISTRY, RUN_SQL, big, day, event_offers, offers, profiles, query, table, with_offers
 from offerloom.queries.calendar_queries import _stored
-from offerloom.queries.offer_queries import LATEST_SQL
+from offerloom.queries.offer_queries import FLAG_RULES, LATEST_SQL
 from offerloom.session import checkpoint_root
 from offerloom.sources import tables
 from offerloom.streaming import runs as streams
@@ -138,3 +138,27 @@ def synthesis_payload(spark, sf):
     made = runs.synthesis_payload(ranking.rank_for_report(o), diff.withColumn("run_ts", F.date_trunc("month", c("snapshot_date").cast("timestamp"))), named)
     n = lambda x: F.coalesce(x, F.lit(0)).alias(x)
     return made.select("slug", run_day(), big(F.size("listings")).alias("listings"), "display_name", n("new_count"), n("dropped_count"), n("changed_count"))
+
+
+@query("profile_load_bounds", """
+SELECT 'part-' || p_partkey AS slug, CASE p_partkey % 5 WHEN 1 THEN 'display.max_listings must be positive' WHEN 2 THEN 'sources.amazon.priority must be standard or live'
+  WHEN 3 THEN 'sources.serper.num must be positive' WHEN 4 THEN 'filters.min_quantity must be positive' ELSE '' END AS problem FROM part""")
+def profile_load_bounds(spark, sf):
+    """Profile documents of which four in five break one bound."""
+    p = table(spark, sf, "part")
+    k = c("p_partkey") % 5
+    slug = F.concat(F.lit("part-"), c("p_partkey").cast("string"))
+    odd = F.when(k == 1, "display:\n  max_listings: 0\n").when(k == 2, "sources:\n  amazon:\n    enabled: true\n    priority: rush\n").when(k == 3, "sources:\n  serper:\n    num: -5\n").when(k == 4, "filters:\n  min_quantity: 0\n").otherwise("")
+    body = F.concat(F.lit("schema_version: 2\nslug: "), slug, F.lit("\ndisplay_name: x\ntarget:\n  unit: count\n  amount: 1\nqueries:\n  - one\n"), odd)
+    docs = p.select(slug.alias("path"), body.alias("document")).mapInPandas(tables._yaml_to_json, "path string, document string, json string, error string")
+    good, bad = tables.load_profiles(docs)
+    return good.select("slug", F.lit("").alias("problem")).unionByName(bad.select(c("path").alias("slug"), c("reason").alias("problem")))
+
+
+@query("profile_flags", REGISTRY["soft_flags"].sql)
+def profile_flags(spark, sf):
+    """The flag rules as a column of each product, so that one job flags all of them."""
+    o = offers(spark, sf)
+    lists = o.select("slug").distinct().withColumn("flag_rules", F.array(*[rules.flag_literal(r) for r in FLAG_RULES]))
+    flagged = rules.with_flags(o.join(lists, "slug"), rules.raised_flags_from(c("flag_rules")))
+    return flagged.select("pos", F.array_join("flags", ",").alias("flags"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from offerloom import constants as K
 from offerloom.functions import text
-from offerloom.operators import history
+from offerloom.operators import history, validation
 from offerloom.schema import PROFILE_DDL, SNAPSHOT_CSV_COLUMNS, VERDICT_LOG_DDL, conform
 from offerloom.session import durable
 
@@ -198,6 +198,8 @@ def load_profiles(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
         .when(two & F.exists("p.match.aliases", lambda a: ~text.alias_is_distinctive(a)), "match.aliases: too generic")
         .when(two & (F.coalesce(c("p.target.amount"), F.lit(0)) <= 0), "target.amount must be positive")
     )
+    for violated, message in validation.bound_tests(lambda n: c(f"p.{n}")).values():
+        problem = problem.when(two & violated, message)
     checked = parsed.withColumn("problem", problem)
     valid = checked.where(two & c("problem").isNull()).select("p.*", "document")
     return with_defaults(valid), checked.where(c("problem").isNotNull()).select("path", c("problem").alias("reason"))

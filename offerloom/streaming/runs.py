@@ -51,7 +51,7 @@ def tick_counts(fires: DataFrame, lateness: str = "1 hour") -> DataFrame:
 
 
 PRICE_STATE = "below boolean, last_run timestamp"
-PRICE_OUT = "slug string, rule_pos int, fingerprint string, run_ts timestamp, price double, fires boolean, armed_after boolean"
+PRICE_OUT = "slug string, rule_pos int, fingerprint string, run_ts timestamp, price double, fires boolean, armed_after boolean, late boolean"
 
 
 def _price_step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -62,20 +62,21 @@ def _price_step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -
     out = []
     for r in rows.itertuples(index=False):
         if last is not None and pd.Timestamp(r.run_ts) <= pd.Timestamp(last):
+            out.append((slug, rule_pos, fingerprint, r.run_ts, r.price, False, not below, True))
             continue
         now = bool(pd.notna(r.price) and r.price < r.threshold_usd)
         fires = now and (r.mode == "while_below" or not below)
-        out.append((slug, rule_pos, fingerprint, r.run_ts, r.price, fires, not now))
+        out.append((slug, rule_pos, fingerprint, r.run_ts, r.price, fires, not now, False))
         below, last = now, r.run_ts
     state.update((below, last))
-    yield pd.DataFrame(out, columns=["slug", "rule_pos", "fingerprint", "run_ts", "price", "fires", "armed_after"])
+    yield pd.DataFrame(out, columns=["slug", "rule_pos", "fingerprint", "run_ts", "price", "fires", "armed_after", "late"])
 
 
 def price_alert_stream(rule_runs: DataFrame) -> DataFrame:
     """rule_runs: slug, rule_pos, fingerprint, mode, threshold_usd, run_ts, price (one row per rule and run).
 
-    The fingerprint is part of the key, so an edited rule starts armed. A run older than the last one
-    seen is skipped here and belongs to the batch twin.
+    The fingerprint is part of the key, so an edited rule starts armed. A run no newer than the last one
+    seen fires nothing and comes out with `late` set, for the batch twin to settle.
     """
     return rule_runs.groupBy("slug", "rule_pos", "fingerprint").applyInPandasWithState(
         _price_step, PRICE_OUT, PRICE_STATE, "append", GroupStateTimeout.NoTimeout
@@ -83,7 +84,7 @@ def price_alert_stream(rule_runs: DataFrame) -> DataFrame:
 
 
 HOST_STATE = "hosts array<string>, last_run timestamp"
-HOST_OUT = "slug string, run_ts timestamp, host string"
+HOST_OUT = "slug string, run_ts timestamp, host string, late boolean"
 
 
 def _host_step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -93,16 +94,20 @@ def _host_step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) ->
     out = []
     for r in rows.itertuples(index=False):
         if last is not None and pd.Timestamp(r.run_ts) <= pd.Timestamp(last):
+            out.append((key[0], r.run_ts, None, True))
             continue
         now = set(r.hosts)
-        out.extend((key[0], r.run_ts, h) for h in sorted(now - known))
+        out.extend((key[0], r.run_ts, h, False) for h in sorted(now - known))
         known, last = now, r.run_ts
     state.update((sorted(known), last))
-    yield pd.DataFrame(out, columns=["slug", "run_ts", "host"])
+    yield pd.DataFrame(out, columns=["slug", "run_ts", "host", "late"])
 
 
 def host_arrival_stream(host_runs: DataFrame) -> DataFrame:
-    """host_runs: slug, run_ts, hosts (one row per run). Emits hosts that the previous run did not have."""
+    """host_runs: slug, run_ts, hosts (one row per run). Emits hosts that the previous run did not have.
+
+    A run no newer than the last one seen comes out as one row without host and with `late` set.
+    """
     return host_runs.groupBy("slug").applyInPandasWithState(_host_step, HOST_OUT, HOST_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
