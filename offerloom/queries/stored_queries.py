@@ -4,12 +4,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from offerloom.functions import money
 from offerloom.operators import alerts, history, ranking, rules
 from offerloom.plans import runs
-from offerloom.queries.alert_queries import alert_rules, price_sql, run_day, with_events
+from offerloom.queries.alert_queries import EVAL_SQL, alert_rules, gold, price_sql, run_day, sizes, trial_verdicts, with_events
 from offerloom.queries.base import REGISTRY, RUN_SQL, big, day, event_offers, offers, profiles, query, table, with_offers
 from offerloom.queries.calendar_queries import _stored
-from offerloom.queries.offer_queries import FLAG_RULES, LATEST_SQL
+from offerloom.queries.offer_queries import FLAG_RULES, LATEST_SQL, TOTAL_SQL, target
 from offerloom.session import checkpoint_root
 from offerloom.sources import tables
 from offerloom.streaming import runs as streams
@@ -162,3 +163,29 @@ def profile_flags(spark, sf):
     lists = o.select("slug").distinct().withColumn("flag_rules", F.array(*[rules.flag_literal(r) for r in FLAG_RULES]))
     flagged = rules.with_flags(o.join(lists, "slug"), rules.raised_flags_from(c("flag_rules")))
     return flagged.select("pos", F.array_join("flags", ",").alias("flags"))
+
+
+@query("total_rounded", with_offers("SELECT pos, CAST(round(CAST(CAST(raw_total AS VARCHAR) AS DECIMAL(38, 12)), 2) * 100 AS BIGINT) AS cents FROM totals WHERE raw_total IS NOT NULL", TOTAL_SQL))
+def total_rounded(spark, sf):
+    """Totals as the operator gives them: rounded half up to cents on the decimal value, as the README states."""
+    total = money.total_for_target(target(), rules.capacity(), c("is_kit"), c("kit_module_count"), c("kit_price_usd"), c("unit_price_usd"), c("quantity_available"))
+    return offers(spark, sf).withColumn("total", total).where("total IS NOT NULL").select("pos", F.round(c("total") * 100).cast("bigint").alias("cents"))
+
+
+@query("judge_f1", "WITH " + EVAL_SQL.strip() + """
+SELECT slug, model, CAST(round(CASE WHEN 2 * tp + fp + fn = 0 THEN 0 ELSE 2 * tp / (2 * tp + fp + fn) END * 1000000) AS BIGINT) AS f1_e6 FROM scores""")
+def judge_f1(spark, sf):
+    e = runs.evaluate_judges(trial_verdicts(spark, sf), gold(spark, sf), sizes(spark, sf))
+    return e.select("slug", "model", F.round(c("f1") * 1_000_000).cast("bigint").alias("f1_e6"))
+
+
+@query("material_headline_price", with_offers("""
+SELECT s.slug, s.run_day, CAST(round(CAST(CAST(a.lowest AS VARCHAR) AS DECIMAL(38, 12)), 2) * 100 AS BIGINT) AS cents
+FROM steps s JOIN (SELECT slug, run_day, min(unit_price_usd) AS lowest FROM latest GROUP BY ALL) a USING (slug, run_day)
+JOIN (SELECT slug, run_day AS previous_day, min(unit_price_usd) AS lowest FROM latest GROUP BY ALL) b USING (slug, previous_day)""", LATEST_SQL))
+def material_headline_price(spark, sf):
+    """The lowest price of every step, as a headline would state it."""
+    _, heads = runs.diff_latest(offers(spark, sf), newest_only=False)
+    text = history.headline(F.lit(0), F.lit(0), c("lowest"), F.lit(float("inf")))
+    stated = F.regexp_extract(text, r"\$([0-9.]+)$", 1).cast("decimal(20,2)")
+    return heads.select("slug", day(c("snapshot_date")).alias("run_day"), (stated * 100).cast("bigint").alias("cents"))
