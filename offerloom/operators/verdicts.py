@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -94,7 +95,7 @@ def ask(batches: DataFrame, judge: Judge) -> DataFrame:
 
     replies = durable(batches.select(*BATCH, "payload").mapInPandas(answer, schema))
     read = (
-        batches.drop("payload").join(replies, BATCH)
+        batches.join(replies, BATCH)
         .withColumn("envelope", envelopes.envelope_text(c("reply")))
         .withColumn("verdicts", envelopes.verdict_list(c("envelope"), c("n"))).drop("envelope")
         .withColumn("provider", F.lit(judge.provider)).withColumn("model", F.lit(judge.model))
@@ -103,32 +104,42 @@ def ask(batches: DataFrame, judge: Judge) -> DataFrame:
     return read.withColumn("error", F.coalesce("error", F.when(c("verdicts").isNull(), unread)))
 
 
-def run_chain(offers: DataFrame, chain: Sequence[Judge] = DEFAULT_CHAIN, size: int = K.JUDGE_BATCH) -> tuple[DataFrame, DataFrame]:
-    """(answered batches, failed runs).
+def run_chain(offers: DataFrame, chain: Sequence[Judge] = DEFAULT_CHAIN, size: int = K.JUDGE_BATCH) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(answered batches, failed runs, all calls made).
 
-    Judges are tried in order. From the first batch of a run that a judge fails on, the next judge
-    takes over for the rest of that run. A run with batches left after the last judge has failed.
+    Judges are tried in order. From the first batch of a run that a judge fails on, the next judge takes over
+    for the rest of that run. A run with batches left after the last judge has failed. A judge is asked in
+    waves of 1, 2, 4 ... batches of every run, and no more for a run it has failed on, so a dead judge costs
+    one call per run, and one that dies later at most as many calls as it has answered. Every call counts.
     """
     pending = durable(batch_rows(offers, size))
-    base, done = pending.columns, None
+    base, done, calls, failed = pending.columns, [], [], None
+    keep = [*BATCH, "provider", "model", *USAGE]
     for judge in chain:
-        answered = ask(pending, judge)
-        broken = answered.where(c("error").isNotNull()).groupBy(*RUN).agg(
-            F.min("batch").alias("first_bad"), F.min_by("error", "batch").alias("bad_reason")
-        )
-        answered = durable(answered.join(broken, RUN, "left"))
-        good = answered.where(c("first_bad").isNull() | (c("batch") < c("first_bad")))
-        done = good if done is None else done.unionByName(good)
-        pending = batch_payload(answered.where(c("batch") >= c("first_bad"))).select(*base, "bad_reason", "first_bad")
+        first = pending.groupBy(*RUN).agg(F.min("batch").alias("_first"))
+        open_ = durable(pending.join(first, RUN).withColumn("_place", c("batch") - c("_first")).drop("_first"))
+        last = open_.agg(F.max("_place")).first()[0]
+        if last is None:
+            break
+        broken, low, width = None, 0, 1
+        while low <= last:
+            wave = open_.where((c("_place") >= low) & (c("_place") < low + width)).drop("_place")
+            if broken is not None:
+                wave = wave.join(broken.select(*RUN), RUN, "left_anti")
+            answered = durable(ask(wave, judge))
+            calls.append(answered.select(*keep))
+            now = answered.where(c("error").isNotNull()).groupBy(*RUN).agg(F.min("batch").alias("first_bad"), F.min_by("error", "batch").alias("bad_reason"))
+            good = answered.join(now, RUN, "left").where(c("first_bad").isNull() | (c("batch") < c("first_bad")))
+            done.append(good.drop("first_bad", "bad_reason"))
+            broken = durable(now if broken is None else broken.unionByName(now))
+            low, width = low + width, 2 * width
+        pending = open_.drop("_place").join(broken, RUN).where(c("batch") >= c("first_bad")).select(*base, "first_bad", "bad_reason")
         failed = pending.select(*RUN, "first_bad", "bad_reason").distinct()
-        pending = pending.select(*base)
-    return done, failed
-
-
-def batch_payload(batches: DataFrame) -> DataFrame:
-    return batches.withColumn(
-        "payload", F.concat(F.lit("["), F.array_join(F.transform("items", lambda i: i["entry"]), ","), F.lit("]"))
-    )
+        pending = durable(pending.select(*base))
+    if not done:  # no batch, or no judge: what is pending has failed
+        empty = ask(pending.limit(0), chain[0] if chain else DEFAULT_CHAIN[0])
+        return empty, pending.select(*RUN, F.lit(0).cast("bigint").alias("first_bad"), F.lit("no judge").alias("bad_reason")).distinct(), empty.select(*keep)
+    return reduce(DataFrame.unionByName, done), failed, reduce(DataFrame.unionByName, calls)
 
 
 def verdict_rows(answered: DataFrame) -> DataFrame:
@@ -181,9 +192,9 @@ def failure_log(failed: DataFrame) -> DataFrame:
     )
 
 
-def usage(answered: DataFrame) -> DataFrame:
-    """Tokens per run and model in the run-call shape."""
-    return answered.groupBy(*RUN, "provider", "model").agg(*[F.sum(u).alias(u) for u in USAGE]).select(
+def usage(calls: DataFrame) -> DataFrame:
+    """Tokens per run and model in the run-call shape, over all calls, discarded answers included."""
+    return calls.groupBy(*RUN, "provider", "model").agg(*[F.sum(u).alias(u) for u in USAGE]).select(
         *RUN, F.lit("ai_filter").alias("step"), "provider", "model", *USAGE, F.lit(None).cast("double").alias("cost_usd")
     )
 

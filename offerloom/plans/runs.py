@@ -68,11 +68,11 @@ def run_offers(
     if judges is None:
         kept, log, calls, failed = pool, None, None, None
     else:
-        answered, failed_runs = verdicts.run_chain(pool, judges)
+        answered, failed_runs, asked = verdicts.run_chain(pool, judges)
         judged = verdicts.verdict_rows(answered).join(failed_runs.select(*RUN), RUN, "left_anti")
         kept = durable(judged.where("pass").drop("index", "pass", "reason"))
         log = verdicts.log_rows(judged).unionByName(verdicts.failure_log(failed_runs))
-        calls, failed = verdicts.usage(answered), failed_runs.select(*RUN).withColumn("filter_error", F.lit(True))
+        calls, failed = verdicts.usage(asked), failed_runs.select(*RUN).withColumn("filter_error", F.lit(True))
     survivors = anomalies.flag_price_anomalies(kept)
     most, cap = column_bounds(profiles, {"display.max_listings": K.MAX_LISTINGS, "display.per_vendor_cap": K.PER_VENDOR_CAP})
     displayed = durable(ranking.select_for_display(survivors, most, cap))
@@ -112,7 +112,7 @@ def validate_offers(
     kept = offers.where(reason.isNull())
     log = rejected
     if judges is not None:
-        answered, failed = verdicts.run_chain(kept, judges)
+        answered, failed, _ = verdicts.run_chain(kept, judges)
         judged = verdicts.verdict_rows(answered).join(failed.select(*RUN), RUN, "left_anti")
         log = rejected.unionByName(verdicts.log_rows(judged.withColumn("index", c("pos")))).unionByName(verdicts.failure_log(failed))
         kept = judged.where("pass").drop("index", "pass", "reason")

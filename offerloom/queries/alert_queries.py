@@ -184,14 +184,14 @@ SELECT p.pos, CASE WHEN judge = 1 THEN condition = 'new' ELSE no % 50 <> 3 END A
 FROM placed p ANTI JOIN bad2 USING (slug, run_day)""", CHAIN_SQL))
 def judge_chain(spark, sf):
     """Two judges in order; the second takes over from the first failing batch, a run it fails on has no survivors."""
-    answered, failed = verdicts.run_chain(offers(spark, sf), CHAIN)
+    answered, failed, _ = verdicts.run_chain(offers(spark, sf), CHAIN)
     judged = verdicts.verdict_rows(answered).join(failed.select(*RUN), RUN, "left_anti")
     return judged.select("pos", "pass", "reason", F.try_element_at("attrs", F.lit("term")).alias("term"))
 
 
 @query("judge_chain_failures", with_offers("SELECT slug, run_day, -1 AS \"index\", '(filter call failed)' AS title FROM bad2", CHAIN_SQL))
 def judge_chain_failures(spark, sf):
-    _, failed = verdicts.run_chain(offers(spark, sf), CHAIN)
+    _, failed, _ = verdicts.run_chain(offers(spark, sf), CHAIN)
     return verdicts.failure_log(failed).select("slug", run_day(), "index", "title")
 
 
