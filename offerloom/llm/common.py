@@ -19,6 +19,7 @@ class Query:
 
 
 REGISTRY: dict[str, Query] = {}
+BATCH_ROWS = 512
 
 
 def query(name: str, sql: str | None = None):
@@ -57,6 +58,13 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut to *rows* rows, so that few texts are Python objects at a time."""
+    for batch in batches:
+        for begin in range(0, batch.num_rows, rows):
+            yield batch.slice(begin, rows)
+
+
 def add_columns(docs: DataFrame, compute: Callable[[list], dict[str, Sequence]], schema: str, source: str = "text") -> DataFrame:
     """*docs* with the columns of *schema* that compute(values of *source*) gives per batch.
 
@@ -67,7 +75,7 @@ def add_columns(docs: DataFrame, compute: Callable[[list], dict[str, Sequence]],
     rest = docs.drop(*names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             new = compute(batch.column(batch.schema.get_field_index(source)).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(new[n]) for n in names]], names=[*batch.schema.names, *names])
 
@@ -79,7 +87,7 @@ def keep_rows(docs: DataFrame, decide: Callable[[list], Sequence[bool]]) -> Data
     """The rows of *docs* whose text decide() keeps; all columns pass through as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             yield batch.filter(pa.array(decide(batch.column(batch.schema.get_field_index("text")).to_pylist()), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from offerloom.llm.common import query, table, written
+from offerloom.llm.common import query, small, table, written
 from offerloom.llm.words import LITERAL, Words, slices, windows, words
 
 WINDOW = 8
@@ -83,7 +83,7 @@ def _doc_hits(shared, sizes: list[int]):
         bits = shared.value
         log2 = len(bits).bit_length() + 4
         row = TaskContext.get().partitionId() << 40
-        for batch in batches:
+        for batch in small(batches):
             ids, texts, hashes = batch.columns
             for begin, part in slices(texts.to_pylist()):
                 w = words(part)

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from offerloom.llm.common import query, table, worker_value
+from offerloom.llm.common import query, small, table, worker_value
 from offerloom.llm.words import slices, windows, words
 
 GRAM = 3  # words of a fingerprint
@@ -146,7 +146,7 @@ SCHEMA = "doc_id long, licence string, start long, end long, matched_words int,
 def _scan(shared, key: str, coverage: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = worker_value(("licences", key), lambda: Index(shared.value))
-        for batch in batches:
+        for batch in small(batches):
             ids, texts = batch.columns
             for begin, part in slices(texts.to_pylist()):
                 found = index.matches(part, coverage)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from offerloom.llm.common import query, table
+from offerloom.llm.common import query, small, table
 from offerloom.llm.tokens import default_path, encoder, ids_crc32
 
 SEQUENCE_TOKENS = 2048
@@ -85,7 +85,7 @@ def _pack_documents(path: str, end_id: int, length: int, load_tokens: int):
         tokens = encoder(path)
         first = TaskContext.get().partitionId() << 40
         load, held = [], 0
-        for batch in batches:
+        for batch in small(batches):
             names, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             at = 0
             while at < len(texts):
