@@ -167,6 +167,7 @@ def test_style_tree_cuts_what_a_site_repeats(spark):
     pages += [(100, None, "<p>alone</p>"), (None, "not a url", None), (101, "http://t.example/", "<div class=top>Only page</div>")]
     df = spark.createDataFrame([(*p, 1) for p in pages], "page_id long, url string, html string, host int")
     got = {r.page_id: r.text for r in htmltext.main_text(df).collect()}
+    assert {r.page_id: r.text for r in htmltext.main_text(df, broadcast_paths=0).collect()} == got
     assert {i: got[i] for i in range(8)} == {i: f"Story {i} tells of {i * 7} things." for i in range(8)}
     assert (got[100], got[None], got[101]) == ("alone", "", "Only page")
     assert htmltext.main_text(df.limit(0)).count() == 0
