@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from offerloom.llm.common import add_columns, held_out, keep_rows, query, table, worker_value, written
 
@@ -22,6 +22,7 @@ HASHES = 2
 SAMPLE_ROWS = 2000  # documents per language that the filters learn from
 LEAST_RATE = 2e-6  # share of a language's n-grams that an n-gram must have to be put into its filter
 LEAST_DOCS = 3  # documents of the language that must have it
+LEAST_SHARE = 0.1  # of its rate in the language where it is most frequent; less is that language's text in documents of others
 MAX_LANGUAGES = 64
 UNKNOWN = "und"
 LEAST_COVERAGE = 0.2  # share of n-grams that a document of a learned language has at least
@@ -141,9 +142,9 @@ def _sample_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, slot_bits: int = SLOT_BITS) -> Filters:
     """Learn the filters from (doc_id, text, lang): rows in the learning folds, with text and lang.
 
-    A bounded sample of *sample_rows* documents per language (those whose ids hash lowest) is counted; an
-    n-gram goes into a language's filter if its share there is LEAST_RATE or more and LEAST_DOCS documents
-    have it. At most MAX_LANGUAGES languages, the most frequent ones, have filters. What comes to the driver
+    A bounded sample of about *sample_rows* documents per language (those whose ids hash lowest) is counted; an
+    n-gram goes into a language's filter if its share there is LEAST_RATE or more, LEAST_DOCS documents have
+    it, and no language has it more than 1 / LEAST_SHARE times as often. At most MAX_LANGUAGES languages, the most frequent ones, have filters. What comes to the driver
     is the table of slots, whose size is fixed.
     """
     spark = docs.sparkSession
@@ -154,13 +155,18 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, slot_bits: int = SLOT
     masks = np.zeros(1 << slot_bits, dtype)
     if not languages:
         return Filters([], masks)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = known.where(F.col("lang").isin(languages)).select("lang", "doc_id").withColumn("place", F.row_number().over(order)).where(F.col("place") <= sample_rows)
-    picked = known.select("doc_id", "lang", "text").join(F.broadcast(ids.select("doc_id").distinct()), "doc_id", "left_semi").select("lang", "text")
+    share = {r.lang: min(1.0, sample_rows / r.n) for r in counts}
+    limit = F.create_map(*[x for lang, s in share.items() for x in (F.lit(lang), F.lit(s))])[F.col("lang")]
+    chance = (F.xxhash64("doc_id").cast("double") + 2.0**63) / 2.0**64
+    sample = known.where(F.col("lang").isin(languages) & (chance <= limit)).select("doc_id", "lang", "text")
+    picked = sample.groupBy("lang", "doc_id").agg(F.min("text").alias("text")).select("lang", "text")  # repeated ids count once
     grams = picked.mapInPandas(_sample_grams, "lang string, code long, n long, docs long").groupBy("lang", "code").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     grams = written(grams)
     totals = grams.groupBy("lang").agg(F.sum("n").alias("total"))  # a row per language
     chosen = grams.join(F.broadcast(totals), "lang").where((F.col("n") >= LEAST_RATE * F.col("total")) & (F.col("docs") >= LEAST_DOCS))
+    rates = chosen.select("code", "lang", (F.col("n") / F.col("total")).alias("rate")).groupBy("code").agg(F.collect_list(F.struct("rate", "lang")).alias("all"))  # an entry per language
+    clear = F.filter("all", lambda x: x["rate"] >= LEAST_SHARE * F.array_max("all")["rate"])
+    chosen = rates.select("code", F.explode(clear).alias("x")).select("code", "x.lang")
     bits = chosen.select("lang", "code").mapInPandas(_slot_rows(slot_bits, languages), "slot long, bit long")
     for r in bits.groupBy("slot").agg(F.bit_or("bit").alias("bits")).toLocalIterator():
         masks[r.slot] = dtype(r.bits & 0xFFFFFFFFFFFFFFFF)

@@ -25,7 +25,8 @@ SEED = 42
 RADIUS = 4
 SLICES = 64
 SLICE_FINGERPRINTS = 16 << 20  # more distinct fingerprints than this double the slices
-SORT_ROWS = 2 << 20  # variants that a slice holds in memory at a time
+BROADCAST_IDS = 1_000_000  # of 8 bytes
+SORT_ROWS = 1 << 19  # variants that a slice holds in memory at a time
 
 
 def fingerprint(text: str | None, words_per_shingle: int = SHINGLE_WORDS) -> int:
@@ -155,15 +156,20 @@ def simhash_groups(docs: DataFrame, words_per_shingle: int = SHINGLE_WORDS, radi
     return prints.join(per_print, "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_copies(docs: DataFrame, words_per_shingle: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
+def drop_near_copies(docs: DataFrame, words_per_shingle: int = SHINGLE_WORDS, radius: int = RADIUS, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
     """The documents that are the smallest id of their group, with all columns.
 
+    The ids to drop are counted: up to *broadcast_ids* they are broadcast and no text is shuffled, beyond that
+    the join is left to the engine.
+
     Rows that repeat an id stay only once (the one whose columns hash lowest). Rows without an id cannot be
     named as copies and stay.
     """
     groups = simhash_groups(docs, words_per_shingle, radius)
     names = [f"`{x}`" for x in docs.columns]
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("doc_id")).distinct()
+    groups = written(groups)
+    gone = written(groups.where("doc_id <> component_id").select("doc_id").distinct())
+    gone = F.broadcast(gone) if gone.count() <= broadcast_ids else gone
     repeated = groups.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id")
     kept = docs.join(gone, "doc_id", "left_anti").select(*names)
     repeated = written(repeated)
