@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 import uuid
@@ -59,10 +60,21 @@ def held_out(doc_id: Column) -> Column:
 
 
 def small(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
-    """Arrow batches cut to *rows* rows, so that few texts are Python objects at a time."""
+    """Arrow batches cut to *rows* rows, so that few texts are Python objects at a time.
+
+    What a task has freed goes back to the system at its end, as the worker lives on beside others.
+    """
     for batch in batches:
         for begin in range(0, batch.num_rows, rows):
             yield batch.slice(begin, rows)
+    release_memory()
+
+
+def release_memory() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
 
 
 def add_columns(docs: DataFrame, compute: Callable[[list], dict[str, Sequence]], schema: str, source: str = "text") -> DataFrame:

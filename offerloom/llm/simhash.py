@@ -17,7 +17,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from offerloom.llm.common import add_columns, query, table, written
+from offerloom.llm.common import add_columns, query, release_memory, table, written
 from offerloom.llm.components import connected_components, forest
 
 SHINGLE_WORDS = 4
@@ -123,6 +123,7 @@ def _to_slices(slices: int):
 
 def _slice_edges(slices: int, radius: int):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        release_memory()
         a, b = ball_edges(np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["prints"]]), int(key[0]), slices, radius)
         return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 

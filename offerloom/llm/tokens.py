@@ -17,7 +17,7 @@ import numpy as np
 from offerloom.llm.common import worker_value
 
 SLICE_BYTES = 1 << 20
-TABLE_BITS = 22
+TABLE_BITS = 21
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 BASE = 0xD6E8FEB86659FD93
 
