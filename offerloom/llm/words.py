@@ -11,6 +11,7 @@ from offerloom.llm.common import worker_value
 
 SLICE_CHARS = 1 << 20
 LITERAL, NUMBER, UNIT, NAME = 0, 1, 2, 3
+PLACEHOLDERS = np.array([0, 11, 13, 17], np.uint64)  # canonical hash of every kind but LITERAL
 
 # Words that are units when they follow a number.
 UNITS = [
@@ -65,7 +66,8 @@ def span_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nd
 @dataclass
 class Words:
     """Words of some texts in order. doc: text number; start, end: code points in the text; value: hash of
-    the lower-cased word; kind: LITERAL, NUMBER, UNIT or NAME; canon: value, or one hash per other kind."""
+    the lower-cased word; kind: LITERAL, NUMBER, UNIT or NAME; canon: value, or one hash per other kind;
+    capital: whether it has one capital in front, wherever it stands."""
 
     doc: np.ndarray
     start: np.ndarray
@@ -73,6 +75,7 @@ class Words:
     value: np.ndarray
     kind: np.ndarray
     canon: np.ndarray
+    capital: np.ndarray
 
 
 def words(texts: list[str]) -> Words:
@@ -111,9 +114,9 @@ def words(texts: list[str]) -> Words:
     if len(out) > 1:
         follows = np.flatnonzero((out[:-1] == NUMBER) & (doc[1:] == doc[:-1]) & (out[1:] != NUMBER)) + 1
         out[follows[np.isin(value[follows], units)]] = UNIT
-    canon = np.where(out == LITERAL, value, np.array([0, 11, 13, 17], np.uint64)[out])
+    canon = np.where(out == LITERAL, value, PLACEHOLDERS[out])
     begin = stops - (np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
-    return Words(doc, start - begin[doc], end - begin[doc], value, out, canon)
+    return Words(doc, start - begin[doc], end - begin[doc], value, out, canon, capital)
 
 
 def _word_hashes(plain: list[str]) -> np.ndarray:

@@ -136,6 +136,22 @@ def test_slots_must_be_consistent(spark):
     assert decontam.contaminated(docs.limit(0), bench).count() == 0 and decontam.contaminated(docs, bench.limit(0)).count() == 0
 
 
+STORY = "Tom has 3 red apples.\nAnn gives him 5 more of them.\nTom eats 2 of these apples. How many apples are left over for Ann now?"
+
+
+def test_copies_of_every_form_are_found(spark):
+    items = [(1, "What is 12 * 15 + 3?"), (2, "Convert 5 km , 7 km , 9 km and 11 km to miles"), (3, STORY), (4, "3 1 4 1 5 9 2 6 5 3 5 8 9 7 9")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    renamed = STORY.replace("Tom", "Max").replace("Ann", "Eve").replace("3", "8")
+    merged = STORY.replace("5", "4").replace("3", "4").replace("2", "4")  # three numbers of the item have one value
+    rows = [(1, "so: " + items[0][1]), (2, "x " + items[1][1] + " y"), (3, renamed), (4, STORY.lower()), (5, "He said that " + STORY.replace("\n", " ").replace(".", " ;")), (6, merged), (7, STORY.lower().replace("3", "8")), (8, items[3][1])]
+    rows += [(20, "What is 12 * 15 + 4?"), (21, "3 1 4 1 5 9 2 7 5 3 5 8 9 7 9"), (22, STORY.replace("Tom", "Max", 1))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, bench).collect()}
+    assert {x for x in found if x[0] < 20} == {(1, 1), (2, 2), (3, 3), (4, 3), (5, 3), (6, 3), (7, 3), (8, 4)}
+    assert not found & {(20, 1), (21, 4)}
+
+
 def test_decontamination_query_finds_verbatim_items(spark):
     docs = spark.read.parquet(f"{SF2}/documents.parquet").collect()
     items = spark.read.parquet(f"{SF2}/benchmark.parquet").collect()
