@@ -1,7 +1,7 @@
 """Language identification with bit-sliced Bloom filters of character n-grams.
 
-One table serves all languages: a slot is a bit mask with one bit per language, so one look-up of an n-gram
-returns every language whose filter contains it. Per document the masks' bits are counted per language,
+One table serves all languages: a slot is a bit mask with one bit per language, in as many 64-bit words as they
+need, so one look-up of an n-gram returns every language whose filter contains it. Per document the masks' bits are counted per language,
 the counts are corrected for the false positives expected from each filter's fill, and the largest wins.
 """
 
@@ -21,9 +21,10 @@ SLOT_BITS = 20  # the filters have 2**20 slots
 HASHES = 2
 SAMPLE_ROWS = 2000  # documents per language that the filters learn from
 LEAST_RATE = 2e-6  # share of a language's n-grams that an n-gram must have to be put into its filter
-LEAST_DOCS = 3  # documents of the language that must have it
+LEAST_DOCS = 3  # documents of the language that must have it; fewer in a rare language
+RARE_DOCS = 20  # documents of a language for each document of LEAST_DOCS
 LEAST_SHARE = 0.1  # of its rate in the language where it is most frequent; less is that language's text in documents of others
-MAX_LANGUAGES = 64
+WORD = 64  # languages of one word of a slot's mask
 UNKNOWN = "und"
 LEAST_COVERAGE = 0.2  # share of n-grams that a document of a learned language has at least
 SURE_LETTERS = 100  # letters from which on that share is reliable
@@ -84,12 +85,15 @@ def _slices(texts: list[str]) -> Iterator[list[str]]:
 
 
 class Filters:
-    """languages[i] has bit i of every slot of *masks*; fill[i] is the share of slots with that bit."""
+    """languages[i] has bit i % WORD of every slot of masks[i // WORD]; fill[i] is the share of slots with that bit."""
 
     def __init__(self, languages: list[str], masks: np.ndarray, prior: int = 0) -> None:
-        self.languages, self.masks, self.prior = languages, masks, prior
-        self.slot_bits = len(masks).bit_length() - 1
-        self.fill = np.array([((masks >> masks.dtype.type(i)) & masks.dtype.type(1)).mean() for i in range(len(languages))])
+        self.languages, self.masks, self.prior = languages, np.atleast_2d(masks), prior
+        self.slot_bits = self.masks.shape[1].bit_length() - 1
+        self.fill = np.array([self._bit(self.masks[i // WORD], i).mean() for i in range(len(languages))])
+
+    def _bit(self, mask: np.ndarray, i: int) -> np.ndarray:
+        return (mask >> self.masks.dtype.type(i % WORD)) & self.masks.dtype.type(1)
 
     def scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(corrected counts per document and language, n-grams per document, letters per document)."""
@@ -99,11 +103,13 @@ class Filters:
         false_rate = np.minimum(self.fill**HASHES, 0.999)
         for part in _slices(texts):
             codes, doc, n_letters = gram_codes(part)
-            mask = np.bitwise_and.reduce([self.masks[s] for s in slots(codes, self.slot_bits)])
+            at = slots(codes, self.slot_bits)
             total = np.bincount(doc, minlength=len(part)).astype(np.float64)
             hits = np.zeros((len(part), len(self.languages)))
-            for i in range(len(self.languages)):
-                hits[:, i] = np.bincount(doc[(mask >> mask.dtype.type(i)) & mask.dtype.type(1) > 0], minlength=len(part))
+            for word, masks in enumerate(self.masks):
+                mask = np.bitwise_and.reduce([masks[s] for s in at])
+                for i in range(word * WORD, min(len(self.languages), (word + 1) * WORD)):
+                    hits[:, i] = np.bincount(doc[self._bit(mask, i) > 0], minlength=len(part))
             counts.append(np.maximum(0, (hits - total[:, None] * false_rate) / (1 - false_rate)))
             totals.append(total)
             letters.append(n_letters)
@@ -144,32 +150,33 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, slot_bits: int = SLOT
 
     A bounded sample of about *sample_rows* documents per language (those whose ids hash lowest) is counted; an
     n-gram goes into a language's filter if its share there is LEAST_RATE or more, LEAST_DOCS documents have
-    it, and no language has it more than 1 / LEAST_SHARE times as often. At most MAX_LANGUAGES languages, the most frequent ones, have filters. What comes to the driver
-    is the table of slots, whose size is fixed.
+    it (one for every RARE_DOCS documents of the language, where that is less), and no language has it more than
+    1 / LEAST_SHARE times as often. Every language has a filter. What comes to the driver is a row per language
+    and the table of slots, whose size is fixed for each WORD languages.
     """
     spark = docs.sparkSession
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("doc_id").alias("ids")).orderBy(F.desc("n"), "lang").collect()
     languages = sorted(r.lang for r in counts)
-    dtype = np.uint8 if len(languages) <= 8 else np.uint64
-    masks = np.zeros(1 << slot_bits, dtype)
+    masks = np.zeros((max(1, -(-len(languages) // WORD)), 1 << slot_bits), np.uint8 if len(languages) <= 8 else np.uint64)
     if not languages:
         return Filters([], masks)
-    share = {r.lang: min(1.0, sample_rows / r.n) for r in counts}
-    limit = F.create_map(*[x for lang, s in share.items() for x in (F.lit(lang), F.lit(s))])[F.col("lang")]
+    shares = spark.createDataFrame([(r.lang, min(1.0, sample_rows / r.n), min(LEAST_DOCS, max(1, -(-r.ids // RARE_DOCS)))) for r in counts], "lang string, share double, least int")
     chance = (F.xxhash64("doc_id").cast("double") + 2.0**63) / 2.0**64
-    sample = known.where(F.col("lang").isin(languages) & (chance <= limit)).select("doc_id", "lang", "text")
+    sample = known.join(F.broadcast(shares), "lang").where(chance <= F.col("share")).select("doc_id", "lang", "text")
     picked = sample.groupBy("lang", "doc_id").agg(F.min("text").alias("text")).select("lang", "text")  # repeated ids count once
     grams = picked.mapInPandas(_sample_grams, "lang string, code long, n long, docs long").groupBy("lang", "code").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     grams = written(grams)
-    totals = grams.groupBy("lang").agg(F.sum("n").alias("total"))  # a row per language
-    chosen = grams.join(F.broadcast(totals), "lang").where((F.col("n") >= LEAST_RATE * F.col("total")) & (F.col("docs") >= LEAST_DOCS))
-    rates = chosen.select("code", "lang", (F.col("n") / F.col("total")).alias("rate")).groupBy("code").agg(F.collect_list(F.struct("rate", "lang")).alias("all"))  # an entry per language
-    clear = F.filter("all", lambda x: x["rate"] >= LEAST_SHARE * F.array_max("all")["rate"])
+    totals = grams.groupBy("lang").agg(F.sum("n").alias("total")).join(F.broadcast(shares), "lang")  # a row per language
+    chosen = grams.join(F.broadcast(totals), "lang").where((F.col("n") >= LEAST_RATE * F.col("total")) & (F.col("docs") >= F.col("least")))
+    rates = chosen.select("code", "lang", "docs", (F.col("n") / F.col("total")).alias("rate")).groupBy("code").agg(F.collect_list(F.struct("rate", "lang", "docs")).alias("all"))  # an entry per language
+    # one or two documents give a rate that is too rough to take the n-gram from another language
+    most = F.coalesce(F.array_max(F.filter("all", lambda x: x["docs"] >= LEAST_DOCS))["rate"], F.lit(0.0))
+    clear = F.filter("all", lambda x: x["rate"] >= LEAST_SHARE * most)
     chosen = rates.select("code", F.explode(clear).alias("x")).select("code", "x.lang")
-    bits = chosen.select("lang", "code").mapInPandas(_slot_rows(slot_bits, languages), "slot long, bit long")
-    for r in bits.groupBy("slot").agg(F.bit_or("bit").alias("bits")).toLocalIterator():
-        masks[r.slot] = dtype(r.bits & 0xFFFFFFFFFFFFFFFF)
+    bits = chosen.select("lang", "code").mapInPandas(_slot_rows(slot_bits, languages), "slot long, word int, bit long")
+    for r in bits.groupBy("slot", "word").agg(F.bit_or("bit").alias("bits")).toLocalIterator():
+        masks[r.word, r.slot] = r.bits & 0xFFFFFFFFFFFFFFFF
     return Filters(languages, masks, languages.index(counts[0].lang))
 
 
@@ -178,9 +185,10 @@ def _slot_rows(slot_bits: int, languages: list[str]):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            bit = np.left_shift(np.int64(1), pdf["lang"].map(number).to_numpy(np.int64))
+            own = pdf["lang"].map(number).to_numpy(np.int64)
+            bit = np.left_shift(np.int64(1), own % WORD)
             for s in slots(pdf["code"].to_numpy(np.int64).view(np.uint64), slot_bits):
-                yield pd.DataFrame({"slot": s, "bit": bit})
+                yield pd.DataFrame({"slot": s, "word": (own // WORD).astype(np.int32), "bit": bit})
 
     return run
 

@@ -45,6 +45,20 @@ def test_language_edge_cases(spark):
     assert langid.predict(docs.limit(0), filters).count() == 0
 
 
+def test_every_language_is_learned(spark):
+    rng = np.random.default_rng(5)
+    text = lambda vocabulary, n: " ".join(rng.choice(vocabulary, n))
+    tongues = [["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(4, 9))) for _ in range(30)] for _ in range(140)]
+    ids = [i for i in range(3000) if not in_fold(i)]
+    rows = [(ids.pop(), text(v, 120), f"l{k:03}") for k, v in enumerate(tongues) for _ in range(1 if k % 70 == 69 else 2 if k % 70 == 68 else 6)]
+    filters = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), slot_bits=16)
+    assert filters.languages == [f"l{k:03}" for k in range(140)]
+    new = [(k, text(v, 60)) for k, v in enumerate(tongues)]
+    docs = spark.createDataFrame(new, "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in langid.predict(docs, filters).collect()} == {k: f"l{k:03}" for k in range(140)}
+    assert langid.drop_unknown(docs, filters).count() == 140
+
+
 def test_false_positives_are_corrected():
     full = langid.Filters(["a", "b"], np.full(1 << 10, 1, np.uint8))  # every slot of a is set: it says nothing
     counts, _, _ = full.scores(["some text of letters"])
