@@ -3,13 +3,15 @@
 Texts are cut, in UTF-8 bytes, only where a byte-level BPE pre-tokenizer of the GPT-2 kind always starts a new
 piece: before a run of white space, after a lone white space other than a blank, and between an ASCII letter,
 digit or symbol and a neighbour of another class (not behind an apostrophe, whose contractions span classes).
-Encoding the pieces one by one therefore gives the ids of the whole text. Pieces repeat, so each distinct one
+Encoding the pieces one by one therefore gives the ids of the whole text. Added tokens of the vocabulary can
+span pieces, so a text that holds the content of one is encoded whole. Pieces repeat, so each distinct one
 is encoded once and found again by its 64-bit hash; the table of known pieces has a fixed size.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import zlib
 
 import numpy as np
@@ -101,7 +103,8 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        contents = sorted({t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content})
+        self.added = re.compile("|".join(map(re.escape, contents))) if contents else None
         self.bits = table_bits
         self._reset()
 
@@ -210,7 +213,7 @@ class PieceEncoder:
         upto = np.concatenate([[0], np.cumsum(count)])
         ids = self.ids[np.repeat(begin - upto[:-1], count) + np.arange(upto[-1])].astype(np.uint32)
         cut = upto[np.searchsorted(starts, bounds)]
-        odd = np.zeros(len(texts), bool)
+        odd = np.array([self.added is not None and self.added.search(t) is not None for t in texts], bool)
         if (o := np.flatnonzero(self.odd[number])).size:
             odd[np.searchsorted(bounds, starts[o], side="right") - 1] = True
         return [np.asarray(self._library([texts[i]])[0], np.uint32) if odd[i] else ids[cut[i] : cut[i + 1]] for i in range(len(texts))]

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 from offerloom.llm import chat, packing, tokenfiles
 from offerloom.llm.common import shared_folder
@@ -34,6 +35,15 @@ def test_pieces_give_the_ids_of_whole_texts(encoder):
     assert [x.tolist() for x in encoder.encode(texts)] == [library(encoder, t) for t in texts]
 
 
+def test_added_tokens_are_those_of_the_file_as_loaded(spark, encoder):
+    fresh = Tokenizer.from_file(default_path())
+    texts = ["<|endoftext|>", "end<|endoftext|>", "a <|endoftext|>\n<|endoftext|> b", "<|endoftext|" + "x" * 50, "plain", *ODD]
+    want = [fresh.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in encoder.encode(texts)] == want and want[0] == [50256]
+    df = spark.createDataFrame([(1, texts[2])], "doc_id long, text string")
+    assert {p.doc_tokens for p in packing.pack_documents(df).collect()} == {len(want[2]) + 1}
+
+
 @pytest.mark.parametrize("lengths", [[], [1], [2048], [5000, 3], [2049, 1], [1] * 3000, [random.Random(3).randint(1, 6000) for _ in range(400)]])
 def test_pack_is_gapless_and_full(lengths):
     documents, sequences = {}, {}
