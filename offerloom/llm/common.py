@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import ctypes
+import hashlib
+import pickle
 import sys
 import types
 import uuid
 from collections.abc import Callable, Hashable, Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -21,6 +24,7 @@ class Query:
 
 REGISTRY: dict[str, Query] = {}
 BATCH_ROWS = 512
+KEPT_KINDS = 4  # values of a worker
 
 
 def query(name: str, sql: str | None = None):
@@ -105,13 +109,53 @@ def keep_rows(docs: DataFrame, decide: Callable[[list], Sequence[bool]]) -> Data
     return docs.mapInArrow(run, docs.schema)
 
 
-def worker_value(key: Hashable, make: Callable[[], object]):
-    """A value that a Python worker keeps for its later tasks.
+def worker_value(kind: str, key: Hashable, make: Callable[[], object]):
+    """A value that a Python worker keeps for its later tasks: one per kind, another key replaces it.
 
-    The package's functions travel to workers by value, so their module globals start anew in each task;
-    what is dear to build (tokenizers, character tables) is kept on a module of its own.
+    The package's functions travel to workers by value, so their module globals start anew in each task; what is
+    dear to build (tokenizers, character tables) is kept on a module of its own. The kind that was not asked for
+    longest goes beyond KEPT_KINDS, so a worker does not carry the tables of earlier stages.
     """
     store = sys.modules.setdefault("_offerloom_worker", types.ModuleType("_offerloom_worker")).__dict__.setdefault("values", {})
-    if key not in store:
-        store[key] = make()
-    return store[key]
+    held = store.pop(kind, None)
+    if held is None or held[0] != key:
+        held = None  # let the old value go before the new one is built
+        while len(store) >= KEPT_KINDS:
+            store.pop(next(iter(store)))
+        held = (key, make())
+    store[kind] = held
+    return held[1]
+
+
+HASH_BASE = 0xD6E8FEB86659FD93
+
+
+def hash_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least n powers of HASH_BASE and of its inverse modulo 2**64; a worker keeps one pair, which grows."""
+    size = 1 << max(16, (n - 1).bit_length())
+    held = worker_value("powers", None, lambda: [np.ones(1, np.uint64)] * 2)
+    if len(held[0]) < size:
+        held[:] = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, b, np.uint64)]), dtype=np.uint64) for b in (HASH_BASE, pow(HASH_BASE, -1, 2**64))]
+    return held[0], held[1]
+
+
+_shared: list = []
+
+
+def digest(value: object) -> str:
+    """A name for a value by its content."""
+    return hashlib.sha256(pickle.dumps(value)).hexdigest()
+
+
+def share(spark: SparkSession, value: object):
+    """A broadcast of *value*, whose size the caller bounds.
+
+    Executors let go of what was shared before; where a plan still needs it, it is sent again.
+    """
+    context = spark.sparkContext
+    for owner, old in _shared:
+        if owner is context:
+            old.unpersist()
+    new = context.broadcast(value)
+    _shared[:] = [(context, new)]
+    return new

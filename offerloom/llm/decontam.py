@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from offerloom.llm.common import query, small, table, written
+from offerloom.llm.common import query, share, small, table, written
 from offerloom.llm.words import LITERAL, NAME, PLACEHOLDERS, Words, slices, windows, words
 
 WINDOW = 8
@@ -136,7 +136,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     spark = docs.sparkSession
     items = written(benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).mapInPandas(_item_windows, _ROWS))
     sizes = sorted(r.size for r in items.select("size").distinct().collect())  # at most WINDOW values
-    shared = spark.sparkContext.broadcast(_window_filter(items))
+    shared = share(spark, _window_filter(items))
     plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("text_hash"))
     hits = plain.mapInArrow(_doc_hits(shared, sizes), _HITS)
     own = items.select("item_id", "n_words", "form", "size", F.col("place").alias("item_place"), "h", F.col("slots").alias("item_slots"))
@@ -151,8 +151,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     holds = {TYPED: one[TYPED], CAPITALS: one[TYPED] & one[CAPITALS], NUMBERS: one[TYPED] & one[NUMBERS], PLAIN: one[TYPED] & one[NUMBERS] | whole}
     covered = F.array_distinct(F.concat(*[F.when(holds[f], words_of[f]).otherwise(F.expr("array()").cast("array<int>")) for f in FORMS]))
     consistent = run.select("row", "doc_id", "text_hash", "item_id", "n_words", covered.alias("covered"))
-    share = F.size(F.array_distinct(F.flatten(F.collect_list("covered")))) / F.max("n_words")
-    found = consistent.groupBy("row", "doc_id", "text_hash", "item_id").agg(share.alias("coverage"))
+    part = F.size(F.array_distinct(F.flatten(F.collect_list("covered")))) / F.max("n_words")
+    found = consistent.groupBy("row", "doc_id", "text_hash", "item_id").agg(part.alias("coverage"))
     return found.where(F.col("coverage") >= coverage).select("doc_id", "text_hash", "item_id", "coverage")
 
 

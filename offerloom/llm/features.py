@@ -7,7 +7,7 @@ import numpy as np
 from offerloom.llm.tokens import span_hashes
 
 NAMES = ["log_bytes", "log_words", "word_length", "upper", "digit", "symbol", "exclaim", "distinct", "repeated", "top_word", "caps_words", "symbol_ends", "stops", "line_words", "line_copies", "wide"]
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 _LOWER, _UPPER, _DIGIT, _SPACE, _STOP, _SYMBOL, _WIDE = range(7)
 

@@ -7,14 +7,13 @@ the counts are corrected for the false positives expected from each filter's fil
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from offerloom.llm.common import add_columns, held_out, keep_rows, query, table, worker_value, written
+from offerloom.llm.common import add_columns, digest, held_out, keep_rows, query, share, table, worker_value, written
 
 GRAM = 5  # characters of an n-gram, word edges included
 SLOT_BITS = 20  # the filters have 2**20 slots
@@ -28,7 +27,7 @@ WORD = 64  # languages of one word of a slot's mask
 UNKNOWN = "und"
 LEAST_COVERAGE = 0.2  # share of n-grams that a document of a learned language has at least
 SURE_LETTERS = 100  # letters from which on that share is reliable
-SLICE_CHARS = 1 << 20
+SLICE_CHARS = 1 << 18
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
@@ -49,7 +48,7 @@ def gram_codes(texts: list[str], gram: int = GRAM) -> tuple[np.ndarray, np.ndarr
     Texts are lower-cased; any stretch of other characters than letters counts as one blank, also at both
     ends. Texts shorter than an n-gram have one code of what they have.
     """
-    letters = worker_value("letters", _letters)
+    letters = worker_value("letters", None, _letters)
     joined = "\n".join(texts) + "\n"
     points = letters[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)]
     lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
@@ -202,12 +201,12 @@ def predict(docs: DataFrame, filters: Filters) -> DataFrame:
     with a low score. Equal counts go to the language first in the alphabet. Columns of *docs* with
     these names are replaced.
     """
-    model = docs.sparkSession.sparkContext.broadcast((filters.languages, filters.masks, filters.prior))
+    model = share(docs.sparkSession, (filters.languages, filters.masks, filters.prior))
 
     def compute(texts: list) -> dict:
-        return dict(zip(("lang_pred", "score", "coverage"), worker_value(("filters", key), lambda: Filters(*model.value)).predict(texts)))
+        return dict(zip(("lang_pred", "score", "coverage"), worker_value("filters", key, lambda: Filters(*model.value)).predict(texts)))
 
-    key = uuid.uuid4().hex
+    key = digest((filters.languages, filters.masks, filters.prior))
     return add_columns(docs, compute, "lang_pred string, score double, coverage double")
 
 
@@ -216,11 +215,11 @@ def drop_unknown(docs: DataFrame, filters: Filters, coverage: float = LEAST_COVE
 
     With no language learned, only documents without a letter go.
     """
-    model = docs.sparkSession.sparkContext.broadcast((filters.languages, filters.masks, filters.prior))
-    key = uuid.uuid4().hex
+    model = share(docs.sparkSession, (filters.languages, filters.masks, filters.prior))
+    key = digest((filters.languages, filters.masks, filters.prior))
 
     def decide(texts: list) -> np.ndarray:
-        own = worker_value(("filters", key), lambda: Filters(*model.value))
+        own = worker_value("filters", key, lambda: Filters(*model.value))
         counts, totals, n_letters = own.scores([t or "" for t in texts])
         known = counts.max(1, initial=0) >= coverage * totals
         return (n_letters > 0) & (known | (n_letters < letters) | (not own.languages))

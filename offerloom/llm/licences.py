@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
@@ -10,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from offerloom.llm.common import query, small, table, worker_value
+from offerloom.llm.common import digest, query, share, small, table, worker_value
 from offerloom.llm.words import slices, windows, words
 
 GRAM = 3  # words of a fingerprint
@@ -145,7 +144,7 @@ SCHEMA = "doc_id long, licence string, start long, end long, matched_words int,
 
 def _scan(shared, key: str, coverage: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = worker_value(("licences", key), lambda: Index(shared.value))
+        index = worker_value("licences", key, lambda: Index(shared.value))
         for batch in small(batches):
             ids, texts = batch.columns
             for begin, part in slices(texts.to_pylist()):
@@ -177,8 +176,7 @@ def licence_spans(docs: DataFrame, templates: Sequence[tuple[str, str]] = LICENC
         blocks[-1].append((name, text))
         held += size
     plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    share = docs.sparkSession.sparkContext.broadcast
-    return reduce(DataFrame.unionAll, [plain.mapInArrow(_scan(share(b), uuid.uuid4().hex, coverage), SCHEMA) for b in blocks])
+    return reduce(DataFrame.unionAll, [plain.mapInArrow(_scan(share(docs.sparkSession, b), digest(b), coverage), SCHEMA) for b in blocks])
 
 
 @query("op2_licence_scan")

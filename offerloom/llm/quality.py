@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from offerloom.llm.common import add_columns, held_out, keep_rows, query, table
+from offerloom.llm.common import add_columns, held_out, keep_rows, query, share, table
 from offerloom.llm.features import NAMES, features
 
 SAMPLE_ROWS = 20_000  # labelled documents that the model is fitted on
@@ -160,7 +160,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     """
     known = labels.where(F.col("quality").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", (F.col("quality") > 0).cast("int").alias("quality"))
     sample = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample_rows))
-    rows = docs.select("doc_id", "text").join(sample, "doc_id").select("text", "quality").mapInPandas(_feature_rows, "quality int, x array<double>").collect()
+    texts = docs.select("doc_id", "text").join(sample, "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))  # repeated ids count once
+    rows = texts.select("text", "quality").mapInPandas(_feature_rows, "quality int, x array<double>").collect()
     rows.sort(key=lambda r: (r.quality, r.x))
     x = np.array([r.x for r in rows], np.float64).reshape(len(rows), len(NAMES))
     order = np.random.default_rng(5).permutation(len(rows))
@@ -173,7 +174,7 @@ def score(docs: DataFrame, model: Gam) -> DataFrame:
     Texts are scored whole; null texts count as empty ones, which have a score like any other. Columns of
     *docs* named score or predicted are replaced.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((model.intercept, model.edges, model.tables, model.pair_edges, model.pairs))
+    shared = share(docs.sparkSession, (model.intercept, model.edges, model.tables, model.pair_edges, model.pairs))
 
     def compute(texts: list) -> dict:
         s = Gam(*shared.value).score(features(texts))
@@ -186,7 +187,7 @@ def drop_poor(docs: DataFrame, model: Gam, threshold: float = THRESHOLD) -> Data
     """The documents with a score of *threshold* or more. A model that has learned nothing drops nothing."""
     if not any(t.any() for t in model.tables):
         return docs
-    shared = docs.sparkSession.sparkContext.broadcast((model.intercept, model.edges, model.tables, model.pair_edges, model.pairs))
+    shared = share(docs.sparkSession, (model.intercept, model.edges, model.tables, model.pair_edges, model.pairs))
     return keep_rows(docs, lambda texts: Gam(*shared.value).score(features(texts)) >= threshold)
 
 

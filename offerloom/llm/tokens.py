@@ -16,12 +16,11 @@ import zlib
 
 import numpy as np
 
-from offerloom.llm.common import worker_value
+from offerloom.llm.common import hash_powers, worker_value
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 TABLE_BITS = 21
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-BASE = 0xD6E8FEB86659FD93
 
 _LETTER, _DIGIT, _SPACE, _SYMBOL, _WIDE = 1, 2, 3, 4, 0
 
@@ -46,27 +45,9 @@ CLASSES = _classes()
 VALUES = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-class _Powers:
-    """Powers of the hash base and of its inverse modulo 2**64, grown on demand."""
-
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            n = max(n, 2 * len(self.up))
-            inverse = pow(BASE, -1, 2**64)
-            self.up = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, BASE, np.uint64)]), dtype=np.uint64)
-            self.down = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, inverse, np.uint64)]), dtype=np.uint64)
-        return self.up, self.down
-
-
-_POWERS = _Powers()
-
-
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hash of every byte span [start, end) of *data*; equal bytes give equal hashes wherever they stand."""
-    up, down = _POWERS.get(len(data) + 1)
+    up, down = hash_powers(len(data) + 1)
     sums = np.empty(len(data) + 1, np.uint64)
     sums[0] = 0
     np.cumsum(VALUES[data] * up[: len(data)], out=sums[1:])
@@ -231,7 +212,7 @@ def _odd(piece: str) -> bool:
 
 def encoder(path: str) -> PieceEncoder:
     """The worker's encoder for *path*; it is kept for later tasks of the same worker."""
-    return worker_value(("encoder", path), lambda: PieceEncoder(path))
+    return worker_value("encoder", path, lambda: PieceEncoder(path))
 
 
 def ids_crc32(ids: np.ndarray) -> int:

@@ -7,9 +7,9 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from offerloom.llm.common import worker_value
+from offerloom.llm.common import HASH_BASE, hash_powers, worker_value
 
-SLICE_CHARS = 1 << 20
+SLICE_CHARS = 1 << 18
 LITERAL, NUMBER, UNIT, NAME = 0, 1, 2, 3
 PLACEHOLDERS = np.array([0, 11, 13, 17], np.uint64)  # canonical hash of every kind but LITERAL
 
@@ -21,7 +21,7 @@ UNITS = [
     "degrees", "dollar", "dollars", "cent", "cents", "euro", "euros", "hz", "khz", "mhz", "ghz", "w", "kw", "kwh", "v", "volt", "volts", "watt", "watts", "kb", "mb", "gb", "tb", "byte", "bytes", "mph", "kmh",
 ]
 
-_B1, _B2 = 0xD6E8FEB86659FD93, 0x9E3779B97F4A7C15
+_B1, _B2 = HASH_BASE, 0x9E3779B97F4A7C15
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
@@ -37,19 +37,6 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
     return kind, low
 
 
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of *base* and of its inverse modulo 2**64, at least n of them."""
-    size = 1 << max(16, (n - 1).bit_length())
-
-    def make():
-        def line(b: int) -> np.ndarray:
-            return np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, b, np.uint64)]), dtype=np.uint64)
-
-        return line(base), line(pow(base, -1, 2**64))
-
-    return worker_value(("powers", base, size), make)
-
-
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ h >> np.uint64(32)) * np.uint64(_B2)
     return h ^ h >> np.uint64(29)
@@ -57,7 +44,7 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 def span_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hash of values[start:end] for every span: equal spans have equal hashes wherever they stand."""
-    up, down = _powers(_B1, len(values) + 1)
+    up, down = hash_powers(len(values) + 1)
     sums = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(values * up[: len(values)], out=sums[1:])
     return _mixed((sums[end] - sums[start]) * down[start])
@@ -84,7 +71,7 @@ def words(texts: list[str]) -> Words:
     A number is a run of digits, a unit one of UNITS behind a number, a name a word with one capital in front
     that does not begin a sentence or line.
     """
-    kinds, lower = worker_value("word tables", _tables)
+    kinds, lower = worker_value("word tables", None, _tables)
     joined = "\n".join(texts) + "\n"
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     stops = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
@@ -109,7 +96,7 @@ def words(texts: list[str]) -> Words:
     before = np.where(start > 0, seen[start - 1] if len(start) else start, -1)
     mark_before = np.where(before >= 0, points[np.maximum(before, 0)], 10)
     out[capital & ~np.isin(mark_before, [10, 13, 33, 46, 58, 63])] = NAME
-    units = worker_value("unit hashes", lambda: np.sort(_word_hashes(UNITS)))
+    units = worker_value("unit hashes", None, lambda: np.sort(_word_hashes(UNITS)))
     doc = np.searchsorted(stops, start, side="right")
     if len(out) > 1:
         follows = np.flatnonzero((out[:-1] == NUMBER) & (doc[1:] == doc[:-1]) & (out[1:] != NUMBER)) + 1
