@@ -4,7 +4,7 @@ from importlib import import_module
 
 from offerloom.llm.common import REGISTRY, Query
 
-MODULES = ["langid", "licences", "embeddings", "packing", "simhash", "htmltext", "chat", "tokenfiles", "quality", "decontam", "bpetree", "spelling"]
+MODULES = ["langid", "licences", "embeddings", "packing", "simhash", "htmltext", "chat", "tokenfiles", "quality", "decontam", "bpetree", "spelling", "negatives"]
 
 
 def load() -> dict[str, Query]:
