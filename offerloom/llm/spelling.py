@@ -25,11 +25,12 @@ LEAST_LENGTH = 6
 LEAST_COUNT = 5
 DOMINANCE = 5  # a form is at least so many times as frequent
 SLIP = 199  # of op12: one in so many pairs of document and word loses a letter
-CELL_WORDS = 4096  # data words that one task searches at a time
+CELL_WORDS = 8192  # data words that one task searches at a time
 CELL_QUERIES = 1 << 16
 SAMPLE_WORDS = 50_000  # words that the upper trees are built from, on the driver
 LEAST_SAMPLE = 8  # of a cell
-LEAF = 16
+LEAF = 48  # words of a cell's leaf
+BATCH = 4096  # queries searched at a time
 HELD_WORDS = 200_000  # distinct words that a task counts before it hands them on
 PAIRS = 1 << 18  # compared at a time
 DIMS = 32  # a to z, and six for the letters from U+00C0 on
@@ -97,65 +98,54 @@ def _split(v: np.ndarray) -> tuple[int, int] | None:
     return (dim, int(middle[dim])) if balance[dim] else None
 
 
-class UpperTree:
-    """Cells of one word length: each is a box of letter counts, and the boxes cover all vectors once."""
+class Tree:
+    """k-d tree over vectors of letter counts. leaves[i]: the rows of a leaf of at most *size* rows, or of equal vectors.
 
-    def __init__(self, sample: np.ndarray, size: int, first_cell: int) -> None:
-        self.nodes: list[tuple[int, int, int, int]] = []  # dimension, cut, left, right; dimension -1: cell number is left
-        self.cells = 0
-        self._first, self._size = first_cell, max(size, LEAST_SAMPLE)
-        self._build(sample)
+    The boxes of the leaves cover all vectors once, also those that the tree was not built from.
+    """
+
+    def __init__(self, vectors: np.ndarray, size: int) -> None:
+        self.nodes: list[tuple[int, int, int, int]] = []  # dimension, cut, left, right; dimension -1: left is the leaf
+        self.leaves: list[np.ndarray] = []
+        self._build(vectors, np.arange(len(vectors)), max(1, size))
 
-    def _build(self, v: np.ndarray) -> int:
+    def _build(self, v: np.ndarray, rows: np.ndarray, size: int) -> int:
         number = len(self.nodes)
-        self.nodes.append((-1, 0, self._first + self.cells, 0))
-        cut = _split(v) if len(v) > self._size else None
+        self.nodes.append((-1, 0, len(self.leaves), 0))
+        cut = _split(v[rows]) if len(rows) > size else None
         if cut is None:
-            self.cells += 1
+            self.leaves.append(rows)
             return number
-        left = v[:, cut[0]] <= cut[1]
-        self.nodes[number] = (*cut, self._build(v[left]), self._build(v[~left]))
+        left = v[rows, cut[0]] <= cut[1]
+        self.nodes[number] = (*cut, self._build(v, rows[left], size), self._build(v, rows[~left], size))
         return number
 
-    def route(self, v: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray]]:
-        """(cell, rows of *v* whose box of *radius* touches it); radius 0 gives each row its own cell."""
-        low, high = np.zeros(DIMS, np.int16), np.full(DIMS, MOST, np.int16)
-        stack = [(0, np.arange(len(v)), low, high)]
+    def search(self, v: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray]]:
+        """(leaf, rows of *v* within *radius* of its box); radius 0 gives each row its own leaf.
+
+        A cut changes the distance from the box in one dimension only.
+        """
+        by_dim = np.ascontiguousarray(v.T)
+        stack = [(0, np.arange(len(v)), np.zeros(len(v), np.int16), (0,) * DIMS, (MOST,) * DIMS)]
         while stack:
-            node, rows, low, high = stack.pop()
-            if node:
-                rows = rows[_outside(v[rows], low, high) <= radius]
-            if not len(rows):
-                continue
+            node, rows, far, low, high = stack.pop()
             dim, cut, left, right = self.nodes[node]
             if dim < 0:
                 yield left, rows
                 continue
-            below, above = high.copy(), low.copy()
-            below[dim], above[dim] = cut, cut + 1
-            stack += [(left, rows, low, below), (right, rows, above, high)]
+            x = by_dim[dim][rows]
+            below = far + np.maximum(x - cut, 0) - np.maximum(x - high[dim], 0)
+            above = far + np.maximum(cut + 1 - x, 0) - np.maximum(low[dim] - x, 0)
+            for child, reached, ends in ((left, below, (low, (*high[:dim], cut, *high[dim + 1 :]))), (right, above, ((*low[:dim], cut + 1, *low[dim + 1 :]), high))):
+                near = reached <= radius
+                if near.any():
+                    stack.append((child, rows[near], reached[near], *ends))
 
 
-def _outside(v: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """Distance (sum of absolute differences) of every vector from a box."""
-    return (np.maximum(low - v, 0) + np.maximum(v - high, 0)).sum(axis=1)
-
-
-def _candidates(data: np.ndarray, v: np.ndarray, radius: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(rows of v, rows of data) blocks of a k-d tree over *data* with tight boxes: each holds the pairs of one leaf whose box is near."""
-    stack = [(np.arange(len(data)), np.arange(len(v)))]
-    while stack:
-        inside, rows = stack.pop()
-        part = data[inside]
-        rows = rows[_outside(v[rows], part.min(axis=0), part.max(axis=0)) <= radius[rows]]
-        if not len(rows):
-            continue
-        cut = _split(part) if len(inside) > LEAF else None
-        if cut is None:
-            yield rows, inside
-        else:
-            left = part[:, cut[0]] <= cut[1]
-            stack += [(inside[left], rows), (inside[~left], rows)]
+def _marks(v: np.ndarray) -> np.ndarray:
+    """64 bits per vector: which letters occur, and which occur twice. Vectors differ by at least as much as their marks do in bits."""
+    bits = np.concatenate([v >= 1, v >= 2], axis=1)
+    return np.packbits(bits, axis=1).view(np.uint64)[:, 0]
 
 
 def one_edit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -192,39 +182,53 @@ def _hole_pairs(queries: list[bytes], data: list[bytes]) -> tuple[list[int], lis
     return rows, found
 
 
-def near_words(queries: list[bytes], data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(query, data) numbers of all pairs that are one edit apart. Words are Latin-1; data words have one length."""
-    if not queries or not data:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    length = len(data[0])
-    sizes = np.array([len(w) for w in queries])
-    letters = np.frombuffer(b"".join(data), np.uint8).reshape(len(data), length)
-    vectors = letter_counts(data)
-    out_q, out_d = [], []
-    for size in (length - 1, length, length + 1):
-        own = np.flatnonzero(sizes == size)
-        if not len(own) or not size:
-            continue
-        words = [queries[i] for i in own]
-        q_letters = np.frombuffer(b"".join(words), np.uint8).reshape(len(words), size)
+class Cell:
+    """Data words of one length with their tree."""
+
+    def __init__(self, data: list[bytes]) -> None:
+        self.data, self.length = data, len(data[0])
+        self.letters = np.frombuffer(b"".join(data), np.uint8).reshape(len(data), self.length)
+        self.vectors = letter_counts(data)
+        self.marks = _marks(self.vectors)
+        self.tree = Tree(self.vectors, LEAF)
+
+    def near(self, queries: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(query, data) numbers of all pairs that are one edit apart."""
+        sizes = np.array([len(w) for w in queries])
+        out = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+        for size in (self.length - 1, self.length, self.length + 1):
+            own = np.flatnonzero(sizes == size)
+            if len(own) and size:
+                q, d = self._near([queries[i] for i in own], size)
+                out.append((own[q], d))
+        return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
+
+    def _near(self, words: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
+        letters = np.frombuffer(b"".join(words), np.uint8).reshape(len(words), size)
         v = letter_counts(words)
-        radius = 2 if size == length else 1
-        for rows, inside in _candidates(vectors, v, np.full(len(v), radius)):
+        marks, radius = _marks(v), 2 if size == self.length else 1
+        pairs, sure = [], []
+        for leaf, rows in self.tree.search(v, radius):
+            inside = self.tree.leaves[leaf]
             if len(rows) * len(inside) > PAIRS:
-                i, j = _hole_pairs([words[r] for r in rows], [data[k] for k in inside])
-                out_q.append(own[rows[i]])
-                out_d.append(inside[j])
-                continue
-            near = np.abs(v[rows][:, None, :] - vectors[inside][None, :, :]).sum(axis=2) <= radius
-            i, j = np.nonzero(near)
-            i, j = rows[i], inside[j]
-            step = max(1, PAIRS // length)
+                i, j = _hole_pairs([words[r] for r in rows], [self.data[k] for k in inside])
+                sure.append((rows[i], inside[j]))
+            else:
+                i, j = np.nonzero(np.bitwise_count(marks[rows][:, None] ^ self.marks[inside]) <= radius)
+                pairs.append((rows[i], inside[j]))
+        if pairs:
+            i, j = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
+            step = max(1, PAIRS // (self.length + DIMS))
             for b in range(0, len(i), step):
-                x, y = q_letters[i[b : b + step]], letters[j[b : b + step]]
-                sure = one_edit(x, y) if size <= length else one_edit(y, x)
-                out_q.append(own[i[b : b + step][sure]])
-                out_d.append(j[b : b + step][sure])
-    return (np.concatenate(out_q), np.concatenate(out_d)) if out_q else (np.empty(0, np.int64), np.empty(0, np.int64))
+                q, d = i[b : b + step], j[b : b + step]
+                close = np.abs(v[q] - self.vectors[d]).sum(axis=1) <= radius
+                q, d = q[close], d[close]
+                x, y = letters[q], self.letters[d]
+                found = one_edit(x, y) if size <= self.length else one_edit(y, x)
+                sure.append((q[found], d[found]))
+        if not sure:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.concatenate([s[0] for s in sure]), np.concatenate([s[1] for s in sure])
 
 
 def _search(_: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -233,9 +237,10 @@ def _search(_: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     asked = pdf[~pdf["is_data"]]
     d_words, q_words = [[w.encode("latin-1") for w in x["word"]] for x in (data, asked)]
     d_n = data["n"].to_numpy(np.int64)
+    cell = Cell(d_words) if d_words else None
     parts = []
-    for b in range(0, len(q_words), CELL_WORDS):
-        q, d = near_words(q_words[b : b + CELL_WORDS], d_words)
+    for b in range(0, len(q_words) if cell else 0, BATCH):
+        q, d = cell.near(q_words[b : b + BATCH])
         if not len(q):
             continue
         order = np.lexsort((d, -d_n[d], q))
@@ -246,26 +251,27 @@ def _search(_: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(parts) if parts else pd.DataFrame({"word": pd.Series(dtype=str), "n_near": pd.Series(dtype=np.int64), "form": pd.Series(dtype=str), "form_n": pd.Series(dtype=np.int64)})
 
 
-def _deal(trees: dict[int, UpperTree]):
+def _deal(trees: dict[int, tuple[int, Tree]]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for b in range(0, len(pdf), CELL_WORDS):
-                part = pdf.iloc[b : b + CELL_WORDS]
+            for b in range(0, len(pdf), BATCH):
+                part = pdf.iloc[b : b + BATCH]
                 words = [w.encode("latin-1") for w in part["word"]]
                 sizes, v = np.array([len(w) for w in words]), letter_counts(words)
                 for size in np.unique(sizes):
                     own = np.flatnonzero(sizes == size)
                     for other, radius, is_data in ((size, 0, True), (size, 2, False), (size - 1, 1, False), (size + 1, 1, False)):
                         if other in trees:
-                            for cell, rows in trees[other].route(v[own], radius):
-                                at = own[rows]
-                                yield pd.DataFrame({"cell": np.full(len(at), cell), "is_data": is_data, "word": part["word"].to_numpy()[at], "n": part["n"].to_numpy()[at]})
+                            first, tree = trees[other]
+                            met = [(own[rows], first + leaf) for leaf, rows in tree.search(v[own], radius)]
+                            at, cell = np.concatenate([m[0] for m in met]), np.repeat([m[1] for m in met], [len(m[0]) for m in met])
+                            yield pd.DataFrame({"cell": cell, "is_data": is_data, "word": part["word"].to_numpy()[at], "n": part["n"].to_numpy()[at]})
 
     return run
 
 
-def upper_trees(counted: DataFrame, cell_words: int = CELL_WORDS, sample_words: int = SAMPLE_WORDS) -> dict[int, UpperTree]:
-    """A tree per word length that occurs, from about *sample_words* words (those whose hashes are lowest)."""
+def upper_trees(counted: DataFrame, cell_words: int = CELL_WORDS, sample_words: int = SAMPLE_WORDS) -> dict[int, tuple[int, Tree]]:
+    """(number of the first cell, tree) per word length that occurs, from about *sample_words* words (those whose hashes are lowest)."""
     total = counted.count()
     share = min(1.0, sample_words / max(1, total))
     lengths = [r.length for r in counted.select(F.length("word").alias("length")).distinct().collect()]  # few: distinct word lengths
@@ -275,8 +281,10 @@ def upper_trees(counted: DataFrame, cell_words: int = CELL_WORDS, sample_words:
         sample[len(r.word)].append(r.word.encode("latin-1"))
     trees, cells = {}, 0
     for length in sorted(lengths):
-        trees[length] = UpperTree(letter_counts(sample[length]), int(cell_words * share), cells)
-        cells += trees[length].cells
+        tree = Tree(letter_counts(sample[length]), max(LEAST_SAMPLE, int(cell_words * share)))
+        trees[length] = cells, tree
+        cells += len(tree.leaves)
+        tree.leaves.clear()  # cells hold other words than the sample's
     return trees
 
 

@@ -69,15 +69,15 @@ def test_words_of_equal_letters(monkeypatch):
     data = [w.encode("latin-1") for w in words]
     asked = [w.encode("latin-1") for w in words] + [w[:3].encode() + w[4:].encode() for w in words[:300]] + [w[:3].encode() + b"z" + w[3:].encode() for w in words[:300]] + [w[:3].encode() + b"c" + w[4:].encode() for w in words[:300]]
     want = {(i, j) for i, a in enumerate(asked) for j, b in enumerate(data) if near(a.decode(), b.decode())}
-    assert want and set(zip(*map(list, spelling.near_words(asked, data)))) == want
+    assert want and set(zip(*map(list, spelling.Cell(data).near(asked)))) == want
     monkeypatch.setattr(spelling, "PAIRS", 8)
-    q, d = spelling.near_words(asked, data)
+    q, d = spelling.Cell(data).near(asked)
     assert len(q) == len(want) and set(zip(q.tolist(), d.tolist())) == want
 
 
 def test_very_long_words():
     long = b"a" * 70_000
-    q, d = spelling.near_words([long, long[:-1], long[:-1] + b"b", b"b" * 70_000], [long, long[:-2] + b"bb"])
+    q, d = spelling.Cell([long, long[:-2] + b"bb"]).near([long, long[:-1], long[:-1] + b"b", b"b" * 70_000])
     assert set(zip(q.tolist(), d.tolist())) == {(1, 0), (2, 0), (2, 1)}
 
 
