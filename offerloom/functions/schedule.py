@@ -62,6 +62,28 @@ def fires_at(plan: Column, ts: Column) -> Column:
     )
 
 
+def bit_set(values: Column) -> Column:
+    """Numbers from 0 to 62 as the bits of a long."""
+    return F.aggregate(values, F.lit(0).cast("bigint"), lambda acc, v: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), v)))
+
+
+def has_bit(bits: Column, number: Column) -> Column:
+    return F.call_function("shiftright", bits, number.cast("int")).bitwiseAND(F.lit(1).cast("bigint")) == 1
+
+
+def cron_masks(cron: Column) -> Column:
+    """A schedule as bit sets: minute, hour, dom, month, dow, and whether both day fields are restricted; null if not supported."""
+    plan = cron_plan(cron)
+    either = (plan["dom_restricted"] & plan["dow_restricted"]).alias("either")
+    return F.when(plan.isNotNull(), F.struct(*[bit_set(plan[n]).alias(n) for n in BOUNDS], either))
+
+
+def mask_fires_on_day(masks: Column, day: Column) -> Column:
+    """The rule of fires_on_day over bit sets."""
+    dom, dow = has_bit(masks["dom"], F.dayofmonth(day)), has_bit(masks["dow"], F.dayofweek(day) - 1)
+    return has_bit(masks["month"], F.month(day)) & F.when(masks["either"], dom | dow).otherwise(dom & dow)
+
+
 def minutes_of_day(plan: Column) -> Column:
     return F.flatten(F.transform(plan["hour"], lambda h: F.transform(plan["minute"], lambda m: h * 60 + m)))
 

@@ -60,26 +60,30 @@ def same_last_run(instants: DataFrame, completed: DataFrame, seconds: int = K.SA
 def named_runs(slugs: DataFrame, log: DataFrame) -> DataFrame:
     """Run-log rows whose title or name contains a product slug.
 
-    A slug is keyed by the gram of GRAM characters that the fewest slugs have, a log row by its distinct
-    grams; an equi-join on grams gives the candidates and a containment check decides. Shorter slugs are
-    their own key, for which log rows have their grams of those few lengths.
+    An inverted index over the distinct texts of the log. A slug is keyed by the gram of GRAM characters that the
+    fewest slugs have, a text by its distinct grams; an equi-join on grams gives the candidates and a containment
+    check decides. Shorter slugs are their own key; texts have grams of just the short lengths that occur. Only
+    texts travel through the join: the rows of the log meet them at the end, so runs that repeat a title are
+    searched once.
     """
-    def grams(column: str, size: int) -> Column:
-        n = F.length(column)
-        cut = F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.substring(column, i, F.lit(size)))
-        return F.when(n >= size, cut).otherwise(F.array().cast("array<string>"))
+    def grams(text: Column, size: Column) -> Column:
+        n = F.length(text)
+        return F.when(n >= size, F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.substring(text, i, size))).otherwise(F.array().cast("array<string>"))
 
     names = slugs.select("slug").where(c("slug") != "").distinct()
-    long = names.where(F.length("slug") >= GRAM).select("slug", F.explode(F.array_distinct(grams("slug", GRAM))).alias("gram"))
+    long = names.where(F.length("slug") >= GRAM).select("slug", F.explode(F.array_distinct(grams(c("slug"), F.lit(GRAM)))).alias("gram"))
     shared = long.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     rarest = long.join(shared, "gram").groupBy("slug").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
     keyed = rarest.unionByName(names.where(F.length("slug") < GRAM).select("slug", c("slug").alias("gram")))
-    sizes = range(1, GRAM + 1)
-    none = F.array().cast("array<string>")
-    keys = F.array_distinct(F.concat(*[F.coalesce(grams(n, k), none) for n in ("display_title", "name") for k in sizes]))
-    found = log.withColumn("gram", F.explode(keys)).join(keyed, "gram").drop("gram")
-    inside = lambda n: F.coalesce(c(n).contains(c("slug")), F.lit(False))
-    return found.where(inside("display_title") | inside("name")).select("slug", *log.columns)
+    sizes = names.agg(F.array_distinct(F.concat(F.array(F.lit(GRAM)), F.collect_set(F.when(F.length("slug") < GRAM, F.length("slug"))))).alias("_sizes"))
+    # A row with nulls stays apart from one with empty texts, as both find nothing.
+    both = F.concat(F.coalesce("display_title", F.lit("")), F.lit("\n"), F.coalesce("name", F.lit("")))
+    keyed_log = log.withColumn("_text", both)
+    texts = keyed_log.select("_text").distinct().join(F.broadcast(sizes))  # one row of at most GRAM numbers
+    keys = F.array_distinct(F.flatten(F.transform("_sizes", lambda k: F.flatten(F.transform(F.split("_text", "\n"), lambda t: grams(t, k))))))
+    met = texts.select("_text", F.explode(keys).alias("gram")).join(keyed, "gram").select("_text", "slug")
+    found = met.where(F.exists(F.split("_text", "\n"), lambda t: t.contains(c("slug")))).distinct()
+    return keyed_log.join(found, "_text").select("slug", *log.columns)
 
 
 def newest_run() -> Column:

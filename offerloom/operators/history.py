@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from offerloom import constants as K
-from offerloom.operators.skew import first_row
+from offerloom.operators.skew import first_row, pieces, scan
 from offerloom.schema import PLACE
 
 c = F.col
@@ -59,10 +59,11 @@ def diff_steps(daily: DataFrame, column: str = "snapshot_date", threshold: float
     *daily* has one row per (slug, url, step). A single window per (slug, url) sees an offer's own
     steps; comparing step numbers tells new (missing one step earlier), dropped (missing one step
     later) and changed, so no self-join and one shuffle of the rows. *steps* are the numbered steps, where
-    the caller has them (one row per product and step).
+    the caller has them (one row per product and step); *daily* may carry step_no and steps already.
     """
     steps = numbered_steps(daily, column) if steps is None else steps
-    rows = daily.join(steps.select("slug", column, "step_no", "steps"), ["slug", column])
+    numbered = {"step_no", "steps"} <= set(daily.columns)
+    rows = daily if numbered else daily.join(steps.select("slug", column, "step_no", "steps"), ["slug", column])
     w = Window.partitionBy("slug", "url").orderBy("step_no")
     price = c("unit_price_usd")
     seen = rows.select(
@@ -137,17 +138,33 @@ def headline(new_count: Column, big_drops: Column, lowest: Column, previous_lowe
 
 
 def price_history(history: DataFrame) -> DataFrame:
-    """Per stored offer row: change against the previous observation, and first and lowest price so far.
+    """Per stored offer row: change against the previous observation, and first, lowest and highest price so far.
 
-    The window is one URL of one product over time: one row per run.
+    A prefix scan over pieces of time, so one URL may hold most rows. Rows without a URL cannot be followed:
+    each is a history of its own.
     """
-    w = Window.partitionBy("slug", "url").orderBy("fetched_at", *PLACE)
-    so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     price = c("unit_price_usd")
-    return history.select(
+    alone = F.concat_ws(":", F.lit(""), *[c(n).cast("string") for n in PLACE], c("fetched_at").cast("string"))
+    rows = history.select("slug", "url", "fetched_at", *PLACE, price, F.coalesce(F.when(F.trim("url") != "", c("url")), alone).alias("_url"))
+    keys, order = ["slug", "_url"], [c("fetched_at"), *[c(n) for n in PLACE]]
+    place = F.struct("fetched_at", *PLACE)
+    so_far = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    value = F.struct(price.alias("v"))  # a null price is still an observation
+    done = scan(
+        pieces(rows, keys, order), keys, order,
+        {
+            "_no": lambda w: F.row_number().over(w), "_lag": lambda w: F.lag(price).over(w), "_first": lambda w: F.first(price).over(so_far(w)),
+            "_low": lambda w: F.min(price).over(so_far(w)), "_high": lambda w: F.max(price).over(so_far(w)),
+        },
+        {
+            "_last_before": (F.max_by(value, place), lambda n, w: F.last(n).over(w)), "_first_before": (F.min_by(value, place), lambda n, w: F.first(n).over(w)),
+            "_low_before": (F.min(price), lambda n, w: F.min(n).over(w)), "_high_before": (F.max(price), lambda n, w: F.max(n).over(w)),
+        },
+    )
+    begun = c("_first_before").isNotNull()
+    return done.select(
         "slug", "url", "fetched_at", "pos", price,
-        F.lag(price).over(w).alias("previous_price_usd"),
-        F.first(price).over(so_far).alias("first_price_usd"),
-        F.min(price).over(so_far).alias("lowest_price_usd"),
-        F.max(price).over(so_far).alias("highest_price_usd"),
+        F.when(c("_no") > 1, c("_lag")).otherwise(c("_last_before.v")).alias("previous_price_usd"),
+        F.when(begun, c("_first_before.v")).otherwise(c("_first")).alias("first_price_usd"),
+        F.least("_low", "_low_before").alias("lowest_price_usd"), F.greatest("_high", "_high_before").alias("highest_price_usd"),
     )

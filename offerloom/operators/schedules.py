@@ -24,24 +24,40 @@ def due_runs(schedules: DataFrame, ticks: DataFrame, fired_once: DataFrame | Non
     return recurring.unionByName(first_tick_after(once, spans).withColumn("reason", F.lit("run_at")))
 
 
+def tick_calendar(spans: DataFrame, minutes: int) -> DataFrame:
+    """(day, hours) for the windows (tick - minutes, tick] of a day's ticks: structs of hour, whether it lies on the
+    day before, tick, and the covered minutes as a bit set. Windows are at most a day long.
+
+    A row is one day: it has at most 1,440 ticks, with minutes / 60 + 2 structs each.
+    """
+    begin = F.timestamp_add("MINUTE", F.lit(1 - minutes), c("tick"))  # first minute inside
+    hour = F.explode(F.sequence(F.date_trunc("hour", begin), F.date_trunc("hour", "tick"), F.expr("interval 1 hour")))
+    met = spans.select("tick", begin.alias("begin"), hour.alias("hour"))
+    first = F.when(c("begin") > c("hour"), F.minute("begin")).otherwise(0)
+    last = F.when(F.date_trunc("hour", "tick") > c("hour"), 59).otherwise(F.minute("tick"))
+    ones = F.call_function("shiftleft", F.lit(1).cast("bigint"), (last - first + 1).cast("int")) - 1
+    covered = F.call_function("shiftleft", ones, first.cast("int"))
+    row = F.struct(F.hour("hour").alias("hour"), (F.to_date("hour") < F.to_date("tick")).alias("before"), "tick", covered.alias("minutes"))
+    return met.groupBy(F.to_date("tick").alias("day")).agg(F.collect_list(row).alias("hours"))
+
+
 def cron_due(schedules: DataFrame, spans: DataFrame, minutes: int) -> DataFrame:
-    """Fire instants met with tick windows by time bucket, so every join here is an equi-join.
+    """(slug, tick) of schedules that fire in (tick - minutes, tick]: calendars as bit sets.
 
-    A window of *minutes* touches at most two buckets of that length.
+    A schedule is five numbers, a window the minutes it covers of an hour. Schedules meet the days of their
+    months (and the first day after these, whose windows reach back); on a day that fires, or follows one, the
+    windows are those whose hour and minutes have a bit in common with the schedule. No fire minute becomes a row,
+    and all hours of a tick are compared in one row, so nothing is made distinct after the join.
     """
-    bucket = lambda ts: F.floor(F.unix_seconds(ts) / (60 * minutes))
-    start = F.timestamp_add("MINUTE", F.lit(-minutes), c("tick"))
-    windows = spans.select("tick", start.alias("start"), F.explode(F.array_distinct(F.array(bucket(start), bucket(c("tick"))))).alias("bucket"))
-    days = spans.select(F.explode(F.array_distinct(F.array(F.to_date(start), F.to_date("tick")))).alias("day")).distinct()
-    plans = schedules.select("slug", S.cron_plan(c("cron")).alias("plan")).where(c("plan").isNotNull())
-    by_month = plans.select("slug", "plan", F.explode("plan.month").alias("month")).join(days.withColumn("month", F.month("day")), "month")
-    fires = (
-        by_month.where(S.fires_on_day(c("plan"), c("day")))
-        .select("slug", "day", F.explode(S.minutes_of_day(c("plan"))).alias("minute"))
-        .select("slug", F.timestamp_add("MINUTE", "minute", c("day").cast("timestamp")).alias("fire_at"))
-    )
-    met = fires.withColumn("bucket", bucket(c("fire_at"))).join(windows, "bucket")
-    return met.where((c("fire_at") > c("start")) & (c("fire_at") <= c("tick"))).select("slug", "tick").distinct()
+    calendar = tick_calendar(spans, minutes).withColumn("month", F.month("day"))
+    plans = schedules.select("slug", S.cron_masks(c("cron")).alias("masks")).where(c("masks").isNotNull())
+    reached = lambda m: S.has_bit(c("masks.month"), m) | S.has_bit(c("masks.month"), F.when(m == 1, 12).otherwise(m - 1))
+    months = F.filter(F.sequence(F.lit(1), F.lit(12)), reached)
+    met = plans.select("slug", "masks", F.explode(months).alias("month")).join(calendar, "month")
+    met = met.withColumn("today", S.mask_fires_on_day(c("masks"), c("day"))).withColumn("yesterday", S.mask_fires_on_day(c("masks"), F.date_sub("day", 1)))
+    fires = lambda h: F.when(h["before"], c("yesterday")).otherwise(c("today")) & S.has_bit(c("masks.hour"), h["hour"]) & (h["minutes"].bitwiseAND(c("masks.minute")) != 0)
+    ticks = F.array_distinct(F.transform(F.filter("hours", fires), lambda h: h["tick"]))
+    return met.where(c("today") | c("yesterday")).select("slug", F.explode(ticks).alias("tick"))
 
 
 def first_tick_after(once: DataFrame, spans: DataFrame) -> DataFrame:

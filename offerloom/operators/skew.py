@@ -3,6 +3,8 @@
 * ``top_rows``       - k first rows per key; Spark limits every map task to k rows per key before the shuffle.
 * ``counted_median`` - exact median from (value, count) rows, through bucket counts instead of one sorted group.
 * ``ordered_rank``   - exact row number per key over a range-partitioned copy that is written once.
+* ``pieces``         - the same copy for scans along an order: each piece of a key is scanned alone, a carry from the
+  pieces before it completes the result.
 """
 
 from __future__ import annotations
@@ -109,6 +111,33 @@ def ordered_rank(df: DataFrame, keys: Sequence[str], order: Sequence[Column], na
     )
 
 
+def pieces(df: DataFrame, keys: Sequence[str], order: Sequence[Column], parts: int | None = None) -> DataFrame:
+    """*df* cut into even pieces along (keys, order), written once; `_part` numbers the pieces in order.
+
+    Range bounds lie inside a hot key as well, so no piece grows with a key. *order* must tell all rows of a
+    key apart where the scan depends on it.
+    """
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return durable(df.repartitionByRange(parts, *keys, *order).withColumn("_part", F.spark_partition_id()))
+
+
+def scan(placed: DataFrame, keys: Sequence[str], order: Sequence[Column], local: dict[str, Callable], carried: dict[str, tuple[Column, Callable]]) -> DataFrame:
+    """One pass along *order* within every key of *placed* rows (see ``pieces``).
+
+    local: name -> function from the window of the piece (key and `_part`, ordered) to a column.
+    carried: name -> (aggregate of a piece, function from (column name, window over earlier pieces) to a column).
+    Both are columns of the result, which the caller combines. Carries are one row per key and piece; a key has
+    at most as many pieces as there are partitions.
+    """
+    keys = list(keys)
+    inside = Window.partitionBy(*keys, "_part").orderBy(*order)
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = placed.groupBy(*keys, "_part").agg(*[agg.alias(f"_of_{name}") for name, (agg, _) in carried.items()])
+    carries = sums.select(*keys, "_part", *[over(f"_of_{name}", earlier).alias(name) for name, (_, over) in carried.items()])
+    rows = placed.select("*", *[column(inside).alias(name) for name, column in local.items()])
+    return rows.join(carries, [*keys, "_part"])
+
+
 def column_bounds(df: DataFrame, defaults: dict[str, int]) -> list[int]:
     """Largest value of each per-profile limit, nulls being the default: literals of pushed-down row limits, in one job."""
     row = df.agg(*[F.max(F.coalesce(F.col(n), F.lit(d))) for n, d in defaults.items()]).first()

@@ -132,16 +132,17 @@ def validate_offers(
 def diff_latest(stored: DataFrame, newest_only: bool = True) -> tuple[DataFrame, DataFrame]:
     """(change rows, headline rows) between each product's snapshot dates; by default the two newest only.
 
-    Dates come from a scan of two columns; rows of other dates are left out before duplicates are removed.
-    Both the dates and the daily rows are written once, as counts, minima and changes all read them.
+    Dates come from a scan of two columns; rows of other dates are left out before duplicates are removed. The
+    daily rows carry the number of their step and are the one table written: changes, counts, minima and the
+    steps themselves (one row per product and date) are aggregates over it.
     """
     dated = stored.withColumn("snapshot_date", F.to_date("fetched_at"))
     steps = history.numbered_steps(history.snapshot_dates(stored), "snapshot_date")
-    steps = durable(history.newest_pair(steps, "snapshot_date") if newest_only else steps)
     if newest_only:
-        dated = dated.join(steps.select("slug", "snapshot_date"), ["slug", "snapshot_date"], "left_semi")
-    daily = durable(history.latest_per_day(dated))
-    diff = durable(history.diff_steps(daily, steps=steps))
+        steps = history.newest_pair(steps, "snapshot_date")
+    daily = durable(history.latest_per_day(dated.join(steps, ["slug", "snapshot_date"])))
+    steps = daily.select(*steps.columns).distinct()
+    diff = history.diff_steps(daily, steps=steps)
     return diff, history.material_change(daily, diff, steps=steps)
 
 

@@ -40,6 +40,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(spark: SparkSession, df: DataFrame, key: str) -> DataFrame:
+    """The driver tables are one row group each; landed recall comes in many files. Rows are dealt to all cores."""
+    return df.repartition(spark.sparkContext.defaultParallelism, key)
+
+
 def day(col) -> F.Column:
     return F.date_format(col, "yyyy-MM-dd")
 
@@ -53,6 +58,7 @@ def offers(spark: SparkSession, sf: str) -> DataFrame:
     line = table(spark, sf, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag", "l_shipdate"
     )
+    line = spread(spark, line, "l_orderkey")
     supplier = table(spark, sf, "supplier").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal")
     nation = table(spark, sf, "nation").select("n_nationkey", "n_name")
     part = table(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
@@ -234,7 +240,7 @@ RUN_SQL = CANDIDATES_SQL.strip() + ",\n" + flagged_sql("candidates") + ",\n" + D
 
 def event_offers(spark: SparkSession, sf: str) -> DataFrame:
     """Events as offers: product = user, run = day, host = event type, price = value."""
-    e = table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    e = spread(spark, table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "value"), "event_id")
     ts = c("ts").cast("timestamp")
     return conform(
         e.select(

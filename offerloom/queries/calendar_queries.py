@@ -74,9 +74,14 @@ def one_shot_runs(spark, sf):
 
 
 @query("next_runs", "WITH " + CRON_SQL.strip() + """
-SELECT CAST(k AS VARCHAR) AS slug, strftime(min(t), '%Y-%m-%d %H:%M') AS next_run FROM fires WHERE t > TIMESTAMP '2024-01-02 11:30:00' AND kind_of(k) < 3 GROUP BY k""".replace("kind_of(k)", "k % 6"))
+,
+due AS (SELECT k, min(t) AS t FROM fires WHERE t > TIMESTAMP '2024-01-02 11:30:00' GROUP BY k),
+once AS (SELECT k, TIMESTAMP '2024-01-01' + to_minutes(k * 37 % 43200) AS t FROM s WHERE kind = 5)
+SELECT CAST(k AS VARCHAR) AS slug, strftime(CASE WHEN once.t > TIMESTAMP '2024-01-02 11:30:00' THEN once.t ELSE due.t END, '%Y-%m-%d %H:%M') AS next_run
+FROM s LEFT JOIN due USING (k) LEFT JOIN once USING (k)""")
 def next_runs(spark, sf):
-    rows = cron_rows(spark, sf).where(c("slug").cast("bigint") % 6 < 3)
+    """Every schedule: a day of the month or of the week, invalid crons and one-shot times that have passed (null) as well."""
+    rows = cron_rows(spark, sf)
     after = F.lit("2024-01-02 11:30:00").cast("timestamp")
     return schedules.next_runs(rows, after).select("slug", F.date_format("next_run", "yyyy-MM-dd HH:mm").alias("next_run"))
 
@@ -109,10 +114,10 @@ def schedule_texts(spark, sf):
 # --- catalogue --------------------------------------------------------------------------------------
 
 
-@query("product_catalogue", "SELECT DISTINCT CAST(user_id AS VARCHAR) AS slug FROM events UNION SELECT CAST(c_custkey AS VARCHAR) FROM customer")
+@query("product_catalogue", "SELECT DISTINCT CAST(user_id AS VARCHAR) AS slug FROM events UNION SELECT CAST(c_custkey AS VARCHAR) FROM customer WHERE c_custkey <> 1")
 def product_catalogue(spark, sf):
     reports = table(spark, sf, "events").select(c("user_id").cast("string").alias("slug"))
-    profile_slugs = table(spark, sf, "customer").select(F.when(c("c_custkey") == -1, "_template").otherwise(c("c_custkey").cast("string")).alias("slug"))
+    profile_slugs = table(spark, sf, "customer").select(F.when(c("c_custkey") == 1, "_template").otherwise(c("c_custkey").cast("string")).alias("slug"))
     return catalog.products(reports, profile_slugs)
 
 
@@ -203,18 +208,23 @@ def product_status(spark, sf):
 
 
 @query("product_cards", """
-WITH rep AS (SELECT user_id, arg_max(value, (strftime(ts, '%Y-%m-%d'), event_id)) AS v, count(*) AS n FROM events WHERE event_id % 5 IN (0, 1) GROUP BY user_id)
-SELECT CAST(user_id AS VARCHAR) AS slug, 'Q' AS title, 'waiting' AS status, 9 AS listing_count FROM rep WHERE user_id % 2 = 0
-UNION ALL SELECT CAST(user_id AS VARCHAR), 'Q', 'idle', 9 FROM rep WHERE user_id % 2 = 1""")
+WITH last_of_day AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS d, max(event_id) AS event_id FROM events GROUP BY ALL),
+rep AS (SELECT user_id, max(d) AS d, arg_max(event_id, d) AS event_id FROM last_of_day WHERE event_id % 5 IN (0, 1) GROUP BY user_id)
+SELECT CAST(u.user_id AS VARCHAR) AS slug, CASE r.event_id % 5 WHEN 0 THEN 'P' WHEN 1 THEN 'Q' ELSE 'X' END AS title, CASE WHEN u.user_id % 2 = 0 THEN 'waiting' ELSE 'idle' END AS status,
+  CASE r.event_id % 5 WHEN 0 THEN 7 WHEN 1 THEN 9 END AS listing_count, r.d AS snapshot_day, CASE r.event_id % 5 WHEN 0 THEN 'Haiku 4.5' END AS filter_model
+FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN rep r USING (user_id)""")
 def product_cards(spark, sf):
-    cards = tables.report_cards(tables.report_docs(report_texts(spark, sf).where(c("event_id") % 5 == 1)).withColumn("event_id", c("event_id")))
-    users = table(spark, sf, "events").where(c("event_id") % 5 <= 1).select("user_id").distinct()
+    """All documents (the last one of a product and day is the stored one): unknown versions and broken ones give no report."""
+    stored = report_texts(spark, sf).join(table(spark, sf, "events").select("event_id", day(c("ts").cast("timestamp")).alias("d")), "event_id")
+    stored = stored.groupBy("slug", "d").agg(F.max_by(F.struct("event_id", "value"), "event_id").alias("r")).select("slug", "r.*")
+    cards = tables.report_cards(tables.report_docs(stored))
+    users = table(spark, sf, "events").select("user_id").distinct()
     document = F.when(c("user_id") % 2 == 0, "display_name: X\nschedule:\n  cron: '0 6 * * *'\n").otherwise("display_name: X\n")
     profiles = users.select(c("user_id").cast("string").alias("slug"), document.alias("document"))
     started = table(spark, sf, "events").select(c("user_id").cast("string").alias("slug"), c("ts").cast("timestamp").alias("run_ts"))
     nothing = run_log(spark, sf).where(c("status") == "nothing")
     made = runs.product_cards(cards, started, profiles, nothing, started.where(c("slug") == "nobody").select(c("run_ts").alias("started_at")))
-    return made.select("slug", "title", "status", "listing_count").where(c("listing_count").isNotNull())
+    return made.select("slug", "title", "status", "listing_count", day(c("snapshot_date")).alias("snapshot_day"), "filter_model")
 
 
 # --- streams ----------------------------------------------------------------------------------------------

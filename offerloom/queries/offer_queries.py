@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from offerloom import constants as K
 from offerloom.functions import money, text, urls
+from offerloom.operators.asof import asof_join
 from offerloom.operators import anomalies, dedup, dimensions, display, evaluation, history, ranking, rules, skew
 from offerloom.plans import runs
 from offerloom.queries.base import (
@@ -369,6 +370,47 @@ def price_history(spark, sf):
     return history.price_history(offers(spark, sf)).drop("fetched_at")
 
 
+@query(
+    "price_history_one_url",
+    with_offers(
+        """
+SELECT pos, run_day, unit_price_usd, lag(unit_price_usd) OVER w AS previous_price_usd, first(unit_price_usd) OVER w AS first_price_usd,
+  min(unit_price_usd) OVER w AS lowest_price_usd, max(unit_price_usd) OVER w AS highest_price_usd
+FROM offers WINDOW w AS (ORDER BY run_day, hour, pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
+    ),
+)
+def price_history_one_url(spark, sf):
+    """Every offer under one URL of one product: the history that no single task may hold."""
+    rows = offers(spark, sf).withColumn("slug", F.lit("p")).withColumn("url", F.lit("https://one.example.com/p"))
+    return history.price_history(rows).select("pos", day(c("fetched_at")).alias("run_day"), "unit_price_usd", "previous_price_usd", "first_price_usd", "lowest_price_usd", "highest_price_usd")
+
+
+def asof_sql(key: str) -> str:
+    return f"""
+WITH sold AS (SELECT {key} AS k, ts, arg_max(value, event_id) AS price, max(event_id) AS seen_id FROM events WHERE event_type = 'purchase' GROUP BY ALL),
+other AS (SELECT event_id, {key} AS k, ts FROM events WHERE event_type <> 'purchase')
+SELECT event_id, s.seen_id, s.price FROM other o ASOF LEFT JOIN sold s ON o.k = s.k AND o.ts > s.ts"""
+
+
+def _last_sale(spark, sf, key):
+    e = table(spark, sf, "events").select("event_id", key.alias("k"), c("ts").cast("timestamp").alias("ts"), "event_type", "value")
+    sold = e.where(c("event_type") == "purchase").select("k", "ts", c("event_id").alias("seen_id"), c("value").alias("price"))
+    met = asof_join(e.where(c("event_type") != "purchase").select("event_id", "k", "ts"), sold, ["k"], "ts", ["seen_id"])
+    return met.select("event_id", "match.seen_id", "match.price")
+
+
+@query("event_price_asof", asof_sql("user_id"))
+def event_price_asof(spark, sf):
+    """Every event that is no sale with the newest sale of its product before it."""
+    return _last_sale(spark, sf, c("user_id"))
+
+
+@query("event_price_asof_one_key", asof_sql("1"))
+def event_price_asof_one_key(spark, sf):
+    """The same over all products: one key holds every row of both sides."""
+    return _last_sale(spark, sf, F.lit(1))
+
+
 @query(
     "previous_run_asof",
     "WITH r AS (SELECT DISTINCT user_id AS u, strftime(ts, '%Y-%m-%d') AS run_day FROM events)\n"
