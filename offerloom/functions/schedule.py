@@ -71,11 +71,10 @@ def has_bit(bits: Column, number: Column) -> Column:
     return F.call_function("shiftright", bits, number.cast("int")).bitwiseAND(F.lit(1).cast("bigint")) == 1
 
 
-def cron_masks(cron: Column) -> Column:
-    """A schedule as bit sets: minute, hour, dom, month, dow, and whether both day fields are restricted; null if not supported."""
-    plan = cron_plan(cron)
+def plan_masks(plan: Column) -> Column:
+    """A plan as bit sets: minute, hour, dom, month, dow, and whether both day fields are restricted."""
     either = (plan["dom_restricted"] & plan["dow_restricted"]).alias("either")
-    return F.when(plan.isNotNull(), F.struct(*[bit_set(plan[n]).alias(n) for n in BOUNDS], either))
+    return F.struct(*[bit_set(plan[n]).alias(n) for n in BOUNDS], either)
 
 
 def mask_fires_on_day(masks: Column, day: Column) -> Column:

@@ -25,10 +25,10 @@ def due_runs(schedules: DataFrame, ticks: DataFrame, fired_once: DataFrame | Non
 
 
 def tick_calendar(spans: DataFrame, minutes: int) -> DataFrame:
-    """(day, hours) for the windows (tick - minutes, tick] of a day's ticks: structs of hour, whether it lies on the
-    day before, tick, and the covered minutes as a bit set. Windows are at most a day long.
+    """(day, hours) for the windows (tick - minutes, tick] of a day's ticks; windows are at most a day long.
 
-    A row is one day: it has at most 1,440 ticks, with minutes / 60 + 2 structs each.
+    hours[h] lists tick and covered minutes (a bit set) of the windows that touch hour h, hours[24 + h] of those that
+    touch that hour of the day before. A row is one day: it has at most 1,440 ticks.
     """
     begin = F.timestamp_add("MINUTE", F.lit(1 - minutes), c("tick"))  # first minute inside
     hour = F.explode(F.sequence(F.date_trunc("hour", begin), F.date_trunc("hour", "tick"), F.expr("interval 1 hour")))
@@ -37,8 +37,10 @@ def tick_calendar(spans: DataFrame, minutes: int) -> DataFrame:
     last = F.when(F.date_trunc("hour", "tick") > c("hour"), 59).otherwise(F.minute("tick"))
     ones = F.call_function("shiftleft", F.lit(1).cast("bigint"), (last - first + 1).cast("int")) - 1
     covered = F.call_function("shiftleft", ones, first.cast("int"))
-    row = F.struct(F.hour("hour").alias("hour"), (F.to_date("hour") < F.to_date("tick")).alias("before"), "tick", covered.alias("minutes"))
-    return met.groupBy(F.to_date("tick").alias("day")).agg(F.collect_list(row).alias("hours"))
+    place = F.hour("hour") + F.when(F.to_date("hour") < F.to_date("tick"), 24).otherwise(0)
+    by_hour = met.groupBy(F.to_date("tick").alias("day"), place.alias("place")).agg(F.collect_list(F.struct("tick", covered.alias("minutes"))).alias("windows"))
+    by_day = by_hour.groupBy("day").agg(F.map_from_entries(F.collect_list(F.struct("place", "windows"))).alias("known"))
+    return by_day.select("day", F.transform(F.sequence(F.lit(0), F.lit(47)), lambda h: F.try_element_at("known", h)).alias("hours"))
 
 
 def cron_due(schedules: DataFrame, spans: DataFrame, minutes: int) -> DataFrame:
@@ -46,18 +48,21 @@ def cron_due(schedules: DataFrame, spans: DataFrame, minutes: int) -> DataFrame:
 
     A schedule is five numbers, a window the minutes it covers of an hour. Schedules meet the days of their
     months (and the first day after these, whose windows reach back); on a day that fires, or follows one, the
-    windows are those whose hour and minutes have a bit in common with the schedule. No fire minute becomes a row,
-    and all hours of a tick are compared in one row, so nothing is made distinct after the join.
+    windows of the schedule's hours fit if their minutes have a bit in common with the schedule's. No fire minute
+    becomes a row, and all hours of a tick are compared in one row, so nothing is made distinct after the join.
     """
     calendar = tick_calendar(spans, minutes).withColumn("month", F.month("day"))
-    plans = schedules.select("slug", S.cron_masks(c("cron")).alias("masks")).where(c("masks").isNotNull())
+    planned = schedules.select("slug", S.cron_plan(c("cron")).alias("plan")).where(c("plan").isNotNull())
+    plans = planned.select("slug", c("plan.hour").alias("at"), S.plan_masks(c("plan")).alias("masks"))
     reached = lambda m: S.has_bit(c("masks.month"), m) | S.has_bit(c("masks.month"), F.when(m == 1, 12).otherwise(m - 1))
     months = F.filter(F.sequence(F.lit(1), F.lit(12)), reached)
-    met = plans.select("slug", "masks", F.explode(months).alias("month")).join(calendar, "month")
+    met = plans.select("slug", "at", "masks", F.explode(months).alias("month")).join(calendar, "month")
     met = met.withColumn("today", S.mask_fires_on_day(c("masks"), c("day"))).withColumn("yesterday", S.mask_fires_on_day(c("masks"), F.date_sub("day", 1)))
-    fires = lambda h: F.when(h["before"], c("yesterday")).otherwise(c("today")) & S.has_bit(c("masks.hour"), h["hour"]) & (h["minutes"].bitwiseAND(c("masks.minute")) != 0)
-    ticks = F.array_distinct(F.transform(F.filter("hours", fires), lambda h: h["tick"]))
-    return met.where(c("today") | c("yesterday")).select("slug", F.explode(ticks).alias("tick"))
+    fit = lambda windows: F.transform(F.filter(windows, lambda w: w["minutes"].bitwiseAND(c("masks.minute")) != 0), lambda w: w["tick"])
+    none = F.array().cast("array<timestamp>")
+    ticks = lambda offset, when: F.when(when, F.flatten(F.transform("at", lambda h: F.coalesce(fit(F.get("hours", h + offset)), none)))).otherwise(none)
+    found = F.array_distinct(F.concat(ticks(0, c("today")), ticks(24, c("yesterday"))))
+    return met.where(c("today") | c("yesterday")).select("slug", F.explode(found).alias("tick"))
 
 
 def first_tick_after(once: DataFrame, spans: DataFrame) -> DataFrame:
