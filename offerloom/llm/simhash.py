@@ -1,9 +1,10 @@
 """SimHash near-duplicates: every fingerprint meets its neighbours in balls of half the radius.
 
-Two fingerprints at most four bits apart have a variant in common that is at most two flips from each. All
-variants of all fingerprints are dealt by a linear hash to slices of the variant space. As one slice holds many
-variants of every fingerprint, the shuffle carries the fingerprint once per slice and the slice derives just
-its own variants: the hash of a variant is the hash of the fingerprint xor that of the flips.
+Two fingerprints at most four bits apart have a variant in common that is at most two flips from each. The space of
+variants is cut into buckets by a binary tree over bit positions: a bucket holds the variants with some bits fixed.
+A fingerprint goes to just the buckets that hold one of its variants, those whose fixed bits are at most two flips
+away, so a bucket's task sees a share of the fingerprints that shrinks as buckets are added. There it derives its
+variants in the bucket, and fingerprints that share one are linked.
 """
 
 from __future__ import annotations
@@ -23,10 +24,13 @@ from offerloom.llm.components import connected_components, forest
 SHINGLE_WORDS = 4
 SEED = 42
 RADIUS = 4
-SLICES = 64
-SLICE_FINGERPRINTS = 16 << 20  # more distinct fingerprints than this double the slices
+BUCKET_PRINTS = 2048  # fingerprints of a bucket's own; with two flips of the others' it sees some dozen times as many
+SAMPLE_PRINTS = 1 << 20  # that the tree is built from on the driver, at most
+SAMPLE_SHARE = 1 / 16  # and at most this share of all
+LEAST_SAMPLE = 16  # of a bucket
+MOST_PARTITIONS = 1 << 14
 BROADCAST_IDS = 1_000_000  # of 8 bytes
-SORT_ROWS = 1 << 19  # variants that a slice holds in memory at a time
+SORT_ROWS = 1 << 20  # variants that a task holds in memory at a time
 
 
 def fingerprint(text: str | None, words_per_shingle: int = SHINGLE_WORDS) -> int:
@@ -58,85 +62,129 @@ def fingerprints(docs: DataFrame, words_per_shingle: int = SHINGLE_WORDS) -> Dat
     return add_columns(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), compute, "fp long").drop("text")
 
 
-def _flips(half: int) -> np.ndarray:
-    """Masks of up to *half* of the 64 bits."""
-    masks = [sum(1 << i for i in bits) for r in range(half + 1) for bits in itertools.combinations(range(64), r)]
-    return np.array(masks, np.uint64)
-
-
-def _linear(values: np.ndarray, per_bit: np.ndarray) -> np.ndarray:
-    """Xor of per_bit[i] over the set bits i of every value."""
-    out = np.zeros(len(values), np.int64)
-    for byte in range(8):
-        rows = np.zeros(256, np.int64)
-        for bit in range(8):
-            rows ^= np.where(np.arange(256) >> bit & 1, per_bit[8 * byte + bit], 0)
-        out ^= rows[(values >> np.uint64(8 * byte) & np.uint64(255)).astype(np.int64)]
-    return out
-
-
-def ball_edges(prints: np.ndarray, slice_number: int, slices: int, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Forest over the distinct fingerprints that share a variant in one slice of the variant space.
-
-    Variants are derived and sorted some millions at a time, together with the place of their fingerprint.
+def _flips(free: list[int], most: int) -> np.ndarray:
+    """Masks of up to *most* of the bits in *free*."""
+    return np.array([sum(1 << i for i in bits) for r in range(most + 1) for bits in itertools.combinations(free, r)], np.uint64)
+
+
+def _split_bit(prints: np.ndarray, mask: int) -> int | None:
+    """The bit outside *mask* that halves the fingerprints best; None if they agree in all of these."""
+    ones = np.array([int((prints >> np.uint64(i) & np.uint64(1)).sum()) if not mask >> i & 1 else 0 for i in range(64)])
+    smaller = np.minimum(ones, len(prints) - ones)
+    smaller[[i for i in range(64) if mask >> i & 1]] = 0
+    return int(smaller.argmax()) if smaller.any() else None
+
+
+class Buckets:
+    """leaves[i]: (mask, bits) of bucket i; it holds the variants v with v & mask == bits."""
+
+    def __init__(self, sample: np.ndarray, size: int) -> None:
+        self.nodes: list[tuple[int, int, int]] = []  # bit, nodes for 0 and 1; bit -1: number of the bucket
+        self.leaves: list[tuple[int, int]] = []
+        self._build(sample, 0, 0, size)
+
+    def _build(self, sample: np.ndarray, mask: int, bits: int, size: int) -> int:
+        number = len(self.nodes)
+        self.nodes.append((-1, len(self.leaves), 0))
+        bit = _split_bit(sample, mask) if len(sample) > size else None
+        if bit is None:
+            self.leaves.append((mask, bits))
+            return number
+        one = (sample >> np.uint64(bit) & np.uint64(1)).astype(bool)
+        self.nodes[number] = (bit, self._build(sample[~one], mask | 1 << bit, bits, size), self._build(sample[one], mask | 1 << bit, bits | 1 << bit, size))
+        return number
+
+    def route(self, prints: np.ndarray, flips: int) -> Iterator[tuple[int, np.ndarray]]:
+        """(bucket, places of the fingerprints that have a variant of at most *flips* flips in it)."""
+        stack = [(0, np.arange(len(prints)), np.zeros(len(prints), np.int8))]
+        while stack:
+            node, rows, used = stack.pop()
+            bit, zero, one = self.nodes[node]
+            if bit < 0:
+                yield zero, rows
+                continue
+            x = (prints[rows] >> np.uint64(bit) & np.uint64(1)).astype(np.int8)
+            for child, cost in ((zero, used + x), (one, used + 1 - x)):
+                near = cost <= flips
+                if near.any():
+                    stack.append((child, rows[near], cost[near]))
+
+
+def ball_edges(prints: np.ndarray, mask: int, bits: int, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """Forest over the distinct fingerprints that share a variant v with v & mask == bits.
+
+    Fingerprints that differ from *bits* in some fixed bits spend these flips on them and have the rest for free
+    bits. Too many variants are cut in two by one more bit, so memory is bounded whatever the bucket holds.
     Fingerprints next to each other on one variant are within the radius, as each is half of it away.
     """
-    prints = np.unique(prints)
-    n = len(prints)
-    if n < 2:
+    half = radius // 2
+    need = (prints ^ np.uint64(bits)) & np.uint64(mask)
+    spent = np.bitwise_count(need)
+    prints, need, spent = prints[spent <= half], need[spent <= half], spent[spent <= half]
+    if len(prints) < 2:
         return prints[:0], prints[:0]
-    masks = _flips(radius // 2)
-    bits = slices.bit_length() - 1
-    parts = max(0, math.ceil(math.log2(max(1, n * len(masks) / slices / SORT_ROWS))))
-    per_bit = np.random.default_rng(SEED).integers(0, 1 << 40, 64)
-    low = (1 << (bits + parts)) - 1
-    flip_hash, own = _linear(masks, per_bit) & low, _linear(prints, per_bit) & low
-    by_hash = np.argsort(flip_hash, kind="stable")
-    masks, first = masks[by_hash], np.searchsorted(flip_hash[by_hash], np.arange(low + 2))
-    place_bits = np.uint64(max(1, (n - 1).bit_length()))
+    free = [i for i in range(64) if not mask >> i & 1]
+    sizes = [sum(math.comb(len(free), r) for r in range(half - c + 1)) for c in range(half + 1)]
+    if sum(int((spent == c).sum()) * sizes[c] for c in range(half + 1)) > SORT_ROWS and (bit := _split_bit(prints, mask)) is not None:
+        parts = [ball_edges(prints, mask | 1 << bit, bits | side << bit, radius) for side in (0, 1)]
+        return forest(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+    order = np.argsort(spent, kind="stable")
+    prints, inside, spent = prints[order], (prints ^ need)[order], spent[order]
+    variants, places = [], []
+    for c in range(half + 1):
+        own = np.flatnonzero(spent == c)
+        variants.append((inside[own, None] ^ _flips(free, half - c)).ravel())
+        places.append(np.repeat(own, sizes[c]))
+    variant, place = np.concatenate(variants), np.concatenate(places)
+    place_bits = np.uint64(max(1, (len(prints) - 1).bit_length()))
     place_mask = (np.uint64(1) << place_bits) - np.uint64(1)
-    edges = []
-    for part in range(1 << parts):
-        want = own ^ (slice_number | part << bits)
-        begin, count = first[want], first[want + 1] - first[want]
-        place = np.repeat(np.arange(n), count)
-        offset = np.arange(len(place)) - np.repeat(np.cumsum(count) - count, count)
-        variant = prints[place] ^ masks[begin[place] + offset]
-        key = np.sort(variant * np.uint64(0x9E3779B97F4A7C15) & ~place_mask | place.astype(np.uint64))
-        same = np.flatnonzero((key[1:] ^ key[:-1]) <= place_mask)
-        a, b = prints[(key[same] & place_mask).astype(np.int64)], prints[(key[same + 1] & place_mask).astype(np.int64)]
-        if (np.bitwise_count(a ^ b) > radius).any():  # two variants with one shortened hash: sort the variants themselves
-            order = np.argsort(variant, kind="stable")
-            same = np.flatnonzero(variant[order[1:]] == variant[order[:-1]])
-            a, b = prints[place[order[same]]], prints[place[order[same + 1]]]
-        edges.append(forest(a, b))
-    return forest(np.concatenate([e[0] for e in edges]), np.concatenate([e[1] for e in edges]))
-
-
-def _to_slices(slices: int):
+    key = np.sort(variant * np.uint64(0x9E3779B97F4A7C15) & ~place_mask | place.astype(np.uint64))
+    same = np.flatnonzero((key[1:] ^ key[:-1]) <= place_mask)
+    a, b = prints[(key[same] & place_mask).astype(np.int64)], prints[(key[same + 1] & place_mask).astype(np.int64)]
+    if (np.bitwise_count(a ^ b) > radius).any():  # two variants with one shortened hash: sort the variants themselves
+        order = np.argsort(variant, kind="stable")
+        same = np.flatnonzero(variant[order[1:]] == variant[order[:-1]])
+        a, b = prints[place[order[same]]], prints[place[order[same + 1]]]
+    return forest(a, b)
+
+
+def _deal(buckets: Buckets, flips: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"slice": np.arange(slices, dtype=np.int32), "prints": [pdf["fp"].to_numpy(np.int64).tobytes()] * slices})
+            prints = pdf["fp"].to_numpy(np.int64).view(np.uint64)
+            met = list(buckets.route(prints, flips))
+            rows = np.concatenate([r for _, r in met]) if met else np.empty(0, np.int64)
+            yield pd.DataFrame({"bucket": np.repeat(np.array([b for b, _ in met], np.int32), [len(r) for _, r in met]), "fp": prints[rows].view(np.int64)})
 
     return run
 
 
-def _slice_edges(slices: int, radius: int):
+def _bucket_edges(buckets: Buckets, radius: int):
+    leaves = buckets.leaves
+
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         release_memory()
-        a, b = ball_edges(np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["prints"]]), int(key[0]), slices, radius)
+        a, b = ball_edges(pdf["fp"].to_numpy(np.int64).view(np.uint64), *leaves[int(key[0])], radius)
         return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
     return run
 
 
-def near_print_edges(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(a, b) edges that connect all fingerprints (column fp, distinct) linked by at most *radius* bits."""
-    slices, distinct = SLICES, classes.count()
-    while distinct * SLICES > slices * SLICE_FINGERPRINTS:
-        slices *= 2
-    dealt = classes.select("fp").mapInPandas(_to_slices(slices), "slice int, prints binary").repartition(slices, "slice")
-    return dealt.groupBy("slice").applyInPandas(_slice_edges(slices, radius), "a long, b long")
+def near_print_edges(classes: DataFrame, radius: int = RADIUS, bucket_prints: int = BUCKET_PRINTS) -> DataFrame:
+    """(a, b) edges that connect all fingerprints (column fp, distinct) linked by at most *radius* bits.
+
+    The tree of buckets comes from a bounded sample. A fingerprint is copied to 1 + d + d (d - 1) / 2 buckets, d being
+    the depth of the tree, which grows with the logarithm of the fingerprints.
+    """
+    distinct = classes.count()
+    share = min(SAMPLE_SHARE, SAMPLE_PRINTS / max(1, distinct))
+    sample = np.empty(0, np.uint64)
+    if distinct > bucket_prints:
+        mixed = (F.xxhash64("fp").cast("double") + 2.0**63) / 2.0**64
+        sample = classes.where(mixed < share).select("fp").toArrow()["fp"].to_numpy().view(np.uint64)
+    buckets = Buckets(sample, max(LEAST_SAMPLE, int(bucket_prints * share)))
+    dealt = classes.select("fp").mapInPandas(_deal(buckets, radius // 2), "bucket int, fp long").repartition(min(len(buckets.leaves), MOST_PARTITIONS), "bucket")
+    return dealt.groupBy("bucket").applyInPandas(_bucket_edges(buckets, radius), "a long, b long")
 
 
 def simhash_groups(docs: DataFrame, words_per_shingle: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:

@@ -107,13 +107,18 @@ def test_fingerprint_is_the_engines_own_hash(spark):
     assert simhash.fingerprint("the quick Brown fox") == row.h % 2**64
 
 
-def test_balls_find_every_link():
+@pytest.mark.parametrize("size", [20, 60])
+def test_balls_find_every_link(monkeypatch, size):
     rng = np.random.default_rng(1)
     prints = [int(x) for x in rng.integers(0, 2**63, 300)]
     for k in (1, 2, 3, 4, 5):
         prints += [p ^ sum(1 << int(b) for b in rng.choice(64, k, replace=False)) for p in prints[:40]]
     p = np.unique(np.array(prints, np.uint64))
-    parts = [simhash.ball_edges(p, s, 8) for s in range(8)]
+    buckets = simhash.Buckets(p[::3], size)
+    met = {leaf: rows for leaf, rows in buckets.route(p, 2)}
+    assert len(buckets.leaves) > 3
+    monkeypatch.setattr(simhash, "SORT_ROWS", 1 << 14)  # buckets are cut further
+    parts = [simhash.ball_edges(p[rows], *buckets.leaves[leaf]) for leaf, rows in met.items()]
     a, b = forest(np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts]))
     pairs = [(i, j) for i in range(len(p)) for j in range(i) if int(np.bitwise_count(p[i] ^ p[j])) <= 4]
     want = roots_of(pairs, range(len(p)))
@@ -121,6 +126,29 @@ def test_balls_find_every_link():
     assert [want[i] for i in range(len(p))] == got.tolist()
 
 
+def test_buckets_do_not_grow_with_the_corpus():
+    """The most that one task sees stays near a fixed number when there are four times as many fingerprints."""
+    rng = np.random.default_rng(3)
+    seen = []
+    for n in (20_000, 80_000):
+        p = np.unique(rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2))
+        buckets = simhash.Buckets(p[::16], 32)  # about 512 of its own
+        seen.append(max(len(rows) for _, rows in buckets.route(p, 2)))
+    assert seen[1] < 1.8 * seen[0] and seen[1] < 0.3 * 80_000
+
+
+def test_edges_over_many_buckets(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2**62, 1500)
+    near = base[:400] ^ np.array([sum(1 << int(b) for b in rng.choice(63, k, replace=False)) for k in rng.integers(1, 6, 400)])
+    p = np.unique(np.concatenate([base, near]).astype(np.int64))
+    monkeypatch.setattr(simhash, "SAMPLE_SHARE", 0.5)
+    edges = simhash.near_print_edges(spark.createDataFrame([(int(x),) for x in p], "fp long"), bucket_prints=64).collect()
+    got = roots_of([(r.a, r.b) for r in edges], p.tolist())
+    pairs = [(int(p[i]), int(p[j])) for i in range(len(p)) for j in np.flatnonzero(np.bitwise_count(p[:i] ^ p[i]) <= 4)]
+    assert pairs and got == roots_of(pairs, p.tolist())
+
+
 def test_groups_and_dropping(spark):
     long = " ".join(f"w{i}" for i in range(400))
     rows = [(1, long), (2, long), (3, long + " more"), (4, ""), (5, None), (6, "quite another text with some words"), (6, "quite another text with some words"), (None, "left alone here by all"), (8, " \t")]
