@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from offerloom.functions import schedule as S
-from offerloom.operators import alerts, catalog, history, schedules
+from offerloom.operators import alerts, catalog, history, schedules, windows
 from offerloom.plans import runs
 from offerloom.queries.alert_queries import HOSTS_SQL, alert_rules, price_sql, with_events
 from offerloom.queries.base import big, day, event_offers, query, table
@@ -285,3 +285,44 @@ def stream_price_alerts(spark, sf):
 def stream_host_arrivals(spark, sf):
     hosts = alerts.run_hosts(event_offers(spark, sf)).groupBy(*RUN).agg(F.array_sort(F.collect_set("host")).alias("hosts"))
     return drain(spark, streams.host_arrival_stream(_stored(spark, hosts))).where(~c("late")).select("slug", run_day(), "host")
+
+
+@query("stream_alerts_settled", with_events("SELECT slug, run_day, price FROM b WHERE below AND NOT coalesce(was, false)", price_sql("sold_price", "condition = 'used'", 25)))
+def stream_alerts_settled(spark, sf):
+    """Runs of every second day arrive after all others: the late ones are settled to the table of ordered arrival."""
+    o = event_offers(spark, sf)
+    priced = alerts.rule_prices(alerts.run_prices(o), alert_rules(spark, sf).where(c("rule_pos") == 1), history.previous_runs(o))
+    rows = priced.withColumn("fingerprint", alerts.fingerprint()).select("slug", "rule_pos", "fingerprint", "mode", "threshold_usd", "run_ts", "price")
+    home = f"{checkpoint_root(spark)}/streams/{uuid.uuid4().hex}"
+    for odd in (True, False):
+        rows.where((F.dayofmonth("run_ts") % 2 == 1) == odd).write.mode("append").parquet(home)
+    files = len(spark.read.parquet(home).inputFiles())
+    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", max(1, files // 2)).parquet(home)
+    settled = streams.settle_late(drain(spark, streams.price_alert_stream(source)), spark.read.schema(rows.schema).parquet(home))
+    return settled.where("fires").select("slug", run_day(), "price")
+
+
+SESSION_SQL = """
+WITH marked AS (SELECT user_id, ts, value, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) > INTERVAL 2 hours, true) AS begins FROM events),
+numbered AS (SELECT *, sum(begins::INT) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS no FROM marked),
+sessions AS (SELECT CAST(user_id AS VARCHAR) AS slug, min(ts) AS a, max(ts) AS b, count(*) AS observations, min(value) AS low, max(value) AS high FROM numbered GROUP BY user_id, no)
+SELECT slug, strftime(a, '%Y-%m-%d %H:%M:%S') AS started, strftime(b, '%Y-%m-%d %H:%M:%S') AS ended, observations, low, high FROM sessions"""
+
+
+def _sessions(rows):
+    met = windows.sessions(rows.select(c("user_id").cast("string").alias("slug"), "ts", "value"), ["slug"], "ts", "value", "2 hours")
+    text = lambda n: F.date_format(n, "yyyy-MM-dd HH:mm:ss").alias(n)
+    return met.select("slug", text("started"), text("ended"), "observations", "low", "high")
+
+
+@query("product_sessions", SESSION_SQL)
+def product_sessions(spark, sf):
+    """Stretches of activity per product, ended by a pause of two hours."""
+    return _sessions(table(spark, sf, "events").withColumn("ts", c("ts").cast("timestamp")))
+
+
+@query("stream_sessions", SESSION_SQL + " WHERE b + INTERVAL 2 hours <= (SELECT max(ts) - INTERVAL 1 hour FROM events)")
+def stream_sessions(spark, sf):
+    """The streaming twin: sessions that ended an hour or more before the newest event."""
+    e = stream_events(spark, sf).withColumn("ts", c("ts").cast("timestamp")).withWatermark("ts", "1 hour")
+    return drain(spark, _sessions(e))

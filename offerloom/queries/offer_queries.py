@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from offerloom import constants as K
 from offerloom.functions import money, text, urls
 from offerloom.operators.asof import asof_join
-from offerloom.operators import anomalies, dedup, dimensions, display, evaluation, history, ranking, rules, skew
+from offerloom.operators import anomalies, dedup, dimensions, display, evaluation, history, ranking, rules, skew, windows
 from offerloom.plans import runs
 from offerloom.queries.base import (
     CANDIDATES_SQL, RUN_SQL, big, day, flagged_sql, offers, profiles, query, stats_sql, table, with_offers,
@@ -385,6 +385,34 @@ def price_history_one_url(spark, sf):
     return history.price_history(rows).select("pos", day(c("fetched_at")).alias("run_day"), "unit_price_usd", "previous_price_usd", "first_price_usd", "lowest_price_usd", "highest_price_usd")
 
 
+@query(
+    "price_range_30_days",
+    with_offers(
+        """
+SELECT slug, url, pos, min(unit_price_usd) OVER w AS low, max(unit_price_usd) OVER w AS high FROM (SELECT *, run_date + to_hours(hour) AS seen_at FROM offers)
+WINDOW w AS (PARTITION BY slug, url ORDER BY seen_at RANGE BETWEEN INTERVAL 30 DAYS PRECEDING AND CURRENT ROW)"""
+    ),
+)
+def price_range_30_days(spark, sf):
+    """Lowest and highest price of every offer in the 30 days up to each observation."""
+    rows = offers(spark, sf).select("slug", "url", "pos", "fetched_at", "unit_price_usd")
+    return windows.recent_range(rows, ["slug", "url"], "fetched_at", "unit_price_usd").select("slug", "url", "pos", "low", "high")
+
+
+@query(
+    "offer_level_totals",
+    with_offers(
+        """
+SELECT slug, vendor, condition, source, CAST(grouping_id(slug, vendor, condition, source) AS INTEGER) AS level, count(*) AS offers, min(unit_price_usd) AS lowest_usd,
+  CAST(sum(CAST(round(unit_price_usd * 10000) AS BIGINT)) AS DOUBLE) / (count(unit_price_usd) * 10000) AS mean_usd FROM offers GROUP BY CUBE (slug, vendor, condition, source)"""
+    ),
+)
+def offer_level_totals(spark, sf):
+    """Totals over product, vendor, condition and source in every combination."""
+    levels = [c("slug"), urls.vendor_key(c("seller_name")), c("condition"), c("source")]
+    return windows.level_totals(offers(spark, sf), levels, ["slug", "vendor", "condition", "source"])
+
+
 def asof_sql(key: str) -> str:
     return f"""
 WITH sold AS (SELECT {key} AS k, ts, arg_max(value, event_id) AS price, max(event_id) AS seen_id FROM events WHERE event_type = 'purchase' GROUP BY ALL),

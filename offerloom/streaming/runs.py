@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from offerloom import constants as K
@@ -83,6 +83,25 @@ def price_alert_stream(rule_runs: DataFrame) -> DataFrame:
     )
 
 
+def settle_late(stream_out: DataFrame, rule_runs: DataFrame) -> DataFrame:
+    """What the price stream would have written had its late runs come in order.
+
+    *stream_out*: rows of price_alert_stream; *rule_runs*: all its input so far, late runs included. For a rule with
+    late runs, the runs from the first late one on are evaluated again (each needs only the run before it) and take
+    the place of what the stream wrote for them; everything else is kept. Applying it twice changes nothing.
+    """
+    keys = ["slug", "rule_pos", "fingerprint"]
+    since = stream_out.where("late").groupBy(*keys).agg(F.min("run_ts").alias("_since"))
+    known = rule_runs.dropDuplicates([*keys, "run_ts"]).join(since, keys)
+    w = Window.partitionBy(*keys).orderBy("run_ts")
+    below = F.coalesce(c("price") < c("threshold_usd"), F.lit(False))
+    was = F.coalesce(F.lag("_below").over(w), F.lit(False))
+    again = known.withColumn("_below", below).withColumn("fires", c("_below") & ((c("mode") == "while_below") | ~was)).where(c("run_ts") >= c("_since"))
+    again = again.select(*keys, "run_ts", "price", "fires", (~c("_below")).alias("armed_after"), F.lit(False).alias("late"))
+    kept = stream_out.where(~c("late")).join(since, keys, "left").where(c("_since").isNull() | (c("run_ts") < c("_since"))).drop("_since")
+    return kept.unionByName(again)
+
+
 HOST_STATE = "hosts array<string>, last_run timestamp"
 HOST_OUT = "slug string, run_ts timestamp, host string, late boolean"
 
