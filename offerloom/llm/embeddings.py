@@ -39,39 +39,41 @@ def _scan(q: np.ndarray, index: np.ndarray, threshold: float) -> tuple[np.ndarra
     return np.nonzero(q @ index.T >= threshold)
 
 
-def _beams(graph: Graph, index: np.ndarray, q: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _beams(graph: Graph, index: np.ndarray, q: np.ndarray, threshold: float, same: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, node) pairs from beam searches, and the queries that need an exact scan.
 
-    The beam doubles until an audit passes: some queries are compared with every node, and the searches must
-    have found their links (their nearest node where the audited queries have no link). A query whose whole
-    beam lies above the threshold may have more links and goes on with wider beams. Beams that would hold an
-    eighth of the shard are replaced by the exact scan.
+    At every width some of the open queries are compared with every node: the searches must have found their links,
+    or their nearest node where they have none. With *same* query i is node i, and finding itself is no evidence. The
+    beam doubles until the audit passes. A query whose whole beam lies above the threshold may have more links: it
+    stays open for wider beams and is no evidence either. Open queries without evidence, and beams that would hold
+    an eighth of the shard, are replaced by the exact scan.
     """
     n, slack = len(index), threshold - 1e-4
     q32 = q.astype(np.float32)
-    audit = np.unique(np.linspace(0, len(q) - 1, min(AUDIT_ROWS, len(q))).astype(np.int64))
-    truth = q[audit] @ index.T
-    want = truth >= threshold
-    if want.sum() <= len(audit):  # only the queries themselves, if they stand in this shard
-        want |= np.arange(n)[None, :] == truth.argmax(1)[:, None]
     todo, beam = np.arange(len(q)), FIRST_BEAM
     got_q, got_i = [], []
-    passed = False
     while len(todo) and beam < n // 8:
         sims, ids = graph.search(q32[todo], beam)
         near = (ids >= 0) & (sims >= slack)
         full = near[:, -1]
-        if not passed:
-            audited = np.flatnonzero(~full[audit])
-            found = np.zeros(want.shape, bool)
-            rows = np.repeat(audited, ids.shape[1])
-            cols = ids[audit[audited]].ravel()
-            found[rows[cols >= 0], cols[cols >= 0]] = True
-            sought = want[audited]
-            if sought.any() and (found[audited] & sought).sum() < AUDIT_RECALL * sought.sum():
-                beam *= 2
-                continue
-            passed = True
+        audit = np.flatnonzero(~full)
+        if not len(audit):
+            break
+        audit = audit[np.unique(np.linspace(0, len(audit) - 1, min(AUDIT_ROWS, len(audit))).astype(np.int64))]
+        truth = q[todo[audit]] @ index.T
+        if same:
+            truth[np.arange(len(audit)), todo[audit]] = -np.inf
+        want = truth >= threshold
+        lonely = ~want.any(axis=1)
+        want[lonely, truth[lonely].argmax(axis=1)] = True
+        found = np.zeros(want.shape, bool)
+        rows, cols = np.repeat(np.arange(len(audit)), ids.shape[1]), ids[audit].ravel()
+        found[rows[cols >= 0], cols[cols >= 0]] = True
+        links = want[~lonely]
+        missed = (want & ~found)[~lonely].sum()
+        if missed > (1 - AUDIT_RECALL) * links.sum() or (want & found).sum() < AUDIT_RECALL * want.sum():
+            beam *= 2
+            continue
         rows, cols = np.nonzero(near & ~full[:, None])
         got_q.append(todo[rows])
         got_i.append(ids[rows, cols])
@@ -89,7 +91,7 @@ def shard_links(graph: Graph, index: np.ndarray, q: np.ndarray, copies_index: np
     Queries are numbered 0.., nodes len(q).. in the forest; with *same* both are the shard's own vectors
     and every pair counts once. Links are counted, never listed for more than a block of queries.
     """
-    qs, ns, rest = _beams(graph, index, q, threshold)
+    qs, ns, rest = _beams(graph, index, q, threshold, same)
     m = len(q)
     base = 0 if same else m
     count_q, count_n = np.zeros(m, np.int64), np.zeros(len(index), np.int64)

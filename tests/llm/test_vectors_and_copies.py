@@ -61,6 +61,24 @@ def test_shard_links_match_brute_force():
     assert cq.sum() == ci.sum() and 0.98 * cross.sum() <= cq.sum() <= cross.sum()
 
 
+def test_a_search_that_finds_only_the_query_fails_the_audit():
+    rng = np.random.default_rng(14)
+    v = rng.normal(size=(1500, 24))
+    v[:30] = v[30:60] + rng.normal(size=(30, 24)) * 0.02
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+
+    class Crippled:
+        def search(self, q, beam):
+            ids = np.full((len(q), beam), -1, np.int64)
+            ids[:, 0] = (q @ v.T.astype(np.float32)).argmax(axis=1)
+            return np.where(ids >= 0, 1.0, -1.0), ids
+
+    true = v @ v.T >= 0.93
+    np.fill_diagonal(true, False)
+    ones = np.ones(len(v), np.int64)
+    assert true.sum() and (shard_links(Crippled(), v, v, ones, ones, True)[0] == true.sum(1)).all()
+
+
 def test_vectors_edge_cases(spark):
     big = [1e300, 2e300]
     rows = [
