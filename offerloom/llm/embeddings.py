@@ -17,6 +17,7 @@ SHARD_ROWS = 8192
 FIRST_BEAM = 32
 AUDIT_ROWS = 64
 AUDIT_RECALL = 0.98
+LEAST_LINKS = 32  # of audited queries that are evidence enough
 
 SHARD_SCHEMA = "label string, dim int, shard int, nodes binary, copies binary, vectors binary, sizes array<int>, links binary, bottom binary, order binary"
 
@@ -42,8 +43,8 @@ def _scan(q: np.ndarray, index: np.ndarray, threshold: float) -> tuple[np.ndarra
 def _beams(graph: Graph, index: np.ndarray, q: np.ndarray, threshold: float, same: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, node) pairs from beam searches, and the queries that need an exact scan.
 
-    At every width some of the open queries are compared with every node: the searches must have found their links,
-    or their nearest node where they have none. With *same* query i is node i, and finding itself is no evidence. The
+    At every width some of the open queries are compared with every node: the searches must have found their links
+    or, where all of these have fewer than LEAST_LINKS, also the nearest node of those without. With *same* query i is node i, and finding itself is no evidence. The
     beam doubles until the audit passes. A query whose whole beam lies above the threshold may have more links: it
     stays open for wider beams and is no evidence either. Open queries without evidence, and beams that would hold
     an eighth of the shard, are replaced by the exact scan.
@@ -69,9 +70,9 @@ def _beams(graph: Graph, index: np.ndarray, q: np.ndarray, threshold: float, sam
         found = np.zeros(want.shape, bool)
         rows, cols = np.repeat(np.arange(len(audit)), ids.shape[1]), ids[audit].ravel()
         found[rows[cols >= 0], cols[cols >= 0]] = True
-        links = want[~lonely]
-        missed = (want & ~found)[~lonely].sum()
-        if missed > (1 - AUDIT_RECALL) * links.sum() or (want & found).sum() < AUDIT_RECALL * want.sum():
+        if want[~lonely].sum() >= LEAST_LINKS:
+            want[lonely] = False
+        if (want & found).sum() < AUDIT_RECALL * want.sum():
             beam *= 2
             continue
         rows, cols = np.nonzero(near & ~full[:, None])
