@@ -142,3 +142,28 @@ def column_bounds(df: DataFrame, defaults: dict[str, int]) -> list[int]:
     """Largest value of each per-profile limit, nulls being the default: literals of pushed-down row limits, in one job."""
     row = df.agg(*[F.max(F.coalesce(F.col(n), F.lit(d))) for n, d in defaults.items()]).first()
     return [d if m is None else int(m) for m, d in zip(row, defaults.values())]
+
+
+def relative_ranks(df: DataFrame, keys: Sequence[str], value: str, ties: Sequence[Column], tiles: int) -> DataFrame:
+    """*df* with percent_rank, cume_dist and tile (1 to *tiles*) of *value* within its key, however large the key is.
+
+    Row numbers come from range-partitioned pieces. Equal values share their first and last row number, which are
+    aggregates of one row per (key, value), so no key and no value is one group. *ties* orders equal values for the
+    tiles. Rows whose key or value is null have no ranks and count for none.
+    """
+    keys = list(keys)
+    held = reduce(Column.__and__, [F.col(n).isNotNull() for n in [*keys, value]])
+    placed = durable(ordered_rank(df.where(held), keys, [F.col(value), *ties], "_no"))
+    levels = placed.groupBy(*keys, value).agg(F.min("_no").alias("_first"), F.max("_no").alias("_last"))
+    sizes = levels.groupBy(*keys).agg(F.max("_last").alias("_n"))
+    n, no, size = F.col("_n"), F.col("_no"), F.floor(F.col("_n") / tiles)
+    longer = (n % tiles) * (size + 1)  # rows of the first tiles, which hold one more
+    tile = F.when(no <= longer, F.ceil(no / (size + 1))).otherwise(n % tiles + F.ceil((no - longer) / F.greatest(size, F.lit(1))))
+    ranked = placed.join(levels.join(sizes, keys), [*keys, value]).select(
+        *df.columns,
+        F.when(n > 1, (F.col("_first") - 1) / (n - 1)).otherwise(0.0).alias("percent_rank"),
+        (F.col("_last") / n).alias("cume_dist"),
+        tile.cast("int").alias("tile"),
+    )
+    none = df.where(~held).select("*", F.lit(None).cast("double").alias("percent_rank"), F.lit(None).cast("double").alias("cume_dist"), F.lit(None).cast("int").alias("tile"))
+    return ranked.unionByName(none)

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["offer_queries", "alert_queries", "source_queries", "text_queries", "calendar_queries", "stored_queries"]
+MODULES = ["offer_queries", "alert_queries", "source_queries", "text_queries", "calendar_queries", "stored_queries", "state_queries"]
 
 
 def load():

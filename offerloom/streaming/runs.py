@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from offerloom import constants as K
@@ -129,6 +130,103 @@ def host_arrival_stream(host_runs: DataFrame) -> DataFrame:
     """
     return host_runs.groupBy("slug").applyInPandasWithState(_host_step, HOST_OUT, HOST_STATE, "append", GroupStateTimeout.NoTimeout)
 
+class _Hosts(StatefulProcessor):
+    """Per product: the newest run, and of each host the run that saw it last. Entries end with the host or the product."""
+
+    def init(self, handle) -> None:
+        self.last = handle.getValueState("last", "run_ts timestamp")
+        self.seen = handle.getMapState("seen", "host string", "run_ts timestamp")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        slug = key[0]
+        last = pd.Timestamp(self.last.get()[0]) if self.last.exists() else None
+        batch = pd.concat(list(rows)).sort_values(["run_ts", "gone"])
+        out, previous = [], None
+        for (run, gone), part in batch.groupby(["run_ts", "gone"], sort=True):
+            run = pd.Timestamp(run)
+            if gone:
+                self.last.clear()
+                self.seen.clear()
+                last = None
+                continue
+            if last is not None and run <= last:
+                out.append((slug, run, None, True))
+                continue
+            previous, last = last, run
+            for host in sorted(set(part["host"].dropna())):
+                known = self.seen.getValue((host,)) if self.seen.containsKey((host,)) else None
+                if previous is None or known is None or pd.Timestamp(known[0]) < previous:
+                    out.append((slug, run, host, False))
+                self.seen.updateValue((host,), (run.to_pydatetime(),))
+        if last is not None:
+            self.last.update((last.to_pydatetime(),))
+            for host in [k[0] for k, at in self.seen.iterator() if pd.Timestamp(at[0]) < last]:
+                self.seen.removeKey((host,))
+        yield pd.DataFrame(out, columns=["slug", "run_ts", "host", "late"])
+
+    def close(self) -> None:
+        pass
+
+
+class _Prices(StatefulProcessor):
+    """Per rule: whether its last run was below the threshold. The state ends with the rule."""
+
+    def init(self, handle) -> None:
+        self.state = handle.getValueState("state", PRICE_STATE)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        below, last = self.state.get() if self.state.exists() else (False, None)
+        out = []
+        for r in pd.concat(list(rows)).sort_values(["run_ts", "gone"]).itertuples(index=False):
+            run = pd.Timestamp(r.run_ts)
+            if r.gone:
+                self.state.clear()
+                below, last = False, None
+                continue
+            if last is not None and run <= pd.Timestamp(last):
+                out.append((*key, run, r.price, False, not below, True))
+                continue
+            now = bool(pd.notna(r.price) and r.price < r.threshold_usd)
+            out.append((*key, run, r.price, now and (r.mode == "while_below" or not below), not now, False))
+            below, last = now, run
+        if last is not None:
+            self.state.update((below, pd.Timestamp(last).to_pydatetime()))
+        yield pd.DataFrame(out, columns=["slug", "rule_pos", "fingerprint", "run_ts", "price", "fires", "armed_after", "late"])
+
+    def close(self) -> None:
+        pass
+
+
+def _with_states(rows: DataFrame, keys: list[str], processor: StatefulProcessor, out: str) -> DataFrame:
+    """Several state variables per key need the RocksDB store; it is set for the session, before the query starts."""
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    return rows.groupBy(*keys).transformWithStateInPandas(processor, out, "Append", "None")
+
+
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def ending_price_alerts(rule_runs: DataFrame) -> DataFrame:
+    """price_alert_stream over rows that also have `gone`: such a row ends the state of its rule after the runs up to its run_ts.
+
+    An edited rule has a new fingerprint, so its old one gets a `gone` row. A rule that comes back starts armed.
+    A null `gone` is not gone.
+    """
+    rows = rule_runs.withColumn("gone", F.coalesce("gone", F.lit(False)))
+    return _with_states(rows, ["slug", "rule_pos", "fingerprint"], _Prices(), PRICE_OUT)
+
+
+def ending_host_arrivals(host_rows: DataFrame) -> DataFrame:
+    """host_rows: slug, run_ts, host, gone; one row per run and host, a null host for a run without any.
+
+    Emits hosts that the product's previous run did not have, as host_arrival_stream does, but a run touches only the
+    entries of its own hosts, hosts that the newest run lacks lose theirs, and a `gone` row ends the product's state
+    after the runs up to its run_ts. A run must arrive within one batch; what arrives later comes out as one row
+    without host and with `late` set. A batch holds one product's new runs in memory, so maxFilesPerTrigger bounds it.
+    """
+    rows = host_rows.withColumn("gone", F.coalesce("gone", F.lit(False)))
+    return _with_states(rows, ["slug"], _Hosts(), HOST_OUT)
+
 
 def alert_writer(path: str, deliver=None):
     """foreachBatch function: fired alerts with their delivery outcome, one folder per batch, so a replay overwrites itself.

@@ -17,7 +17,7 @@ ALL = os.environ.get("OFFERLOOM_ALL_QUERIES") == "1"
 SOME = [
     "best_offers_display", "first_reject_reason", "soft_flags", "price_anomaly_mad_k1", "snapshot_diff", "material_change", "reserved_top_k", "alert_is_below", "alert_new_vendor_carries",
     "judge_chain", "verdict_shapes", "model_cost_rollup", "source_report", "judge_jaccard", "bench_rollup", "report_criteria", "number_containment", "market_scan", "page_listing_extract",
-    "profile_load", "conversation_trim", "cron_due_runs", "one_shot_runs", "run_log_latest", "stream_price_alerts", "stream_ticks", "price_history_one_url", "event_price_asof_one_key", "next_runs", "product_cards", "price_range_30_days", "offer_level_totals", "product_sessions", "stream_sessions", "stream_alerts_settled",
+    "profile_load", "conversation_trim", "cron_due_runs", "one_shot_runs", "run_log_latest", "stream_price_alerts", "stream_ticks", "price_history_one_url", "event_price_asof_one_key", "next_runs", "product_cards", "price_range_30_days", "offer_level_totals", "product_sessions", "stream_sessions", "stream_alerts_settled", "price_relative_ranks_all", "sketched_vendors_and_prices", "history_versions", "stream_ending_prices", "stream_ending_hosts",
 ]
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
