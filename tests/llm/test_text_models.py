@@ -231,3 +231,51 @@ def test_pipeline_stages_take_odd_rows(spark, tmp_path):
             out = stage(spark, rows, str(tmp_path))
             assert out.columns == docs.columns, name
             out.collect()
+
+
+def _texts(spark, pages):
+    rows = [(i, f"http://{host}/{i}", html) for i, (host, html) in enumerate(pages)]
+    got = {r.page_id: r.text for r in htmltext.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    return [got[i] for i in range(len(rows))]
+
+
+def test_style_tree_decides_inside_and_outside_articles(spark):
+    body = lambda i: f"Story {i} tells of {i * 7} things and more. " * 5
+    notice = "<div class='readers'><p>Support us.</p></div>"
+    # A notice with a container of its own goes; a paragraph and headings that all articles share stay.
+    noticed = [("a.x", f"<div class=top>Site</div><article><h2>Introduction</h2><p>{body(i)}</p>{notice}<p>All rights are shared.</p></article>") for i in range(8)]
+    # A card in an article element is not the text of a page whose body is long.
+    cards = [("b.x", f"<div class=top>Site</div><article><p>Card {i}</p></article><div class=text><p>{body(i)}</p></div><div class=end>About us</div>") for i in range(8)]
+    # Copies of one page are alike everywhere, so nothing is told apart by how it varies.
+    copies = [("c.x", f"<div class=text><p>{body(1)}</p></div>") for _ in range(8)]
+    # Names made of headings are no names of menus.
+    named = [("d.x", f"<article><h2 id='search-algorithms'>Search {i}</h2><section id='legal-history'><p class=teaser>Lead {i}</p></section><div id='related-work'>{body(i)}</div><div id=comments>Reader {i}</div><div class='social-share'>Share {i}</div></article>") for i in range(8)]
+    got = _texts(spark, noticed + cards + copies + named)
+    text = lambda i: body(i).strip()
+    assert got[:8] == [f"Introduction\n\n{text(i)}\n\nAll rights are shared." for i in range(8)]
+    assert got[8:16] == [f"Card {i}\n\n{text(i)}" for i in range(8)]
+    assert got[16:24] == [text(1)] * 8
+    assert got[24:] == [f"Search {i}\n\nLead {i}\n\n{text(i)}" for i in range(8)]
+
+
+def test_importance_against_brute_force(spark):
+    import math
+    from collections import Counter, defaultdict
+
+    html = [f"<div class=top>{'Menu' if i % 4 else f'Sale {i}'}</div><div class=text><p>Body {i}</p>{'<ul><li>x</li></ul>' if i % 3 == 0 else ''}</div>" for i in range(12)]
+    pages = spark.createDataFrame([("h", h) for h in html], "host string, html string")
+    seen = defaultdict(lambda: (Counter(), Counter()))
+    for h in html:
+        for path, root, shown, content in set(htmltext.Page(h, True).branches):
+            seen[path, root][0][shown] += 1
+            seen[path, root][1][content] += 1
+
+    def entropy(counts):
+        m = sum(counts.values())
+        return sum(-n / m * math.log(n / m) for n in counts.values()) / math.log(m) if m > 1 else 1.0
+
+    got = {(r.path, r.root): (r.pages, r.importance) for r in htmltext.style_tree(pages).collect()}
+    assert set(got) == set(seen)
+    for key, (shown, content) in seen.items():
+        assert got[key][0] == sum(content.values())
+        assert got[key][1] == pytest.approx(0.7 * entropy(content) + 0.3 * entropy(shown))
