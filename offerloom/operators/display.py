@@ -97,7 +97,7 @@ CELLS: dict[str, Callable[[], Column]] = {
     "brand": lambda: _or_unknown(text.escape_pipes(c("brand"))),
     "mpn": lambda: _or_unknown(text.escape_pipes(c("mpn"))),
     "seller": lambda: _or_unknown(text.escape_pipes(c("seller_name"))),
-    "seller_rating": lambda: F.coalesce(F.format_string("%.1f%%", F.when(c("seller_rating_pct").isNotNull(), c("seller_rating_pct"))), F.lit("unknown")),
+    "seller_rating": lambda: F.when(c("seller_rating_pct").isNotNull(), F.format_string("%.1f%%", c("seller_rating_pct"))).otherwise("unknown"),
     "ship_from": lambda: _or_unknown(c("ship_from_country")),
     "qvl_status": lambda: _or_unknown(c("qvl_status")),
     "flags": lambda: F.when(F.size("flags") > 0, F.array_join("flags", ", ")).otherwise("(no flags)"),

@@ -260,10 +260,11 @@ def product_cards(reports: DataFrame, runs: DataFrame, profiles: DataFrame, acti
 
 
 def synthesis_payload(ranked: DataFrame, diff: DataFrame, names: DataFrame) -> DataFrame:
-    """Report input per (slug, run): top ranked rows and the change sections, as tables keyed for one document each.
+    """Report input per (slug, run): the product, top ranked rows and the sizes of the change sections, one document each.
 
-    Ranked rows are bounded by the report cap and nest; change rows are not, so they stay rows with a
-    section position.
+    *names*: slug, display_name and, where known, target and synthesis_hints; they nest as `product`, absent ones
+    as null. A run without a diff has null counts. Ranked rows are bounded by the report cap and nest; change rows
+    are not, so they stay rows (`change_rows`).
     """
     key = ["slug", "run_ts"]
     top = ranked.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("rank", "url", "title", "unit_price_usd", "total_for_target_usd", "flags"))).alias("listings"))
@@ -271,7 +272,9 @@ def synthesis_payload(ranked: DataFrame, diff: DataFrame, names: DataFrame) -> D
         F.count_if(c("change_type") == "new").alias("new_count"), F.count_if(c("change_type") == "dropped").alias("dropped_count"),
         F.count_if(c("change_type") == "changed").alias("changed_count"),
     )
-    return top.join(sections, key, "left").join(names.select("slug", "display_name"), "slug", "left")
+    held = [c(n) if n in names.columns else F.lit(None).cast("string").alias(n) for n in ("target", "synthesis_hints")]
+    product = names.select("slug", "display_name", F.struct("slug", "display_name", *held).alias("product"))
+    return top.join(sections, key, "left").join(product, "slug", "left")
 
 
 def change_rows(diff: DataFrame) -> DataFrame:

@@ -641,6 +641,15 @@ def flag_descriptions(spark, sf):
     return dimensions.flag_descriptions(_labelled(offers(spark, sf)), flag_rules).select("slug", run_day(), "flag", "description")
 
 
+def decimal_sql(value: str, places: int) -> str:
+    """Text of a double rounded half up on its decimal value."""
+    return f"CAST(CAST(CAST(CAST({value} AS VARCHAR) AS DECIMAL(38,18)) AS DECIMAL(28,{places})) AS VARCHAR)"
+
+
+def money_sql(value: str) -> str:
+    return f"'$' || {decimal_sql(value, 2)}"
+
+
 @query(
     "report_table_cells",
     with_offers(
@@ -648,13 +657,26 @@ def flag_descriptions(spark, sf):
 SELECT slug, run_day, pos AS row_no, CAST(pos AS VARCHAR) AS col_rank, '[' || CASE WHEN source = 'universal_ai_search' THEN host ELSE source END || '](' || url || ')' AS col_source,
   title AS col_title, CAST(kit_module_count AS VARCHAR) AS col_pack_size, coalesce(CAST(quantity_available AS VARCHAR), 'unknown') AS col_qty, condition AS col_condition,
   coalesce(brand, 'unknown') AS col_brand, mpn AS col_mpn, coalesce(nullif(seller_name, ''), 'unknown') AS col_seller, ship_from_country AS col_ship_from,
-  'unknown' AS col_qvl_status, '(no flags)' AS col_flags, 'unknown' AS col_flavor, 'unknown' AS col_total_for_target FROM offers"""
+  CASE WHEN condition = 'new' THEN 'qvl' ELSE 'unknown' END AS col_qvl_status,
+  CASE condition WHEN 'new' THEN '(no flags)' WHEN 'used' THEN 'low_fb' ELSE 'low_fb, odd' END AS col_flags, CASE WHEN is_kit THEN 'mint \\| lime' ELSE 'unknown' END AS col_flavor,
+  CASE WHEN is_kit THEN {total} ELSE 'unknown' END || fx AS col_total_for_target, {shown} || fx AS col_price, {shown} || fx AS col_price_pack, {unit} || fx AS col_price_unit,
+  coalesce({rating} || '%', 'unknown') AS col_seller_rating
+FROM (SELECT *, CASE condition WHEN 'new' THEN ' (fx)' WHEN 'used' THEN ' (EUR)' ELSE '' END AS fx FROM offers)""".format(
+            total=money_sql("unit_price_usd * 2"), shown=money_sql("CASE WHEN is_kit THEN kit_price_usd ELSE unit_price_usd END"), unit=money_sql("unit_price_usd"), rating=decimal_sql("seller_rating_pct", 1)
+        )
     ),
 )
 def report_table_cells(spark, sf):
-    rows = offers(spark, sf).withColumn("rank", c("pos"))
-    names = ["rank", "source", "title", "pack_size", "qty", "condition", "brand", "mpn", "seller", "ship_from", "qvl_status", "flags", "flavor", "total_for_target"]
-    return display.report_table(rows, names).select(run_day(), *[n for n in display.report_table(rows, names).columns if n != "run_ts"])
+    """All 18 columns, with currencies of every kind, flags, totals and a text to escape."""
+    by = lambda new, used, other=None: F.when(c("condition") == "new", new).when(c("condition") == "used", used).otherwise(other)
+    texts = lambda *v: F.array(*[F.lit(x) for x in v]).cast("array<string>")
+    more = F.create_map(F.lit("price_approx_fx"), by(F.lit("True"), F.lit("EUR")), F.lit("flavor"), F.when(c("is_kit"), "mint | lime"))
+    rows = offers(spark, sf).withColumns({
+        "rank": c("pos"), "attrs": F.map_concat("attrs", more), "qvl_status": by(F.lit("qvl"), F.lit(None)), "flags": by(texts(), texts("low_fb"), texts("low_fb", "odd")),
+        "total_for_target_usd": F.when(c("is_kit"), c("unit_price_usd") * 2),
+    })
+    cells = display.report_table(rows, list(display.CELLS))
+    return cells.select(run_day(), *[n for n in cells.columns if n != "run_ts"])
 
 
 @query(

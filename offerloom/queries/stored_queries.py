@@ -128,17 +128,24 @@ def synthesis_changes(spark, sf):
 
 
 @query("synthesis_payload", with_offers("""
-SELECT o.slug, o.run_day, least(count(*), 30) AS listings, 'Best ' || o.slug AS display_name, any_value(coalesce(new_count, 0)) AS new_count, any_value(coalesce(dropped_count, 0)) AS dropped_count, any_value(coalesce(changed_count, 0)) AS changed_count
-FROM offers o LEFT JOIN (SELECT slug, run_day, count(*) FILTER (change_type = 'new') AS new_count, count(*) FILTER (change_type = 'dropped') AS dropped_count, count(*) FILTER (change_type = 'changed') AS changed_count FROM changes GROUP BY ALL) x
+SELECT o.slug, o.run_day, least(count(*), 30) AS listings, 'Best ' || o.slug AS display_name, any_value(coalesce(new_count, 0)) AS new_count, any_value(coalesce(dropped_count, 0)) AS dropped_count, any_value(coalesce(changed_count, 0)) AS changed_count,
+  any_value(d.changes) IS NOT NULL AS has_diff, o.slug AS product_slug, 'count' AS target_unit, CAST(length(o.slug) AS INT) AS target_amount, 'Name the cheapest ' || o.slug || '|Be brief' AS hints
+FROM offers o LEFT JOIN (SELECT slug, run_day, count(*) AS changes FROM changes GROUP BY ALL) d ON d.slug = o.slug AND d.run_day = o.run_day LEFT JOIN (SELECT slug, run_day, count(*) FILTER (change_type = 'new') AS new_count, count(*) FILTER (change_type = 'dropped') AS dropped_count, count(*) FILTER (change_type = 'changed') AS changed_count FROM changes GROUP BY ALL) x
   ON x.slug = o.slug AND x.run_day = o.run_day GROUP BY o.slug, o.run_day""", LATEST_SQL))
 def synthesis_payload(spark, sf):
     """Report input per run: ranked rows and what changed; a run without a diff has no counts."""
     o = offers(spark, sf)
     diff, _ = runs.diff_latest(o, newest_only=False)
-    named = o.select("slug").distinct().withColumn("display_name", F.concat(F.lit("Best "), c("slug")))
+    named = o.select("slug").distinct().select(
+        "slug", F.concat(F.lit("Best "), c("slug")).alias("display_name"), F.struct(F.lit("count").alias("unit"), F.length("slug").alias("amount")).alias("target"),
+        F.array(F.concat(F.lit("Name the cheapest "), c("slug")), F.lit("Be brief")).alias("synthesis_hints"),
+    )
     made = runs.synthesis_payload(ranking.rank_for_report(o), diff.withColumn("run_ts", F.date_trunc("month", c("snapshot_date").cast("timestamp"))), named)
     n = lambda x: F.coalesce(x, F.lit(0)).alias(x)
-    return made.select("slug", run_day(), big(F.size("listings")).alias("listings"), "display_name", n("new_count"), n("dropped_count"), n("changed_count"))
+    return made.select("slug", run_day(), big(F.size("listings")).alias("listings"), "display_name", n("new_count"), n("dropped_count"), n("changed_count"),
+        c("new_count").isNotNull().alias("has_diff"), c("product.slug").alias("product_slug"), c("product.target.unit").alias("target_unit"), c("product.target.amount").alias("target_amount"),
+        F.array_join("product.synthesis_hints", "|").alias("hints"),
+    )
 
 
 @query("profile_load_bounds", """

@@ -132,6 +132,9 @@ def test_report_input_and_text_lines(spark, offer_rows):
     names = spark.createDataFrame([("p", "Thing")], "slug string, display_name string")
     docs = {r["run_ts"].day: r for r in runs.synthesis_payload(ranking.rank_for_report(df), diff, names).collect()}
     assert (docs[2]["new_count"], docs[2]["changed_count"], [x["rank"] for x in docs[2]["listings"]]) == (1, 1, [1, 2]) and docs[1]["new_count"] is None
+    assert tuple(docs[1]["product"]) == ("p", "Thing", None, None)
+    rated = display.report_table(offer_rows({"seller_rating_pct": None}, {"seller_rating_pct": 98.25}).withColumn("rank", c("pos")), ["rank", "seller_rating"])
+    assert sorted((r.col_rank, r.col_seller_rating) for r in rated.collect()) == [("0", "unknown"), ("1", "98.3%")]
     calls = spark.createDataFrame([("ai_filter", "glm", "x", 1234, None, None)], "step string, provider string, model string, input_tokens bigint, output_tokens bigint, cost_usd double")
     assert display.cost_lines(calls).first()["line"] == "| ai_filter | glm/x | 1,234 | 0 | (unpriced) |"
 
