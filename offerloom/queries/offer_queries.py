@@ -781,12 +781,23 @@ def report_markdown(spark, sf):
 
 @query(
     "rendered_report_table",
-    with_offers("SELECT slug, run_day, least(count(*), 30) AS rows, '| Rank | Source | Title | Price | Total for target | Qty | Seller | Flags |' AS header FROM offers GROUP BY slug, run_day"),
+    with_offers(
+        """
+SELECT slug, run_day, count(*) AS rows, '**Ranked listings.**' || repeat(chr(10), 2) || '| Rank | Source | Title | Price | Total for target | Qty | Seller | Flags |' || chr(10) || '|' || repeat('---|', 8) || chr(10)
+  || string_agg('| ' || rank || ' | [' || CASE WHEN source = 'universal_ai_search' THEN host ELSE source END || '](' || url || ') | ' || title || ' | ' || {shown} || ' | ' || coalesce({total}, 'unknown')
+  || ' | ' || coalesce(CAST(quantity_available AS VARCHAR), 'unknown') || ' | ' || coalesce(nullif(seller_name, ''), 'unknown') || ' | (no flags) |', chr(10) ORDER BY rank) AS table_md
+FROM (SELECT *, row_number() OVER (PARTITION BY slug, run_day ORDER BY raw_total IS NULL, coalesce(raw_total, unit_price_usd), pos) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY slug, run_day ORDER BY k > 3, raw_total IS NULL, coalesce(raw_total, unit_price_usd), pos) AS pick FROM (
+    SELECT *, row_number() OVER (PARTITION BY slug, run_day, source, CASE WHEN source = 'universal_ai_search' THEN host END
+      ORDER BY raw_total IS NULL, coalesce(raw_total, unit_price_usd), pos) AS k FROM totals)) WHERE pick <= 30)
+GROUP BY slug, run_day""".format(shown=money_sql("CASE WHEN is_kit THEN kit_price_usd ELSE unit_price_usd END"), total=money_sql("raw_total")),
+        TOTAL_SQL,
+    ),
 )
 def rendered_report_table(spark, sf):
-    made = display.rendered_table(ranking.rank_for_report(offers(spark, sf)))
-    rows = text.table_rows(c("table_md"))
-    return made.select("slug", run_day(), big(F.size(rows)).alias("rows"), F.get(F.split("table_md", "\n"), F.lit(2)).alias("header"))
+    """The whole table text of every run."""
+    made = display.rendered_table(ranking.rank_for_report(raw_totals(offers(spark, sf))))
+    return made.select("slug", run_day(), big(F.size(text.table_rows(c("table_md")))).alias("rows"), "table_md")
 
 
 @query("row_json_round_trip", with_offers("SELECT pos, title, unit_price_usd, capacity_gb, run_day || 'T' || lpad(CAST(hour AS VARCHAR), 2, '0') AS fetched FROM offers"))
