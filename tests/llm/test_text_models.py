@@ -2,6 +2,7 @@
 
 import html
 import os
+import random
 import re
 import zlib
 
@@ -122,6 +123,46 @@ def test_licences_match_a_full_alignment():
     assert [texts[1][a:b] for _, _, a, b, _, _ in spans] == ["Released under the MIT License"] * 3
 
 
+def test_licences_with_words_put_in_and_cut_out():
+    index = licences.Index(licences.LICENCES)
+    texts, want = dict(licences.LICENCES), {}
+    rng = random.Random(5)
+    filler = "amber birch cedar delta ember frost grove heron iris jade".split()
+    docs = []
+    for name in ("MIT", "BSD-2-Clause", "Apache-2.0", "GPL-3.0-or-later"):
+        plain = texts[name].split()
+        for put, cut, parts in ((12, 0, 1), (30, 0, 1), (0, 12, 1), (10, 5, 2), (20, 0, 3)):
+            own = list(plain)
+            for k in range(parts):  # one change in each of the equal parts, from the last one
+                at = len(own) * (parts - k) // (parts + 1)
+                own[at : at + cut] = [rng.choice(filler) + str(rng.randrange(99)) for _ in range(put)]
+            docs.append("some words before " + " ".join(own) + " and some after")
+            want[len(docs) - 1] = name
+    docs.append(" ".join(texts["MIT"].split()[:40]))  # a part alone is no copy
+    docs.append(" ".join(texts["MIT"].split()[40:] + texts["MIT"].split()[:40]))  # nor are parts in another order
+    got = index.matches(docs)
+    for d, text in enumerate(docs):
+        own = words([text]).value
+        for k, name in enumerate(index.names):
+            template = index.values[k]
+            wide = np.full(len(template), len(own) + len(template))
+            matched, first, last = licences.align_chain(template, own, -wide, wide)  # every place may meet every word
+            full = matched >= licences.COVERAGE * len(template)
+            assert full == any((d, name) == m[:2] for m in got), (d, name, matched)
+    for d, name in want.items():
+        (_, _, a, b, matched, size), *more = [m for m in got if m[:2] == (d, name)]
+        assert not more and docs[d][a:b].lower().startswith(texts[name].split()[0].lower()) and matched >= 0.8 * size
+        assert docs[d][b:].strip(" .") == "and some after"
+
+
+def test_licence_chains_in_a_long_text_of_broken_copies():
+    index = licences.Index(licences.LICENCES)
+    own = dict(licences.LICENCES)["MIT"].split()
+    broken = " ".join(own[:40] + ["x"] * 12 + own[40:])
+    found = [m for m in index.matches([f"{broken} . " * 400]) if m[1] == "MIT"]
+    assert len(found) == 400 and len({m[2] for m in found}) == 400 and all(m[4] == m[5] for m in found)
+
+
 def test_licence_query(spark):
     lines = [t for n, t in licences.LICENCES if n.endswith("notice")]
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF2}/documents.parquet").collect()}
