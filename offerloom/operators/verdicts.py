@@ -7,12 +7,15 @@ never by physical partition, so the same offers always form the same batches.
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
+from urllib.parse import quote
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from offerloom import constants as K
 from offerloom.functions import envelopes, text
@@ -75,10 +78,46 @@ def batch_rows(offers: DataFrame, size: int = K.JUDGE_BATCH) -> DataFrame:
     )
 
 
-def ask(batches: DataFrame, judge: Judge) -> DataFrame:
-    """Answer text, usage and error of *judge* for every batch; only keys and payload cross to Python."""
+@dataclass(frozen=True)
+class ReplyStore:
+    """Judge answers kept in a table, so that a run that is started again asks nothing twice.
+
+    An answer belongs to a batch of a run, its payload text, provider and model; another run, or a batch that has
+    changed, is asked anew. A call that raised is made again, an answer that could not be read was paid for and stays.
+    Answers are in the table as soon as their task ends, of about *calls_per_task* calls: a lost executor repeats
+    the calls of its open tasks, a job that dies keeps what its tasks had stored. One writer per run at a time.
+    """
+
+    path: str
+    calls_per_task: int = 8
+
+
+REPLY = ["slug string", "run_ts timestamp", "batch bigint", "payload_key string", "reply string", "error string", *[u + " bigint" for u in USAGE]]
+
+
+def stored_replies(spark: SparkSession, store: ReplyStore, judge: Judge) -> DataFrame:
+    """Rows of calls to *judge*, those that raised included, with the `attempt` that made them. None before the first."""
+    ddl = ", ".join([*REPLY, "attempt string"])
+    try:
+        return spark.read.schema(ddl).parquet(f"{store.path}/{reply_folder(judge)}")
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], ddl)
+
+
+def reply_folder(judge: Judge) -> str:
+    return "/".join(quote(n, safe="") for n in (judge.provider, judge.model))
+
+
+def ask(batches: DataFrame, judge: Judge, store: ReplyStore | None = None) -> DataFrame:
+    """Answer text, usage and error of *judge* for every batch; only keys and payload cross to Python.
+
+    With a *store*, answers it holds are used, the other batches are asked, and new answers are stored first.
+    """
     call = judge.call
-    schema = f"slug string, run_ts timestamp, batch bigint, reply string, error string, {', '.join(u + ' bigint' for u in USAGE)}"
+    keys = BATCH if store is None else [*BATCH, "payload_key"]
+    schema = ", ".join(r for r in REPLY if store is not None or r != "payload_key string")
 
     def answer(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -90,10 +129,23 @@ def ask(batches: DataFrame, judge: Judge) -> DataFrame:
                     reply, usage = out if isinstance(out, tuple) else (out, {})
                 except Exception as exc:  # noqa: BLE001 - a failing judge is a result, not a crash
                     error = f"ai_filter exception: {exc!r}"
-                rows.append((key.slug, key.run_ts, key.batch, reply, error, *[int(usage.get(u) or 0) for u in USAGE]))
-            yield pd.DataFrame(rows, columns=["slug", "run_ts", "batch", "reply", "error", *USAGE])
-
-    replies = durable(batches.select(*BATCH, "payload").mapInPandas(answer, schema))
+                rows.append((*[getattr(key, k) for k in keys], reply, error, *[int(usage.get(u) or 0) for u in USAGE]))
+            yield pd.DataFrame(rows, columns=[*keys, "reply", "error", *USAGE])
+
+    asked = batches.select(*BATCH, "payload")
+    if store is None:
+        replies = durable(asked.mapInPandas(answer, schema))
+    else:
+        id_, attempt = [*BATCH, "payload_key"], uuid.uuid4().hex
+        asked = durable(asked.withColumn("payload_key", F.sha2("payload", 256)))
+        ours = lambda: stored_replies(batches.sparkSession, store, judge).join(asked.select(*id_), id_, "left_semi")
+        new = durable(asked.join(ours().where(c("error").isNull()), id_, "left_anti"))
+        tasks = -(-new.count() // store.calls_per_task)
+        fresh = new.repartition(max(1, tasks), *BATCH).mapInPandas(answer, ", ".join(REPLY)).withColumn("attempt", F.lit(attempt))
+        fresh.write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(f"{store.path}/{reply_folder(judge)}")
+        # A call that an interrupted task repeated has two answers: one of them counts.
+        now = ours().where(c("error").isNull() | (c("attempt") == attempt))
+        replies = durable(first_row(now, id_, [c("error").isNotNull(), c("reply")]).drop("payload_key", "attempt"))
     read = (
         batches.join(replies, BATCH)
         .withColumn("envelope", envelopes.envelope_text(c("reply")))
@@ -104,13 +156,16 @@ def ask(batches: DataFrame, judge: Judge) -> DataFrame:
     return read.withColumn("error", F.coalesce("error", F.when(c("verdicts").isNull(), unread)))
 
 
-def run_chain(offers: DataFrame, chain: Sequence[Judge] = DEFAULT_CHAIN, size: int = K.JUDGE_BATCH) -> tuple[DataFrame, DataFrame, DataFrame]:
+def run_chain(
+    offers: DataFrame, chain: Sequence[Judge] = DEFAULT_CHAIN, size: int = K.JUDGE_BATCH, store: ReplyStore | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(answered batches, failed runs, all calls made).
 
     Judges are tried in order. From the first batch of a run that a judge fails on, the next judge takes over
     for the rest of that run. A run with batches left after the last judge has failed. A judge is asked in
     waves of 1, 2, 4 ... batches of every run, and no more for a run it has failed on, so a dead judge costs
-    one call per run, and one that dies later at most as many calls as it has answered. Every call counts.
+    one call per run, and one that dies later at most as many calls as it has answered. Every call counts; with a
+    *store*, a call that an earlier attempt at the run has made counts once, when its answer is used.
     """
     pending = durable(batch_rows(offers, size))
     base, done, calls, failed = pending.columns, [], [], None
@@ -126,7 +181,7 @@ def run_chain(offers: DataFrame, chain: Sequence[Judge] = DEFAULT_CHAIN, size: i
             wave = open_.where((c("_place") >= low) & (c("_place") < low + width)).drop("_place")
             if broken is not None:
                 wave = wave.join(broken.select(*RUN), RUN, "left_anti")
-            answered = durable(ask(wave, judge))
+            answered = durable(ask(wave, judge, store))
             calls.append(answered.select(*keep))
             now = answered.where(c("error").isNotNull()).groupBy(*RUN).agg(F.min("batch").alias("first_bad"), F.min_by("error", "batch").alias("bad_reason"))
             good = answered.join(now, RUN, "left").where(c("first_bad").isNull() | (c("batch") < c("first_bad")))

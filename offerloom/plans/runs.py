@@ -56,19 +56,20 @@ def recall_counts(offers: DataFrame) -> DataFrame:
 
 def run_offers(
     offers: DataFrame, profiles: DataFrame, judges: Sequence[verdicts.Judge] | None = verdicts.DEFAULT_CHAIN,
-    errors: DataFrame | None = None,
+    errors: DataFrame | None = None, replies: verdicts.ReplyStore | None = None,
 ) -> dict[str, DataFrame]:
     """The v2 run for all products at once.
 
     Returns survivors, displayed, overflow, columns, funnel (with outcome), log, calls. With
-    ``judges=None`` every candidate survives and nothing leaves the JVM.
+    ``judges=None`` every candidate survives and nothing leaves the JVM. With *replies*, a run that is started again
+    uses the answers of its earlier attempts.
     """
     # Written once to the shared checkpoint folder: outlier statistics, ranking, counts and the history sink all read it.
     pool = durable(candidates(offers, profiles))
     if judges is None:
         kept, log, calls, failed = pool, None, None, None
     else:
-        answered, failed_runs, asked = verdicts.run_chain(pool, judges)
+        answered, failed_runs, asked = verdicts.run_chain(pool, judges, store=replies)
         judged = verdicts.verdict_rows(answered).join(failed_runs.select(*RUN), RUN, "left_anti")
         kept = durable(judged.where("pass").drop("index", "pass", "reason"))
         log = verdicts.log_rows(judged).unionByName(verdicts.failure_log(failed_runs))
@@ -101,6 +102,7 @@ def recall_and_run(recall: Callable[[DataFrame], DataFrame], profiles: DataFrame
 def validate_offers(
     offers: DataFrame, rule_list: Sequence[dict], flag_list: Sequence[dict] | Column, target: Column | None = None,
     known_parts: DataFrame | None = None, brand_candidates: Sequence[str] = (), judges: Sequence[verdicts.Judge] | None = None,
+    replies: verdicts.ReplyStore | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """v1 validation: (passed offers, verdict log). Rejects, judge, brand, known part, flags, total, unknown stock.
 
@@ -112,7 +114,7 @@ def validate_offers(
     kept = offers.where(reason.isNull())
     log = rejected
     if judges is not None:
-        answered, failed, _ = verdicts.run_chain(kept, judges)
+        answered, failed, _ = verdicts.run_chain(kept, judges, store=replies)
         judged = verdicts.verdict_rows(answered).join(failed.select(*RUN), RUN, "left_anti")
         log = rejected.unionByName(verdicts.log_rows(judged.withColumn("index", c("pos")))).unionByName(verdicts.failure_log(failed))
         kept = judged.where("pass").drop("index", "pass", "reason")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from offerloom.operators import alerts, diagnostics, dimensions, evaluation, his
 from offerloom.plans import runs
 from offerloom.queries.base import EVENTS_SQL, big, day, event_offers, offers, query, table, with_offers
 from offerloom.schema import conform
+from offerloom.session import checkpoint_root, durable
 
 c = F.col
 RUN = ["slug", "run_ts"]
@@ -189,6 +191,27 @@ def judge_chain(spark, sf):
     return judged.select("pos", "pass", "reason", F.try_element_at("attrs", F.lit("term")).alias("term"))
 
 
+def _never(payload: str):
+    raise AssertionError("asked again")
+
+
+@query("judge_chain_again", with_offers("""
+SELECT slug, run_day, count(*) AS judged, count(*) FILTER (CASE WHEN judge = 1 THEN condition = 'new' ELSE no % 50 <> 3 END) AS passed,
+  count(DISTINCT batch) FILTER (judge = 1) AS first_batches, count(DISTINCT batch) FILTER (judge = 2) AS second_batches
+FROM placed ANTI JOIN bad2 USING (slug, run_day) GROUP BY ALL""", CHAIN_SQL))
+def judge_chain_again(spark, sf):
+    """The chain run twice over one reply store: the judges of the second attempt answer nothing, kept answers do."""
+    o, store = durable(offers(spark, sf)), verdicts.ReplyStore(f"{checkpoint_root(spark)}/stored/{uuid.uuid4().hex}")
+    verdicts.run_chain(o, CHAIN, store=store)
+    again = [verdicts.Judge(j.provider, j.model, _never) for j in CHAIN]
+    answered, failed, _ = verdicts.run_chain(o, again, store=store)
+    held = answered.join(failed.select(*RUN), RUN, "left_anti").groupBy("slug", run_day()).agg(
+        F.count_if(c("model") == "first").alias("first_batches"), F.count_if(c("model") == "second").alias("second_batches"))
+    judged = verdicts.verdict_rows(answered).join(failed.select(*RUN), RUN, "left_anti")
+    rows = judged.groupBy("slug", run_day()).agg(F.count(F.lit(1)).alias("judged"), F.count_if("pass").alias("passed"))
+    return rows.join(held, ["slug", "run_day"]).select("slug", "run_day", "judged", "passed", "first_batches", "second_batches")
+
+
 @query("judge_chain_failures", with_offers("SELECT slug, run_day, -1 AS \"index\", '(filter call failed)' AS title FROM bad2", CHAIN_SQL))
 def judge_chain_failures(spark, sf):
     _, failed, _ = verdicts.run_chain(offers(spark, sf), CHAIN)

@@ -129,6 +129,38 @@ def test_v2_run_and_report(spark, offer_rows):
     assert [r["rank"] for r in runs.all_listings(run).orderBy("rank").collect()] == [1, 2, 3]
 
 
+def test_a_second_attempt_asks_only_what_has_no_answer(spark, offer_rows, tmp_path):
+    """Batches of one offer; the first attempt dies in one of them, the others are in the store by then."""
+    calls, alive = tmp_path / "calls", tmp_path / "alive"
+    calls.mkdir()
+
+    def costly(payload):
+        entry = json.loads(payload)[0]
+        if entry["title"] == "X-100T" and not alive.exists():
+            raise SystemExit("the worker is gone")  # ends the task, not the call
+        (calls / f"{abs(hash(payload))}-{len(list(calls.iterdir()))}").write_text(entry["title"])
+        return json.dumps([{"index": 0, "pass": True}]), {"input_tokens": 7}
+
+    def asked():
+        return sorted(f.read_text() for f in calls.iterdir())
+
+    judges, store = [verdicts.Judge("local", "a/b c", costly)], verdicts.ReplyStore(str(tmp_path / "replies"), calls_per_task=1)
+    o = run_rows(offer_rows)
+    with pytest.raises(Exception, match="worker|Python"):
+        verdicts.run_chain(o, judges, size=1, store=store)[0].count()
+    first, kept = asked(), verdicts.stored_replies(spark, store, judges[0]).count()
+    assert "X-100T" not in first and 1 <= kept <= len(first)
+    alive.touch()
+    answered, failed, made = verdicts.run_chain(o, judges, size=1, store=store)
+    assert answered.count() == 6 and failed.count() == 0 and made.agg(F.sum("input_tokens")).first()[0] == 42
+    both = len(asked())
+    assert set(asked()) == {r["title"] for r in o.collect()} and both == len(first) + 6 - kept  # only what the store lacks
+    verdicts.run_chain(o, judges, size=1, store=store)
+    assert len(asked()) == both
+    verdicts.run_chain(o.withColumn("title", F.concat("title", F.lit("!"))), judges, size=1, store=store)  # other texts
+    assert len(asked()) == both + 6
+
+
 def test_failed_judges_empty_the_run(spark, offer_rows):
     down = verdicts.Judge("local", "x", lambda payload: "nonsense")
     run = runs.run_offers(run_rows(offer_rows), profiles(spark), [down])
