@@ -193,7 +193,8 @@ def report_markdown(reports: DataFrame, displayed: DataFrame) -> DataFrame:
     seller, cond = F.nullif("seller_name", F.lit("")), F.coalesce(F.nullif("condition", F.lit("")), display.attr("condition"))
     price = F.coalesce(money.grouped_money(F.nullif("unit_price_usd", F.lit(0.0))), F.lit("—"))
     warn = F.when(F.array_contains("flags", K.FLAG_LOW), "🚨 SUSPICIOUS: ").otherwise("")
-    title = F.concat(warn, F.lit("["), F.substring(text.escape_pipes(c("title")), 1, 80), F.lit("]("), c("url"), F.lit(")"))
+    clipped = F.substring(text.escape_pipes(c("title")), 1, 80)
+    title = F.concat(warn, F.when(display.filled(c("url")), F.concat(F.lit("["), clipped, F.lit("]("), c("url"), F.lit(")"))).otherwise(clipped))
     rating = F.coalesce(F.concat(c("seller_rating_pct").cast("string"), F.lit("%")), F.lit("—"))
 
     def cell(name: Column) -> Column:

@@ -679,23 +679,69 @@ def report_table_cells(spark, sf):
     return cells.select(run_day(), *[n for n in cells.columns if n != "run_ts"])
 
 
+LISTING_SQL = """
+listed AS (
+  SELECT pos, url, title, seller_name, is_kit, kit_module_count, condition, seller_rating_pct, seller_feedback_count, ship_from_country, quantity_available, brand, mpn, source,
+    host, unit_price_usd, CASE WHEN is_kit THEN kit_price_usd ELSE unit_price_usd END AS sold_price, CASE WHEN condition = 'new' THEN unit_price_usd * 3 END AS total_for_target_usd,
+    CASE WHEN condition = 'refurbished' THEN 'EUR' END AS currency_approx_fx, 'www.' || host AS url_host, url || '?buy' AS buy_url, CASE WHEN is_kit THEN url || '.png' END AS image_url,
+    CASE WHEN condition = 'used' THEN 4.5::DOUBLE END AS rating, CASE WHEN condition = 'used' THEN l_partkey::INT END AS rating_count,
+    concat_ws(',', CASE WHEN condition = 'used' THEN 'suspicious_listing' END, CASE WHEN is_kit THEN 'low_fb' END, CASE WHEN quantity_available IS NULL THEN 'unknown_quantity' END,
+      CASE WHEN capacity_gb > 40 THEN 'odd' END, CASE WHEN condition = 'used' THEN 'suspicious_listing' END) AS flags,
+    concat_ws(',', CASE WHEN condition = 'used' THEN 'suspicious_listing/Suspicious listing/danger' END, CASE WHEN is_kit THEN 'low_fb/low_fb/info' END,
+      CASE WHEN quantity_available IS NULL THEN 'unknown_quantity/Quantity unknown/info' END, CASE WHEN capacity_gb > 40 THEN 'odd/odd/info' END) AS badges,
+    concat_ws(',', 'capacity_gb=' || capacity_gb, 'ecc=' || ecc, 'form_factor=' || form_factor, CASE WHEN condition = 'refurbished' THEN 'price_approx_fx=EUR' END, 'source_url=' || source_url,
+      'speed_mts=' || speed_mts, CASE WHEN source = 'universal_ai_search' THEN 'vendor_host=www.' || host END, 'voltage_v=' || voltage_v) AS attrs
+  FROM offers
+)"""
+
+
+def _listings(spark, sf):
+    """Offers with every field that a listing shows, under rank 1."""
+    o, used = _labelled(offers(spark, sf)), c("condition") == "used"
+    fx = F.when(c("condition") == "refurbished", "EUR")
+    part = F.regexp_extract("mpn", r"-(\d+)E?$", 1).cast("int")
+    return o.withColumns({
+        "rank": F.lit(1), "total_for_target_usd": F.when(c("condition") == "new", c("unit_price_usd") * 3), "buy_url": F.concat("url", F.lit("?buy")),
+        "image_url": F.when(c("is_kit"), F.concat("url", F.lit(".png"))), "rating": F.when(used, 4.5), "rating_count": F.when(used, part),
+        "attrs": F.map_filter(F.map_concat("attrs", F.create_map(F.lit("price_approx_fx"), fx)), lambda _, v: v.isNotNull()),
+    })
+
+
+def _flat(name: str) -> list:
+    """The fields of a listing struct; badges, flags and attributes as text."""
+    at = lambda n: c(f"{name}.{n}")
+    badge = F.transform(at("badges"), lambda b: F.concat_ws("/", b["key"], b["label"], b["severity"]))
+    return [at("currency_approx_fx"), F.array_join(badge, ",").alias("badges"), at("url"), at("title"), at("total_for_target_usd"), at("condition"), at("seller_name"), at("is_kit"), at("kit_module_count")]
+
+
 @query(
     "listing_display",
-    with_offers(
-        """
-SELECT pos, CASE WHEN source <> 'serper_shopping' THEN 'www.' || host WHEN seller_name = '' THEN NULL ELSE lower(seller_name) || '.com' END AS vendor_host_v2,
-  CASE WHEN source = 'universal_ai_search' THEN 'www.' || host ELSE 'www.' || host END AS vendor_host_v1,
-  CASE WHEN is_kit THEN kit_price_usd ELSE unit_price_usd END AS price_v1, unit_price_usd AS price_v2, CASE WHEN source = 'universal_ai_search' THEN host ELSE source END AS label FROM offers"""
-    ),
+    with_offers("""
+SELECT pos, 1 AS rank, source, CASE WHEN source <> 'serper_shopping' THEN url_host WHEN seller_name = '' THEN NULL ELSE lower(seller_name) || '.com' END AS vendor_host, unit_price_usd AS price_usd,
+  currency_approx_fx, badges, url, title, total_for_target_usd, condition, seller_name, is_kit, kit_module_count, buy_url, image_url, seller_rating_pct, seller_feedback_count, rating, rating_count,
+  ship_from_country, quantity_available, flags, brand, mpn, attrs FROM listed""", LISTING_SQL),
 )
 def listing_display(spark, sf):
-    o = offers(spark, sf).withColumn("rank", F.lit(1))
-    return o.select("pos", display.listing_v2().alias("a"), display.listing_v1().alias("b")).select(
-        "pos", c("a.vendor_host").alias("vendor_host_v2"), c("b.vendor_host").alias("vendor_host_v1"), c("b.price_usd").alias("price_v1"),
-        c("a.price_usd").alias("price_v2"), c("b.source").alias("label"),
+    """All 25 fields of a listing in a report document."""
+    a = lambda n: c(f"a.{n}")
+    pairs = F.transform(F.array_sort(F.map_entries(a("attrs"))), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return _listings(spark, sf).select("pos", display.listing_v2().alias("a")).select(
+        "pos", a("rank"), a("source"), a("vendor_host"), a("price_usd"), *_flat("a"), a("buy_url"), a("image_url"), a("seller_rating_pct"), a("seller_feedback_count"), a("rating"), a("rating_count"),
+        a("ship_from_country"), a("quantity_available"), F.array_join(a("flags"), ",").alias("flags"), a("brand"), a("mpn"), F.array_join(pairs, ",").alias("attrs"),
     )
 
 
+@query(
+    "listing_display_v1",
+    with_offers("""
+SELECT pos, 1 AS rank, CASE WHEN source = 'universal_ai_search' THEN host ELSE source END AS source, url_host AS vendor_host, sold_price AS price_usd,
+  currency_approx_fx, badges, url, title, total_for_target_usd, condition, seller_name, is_kit, kit_module_count FROM listed""", LISTING_SQL),
+)
+def listing_display_v1(spark, sf):
+    """All 13 fields of a listing in the older document."""
+    return _listings(spark, sf).select("pos", display.listing_v1().alias("b")).select("pos", "b.rank", "b.source", "b.vendor_host", "b.price_usd", *_flat("b"))
+
+
 @query(
     "column_value_precedence",
     with_offers("SELECT pos, coalesce(brand, form_factor) AS shown, brand IS NULL AND form_factor IS NOT NULL AS extracted FROM offers"),
@@ -746,37 +792,91 @@ def validate_offers(spark, sf):
     return passed.select("pos", "brand", F.array_join("flags", ",").alias("flags"), "qvl_status", c("total_for_target_usd").isNotNull().alias("has_total"))
 
 
+# Columns, counts and held-back offers of every run that shows something.
+REPORT_SQL = """
+shown_columns AS (
+  SELECT slug, run_day, slug <> 'ECONOMY' AS has_condition, slug = 'ECONOMY' AND bool_or(brand IS NOT NULL) AS has_brand,
+    slug = 'ECONOMY' AND bool_or(speed_mts IS NOT NULL) AS has_speed, slug <> 'ECONOMY' AND bool_or(seller_name <> '') AS has_seller,
+    slug NOT IN ('ECONOMY', 'PROMO') AND bool_or(seller_rating_pct IS NOT NULL) AS has_rating
+  FROM displayed GROUP BY slug, run_day
+),
+held AS (
+  SELECT slug, run_day, vendor, count(*) - CASE WHEN slug = 'PROMO' THEN 1 ELSE 2 END AS held_back FROM flagged
+  SEMI JOIN (SELECT DISTINCT slug, run_day, vendor FROM displayed) USING (slug, run_day, vendor)
+  GROUP BY slug, run_day, vendor HAVING count(*) > CASE WHEN slug = 'PROMO' THEN 1 ELSE 2 END
+),
+sizes AS (
+  SELECT r.*, s.survivor_count, d.displayed_count, 'Product ' || upper(slug[1]) || lower(slug[2:]) AS display_name
+  FROM (SELECT slug, run_day, count(*) AS recall_count FROM distinct_offers GROUP BY ALL) r
+  JOIN (SELECT slug, run_day, count(*) AS survivor_count FROM candidates GROUP BY ALL) s USING (slug, run_day)
+  JOIN (SELECT slug, run_day, count(*) AS displayed_count FROM displayed GROUP BY ALL) d USING (slug, run_day)
+)"""
+
+
 @query(
     "report_payload",
     with_offers(
         """
-SELECT slug, run_day, 2 AS schema_version, 'Product ' || upper(slug[1]) || lower(slug[2:]) AS display_name, count(*) AS listings, min(unit_price_usd) FILTER (rank = 1) AS first_price,
-  string_agg(CAST(rank AS VARCHAR) || ':' || vendor, ',' ORDER BY rank) AS order_text FROM displayed GROUP BY slug, run_day""",
-        RUN_SQL,
+SELECT slug, run_day, 2 AS schema_version, display_name, displayed_count, survivor_count, recall_count, 'ok' AS outcome, CASE WHEN slug = 'MEDIUM' THEN 'degraded_attr' ELSE '' END AS notes,
+  count(*) AS listings, min(unit_price_usd) FILTER (rank = 1) AS first_price, string_agg(CAST(rank AS VARCHAR) || ':' || vendor, ',' ORDER BY rank) AS order_text,
+  (SELECT concat_ws(',', 'price', CASE WHEN has_condition THEN 'condition' END, CASE WHEN has_brand THEN 'brand' END, CASE WHEN has_speed THEN 'speed_mts' END,
+    CASE WHEN has_seller THEN 'seller' END, CASE WHEN has_rating THEN 'seller_rating' END) FROM shown_columns k WHERE k.slug = d.slug AND k.run_day = d.run_day) AS columns,
+  (SELECT coalesce(string_agg(vendor || '=' || held_back, ',' ORDER BY vendor), '') FROM held h WHERE h.slug = d.slug AND h.run_day = d.run_day) AS overflow
+FROM displayed d JOIN sizes USING (slug, run_day) GROUP BY ALL""",
+        RUN_SQL, REPORT_SQL,
     ),
 )
 def report_payload(spark, sf):
+    """Every part of the report document but its cost and the rest of a listing's fields (`listing_display`)."""
     p = profiles(spark, sf)
     run = runs.run_offers(offers(spark, sf), p, judges=None)
-    docs = runs.build_reports(run, p).where(c("payload.displayed_count") > 0).select(
-        "slug", run_day(), "payload.schema_version", "payload.display_name",
-        F.transform("payload.listings", lambda d: F.from_json(d, "rank int, price_usd double, seller_name string")).alias("l"),
+    docs = runs.build_reports(run, p).where(c("payload.displayed_count") > 0).select(run_day(), "payload.*").withColumn(
+        "l", F.transform("listings", lambda d: F.from_json(d, "rank int, price_usd double, seller_name string"))
     )
     order = F.array_join(F.transform("l", lambda x: F.concat(x["rank"].cast("string"), F.lit(":"), urls.vendor_key(x["seller_name"]))), ",")
-    return docs.select("slug", "run_day", "schema_version", "display_name", big(F.size("l")).alias("listings"), F.get("l", F.lit(0))["price_usd"].alias("first_price"), order.alias("order_text"))
+    held = F.transform(F.array_sort(F.map_entries(F.coalesce("overflow", F.create_map().cast("map<string,bigint>")))), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return docs.select(
+        "slug", "run_day", "schema_version", "display_name", "displayed_count", "survivor_count", "recall_count", c("outcome.class").alias("outcome"),
+        F.array_join(F.transform("outcome.notes", lambda n: n["class"]), ",").alias("notes"), big(F.size("l")).alias("listings"),
+        F.get("l", F.lit(0))["price_usd"].alias("first_price"), order.alias("order_text"), F.array_join("columns", ",").alias("columns"), F.array_join(held, ",").alias("overflow"),
+    )
+
+
+def _if(flag: str, value: str) -> str:
+    return f"CASE WHEN {flag} THEN {value} END"
 
 
 @query(
     "report_markdown",
-    with_offers("SELECT slug, run_day, count(*) AS shown, count(*) + 2 AS table_lines FROM displayed GROUP BY slug, run_day", RUN_SQL),
+    with_offers(
+        """
+SELECT slug, run_day, displayed_count AS shown, displayed_count + 2 AS table_lines,
+  '# ' || display_name || ' — ' || run_day || chr(10) || chr(10) || CASE WHEN slug = 'MEDIUM' THEN '_{note}_' || chr(10) || chr(10) ELSE '' END
+  || '**' || displayed_count || ' shown** (of ' || survivor_count || ' matched, ' || recall_count || ' found). Cheapest first.' || chr(10) || chr(10)
+  || '| # | ' || any_value(concat_ws(' | ', 'Price', {heads})) || ' |' || chr(10)
+  || '|' || repeat('---|', any_value(2 + has_condition::INT + has_brand::INT + has_speed::INT + has_seller::INT + has_rating::INT)) || chr(10)
+  || string_agg('| ' || concat_ws(' | ', CAST(rank AS VARCHAR), regexp_replace({price}, '(\\d)(\\d\\d\\d)\\.', '\\1,\\2.'), {cells}) || ' |', chr(10) ORDER BY rank)
+  || coalesce(chr(10) || chr(10) || (SELECT string_agg('_' || held_back || ' more from ' || vendor || '._', chr(10) ORDER BY vendor) FROM held h WHERE h.slug = d.slug AND h.run_day = d.run_day), '') AS markdown
+FROM displayed d JOIN sizes USING (slug, run_day) JOIN shown_columns USING (slug, run_day) GROUP BY slug, run_day, display_name, displayed_count, survivor_count, recall_count""".format(
+            note=K.NOTE_MESSAGES["degraded_attr"].replace("'", "''"),
+            price=money_sql("unit_price_usd"),
+            heads=", ".join(_if(f"has_{n}", f"'{h}'") for n, h in (("condition", "Condition"), ("brand", "Brand"), ("speed", "Speed Mts"), ("seller", "Vendor"), ("rating", "Rating"))),
+            cells=", ".join([
+                _if("has_condition", "condition"), _if("has_brand", "'—'"), _if("has_speed", "coalesce(CAST(speed_mts AS VARCHAR), '—')"),
+                _if("has_seller", "coalesce(nullif(seller_name, ''), '—')"), _if("has_rating", "coalesce(CAST(seller_rating_pct AS VARCHAR) || '%', '—')"),
+            ]),
+        ),
+        RUN_SQL, REPORT_SQL,
+    ),
 )
 def report_markdown(spark, sf):
+    """The whole text of every run that shows something. The text shows extracted attributes, so a seller's brand reads unknown."""
     p = profiles(spark, sf)
     run = runs.run_offers(offers(spark, sf), p, judges=None)
     docs = runs.report_markdown(runs.build_reports(run, p), run["displayed"]).where(~c("markdown").contains("_No listings to show._"))
     lines = F.size(F.filter(F.split("markdown", "\n"), lambda s: s.startswith("|")))
     shown = text.hit(c("markdown"), r"\*\*(\d+) shown\*\*", 1).cast("bigint")
-    return docs.select("slug", run_day(), shown.alias("shown"), big(lines).alias("table_lines"))
+    return docs.select("slug", run_day(), shown.alias("shown"), big(lines).alias("table_lines"), "markdown")
 
 
 @query(
