@@ -14,15 +14,15 @@ def compress(ids: np.ndarray, rounds: int = ROUNDS, least: int = LEAST_COUNT) ->
     """(symbols, rules, lengths, first): symbols from *first* on are nonterminals.
 
     rules[k] holds the two symbols of nonterminal first + k and lengths[k] the ids it expands to. A round
-    counts all pairs, one pair per hash bucket, takes those that occur *least* times or more, and replaces
-    them all; where two chosen pairs overlap, the more frequent one wins. Pairs behind another one of their
-    bucket have their turn in a later round.
+    counts all pairs exactly, takes those that occur *least* times or more, and replaces them all; where two
+    chosen pairs overlap, the more frequent one wins. One pair of each hash bucket is counted by its bucket,
+    the pairs behind it in buckets that may hold another frequent one are sorted.
     """
     first = int(ids.max()) + 1 if len(ids) else 0
     seq = ids.astype(np.uint32)
     rules, lengths = [], []
     size_of = np.ones(first, np.int64)
-    holder, place = np.zeros(1 << BUCKET_BITS, np.uint64), np.zeros(1 << BUCKET_BITS, np.int32)
+    holder = np.zeros(1 << BUCKET_BITS, np.uint64)
     for _ in range(rounds):
         if len(seq) < 2:
             break
@@ -34,28 +34,36 @@ def compress(ids: np.ndarray, rounds: int = ROUNDS, least: int = LEAST_COUNT) ->
         pair, bucket = pair[at], bucket[at]
         holder[bucket] = pair
         hit = holder[bucket] == pair
-        at, bucket = at[hit], bucket[hit]
-        count = np.bincount(bucket, minlength=1 << BUCKET_BITS).astype(np.int32)
-        hit = count[bucket] >= least
-        at, bucket = at[hit], bucket[hit]
+        behind = np.flatnonzero(~hit)
+        behind = behind[(np.bincount(bucket[behind], minlength=1 << BUCKET_BITS) >= least)[bucket[behind]]]
+        others, which, n_others = np.unique(pair[behind], return_inverse=True, return_counts=True)
+        code = bucket.astype(np.int64)  # a number per distinct pair: its bucket, or behind the buckets
+        code[behind] = which + (1 << BUCKET_BITS)
+        hit[behind] = True
+        at, code = at[hit], code[hit]
+        count = np.concatenate([np.bincount(code[code < 1 << BUCKET_BITS], minlength=1 << BUCKET_BITS), n_others])
+        hit = count[code] >= least
+        at, code = at[hit], code[hit]
         if not len(at):
             break
         # a place wins over touching ones of lower count
-        mine = count[bucket].astype(np.int64) << BUCKET_BITS | bucket
+        mine = count[code] << 40 | code
         touch = np.diff(at) == 1
         same = touch & (mine[1:] == mine[:-1])  # a run of one pair: every other place
         begin = np.maximum.accumulate(np.where(np.concatenate([[True], ~same]), np.arange(len(at)), 0))
         win = (np.arange(len(at)) - begin) % 2 == 0
         win[1:] &= ~touch | same | (mine[1:] > mine[:-1])
         win[:-1] &= ~touch | (mine[:-1] >= mine[1:])
-        at, bucket = at[win], bucket[win]
-        present = np.zeros(1 << BUCKET_BITS, bool)
-        present[bucket] = True
+        at, code = at[win], code[win]
+        present = np.zeros(len(count), bool)
+        present[code] = True
         used = np.flatnonzero(present)
+        place = np.zeros(len(count), np.int32)
         place[used] = np.arange(len(used), dtype=np.int32)
-        number = place[bucket]
+        number = place[code]
         base = len(size_of)
-        left, right = (holder[used] >> np.uint64(32)).astype(np.uint32), (holder[used] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        chosen = np.concatenate([holder, others])[used]
+        left, right = (chosen >> np.uint64(32)).astype(np.uint32), (chosen & np.uint64(0xFFFFFFFF)).astype(np.uint32)
         rules.append(np.stack([left, right], 1))
         lengths.append(size_of[left] + size_of[right])
         size_of = np.concatenate([size_of, lengths[-1]])
