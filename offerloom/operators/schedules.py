@@ -56,7 +56,8 @@ def cron_due(schedules: DataFrame, spans: DataFrame, minutes: int) -> DataFrame:
     plans = planned.select("slug", c("plan.hour").alias("at"), S.plan_masks(c("plan")).alias("masks"))
     reached = lambda m: S.has_bit(c("masks.month"), m) | S.has_bit(c("masks.month"), F.when(m == 1, 12).otherwise(m - 1))
     months = F.filter(F.sequence(F.lit(1), F.lit(12)), reached)
-    met = plans.select("slug", "at", "masks", F.explode(months).alias("month")).join(calendar, "month")
+    # The calendar (a row per day) is the small side whatever the schedules' file size promises: exploded, they outgrow it.
+    met = plans.select("slug", "at", "masks", F.explode(months).alias("month")).join(F.broadcast(calendar), "month")
     met = met.withColumn("today", S.mask_fires_on_day(c("masks"), c("day"))).withColumn("yesterday", S.mask_fires_on_day(c("masks"), F.date_sub("day", 1)))
     fit = lambda windows: F.transform(F.filter(windows, lambda w: w["minutes"].bitwiseAND(c("masks.minute")) != 0), lambda w: w["tick"])
     none = F.array().cast("array<timestamp>")

@@ -10,7 +10,7 @@ from offerloom.functions import schedule as S
 from offerloom.operators import alerts, catalog, history, schedules, windows
 from offerloom.plans import runs
 from offerloom.queries.alert_queries import HOSTS_SQL, alert_rules, price_sql, with_events
-from offerloom.queries.base import big, day, event_offers, query, table
+from offerloom.queries.base import big, day, event_offers, query, spread, table
 from offerloom.session import checkpoint_root
 from offerloom.sources import tables
 from offerloom.queries.source_queries import report_texts
@@ -26,7 +26,7 @@ def run_day():
 
 def cron_rows(spark, sf):
     """One schedule per part: daily, stepped, weekly list, day-of-month or day-of-week, invalid, or one-shot."""
-    p = table(spark, sf, "part").select("p_partkey", "p_size")
+    p = spread(spark, table(spark, sf, "part").select("p_partkey", "p_size"), "p_partkey")
     n = lambda m: (c("p_partkey") % m).cast("string")
     k = c("p_partkey") % 6
     cron = (
