@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from offerloom.functions import text
 from offerloom.operators import catalog, dedup, rules
-from offerloom.queries.base import big, day, offers, profiles, query, table, with_offers
+from offerloom.queries.base import big, day, offers, profiles, query, spread, table, with_offers
 from offerloom.sources import pages as page_source, payloads, tables
 
 c = F.col
@@ -321,7 +321,7 @@ def request_plan(spark, sf):
 
 def profile_documents(spark, sf):
     """One YAML document per part: valid version 2, version 1, too generic alias, no queries, and broken YAML."""
-    p = table(spark, sf, "part")
+    p = spread(spark, table(spark, sf, "part").select("p_partkey", "p_name", "p_size"), "p_partkey")
     k = c("p_partkey") % 5
     slug = F.concat(F.lit("part-"), c("p_partkey").cast("string"))
     body = F.concat(

@@ -8,7 +8,7 @@ from offerloom.functions import money
 from offerloom.operators import alerts, history, ranking, rules
 from offerloom.plans import runs
 from offerloom.queries.alert_queries import EVAL_SQL, alert_rules, gold, price_sql, run_day, sizes, trial_verdicts, with_events
-from offerloom.queries.base import REGISTRY, RUN_SQL, big, day, event_offers, offers, profiles, query, table, with_offers
+from offerloom.queries.base import REGISTRY, RUN_SQL, big, day, event_offers, offers, profiles, query, spread, table, with_offers
 from offerloom.queries.calendar_queries import _stored
 from offerloom.queries.offer_queries import FLAG_RULES, LATEST_SQL, TOTAL_SQL, target
 from offerloom.session import checkpoint_root
@@ -153,7 +153,7 @@ SELECT 'part-' || p_partkey AS slug, CASE p_partkey % 5 WHEN 1 THEN 'display.max
   WHEN 3 THEN 'sources.serper.num must be positive' WHEN 4 THEN 'filters.min_quantity must be positive' ELSE '' END AS problem FROM part""")
 def profile_load_bounds(spark, sf):
     """Profile documents of which four in five break one bound."""
-    p = table(spark, sf, "part")
+    p = spread(spark, table(spark, sf, "part").select("p_partkey"), "p_partkey")
     k = c("p_partkey") % 5
     slug = F.concat(F.lit("part-"), c("p_partkey").cast("string"))
     odd = F.when(k == 1, "display:\n  max_listings: 0\n").when(k == 2, "sources:\n  amazon:\n    enabled: true\n    priority: rush\n").when(k == 3, "sources:\n  serper:\n    num: -5\n").when(k == 4, "filters:\n  min_quantity: 0\n").otherwise("")

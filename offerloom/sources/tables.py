@@ -56,9 +56,12 @@ def encode_snapshot(offers: DataFrame) -> DataFrame:
 
 
 def write_snapshot_csv(offers: DataFrame, path: str) -> None:
-    """One folder per product and run, so a replayed run replaces itself; big runs may hold several files."""
+    """One folder per product and run, so a replayed run replaces itself; big runs may hold several files.
+
+    Files are gzipped: while a run is replaced its old and its new files are both there.
+    """
     by_run = encode_snapshot(offers).hint("rebalance", "slug", "run_stamp")
-    by_run.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("slug", "run_stamp").option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+    by_run.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("slug", "run_stamp").option("header", True).option("escape", '"').option("emptyValue", "").option("compression", "gzip").csv(path)
 
 
 def read_written_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -164,12 +167,20 @@ def read_reports(spark: SparkSession, path: str) -> DataFrame:
 def _yaml_to_json(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     import yaml
 
+    quick = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
+
+    def read(body: str) -> object:
+        try:
+            return yaml.load(body, Loader=quick)
+        except yaml.YAMLError:
+            return yaml.safe_load(body)  # the plain loader has the last word, and words its errors itself
+
     for frame in frames:
         out = []
         for path, body in zip(frame["path"], frame["document"]):
             doc, error = None, None
             try:
-                loaded = yaml.safe_load(body)
+                loaded = read(body)
                 doc, error = (json.dumps(loaded, default=str), None) if isinstance(loaded, dict) else (None, "not a mapping")
             except yaml.YAMLError as exc:
                 error = str(exc)
@@ -200,7 +211,9 @@ def load_profiles(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     for violated, message in validation.bound_tests(lambda n: c(f"p.{n}")).values():
         problem = problem.when(two & violated, message)
-    checked = parsed.withColumn("problem", problem)
+    # Written once: both results read it, and filters above a parsed column would parse the document again per test.
+    checked = durable(parsed.withColumn("problem", problem).select("path", "document", "p", "version", "problem"))
+    two = c("version") == 2
     valid = checked.where(two & c("problem").isNull()).select("p.*", "document")
     return with_defaults(valid), checked.where(c("problem").isNotNull()).select("path", c("problem").alias("reason"))
 
