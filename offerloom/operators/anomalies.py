@@ -26,9 +26,10 @@ def price_stats(offers: DataFrame, keys: list[str] = RUN) -> DataFrame:
     )
     medians = durable(counted_median(counted, keys, "_price", "_count", "median"))
     deviations = counted.join(medians, keys).withColumn("_dev", F.abs(c("_price") - c("median")))
-    return medians.join(counted_median(deviations, keys, "_dev", "_count", "mad").drop("mad_n"), keys).withColumnRenamed(
+    # One row per run, written as well: its size is known, so that it is broadcast and the offers are not shuffled by run.
+    return durable(medians.join(counted_median(deviations, keys, "_dev", "_count", "mad").drop("mad_n"), keys).withColumnRenamed(
         "median_n", "priced"
-    )
+    ))
 
 
 def flag_price_anomalies(

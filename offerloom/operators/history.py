@@ -9,6 +9,7 @@ from offerloom.operators.skew import first_row, pieces, scan
 from offerloom.schema import PLACE
 
 c = F.col
+DIFF_COLUMNS = ["url", "title", "source", "attrs", "unit_price_usd"]  # what a diff reads of an offer besides product and step
 
 
 def upsert(stored: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -67,7 +68,7 @@ def diff_steps(daily: DataFrame, column: str = "snapshot_date", threshold: float
     w = Window.partitionBy("slug", "url").orderBy("step_no")
     price = c("unit_price_usd")
     seen = rows.select(
-        "slug", "url", "title", "source", "attrs", column, "step_no", "steps", price,
+        "slug", *DIFF_COLUMNS, column, "step_no", "steps",
         F.lag("step_no").over(w).alias("_prev_no"), F.lag("unit_price_usd").over(w).alias("_old"),
         F.lead("step_no").over(w).alias("_next_no"),
     )

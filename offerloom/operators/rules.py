@@ -287,13 +287,21 @@ def vendor_matches(entries: Column) -> Column:
     return F.coalesce(F.exists(entries, entry_hits), F.lit(False))
 
 
-def vendor_filter(offers: DataFrame, allow: Column, block: Column) -> DataFrame:
+def vendor_passes(allow: Column, block: Column) -> Column:
     size = lambda a: F.coalesce(F.size(a), F.lit(0))
-    return offers.where(((size(allow) <= 0) | vendor_matches(allow)) & ((size(block) <= 0) | ~vendor_matches(block)))
+    return ((size(allow) <= 0) | vendor_matches(allow)) & ((size(block) <= 0) | ~vendor_matches(block))
 
 
-def alias_gate(offers: DataFrame, aliases: Column, strict: Column) -> DataFrame:
-    """Exact-product asks keep only titles that carry an alias as its own token."""
+def vendor_filter(offers: DataFrame, allow: Column, block: Column) -> DataFrame:
+    return offers.where(vendor_passes(allow, block))
+
+
+def alias_passes(aliases: Column, strict: Column) -> Column:
     names = F.filter(F.transform(aliases, lambda a: F.trim(a)), lambda a: a != "")
     active = F.coalesce(strict & (F.size(names) > 0), F.lit(False))
-    return offers.where(~active | text.title_has_alias(c("title"), names))
+    return ~active | text.title_has_alias(c("title"), names)
+
+
+def alias_gate(offers: DataFrame, aliases: Column, strict: Column) -> DataFrame:
+    """Exact-product asks keep only titles that carry an alias as its own token."""
+    return offers.where(alias_passes(aliases, strict))

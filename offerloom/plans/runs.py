@@ -15,6 +15,7 @@ from offerloom.operators import (
     alerts, anomalies, catalog, dedup, diagnostics, dimensions, display, evaluation, history, ranking, rules, schedules, verdicts,
 )
 from offerloom.operators.skew import column_bounds
+from offerloom.schema import PLACE
 from offerloom.session import durable
 
 c = F.col
@@ -37,14 +38,19 @@ def profile_knobs(profiles: DataFrame) -> DataFrame:
 def candidates(offers: DataFrame, profiles: DataFrame) -> DataFrame:
     """Deterministic stage: distinct offers, ship-from flag, vendor lists, hard rules, alias gate.
 
-    One join by product brings the profile's rules to its offers; everything after it is row-local.
+    One join by product brings the profile's rules to its offers; the gates are row-local, so they are tested before
+    the first offer of each URL is taken: an offer that fails goes there as a key and a place only, as it still keeps
+    later offers of its URL out.
     """
-    joined = dedup.distinct_offers(offers).join(profile_knobs(profiles), "slug")
-    gated = rules.ship_from_gate(joined, c("allowed_countries"))
-    scoped = rules.vendor_filter(gated, c("allow"), c("block"))
-    passed = scoped.withColumn("_reason", rules.first_reject_from(c("rules"), c("target"))).where(c("_reason").isNull()).drop("_reason")
+    # Written first, so that its size is known: a few products are broadcast and the offers are not shuffled for them.
+    knobs = durable(profile_knobs(profiles).withColumn("_knob", F.monotonically_increasing_id()))
+    gated = rules.ship_from_gate(offers.join(knobs, "slug"), c("allowed_countries"))
+    passes = rules.vendor_passes(c("allow"), c("block")) & rules.first_reject_from(c("rules"), c("target")).isNull() & rules.alias_passes(c("aliases"), c("variant_strict"))
     # The rule lists have done their work: what follows carries only the display limits and the aliases.
-    return rules.alias_gate(passed, c("aliases"), c("variant_strict")).drop(*GATE_COLUMNS)
+    kept = [n for n in gated.columns if n not in (*GATE_COLUMNS, "_knob")]
+    thin = gated.select(*RUN, "_knob", *PLACE, F.trim("url").alias("_url"), F.when(passes, F.struct(*kept)).alias("_offer"))
+    first = dedup.first_seen(thin, [*RUN, "_knob"], c("_url"), [c(n) for n in PLACE])
+    return first.where(c("_offer").isNotNull()).select("_offer.*")
 
 
 def recall_counts(offers: DataFrame) -> DataFrame:
@@ -135,15 +141,16 @@ def diff_latest(stored: DataFrame, newest_only: bool = True) -> tuple[DataFrame,
     """(change rows, headline rows) between each product's snapshot dates; by default the two newest only.
 
     Dates come from a scan of two columns; rows of other dates are left out before duplicates are removed. The
-    daily rows carry the number of their step and are the one table written: changes, counts, minima and the
-    steps themselves (one row per product and date) are aggregates over it.
+    daily rows carry the number of their step and are written with the columns a diff reads; changes, counts and
+    minima are aggregates over them. The steps (one row per product and date) are written before, so that their size
+    is known to the joins.
     """
-    dated = stored.withColumn("snapshot_date", F.to_date("fetched_at"))
+    dated = stored.withColumn("snapshot_date", F.to_date("fetched_at")).select("slug", "snapshot_date", "fetched_at", *PLACE, *history.DIFF_COLUMNS)
     steps = history.numbered_steps(history.snapshot_dates(stored), "snapshot_date")
     if newest_only:
         steps = history.newest_pair(steps, "snapshot_date")
-    daily = durable(history.latest_per_day(dated.join(steps, ["slug", "snapshot_date"])))
-    steps = daily.select(*steps.columns).distinct()
+    steps = durable(steps)
+    daily = durable(history.latest_per_day(dated.join(steps, ["slug", "snapshot_date"])).drop("fetched_at", *PLACE, "previous_snapshot_date"))
     diff = history.diff_steps(daily, steps=steps)
     return diff, history.material_change(daily, diff, steps=steps)
 

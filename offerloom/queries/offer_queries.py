@@ -9,6 +9,7 @@ from offerloom.functions import money, text, urls
 from offerloom.operators.asof import asof_join
 from offerloom.operators import anomalies, dedup, dimensions, display, evaluation, history, ranking, rules, skew, windows
 from offerloom.plans import runs
+from offerloom.schema import PLACE
 from offerloom.queries.base import (
     CANDIDATES_SQL, RUN_SQL, big, day, flagged_sql, offers, profiles, query, stats_sql, table, with_offers,
 )
@@ -534,7 +535,8 @@ def shown_of_total(spark, sf):
     with_offers("SELECT slug, run_day, pos, row_number() OVER (PARTITION BY slug, run_day ORDER BY anomaly IS NOT DISTINCT FROM 'low', unit_price_usd, pos) AS rank FROM flagged", flagged_sql("offers", "1.0")),
 )
 def survivor_rank_all(spark, sf):
-    ranked = ranking.rank_all(anomalies.flag_price_anomalies(offers(spark, sf), mad_k=1.0))
+    flagged = anomalies.flag_price_anomalies(offers(spark, sf), mad_k=1.0)
+    ranked = ranking.rank_all(flagged.select(*RUN, *PLACE, "flags", "unit_price_usd"))  # a rank writes the rows it is given
     return ranked.select("slug", run_day(), "pos", "rank")
 
 
