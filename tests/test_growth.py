@@ -2,15 +2,17 @@
 
 import glob
 import json
+import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from offerloom.llm.grammar import Decoder, compress
 from offerloom.operators import schedules, skew, verdicts
 from offerloom.plans import runs
 from offerloom.queries import base
-from offerloom.sources import tables
+from offerloom.sources import pages, tables
 
 c = F.col
 
@@ -122,3 +124,43 @@ def test_a_failing_first_offer_still_keeps_its_url_out(spark, offer_rows):
     assert sorted(r.pos for r in found.collect()) == [2, 3, 4]
     twice = runs.candidates(df, good.unionByName(good))
     assert sorted(r.pos for r in twice.collect()) == [2, 2, 3, 3, 4, 4]
+
+
+def scanned(html):
+    scanner = pages.ItemScanner()
+    scanner.feed(html)
+    scanner.close()
+    return scanner.items
+
+
+def test_result_pages_are_read_without_the_parser(monkeypatch):
+    html = (
+        '<!DOCTYPE html><head><title>r</title><script>if (a < b) x("</div>")</script><!-- <div class="s-item__wrapper"> --></head><body><ul><li>1 < 2'
+        '<div class="s-item__wrapper x"><a class="s-item__link" href="u?a=1&amp;b=2"><div class="s-item__title"><span> One &amp; <b>two</b></span></div></a>'
+        "<br/><span class='s-item__price'>$1,<!-- c -->0</span></div></li></ul></body>"
+    )
+    want = scanned(html)
+    batch = pa.RecordBatch.from_pydict({"page_id": [7, 8], "slug": ["s", None], "run_ts": [None, None], "html": [html, None]})
+
+    def refuse(*_):
+        raise AssertionError("parsed")
+
+    monkeypatch.setattr(pages.ItemScanner, "feed", refuse)
+    [out] = pages.scan(iter([batch]))
+    assert [r | {"run_ts": None} for r in out.to_pylist()] == [
+        {"page_id": 7, "slug": "s", "run_ts": None, "item_no": 0, "title": "One & two", "link": "u?a=1&b=2", "price_text": "$1,0", "condition_text": "Used"}]
+    assert pages.quick_items(html) == want
+
+
+def test_odd_pages_have_the_items_of_the_parser():
+    bits = [
+        '<div class="s-item__wrapper">', "<div class='s-item__wrapper'/>", "</div>", '<div class="s-item__title">', "<span>", "</span>", "<span class=s-item__price>", '<a class="s-item__link" href="u&amp;v">',
+        "<a href=http://x/ class='s-item__link SECONDARY_INFO'>", "</a>", '<a title="x>y" href="z" class="s-item__link">', "<img src=x class='s-item__price'/>", "t &amp; u", "&am", " < 3", "<", ">", "<!-- <b> -->", "<!-->",
+        "<!-- a -- >", "<script>", "</script>", "</script >", "<title>", "</title>", "<?x?>", "</ div>", "</div x>", "<![CDATA[x]]>", "<input disabled/>", "<a b='\">", "<a b = c class>", '<img class="s-item__wrapper">', "</ul>", "<ul>",
+    ]
+    rng, quick = random.Random(5), 0
+    for _ in range(4000):
+        html = "".join(rng.choices(bits, k=rng.randint(1, 20)))
+        quick += pages.quick_items(html) is not None
+        assert pages.items_of(html) == scanned(html), html
+    assert quick > 400
