@@ -164,3 +164,30 @@ def test_odd_pages_have_the_items_of_the_parser():
         quick += pages.quick_items(html) is not None
         assert pages.items_of(html) == scanned(html), html
     assert quick > 400
+
+
+def test_a_run_shuffles_what_it_chooses_by(spark, offer_rows, monkeypatch):
+    """Whole offers are written at their place and looked up at the end; no window or aggregate carries them."""
+    written = []
+
+    def record(df):
+        written.append((df.columns, df._jdf.queryExecution().optimizedPlan().toString()))
+        return durable(df)
+
+    durable = runs.durable
+    monkeypatch.setattr(runs, "durable", record)
+    profile = {"schema_version": 2, "slug": "p", "display_name": "P", "target": {"unit": "count", "amount": 1}, "queries": ["p"], "filters": {"condition_in": ["new"]}}
+    docs = spark.createDataFrame([("f", "x", json.dumps(profile), None)], "path string, document string, json string, error string")
+    good, _ = tables.load_profiles(docs)
+    df = offer_rows(
+        {"url": "a", "unit_price_usd": 5.0, "attrs": {"k": "v"}, "condition": "new"}, {"url": " a", "unit_price_usd": 4.0, "condition": "new"}, {"url": "b", "unit_price_usd": 3.0, "condition": "new", "brand": "B"},
+        {"url": "c", "slug": "unknown"}, {"url": "c", "slug": "unknown"}, {"url": "d", "condition": "broken"},
+    )
+    run = runs.run_offers(df, good, judges=None)
+    shown = {r["url"]: r for r in run["displayed"].collect()}
+    assert shown["a"]["attrs"] == {"k": "v"} and shown["b"]["brand"] == "B" and [shown[u]["rank"] for u in "ba"] == [1, 2] and len(shown) == 2
+    assert set(df.columns) <= set(run["survivors"].columns) and sorted(r["pos"] for r in run["survivors"].collect()) == [0, 2]
+    assert not [cols for cols, plan in written if "attrs" in cols and ("Window" in plan or "Aggregate" in plan)]
+    assert {r["slug"]: (r["recall_count"], r["survivor_count"]) for r in run["funnel"].collect()} == {"p": (3, 2), "unknown": (1, 0)}
+    twice = runs.run_offers(df, good.unionByName(good), judges=None)["funnel"].where("slug = 'p'").collect()
+    assert {(r["recall_count"], r["survivor_count"]) for r in twice} == {(3, 4)}
