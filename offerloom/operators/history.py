@@ -9,7 +9,8 @@ from offerloom.operators.skew import first_row, pieces, scan
 from offerloom.schema import PLACE
 
 c = F.col
-DIFF_COLUMNS = ["url", "title", "source", "attrs", "unit_price_usd"]  # what a diff reads of an offer besides product and step
+DIFF_COLUMNS = ["url", "unit_price_usd"]  # what a diff reads of an offer besides product and step
+DETAILS = ["title", "source", "attrs"]  # what it hands on, where the rows have it
 
 
 def upsert(stored: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -67,8 +68,9 @@ def diff_steps(daily: DataFrame, column: str = "snapshot_date", threshold: float
     rows = daily if numbered else daily.join(steps.select("slug", column, "step_no", "steps"), ["slug", column])
     w = Window.partitionBy("slug", "url").orderBy("step_no")
     price = c("unit_price_usd")
+    details = [n for n in DETAILS if n in daily.columns]
     seen = rows.select(
-        "slug", *DIFF_COLUMNS, column, "step_no", "steps",
+        "slug", *DIFF_COLUMNS, *details, column, "step_no", "steps",
         F.lag("step_no").over(w).alias("_prev_no"), F.lag("unit_price_usd").over(w).alias("_old"),
         F.lead("step_no").over(w).alias("_next_no"),
     )
@@ -105,7 +107,7 @@ def diff_steps(daily: DataFrame, column: str = "snapshot_date", threshold: float
             ),
         )
     )
-    kept = ["slug", "url", "title", "source", "attrs"]
+    kept = ["slug", "url", *details]
     out = seen.select(*kept, F.explode(events).alias("e")).select(*kept, "e.*")
     return out.join(steps.drop("steps"), ["slug", "step_no"])
 

@@ -173,15 +173,18 @@ def validate_offers(
     return priced.withColumn("flags", rules.add_flag("unknown_quantity", rules.unknown_quantity(target))), log
 
 
-def diff_latest(stored: DataFrame, newest_only: bool = True) -> tuple[DataFrame, DataFrame]:
+def diff_latest(stored: DataFrame, newest_only: bool = True, details: Sequence[str] = tuple(history.DETAILS)) -> tuple[DataFrame, DataFrame]:
     """(change rows, headline rows) between each product's snapshot dates; by default the two newest only.
 
+    *details*: what the change rows tell of an offer besides its URL and prices. It goes through every shuffle and into
+    the written table, so callers name what they read.
+
     Dates come from a scan of two columns; rows of other dates are left out before duplicates are removed. The
     daily rows carry the number of their step and are written with the columns a diff reads; changes, counts and
     minima are aggregates over them. The steps (one row per product and date) are written before, so that their size
     is known to the joins.
     """
-    dated = stored.withColumn("snapshot_date", F.to_date("fetched_at")).select("slug", "snapshot_date", "fetched_at", *PLACE, *history.DIFF_COLUMNS)
+    dated = stored.withColumn("snapshot_date", F.to_date("fetched_at")).select("slug", "snapshot_date", "fetched_at", *PLACE, *history.DIFF_COLUMNS, *details)
     steps = history.numbered_steps(history.snapshot_dates(stored), "snapshot_date")
     if newest_only:
         steps = history.newest_pair(steps, "snapshot_date")
@@ -325,9 +328,10 @@ def synthesis_payload(ranked: DataFrame, diff: DataFrame, names: DataFrame) -> D
 
 def change_rows(diff: DataFrame) -> DataFrame:
     """The diff sections of the report input, one row per change: its price, for changed ones both prices and
-    the percentage rounded to 4 places. Dropped rows state the last price seen."""
+    the percentage rounded to 4 places, and its title where the diff has it. Dropped rows state the last price seen."""
     kind = c("change_type")
+    title = [n for n in ("title",) if n in diff.columns]
     return diff.select(
-        "slug", "snapshot_date", kind.alias("section"), "url", "title", F.when(kind != "new", c("old_price_usd")).alias("old_price_usd"),
+        "slug", "snapshot_date", kind.alias("section"), "url", *title, F.when(kind != "new", c("old_price_usd")).alias("old_price_usd"),
         F.when(kind != "dropped", c("new_price_usd")).alias("new_price_usd"), F.round(F.when(kind == "changed", c("pct_change")), 4).alias("pct_change"),
     )

@@ -304,7 +304,7 @@ def snapshot_dates(spark, sf):
 
 @query("snapshot_diff", with_offers("SELECT slug, url, run_day, change_type, old_price_usd, new_price_usd, pct_change FROM changes", LATEST_SQL))
 def snapshot_diff(spark, sf):
-    diff, _ = runs.diff_latest(offers(spark, sf), newest_only=False)
+    diff, _ = runs.diff_latest(offers(spark, sf), newest_only=False, details=())
     return _diff_rows(diff)
 
 
@@ -320,7 +320,7 @@ def _diff_rows(diff):
     ),
 )
 def diff_newest_pair(spark, sf):
-    diff, _ = runs.diff_latest(offers(spark, sf))
+    diff, _ = runs.diff_latest(offers(spark, sf), details=())
     return diff.groupBy("slug", "change_type").agg(F.count(F.lit(1)).alias("offers"))
 
 
@@ -340,7 +340,7 @@ LEFT JOIN (SELECT slug, run_day, count(*) FILTER (change_type = 'new') AS new_co
     ),
 )
 def material_change(spark, sf):
-    _, heads = runs.diff_latest(offers(spark, sf), newest_only=False)
+    _, heads = runs.diff_latest(offers(spark, sf), newest_only=False, details=())
     return heads.select(
         "slug", day(c("snapshot_date")).alias("run_day"), "new_count", "dropped_count", "changed_count", "is_material",
         F.regexp_replace("headline", r": \$.*$", "").alias("headline"),
@@ -352,7 +352,7 @@ def material_change(spark, sf):
     with_offers("SELECT slug, run_day, url, 'changed' AS change_type, CAST(round(CAST(pct_change AS DECIMAL(38, 18)), 2) AS DOUBLE) AS pct FROM changes WHERE change_type = 'changed'", LATEST_SQL),
 )
 def diff_sections(spark, sf):
-    diff, _ = runs.diff_latest(offers(spark, sf), newest_only=False)
+    diff, _ = runs.diff_latest(offers(spark, sf), newest_only=False, details=())
     rows = diff.where(c("change_type") == "changed")
     pct = F.round(c("pct_change").cast("decimal(38,18)"), 2).cast("double")
     return rows.select("slug", day(c("snapshot_date")).alias("run_day"), "url", "change_type", pct.alias("pct"))

@@ -122,7 +122,7 @@ SELECT slug, run_day, change_type AS section, url, CASE WHEN change_type <> 'new
   CASE WHEN change_type = 'changed' THEN CAST(round(pct_change * 10000) AS BIGINT) END AS pct_e4 FROM changes""", LATEST_SQL))
 def synthesis_changes(spark, sf):
     """Diff rows of the report input."""
-    diff, _ = runs.diff_latest(offers(spark, sf), newest_only=False)
+    diff, _ = runs.diff_latest(offers(spark, sf), newest_only=False, details=())
     rows = runs.change_rows(diff)
     return rows.select("slug", day(c("snapshot_date")).alias("run_day"), "section", "url", "old_price_usd", "new_price_usd", F.round(c("pct_change") * 10000).cast("bigint").alias("pct_e4"))
 
@@ -135,7 +135,7 @@ FROM offers o LEFT JOIN (SELECT slug, run_day, count(*) AS changes FROM changes
 def synthesis_payload(spark, sf):
     """Report input per run: ranked rows and what changed; a run without a diff has no counts."""
     o = offers(spark, sf)
-    diff, _ = runs.diff_latest(o, newest_only=False)
+    diff, _ = runs.diff_latest(o, newest_only=False, details=())
     named = o.select("slug").distinct().select(
         "slug", F.concat(F.lit("Best "), c("slug")).alias("display_name"), F.struct(F.lit("count").alias("unit"), F.length("slug").alias("amount")).alias("target"),
         F.array(F.concat(F.lit("Name the cheapest "), c("slug")), F.lit("Be brief")).alias("synthesis_hints"),
@@ -192,7 +192,7 @@ FROM steps s JOIN (SELECT slug, run_day, min(unit_price_usd) AS lowest FROM late
 JOIN (SELECT slug, run_day AS previous_day, min(unit_price_usd) AS lowest FROM latest GROUP BY ALL) b USING (slug, previous_day)""", LATEST_SQL))
 def material_headline_price(spark, sf):
     """The lowest price of every step, as a headline would state it."""
-    _, heads = runs.diff_latest(offers(spark, sf), newest_only=False)
+    _, heads = runs.diff_latest(offers(spark, sf), newest_only=False, details=())
     text = history.headline(F.lit(0), F.lit(0), c("lowest"), F.lit(float("inf")))
     stated = F.regexp_extract(text, r"\$([0-9.]+)$", 1).cast("decimal(20,2)")
     return heads.select("slug", day(c("snapshot_date")).alias("run_day"), (stated * 100).cast("bigint").alias("cents"))

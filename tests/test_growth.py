@@ -191,3 +191,13 @@ def test_a_run_shuffles_what_it_chooses_by(spark, offer_rows, monkeypatch):
     assert {r["slug"]: (r["recall_count"], r["survivor_count"]) for r in run["funnel"].collect()} == {"p": (3, 2), "unknown": (1, 0)}
     twice = runs.run_offers(df, good.unionByName(good), judges=None)["funnel"].where("slug = 'p'").collect()
     assert {(r["recall_count"], r["survivor_count"]) for r in twice} == {(3, 4)}
+
+
+def test_a_diff_carries_the_details_asked_for(spark, offer_rows):
+    df = offer_rows({"url": "a", "unit_price_usd": 5.0}, {"url": "a", "unit_price_usd": 9.0, "run": 1, "title": "t"}, {"url": "b", "run": 1})
+    full, _ = runs.diff_latest(df)
+    thin, heads = runs.diff_latest(df, details=())
+    assert {"title", "source", "attrs"} <= set(full.columns) and not {"title", "source", "attrs"} & set(thin.columns)
+    keys = ["slug", "url", "change_type", "old_price_usd", "new_price_usd"]
+    assert sorted(map(str, thin.select(keys).collect())) == sorted(map(str, full.select(keys).collect())) and thin.count() == 2
+    assert runs.change_rows(thin).count() == 2 and "title" in runs.change_rows(full).columns and heads.first()["new_count"] == 1
