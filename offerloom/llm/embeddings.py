@@ -17,7 +17,10 @@ SHARD_ROWS = 8192
 FIRST_BEAM = 32
 AUDIT_ROWS = 64
 AUDIT_RECALL = 0.98
+AUDIT_MOST = 1024
 LEAST_LINKS = 32  # of audited queries that are evidence enough
+SCAN_RATIO = 256  # a search of beam b costs about as much as a scan of this many times b nodes
+SLACK = 1e-4  # of single-precision similarities
 
 SHARD_SCHEMA = "label string, dim int, shard int, nodes binary, copies binary, vectors binary, sizes array<int>, links binary, bottom binary, order binary"
 
@@ -40,46 +43,89 @@ def _scan(q: np.ndarray, index: np.ndarray, threshold: float) -> tuple[np.ndarra
     return np.nonzero(q @ index.T >= threshold)
 
 
+def _linking(sims: np.ndarray, ids: np.ndarray, threshold: float) -> np.ndarray:
+    return (ids >= 0) & (sims >= threshold - SLACK)
+
+
+def _links_found(q: np.ndarray, index: np.ndarray, ids: np.ndarray, threshold: float, own: np.ndarray | None = None) -> tuple[int, int]:
+    """(links, links found) of a few queries: an exact scan against the nodes that searches gave. *own*: their own nodes, no links."""
+    links = q @ index.T >= threshold
+    if own is not None:
+        links[np.arange(len(q)), own] = False
+    found = np.zeros(links.shape, bool)
+    rows, cols = np.repeat(np.arange(len(q)), ids.shape[1]), ids.ravel()
+    found[rows[cols >= 0], cols[cols >= 0]] = True
+    return int(links.sum()), int((links & found).sum())
+
+
+def _probes(index: np.ndarray, threshold: float) -> np.ndarray:
+    """Up to AUDIT_ROWS vectors that just link with a node of the shard: nodes turned in a random direction."""
+    nodes = index[np.unique(np.linspace(0, len(index) - 1, AUDIT_ROWS).astype(np.int64))]
+    turn = np.random.default_rng(1).normal(size=nodes.shape)
+    turn -= np.einsum("ij,ij->i", turn, nodes)[:, None] * nodes
+    turn /= np.maximum(np.linalg.norm(turn, axis=1, keepdims=True), 1e-300)  # in one dimension nothing is left to turn to
+    cosine = min(1.0, threshold + 1e-6)
+    return cosine * nodes + np.sqrt(1 - cosine * cosine) * turn
+
+
+def _passes(graph: Graph, index: np.ndarray, q: np.ndarray, ids: np.ndarray, own: np.ndarray | None, beam: int, threshold: float) -> bool:
+    """Whether searches of width *beam*, which gave *ids* for the queries *q*, find the links.
+
+    Queries are scanned until LEAST_LINKS links are met, an eighth of the queries at most (and AUDIT_MOST). The
+    searches must have found these links. Where there are fewer, they must also find those of the probes: vectors
+    at the threshold from nodes of the shard, which are there whether the queries have links or not.
+    """
+    rows = np.unique(np.linspace(0, len(q) - 1, min(len(q), AUDIT_MOST, max(AUDIT_ROWS, len(q) // 8))).astype(np.int64))
+    blocks = -(-len(rows) // AUDIT_ROWS)
+    links = found = 0
+    for k in range(blocks):
+        some = rows[k::blocks]  # each block is spread over all queries
+        more = _links_found(q[some], index, ids[some], threshold, None if own is None else own[some])
+        links, found = links + more[0], found + more[1]
+        if links >= LEAST_LINKS:
+            break
+    if found < AUDIT_RECALL * links:
+        return False
+    if links >= LEAST_LINKS:
+        return True
+    probes = _probes(index, threshold)
+    sims, ids = graph.search(probes.astype(np.float32), beam)
+    few = ~_linking(sims, ids, threshold)[:, beam // 2]
+    links, found = _links_found(probes[few], index, ids[few], threshold)
+    return links > 0 and found >= AUDIT_RECALL * links
+
+
 def _beams(graph: Graph, index: np.ndarray, q: np.ndarray, threshold: float, same: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, node) pairs from beam searches, and the queries that need an exact scan.
 
-    At every width some of the open queries are compared with every node: the searches must have found their links
-    or, where all of these have fewer than LEAST_LINKS, also the nearest node of those without. With *same* query i is node i, and finding itself is no evidence. The
-    beam doubles until the audit passes. A query whose whole beam lies above the threshold may have more links: it
-    stays open for wider beams and is no evidence either. Open queries without evidence, and beams that would hold
-    an eighth of the shard, are replaced by the exact scan.
+    Every query searches the graph. At every width some of the open queries are audited (`_passes`); with *same*
+    query i is node i, and finding itself is no evidence. The beam doubles until the audit passes. A query whose beam
+    lies above the threshold by more than half may have more links, and with *same* one that does not find itself has
+    lost its way: these stay open for wider beams and are no evidence either. Open queries without evidence, and beams
+    that would hold an eighth of the shard or, after the first, cost more than comparing with all of it, are replaced
+    by the exact scan.
     """
-    n, slack = len(index), threshold - 1e-4
+    n = len(index)
     q32 = q.astype(np.float32)
     todo, beam = np.arange(len(q)), FIRST_BEAM
     got_q, got_i = [], []
-    while len(todo) and beam < n // 8:
+    while len(todo) and beam < n // (8 if beam == FIRST_BEAM else SCAN_RATIO):
         sims, ids = graph.search(q32[todo], beam)
-        near = (ids >= 0) & (sims >= slack)
-        full = near[:, -1]
-        audit = np.flatnonzero(~full)
+        near = _linking(sims, ids, threshold)
+        unsure = near[:, beam // 2]
+        if same:
+            unsure |= ~(ids == todo[:, None]).any(axis=1)
+        audit = np.flatnonzero(~unsure)
         if not len(audit):
             break
-        audit = audit[np.unique(np.linspace(0, len(audit) - 1, min(AUDIT_ROWS, len(audit))).astype(np.int64))]
-        truth = q[todo[audit]] @ index.T
-        if same:
-            truth[np.arange(len(audit)), todo[audit]] = -np.inf
-        want = truth >= threshold
-        lonely = ~want.any(axis=1)
-        want[lonely, truth[lonely].argmax(axis=1)] = True
-        found = np.zeros(want.shape, bool)
-        rows, cols = np.repeat(np.arange(len(audit)), ids.shape[1]), ids[audit].ravel()
-        found[rows[cols >= 0], cols[cols >= 0]] = True
-        if want[~lonely].sum() >= LEAST_LINKS:
-            want[lonely] = False
-        if (want & found).sum() < AUDIT_RECALL * want.sum():
-            beam *= 2
+        passed = _passes(graph, index, q[todo[audit]], ids[audit], todo[audit] if same else None, beam, threshold)
+        beam *= 2
+        if not passed:
             continue
-        rows, cols = np.nonzero(near & ~full[:, None])
+        rows, cols = np.nonzero(near & ~unsure[:, None])
         got_q.append(todo[rows])
         got_i.append(ids[rows, cols])
-        todo = todo[full]
-        beam *= 2
+        todo = todo[unsure]
     qs = np.concatenate(got_q) if got_q else np.empty(0, np.int64)
     ns = np.concatenate(got_i) if got_i else np.empty(0, np.int64)
     sure = np.einsum("ij,ij->i", q[qs], index[ns]) >= threshold

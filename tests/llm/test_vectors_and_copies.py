@@ -79,6 +79,55 @@ def test_a_search_that_finds_only_the_query_fails_the_audit():
     assert true.sum() and (shard_links(Crippled(), v, v, ones, ones, True)[0] == true.sum(1)).all()
 
 
+def unit_rows(v):
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def true_links(v):
+    true = v @ v.T >= 0.93
+    np.fill_diagonal(true, False)
+    return true
+
+
+def test_a_shard_with_few_links_is_searched_once():
+    rng = np.random.default_rng(21)
+    v = rng.normal(size=(3000, 64))
+    v[:15] = v[15:30] + rng.normal(size=(15, 64)) * 0.3
+    v = unit_rows(v)
+    graph, ones, work = Graph(v), np.ones(len(v), np.int64), []
+    search = graph.search
+    graph.search = lambda q, beam: (work.append(len(q) * beam), search(q, beam))[1]
+    counts, _, _, _ = shard_links(graph, v, v, ones, ones, True)
+    assert (counts == true_links(v).sum(1)).all() and counts.sum() == 30
+    assert sum(work) <= 1.1 * 32 * len(v)  # nearest nodes that are no links are no reason for wider beams
+    work.clear()
+    apart = unit_rows(rng.normal(size=(3000, 64)))
+    cq, ci, _, _ = shard_links(graph, v, apart, ones, ones, False)
+    assert not (apart @ v.T >= 0.93).any() and not cq.any() and not ci.any()
+    assert sum(work) <= 1.1 * 32 * len(v)
+
+
+def test_searches_that_lose_their_way_or_miss_one_of_many_links_are_scanned():
+    rng = np.random.default_rng(22)
+    v = rng.normal(size=(2000, 32))
+    v[:100] = v[100:200] + rng.normal(size=(100, 32)) * 0.02
+    v[300:329] = v[300] + rng.normal(size=(29, 32)) * 0.02
+    v = unit_rows(v)
+
+    class Astray:
+        def search(self, q, beam):
+            sims = q.astype(np.float64) @ v.T
+            own = sims.argmax(axis=1)
+            sims[np.isin(own, (37, 137))[:, None] & (sims > 0.9)] = -1.0  # a linked pair: neither search comes near
+            sims[np.ix_(own == 310, [320])] = sims[np.ix_(own == 320, [310])] = -1.0
+            ids = np.argsort(-sims, axis=1)[:, :beam]
+            return np.take_along_axis(sims, ids, 1), ids
+
+    ones = np.ones(len(v), np.int64)
+    counts, _, _, _ = shard_links(Astray(), v, v, ones, ones, True)
+    assert (counts == true_links(v).sum(1)).all() and counts[37] == 1 and counts[310] == 28
+
+
 def test_vectors_edge_cases(spark):
     big = [1e300, 2e300]
     rows = [
