@@ -138,31 +138,44 @@ class _Hosts(StatefulProcessor):
         self.seen = handle.getMapState("seen", "host string", "run_ts timestamp")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        slug = key[0]
-        last = pd.Timestamp(self.last.get()[0]) if self.last.exists() else None
-        batch = pd.concat(list(rows)).sort_values(["run_ts", "gone"])
-        out, previous = [], None
-        for (run, gone), part in batch.groupby(["run_ts", "gone"], sort=True):
-            run = pd.Timestamp(run)
+        """Every call of a state variable is a round trip to the JVM: entries are read once, and only those that differ are written."""
+        slug, runs = key[0], {}
+        for frame in rows:
+            for run, host, gone in zip(frame["run_ts"], frame["host"], frame["gone"]):
+                if not pd.isna(run):
+                    runs.setdefault((run, gone), set()).add(host)
+        newest = self.last.get()
+        last = pd.Timestamp(newest[0]) if newest is not None else None
+        stored = {k[0]: pd.Timestamp(at[0]) for k, at in self.seen.iterator()} if last is not None else {}
+        seen, out, known = dict(stored), [], last
+        for run, gone in sorted(runs):
             if gone:
-                self.last.clear()
-                self.seen.clear()
-                last = None
+                seen, last = {}, None
                 continue
             if last is not None and run <= last:
                 out.append((slug, run, None, True))
                 continue
             previous, last = last, run
-            for host in sorted(set(part["host"].dropna())):
-                known = self.seen.getValue((host,)) if self.seen.containsKey((host,)) else None
-                if previous is None or known is None or pd.Timestamp(known[0]) < previous:
+            for host in sorted(h for h in runs[run, gone] if not pd.isna(h)):
+                if previous is None or host not in seen or seen[host] < previous:
                     out.append((slug, run, host, False))
-                self.seen.updateValue((host,), (run.to_pydatetime(),))
-        if last is not None:
+                seen[host] = run
+        if last is None:
+            if known is not None:
+                self.last.clear()
+        elif last != known:
             self.last.update((last.to_pydatetime(),))
-            for host in [k[0] for k, at in self.seen.iterator() if pd.Timestamp(at[0]) < last]:
+        kept = {h for h, at in seen.items() if at == last}
+        if stored and not kept & stored.keys():
+            self.seen.clear()
+        else:
+            for host in stored.keys() - kept:
                 self.seen.removeKey((host,))
-        yield pd.DataFrame(out, columns=["slug", "run_ts", "host", "late"])
+        for host in kept:
+            if stored.get(host) != last:
+                self.seen.updateValue((host,), (last.to_pydatetime(),))
+        if out:
+            yield pd.DataFrame(out, columns=["slug", "run_ts", "host", "late"])
 
     def close(self) -> None:
         pass

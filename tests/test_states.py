@@ -3,6 +3,7 @@
 import random
 from datetime import date, datetime
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,3 +125,48 @@ def test_price_state_ends_with_its_rule(spark, tmp_path):
         counts.append(spark.read.format("statestore").option("path", f"{home}/c").option("stateVarName", "state").load().count())
     assert counts == [1, 1, 0, 1, 1]
     assert sorted((r.run_ts.day, r.fires, r.late) for r in out.collect()) == [(1, True, False), (2, False, False), (4, False, True), (4, True, False)]
+
+
+class _Cell:
+    """A state variable that counts its calls, each of which is a round trip to the JVM."""
+
+    def __init__(self, calls, items=()):
+        self.calls, self.items = calls, dict(items)
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls.append(name)
+            if name == "get":
+                return self.items.get(0)
+            if name == "iterator":
+                return iter([((k,), (v,)) for k, v in self.items.items()])
+            if name == "clear":
+                self.items.clear()
+            if name == "removeKey":
+                del self.items[args[0][0]]
+            if name == "update":
+                self.items[0] = args[0]
+            if name == "updateValue":
+                self.items[args[0][0]] = args[1][0]
+
+        return call
+
+
+def test_host_state_is_read_once_and_written_where_it_differs():
+    calls = []
+    hosts = streams._Hosts()
+    hosts.last, hosts.seen = _Cell(calls), _Cell(calls)
+
+    def step(*rows):
+        calls.clear()
+        frame = pd.DataFrame([(pd.Timestamp(2026, 1, d) if d else pd.NaT, h, g) for d, h, g in rows], columns=["run_ts", "host", "gone"])
+        return [(r.run_ts.day, r.host, r.late) for f in hosts.handleInputRows(("p",), iter([frame]), None) for r in f.itertuples()]
+
+    many = [(d, h, False) for d in range(1, 21) for h in "abc"]
+    assert step(*many, (None, "x", False)) == [(1, h, False) for h in "abc"] and sorted(hosts.seen.items) == ["a", "b", "c"]
+    assert len(calls) <= 6
+    assert step((5, "z", False)) == [(5, None, True)] and len(calls) <= 2
+    assert step((21, "c", False), (22, "c", False), (22, "d", False)) == [(22, "d", False)] and sorted(hosts.seen.items) == ["c", "d"]
+    # A product that ends and comes back with the run it had: all its hosts are new, its entries are those of that run.
+    assert step((2, None, True), (22, "e", False)) == [(22, "e", False)] and sorted(hosts.seen.items) == ["e"]
+    assert step((30, None, True)) == [] and not hosts.seen.items and not hosts.last.items
