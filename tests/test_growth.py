@@ -201,3 +201,40 @@ def test_a_diff_carries_the_details_asked_for(spark, offer_rows):
     keys = ["slug", "url", "change_type", "old_price_usd", "new_price_usd"]
     assert sorted(map(str, thin.select(keys).collect())) == sorted(map(str, full.select(keys).collect())) and thin.count() == 2
     assert runs.change_rows(thin).count() == 2 and "title" in runs.change_rows(full).columns and heads.first()["new_count"] == 1
+
+
+def test_payloads_of_parts_are_those_of_whole_batches(spark, offer_rows):
+    df = offer_rows(*[{"slug": f"s{i % 3}", "title": f't{i} "x", y', "attrs": {"k": str(i)}} for i in range(40)], {"slug": None, "title": "no product"})
+    limit = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        numbered = verdicts.batched(df, 5)
+        made = verdicts.payloads(numbered, 5)
+        rows = {(r["slug"], r["batch"]): (r["n"], r["payload"]) for r in made.collect()}
+        waves = {(r["slug"], r["batch"]): r["_wave"] for r in made.collect()}
+        want = {(r["slug"], r["batch"]): (r["n"], r["payload"]) for r in verdicts.batch_rows(df, 5).where("slug IS NOT NULL").collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", limit)
+    assert rows == want and len(rows) == 9
+    assert waves == {(f"s{i}", b): w for i in range(3) for b, w in enumerate((0, 1, 1))}
+    # A wave reads files of its own, and no offers.
+    files = made.where("_wave = 0").inputFiles()
+    assert any("_wave=0" in f for f in files) and not any("items" in spark.read.parquet(f).columns for f in files)
+
+
+def test_answers_are_never_broadcast(spark, offer_rows):
+    """They are small in a file and large in memory."""
+    df = offer_rows(*[{"title": f"t{i}"} for i in range(6)])
+    answered, failed, _ = verdicts.run_chain(df, size=2)
+    assert "strategy=merge" in answered._jdf.queryExecution().optimizedPlan().toString()
+    asked = verdicts.ask(verdicts.batch_rows(df, 2), verdicts.DEFAULT_CHAIN[0])
+    assert "Join" not in asked._jdf.queryExecution().optimizedPlan().toString()
+    assert verdicts.verdict_rows(answered).where("pass").count() == 6 and failed.count() == 0
+
+
+def test_a_run_with_all_its_answers_writes_none(spark, offer_rows, tmp_path):
+    df, store = offer_rows(*[{"run": i} for i in range(3)]), verdicts.ReplyStore(str(tmp_path / "r"))
+    verdicts.run_chain(df, size=1, store=store)
+    files = sorted(glob.glob(str(tmp_path / "r/**/*.parquet"), recursive=True))
+    assert verdicts.run_chain(df, size=1, store=store)[0].count() == 3
+    assert files == sorted(glob.glob(str(tmp_path / "r/**/*.parquet"), recursive=True))
