@@ -19,10 +19,24 @@ def upsert(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     return first_row(both, ["slug", "url", "fetched_at"], [c("_gen").desc(), *[c(n).desc() for n in PLACE]]).drop("_gen")
 
 
-def latest_per_day(history: DataFrame) -> DataFrame:
-    """What was seen last that day: one row per (slug, url, day)."""
+ROWS_PER_PIECE = 200_000
+
+
+def latest_per_day(history: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
+    """What was seen last that day: one row per (slug, url, day).
+
+    With *sizes* (snapshot_date, n: rows of each day, few) the result lies by day: a day is dealt to a task per
+    *ROWS_PER_PIECE* rows, by product and URL, in the one shuffle that choosing takes.
+    """
     days = history.withColumn("snapshot_date", F.to_date("fetched_at"))
-    return first_row(days, ["slug", "url", "snapshot_date"], [c("fetched_at").desc(), *[c(n).desc() for n in PLACE]])
+    keys, order = ["slug", "url", "snapshot_date"], [c("fetched_at").desc(), *[c(n).desc() for n in PLACE]]
+    if sizes is None:
+        return first_row(days, keys, order)
+    pieces_of = sizes.select(c("snapshot_date").alias("_day"), F.ceil(c("n") / ROWS_PER_PIECE).alias("_pieces"))
+    tasks = pieces_of.agg(F.sum("_pieces")).first()[0] or 1
+    dealt = days.join(F.broadcast(pieces_of), c("snapshot_date").eqNullSafe(c("_day")), "left")
+    dealt = dealt.withColumn("_piece", F.pmod(F.xxhash64("slug", "url"), F.coalesce("_pieces", F.lit(1)))).drop("_day", "_pieces")
+    return first_row(dealt.repartition(tasks, "snapshot_date", "_piece"), [*keys, "_piece"], order).drop("_piece")
 
 
 def snapshot_dates(history: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from offerloom.operators import alerts, catalog, history, schedules, windows
 from offerloom.plans import runs
 from offerloom.queries.alert_queries import HOSTS_SQL, alert_rules, price_sql, with_events
 from offerloom.queries.base import big, day, event_offers, query, spread, table
-from offerloom.session import checkpoint_root
+from offerloom.session import checkpoint_root, shuffles_end
 from offerloom.sources import tables
 from offerloom.queries.source_queries import report_texts
 from offerloom.streaming import runs as streams
@@ -267,7 +267,8 @@ def stream_ticks(spark, sf):
 def _stored(spark, df):
     """Write a derived table so that it can be streamed."""
     home = f"{checkpoint_root(spark)}/streams/{uuid.uuid4().hex}"
-    df.write.parquet(home)
+    with shuffles_end(spark):
+        df.write.parquet(home)
     return spark.readStream.schema(df.schema).parquet(home)
 
 

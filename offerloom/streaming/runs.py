@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -35,11 +35,9 @@ def history_writer(path: str):
 
 def latest_writer(path: str):
     """foreachBatch function keeping one row per (slug, url, day): what was seen last that day."""
-    from offerloom.operators import history
 
     def write(batch: DataFrame, _: int) -> None:
-        spark: SparkSession = batch.sparkSession
-        tables.replace_days(spark, history.latest_per_day(batch), path, lambda old, new: history.latest_per_day(old.unionByName(new)))
+        tables.keep_latest(batch.sparkSession, batch, path)
 
     return write
 
