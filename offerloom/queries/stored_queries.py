@@ -11,7 +11,7 @@ from offerloom.queries.alert_queries import EVAL_SQL, alert_rules, gold, price_s
 from offerloom.queries.base import REGISTRY, RUN_SQL, big, day, event_offers, offers, profiles, query, spread, table, with_offers
 from offerloom.queries.calendar_queries import _stored
 from offerloom.queries.offer_queries import FLAG_RULES, LATEST_SQL, TOTAL_SQL, target
-from offerloom.session import checkpoint_root
+from offerloom.session import checkpoint_root, durable
 from offerloom.sources import tables
 from offerloom.streaming import runs as streams
 
@@ -33,9 +33,9 @@ def each_batch(spark, df, writer) -> None:
     "SELECT slug, run_day, source, url, title, brand, mpn, condition, is_kit, unit_price_usd, quantity_available, seller_name, hour FROM offers"))
 def snapshot_csv_files(spark, sf):
     """CSV folders per product and run, written twice: the second write replaces the first."""
-    path = new_folder(spark)
+    path, o = new_folder(spark), durable(offers(spark, sf))
     for _ in range(2):
-        tables.write_snapshot_csv(offers(spark, sf), path)
+        tables.write_snapshot_csv(o, path)
     back = tables.read_written_csv(spark, path)
     return back.select("slug", run_day(), "source", "url", "title", "brand", "mpn", "condition", "is_kit", "unit_price_usd", "quantity_available", "seller_name", big(F.hour("fetched_at")).alias("hour"))
 

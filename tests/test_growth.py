@@ -9,10 +9,12 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from offerloom.llm.grammar import Decoder, compress
-from offerloom.operators import schedules, skew, verdicts
+from offerloom.operators import history, schedules, skew, verdicts
 from offerloom.plans import runs
 from offerloom.queries import base
+from offerloom.session import durable
 from offerloom.sources import pages, tables
+from offerloom.streaming import runs as streams
 
 c = F.col
 
@@ -227,7 +229,7 @@ def test_answers_are_never_broadcast(spark, offer_rows):
     df = offer_rows(*[{"title": f"t{i}"} for i in range(6)])
     answered, failed, _ = verdicts.run_chain(df, size=2)
     assert "strategy=merge" in answered._jdf.queryExecution().optimizedPlan().toString()
-    asked = verdicts.ask(verdicts.batch_rows(df, 2), verdicts.DEFAULT_CHAIN[0])
+    asked = verdicts.ask(durable(verdicts.batch_rows(df, 2)), verdicts.DEFAULT_CHAIN[0])
     assert "Join" not in asked._jdf.queryExecution().optimizedPlan().toString()
     assert verdicts.verdict_rows(answered).where("pass").count() == 6 and failed.count() == 0
 
@@ -238,3 +240,54 @@ def test_a_run_with_all_its_answers_writes_none(spark, offer_rows, tmp_path):
     files = sorted(glob.glob(str(tmp_path / "r/**/*.parquet"), recursive=True))
     assert verdicts.run_chain(df, size=1, store=store)[0].count() == 3
     assert files == sorted(glob.glob(str(tmp_path / "r/**/*.parquet"), recursive=True))
+
+
+def shuffle_files(spark):
+    root = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return {f for d in root for f in glob.glob(f"{d}/**/shuffle_*", recursive=True)}
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    before = shuffle_files(spark)
+    spark.range(1000).repartition(3, "id").write.format("noop").mode("overwrite").save()
+    kept = shuffle_files(spark)
+    assert kept - before  # a plain write leaves them to the garbage collection
+    df = durable(spark.range(1000).repartition(3, "id").groupBy((c("id") % 7).alias("k")).count())
+    assert not shuffle_files(spark) - kept and df.count() == 7
+
+
+def test_snapshots_of_many_rows_are_written_in_several_jobs(spark, offer_rows, tmp_path, monkeypatch):
+    df = offer_rows(*[{"run": i % 4, "title": f"t{i}", "attrs": {"k": str(i)}} for i in range(12)], {"slug": None, "title": "none"})
+    want = None
+    for at_once in (100, 3):
+        monkeypatch.setattr(tables, "ROWS_AT_ONCE", at_once, raising=False)
+        path = str(tmp_path / str(at_once))
+        for _ in range(2):
+            tables.write_snapshot_csv(df, path)
+        rows = sorted((r.title, str(r.run_ts), r.attrs.get("k")) for r in tables.read_written_csv(spark, path).collect())
+        want = rows if want is None else want
+        assert rows == want and len(rows) == 13
+
+
+def test_latest_rows_are_shuffled_once(spark, offer_rows, tmp_path, monkeypatch):
+    monkeypatch.setattr(history, "ROWS_PER_PIECE", 2, raising=False)
+    df = offer_rows(*[{"run": i % 2, "hour": i, "url": f"u{i % 5}"} for i in range(20)], {"url": None, "slug": None}, {"url": "x", "fetched_at": None})
+    want = sorted(r.pos for r in history.latest_per_day(df).collect())
+    path = str(tmp_path / "l")
+    write = streams.latest_writer(path)
+    write(df, 0)
+    days = spark.read.parquet(path)
+    assert sorted(r.pos for r in days.collect()) == want
+    sizes = df.groupBy(F.to_date("fetched_at").alias("snapshot_date")).agg(F.count(F.lit(1)).alias("n"))
+    plan = history.latest_per_day(durable(df), durable(sizes))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    write(df.where("pos < 6"), 1)  # a replay of older rows changes nothing
+    write(offer_rows({"run": 1, "hour": 23, "url": "u1", "title": "newer"}), 2)
+    after = {(r.url, r.snapshot_date): r.title for r in spark.read.parquet(path).collect()}
+    assert len(after) == len(want) and [t for t in after.values() if t == "newer"] == ["newer"]
+    # Many rows are rewritten some days at a time.
+    monkeypatch.setattr(tables, "ROWS_AT_ONCE", 8, raising=False)
+    again = streams.latest_writer(str(tmp_path / "m"))
+    for _ in range(2):
+        again(df, 0)
+    assert sorted(r.pos for r in spark.read.parquet(str(tmp_path / "m")).collect()) == want
